@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markerloom.llm import langid
+from markerloom.llm import langid, packing
 from markerloom.llm.shared import read_table
 
 
+def tokenizer_path() -> str:
+    """The file of the public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_language_id": op10_language_id,
 }
 
