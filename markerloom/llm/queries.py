@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markerloom.llm import langid, line_rules, packing
+from markerloom.llm import langid, line_rules, packing, warc
 from markerloom.llm.shared import read_table
 
 
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
 def tokenizer_path() -> str:
     """The file of the public byte-level BPE vocabulary."""
     import public_tokenizers
@@ -32,10 +36,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_quality": op3_line_quality,
+    "op4_warc_round_trip": op4_warc_round_trip,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_quality": line_rules.oracle(),
+    "op4_warc_round_trip": warc.oracle(),
 }
