@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markerloom.llm import langid, line_rules, packing, warc
+from markerloom.llm import langid, line_rules, packing, rule_ensemble, warc
 from markerloom.llm.shared import read_table
 
 
@@ -14,6 +14,11 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return rule_ensemble.score(docs, rule_ensemble.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def tokenizer_path() -> str:
     """The file of the public byte-level BPE vocabulary."""
     import public_tokenizers
@@ -37,6 +42,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_quality": op3_line_quality,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_language_id": op10_language_id,
 }
