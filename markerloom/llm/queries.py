@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markerloom.llm import langid, line_rules, minhash, packing, rule_ensemble, warc
+from markerloom.llm import langid, line_rules, minhash, packing, rule_ensemble, suffix_dedup, warc
 from markerloom.llm.shared import read_table
 
 
@@ -26,6 +26,10 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_line_quality": op3_line_quality,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op6_quality_classifier": op6_quality_classifier,
