@@ -14,6 +14,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: For :func:`words`: A-Z in lower case; and the same with ASCII punctuation as white space.
+PLAIN = _LOWER.copy()
+PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0x20
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD_BASE = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
@@ -60,14 +63,14 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def words(texts: pa.Array, lower: bool = True) -> Words:
-    """The words of a string array; a null text has none. ``lower`` maps A-Z only."""
+def words(texts: pa.Array, lower: bool = True, table: np.ndarray | None = None) -> Words:
+    """The words of a string array; a null text has none. ``lower`` maps A-Z only; ``table`` maps bytes in its place."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     texts = texts.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(texts) and texts.buffers()[2] else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    data = _LOWER[raw] if lower else raw
+    data = table[raw] if table is not None else _LOWER[raw] if lower else raw
     space = SPACE[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
