@@ -20,6 +20,13 @@ SPECIAL = "<|endoftext|>"
 ODD = re.compile(r" (?!\S)")
 
 
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    """The file of a public vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 class Memo(dict):
     """``word -> ids of " " + word`` as little-endian bytes; emptied when it holds ``most`` words."""
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from markerloom.llm import decontamination, langid, line_rules, minhash, packing, rule_ensemble, suffix_dedup, warc
+import corpus_pipeline
+from markerloom.llm import decontamination, langid, line_rules, minhash, packing, rule_ensemble, suffix_dedup, token_trie, warc
+from markerloom.llm.bpe import vocabulary_path
 from markerloom.llm.shared import read_table
 
 
@@ -14,36 +16,17 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_trie.token_counts(read_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return rule_ensemble.score(docs, rule_ensemble.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
-def tokenizer_path() -> str:
-    """The file of the public byte-level BPE vocabulary."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
-
-
-def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
-
-
-def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(read_table(spark, sf_dir, "documents"))
-
-
-def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.judge(read_table(spark, sf_dir, "documents"))
-
-
-def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), k=2)
-
-
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,10 +39,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_line_quality": op3_line_quality,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_token_counts": op5_token_counts,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
