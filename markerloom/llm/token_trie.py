@@ -62,8 +62,8 @@ class UnigramTrie:
             self.clear()
         node, forward, tokens, child = 0, [0.0], [0], self.child
         for end in range(1, len(word) + 1):
-            key = node << 8 | word[end - 1]
-            at = child.get(key) if inserted else None
+            key = node << 8 | word[end - 1] if inserted else -1
+            at = child.get(key)
             if at is None:
                 best, n = self._extend(word, end, forward, tokens)
                 if inserted:
