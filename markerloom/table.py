@@ -30,6 +30,34 @@ class MarkerTable:
             raise MarkerError(f"more than {MAX_INDIVIDUALS} individuals")
         self.df, self.individuals, self.popmap, self.layout = df, list(individuals), [tuple(x) for x in popmap], layout
 
+    @classmethod
+    def from_path(cls, path: str, popmap=None) -> MarkerTable:
+        from markerloom.api import marker_table
+
+        return marker_table(path, popmap)
+
+    @classmethod
+    def from_dataframe(cls, markers, popmap=None) -> MarkerTable:
+        """From a Spark or pandas frame, or an Arrow table, with a column for each individual."""
+        from markerloom.api import marker_table
+
+        return marker_table(markers, popmap)
+
+    def to_dataframe(self) -> DataFrame:
+        """A column for each individual."""
+        from markerloom.sources.writers import wide
+
+        return wide(self).na.fill(0)
+
+    def to_pandas(self):
+        return self.to_dataframe().toPandas()
+
+    def to_arrow(self):
+        return self.to_dataframe().toArrow()
+
+    def __arrow_c_stream__(self, requested_schema=None):
+        return self.to_arrow().__arrow_c_stream__(requested_schema)
+
     @property
     def spark(self) -> SparkSession:
         return self.df.sparkSession
