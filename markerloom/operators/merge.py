@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.functions.sequences import normalised
+from markerloom.plans.lineage import stored
 from markerloom.table import MarkerTable
 from markerloom.types import MAX_DEPTH, MarkerError
 
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
-    """``ord`` from 0 in a total order, without a single-task sort: range partitions are sorted and counted, and the
-    partitions' sizes (one number each) make the offsets."""
+    """``ord`` from 0 in a total order, without a single-task sort: range partitions are sorted, counted and stored (their
+    bounds are sampled, so they must be made once), and the partitions' sizes (one number each) make the offsets."""
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("within", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("bigint"), 33))
+    ordered = stored(ordered, "ordered")
     sizes = ordered.groupBy("part").agg(F.count("*").alias("n")).collect()  # a row for each partition
     offset, offsets = 0, []
     for r in sorted(sizes, key=lambda r: r.part):
