@@ -102,8 +102,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         if args.command == "signif":
             df = table.signif(**common, **method, threshold=args.threshold, bayes=args.bayes)
         else:
-            df = table.subset(**common, **method, range1=(args.min_group1, args.max_group1), range2=(args.min_group2, args.max_group2), total=(args.min_total, args.max_total), statistics=True)
-            df = df.join(table.df.select("ord", "depths"), "ord")
+            df = table.subset(**common, **method, range1=(args.min_group1, args.max_group1), range2=(args.min_group2, args.max_group2), total=(args.min_total, args.max_total), statistics=True, depths=True)
         if args.fasta:
             with open(args.output, "w", encoding="utf-8") as out:
                 for r in writers.fasta(df.orderBy("ord"), table.groups(**pair), args.min_depth).toLocalIterator():

@@ -16,7 +16,7 @@ def signif(table: MarkerTable, *, group1: str | None = None, group2: str | None
     """Markers below the threshold with ``g1, g2, p, p_corrected`` (and ``Bayes_Factor, Posterior_SexLinked``), and their
     depths if the table is of arrays. p-values are compared in single precision, q-values in double."""
     groups, correction = table.groups(group1, group2), Correction.of(correction)
-    counts = table.counts(min_depth, groups)
+    counts = table.counts(min_depth, groups, depths)
     stats = with_statistics(cells(counts), groups, test=test, prior=PRIOR if bayes else None, linked=LINKED)
     limit = single(threshold)
     if correction is Correction.FDR:
@@ -25,9 +25,6 @@ def signif(table: MarkerTable, *, group1: str | None = None, group2: str | None
         stats = stats.where(F.col("p").cast("float") < (F.lit(limit) / F.greatest("n_markers", F.lit(1))).cast("float"))
     else:
         stats = stats.where(F.col("p").cast("float") < F.lit(limit).cast("float"))
-    kept = [c for c in ("ord", "id", "sequence") if c in counts.columns]
+    kept = [c for c in ("ord", "id", "sequence", "depths") if c in counts.columns]
     more = [F.col("bayes_factor").alias("Bayes_Factor"), F.col("posterior").alias("Posterior_SexLinked")] if bayes else []
-    out = to_markers(counts, stats, groups).select(*kept, "g1", "g2", F.col("p"), corrected(correction).alias("p_corrected"), *more)
-    if depths and table.layout == "array" and "ord" in kept:
-        out = out.join(table.df.select("ord", "depths"), "ord")
-    return out
+    return to_markers(counts, stats, groups).select(*kept, "g1", "g2", F.col("p"), corrected(correction).alias("p_corrected"), *more)

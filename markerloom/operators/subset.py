@@ -10,14 +10,15 @@ from markerloom.table import MarkerTable
 from markerloom.types import Correction, Test
 
 
-def subset(table: MarkerTable, *, group1: str | None = None, group2: str | None = None, min_depth: int = 1, range1=(0, 9999), range2=(0, 9999), total=(0, 9999), statistics: bool = False, test: Test | str = "chisq", correction: Correction | str = "bonferroni") -> DataFrame:
-    """Markers whose counts lie in the ranges (both ends included); ``statistics`` adds ``p, p_corrected``, which filter nothing."""
+def subset(table: MarkerTable, *, group1: str | None = None, group2: str | None = None, min_depth: int = 1, range1=(0, 9999), range2=(0, 9999), total=(0, 9999), statistics: bool = False, depths: bool = False, test: Test | str = "chisq", correction: Correction | str = "bonferroni") -> DataFrame:
+    """Markers whose counts lie in the ranges (both ends included); ``statistics`` adds ``p, p_corrected``, which filter
+    nothing, and ``depths`` keeps the arrays."""
     groups, correction = table.groups(group1, group2), Correction.of(correction)
-    counts = table.counts(min_depth, groups)
+    counts = table.counts(min_depth, groups, depths)
     inside = F.col("g1").between(*range1) & F.col("g2").between(*range2) & F.col("n_ind").between(*total)
     if not statistics:
         return counts.where("n_ind > 0").where(inside)
     stats = with_statistics(cells(counts), groups, test=test)
     stats = with_fdr(stats) if correction is Correction.FDR else stats
-    kept = [c for c in ("ord", "id", "sequence") if c in counts.columns]
+    kept = [c for c in ("ord", "id", "sequence", "depths") if c in counts.columns]
     return to_markers(counts.where(inside), stats, groups).select(*kept, "g1", "g2", "n_ind", "p", corrected(correction).alias("p_corrected"))

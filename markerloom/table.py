@@ -83,9 +83,10 @@ class MarkerTable:
         schema = T.StructType([T.StructField("individual", T.StringType()), T.StructField("grp", T.StringType())])
         return self.spark.createDataFrame([tuple(x) for x in self.popmap], schema)
 
-    def counts(self, min_depth: int = 1, groups: Groups | None = None) -> DataFrame:
+    def counts(self, min_depth: int = 1, groups: Groups | None = None, depths: bool = False) -> DataFrame:
         """``id, sequence, g1, g2, n_ind`` (and ``ord`` where there is one): in how many individuals of each group, and of
-        all columns, a marker has ``min_depth`` or more. One narrow projection, or one aggregation for the long layout."""
+        all columns, a marker has ``min_depth`` or more; ``depths`` keeps the arrays. One narrow projection, or one aggregation
+        for the long layout."""
         if min_depth < 1:
             raise MarkerError("min_depth must be 1 or more")
         group = dict(self.popmap)
@@ -96,7 +97,7 @@ class MarkerTable:
                 places = [i for i, x in enumerate(self.individuals) if group.get(x) == name]
                 return F.size(F.filter(F.lit(places), lambda i: F.get("depths", i) >= min_depth)) if places else F.lit(0)
 
-            kept = [c for c in ("ord", "id", "sequence") if c in self.df.columns]
+            kept = [c for c in ("ord", "id", "sequence", *(["depths"] if depths else [])) if c in self.df.columns]
             return self.df.select(
                 *kept,
                 present(groups and groups.group1).cast("int").alias("g1"),
