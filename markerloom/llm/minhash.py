@@ -2,10 +2,12 @@
 
 1. One pass makes, for each document, the size of its shingle set, a 128-bit key of the set (equal sets are one class, of
    which only the first document goes on), ``bands * rows`` hash minima and a key for each band.
-2. In each bucket that classes share, every member is paired with the smallest one: as many pairs as rows.
+2. Buckets of a band are split by the size of the sets (similar sets are in the same or the next class of size); in each
+   that classes share, every member is paired with the smallest one: as many pairs as rows.
 3. Pairs whose signatures agree too little are dropped; the others are confirmed on the full sets.
 4. Components of the confirmed links. Buckets whose members are then in several components are dealt out in blocks of
-   bounded size, and members of different components are compared there, most similar first, until nothing can join.
+   bounded size; short signatures leave the members that may be similar to one of another component, and these are
+   compared there, most similar first, until nothing can join.
 5. Components of all links.
 
 So no bucket is gathered in one task, no group's pairs are written out, and no link between different texts that share a
@@ -26,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.llm.components import components
-from markerloom.llm.shared import only, small_batches, written
+from markerloom.llm.shared import hinted, only, small_batches, written
 from markerloom.llm.textvec import grams, mixed, words
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
-#: Documents in a block of a bucket, and the most documents to drop that are broadcast as a list of ids.
-BLOCK, BROADCAST_ROWS = 400, 100_000
+#: Documents in a block of a bucket, minima in a short signature.
+BLOCK, SHORT = 1500, 64
 
 
 def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
@@ -108,7 +110,7 @@ def similar(x: set, y: set, percent: int) -> bool:
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """One text for each id, of the documents that ``ids`` names."""
     rows = only(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    return rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rows.join(hinted(written(ids, "ids")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -131,25 +133,58 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(y, "b").join(x, "a").mapInArrow(confirm, "a long, b long")
 
 
-def _between(members: DataFrame, known: DataFrame, docs: DataFrame, signatures: DataFrame, k: int, percent: int, least: float) -> DataFrame | None:
+def _blocks(rest: DataFrame) -> DataFrame:
+    """``key, i, j, own, rep, component``: each pair of blocks of a bucket has the rows of both."""
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return placed.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
+
+
+def _across(component: np.ndarray, own: np.ndarray, sig: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row the later rows of other components (and, if there are two blocks, of the other one) whose signatures
+    agree in this share or more, with the shares."""
+    split = own.min() != own.max()
+    for x in range(len(component) - 1):
+        rest = np.flatnonzero((component[x + 1 :] != component[x]) & ((own[x + 1 :] != own[x]) | (not split))) + x + 1
+        if len(rest):
+            share = (sig[rest] == sig[x]).mean(axis=1)
+            near = share >= least
+            if near.any():
+                yield x, rest[near], share[near]
+
+
+def _between(members: DataFrame, known: DataFrame, docs: DataFrame, signatures: DataFrame, k: int, percent: int, slack) -> DataFrame | None:
     """Links between members of a bucket that are still in different components, at most one for each member and block."""
     placed = members.join(known, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n")
-    rest = written(placed.join(mixed_keys, "key"), "rest")
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    rest = written(placed.join(open_keys, "key"), "rest")
     if rest.isEmpty():
         return None
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    rest = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rest.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
-    ids = rest.select(F.col("rep").alias("doc_id")).distinct()
-    held = _texts(docs, ids).join(signatures, "doc_id").withColumnRenamed("doc_id", "rep")
+
+    def columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+        return [np.array(table.column(c).to_pylist()) for c in names]
+
+    def may_join(table: pa.Table) -> pa.Table:
+        rep, component, own = columns(table, "rep", "component", "own")
+        sig, near = np.frombuffer(b"".join(table.column("short").to_pylist()), "<u2").reshape(len(rep), -1), np.zeros(len(rep), bool)
+        for x, ys, _ in _across(component, own, sig, slack(SHORT)):
+            near[x] = True
+            near[ys] = True
+        return pa.table({"key": table.column("key").filter(pa.array(near)), "rep": rep[near], "component": component[near]})
+
+    short = signatures.select(F.col("doc_id").alias("rep"), F.substring("signature", 1, 2 * SHORT).alias("short"))
+    rest = written(_blocks(rest).join(short, "rep").groupBy("key", "i", "j").applyInArrow(may_join, "key long, rep long, component long").distinct(), "near")
+    if rest.isEmpty():
+        return None
+    # Pairs meet in many buckets: of buckets that are left with the same members, one is compared.
+    member = F.xxhash64("rep")
+    same = rest.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.sum(member.cast("decimal(38,0)")).alias("s"))
+    rest = written(rest.join(same.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "to-compare")
 
     def compare(table: pa.Table) -> pa.Table:
-        rep, component, own = (np.array(table.column(c).to_pylist()) for c in ("rep", "component", "own"))
-        order = np.argsort(rep)
-        rep, component, own = rep[order], component[order], own[order]
-        texts, sig = table.column("text").to_pylist(), np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(rep), -1)[order]
+        rep, component, own = columns(table, "rep", "component", "own")
+        texts, sig = table.column("text"), np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(rep), -1)
         root = {int(c): int(c) for c in component}
 
         def find(c: int) -> int:
@@ -158,46 +193,52 @@ def _between(members: DataFrame, known: DataFrame, docs: DataFrame, signatures:
             return c
 
         sets: dict[int, set] = {}
-        links, split = [], own.min() != own.max()
-        close = []
-        for x in range(len(rep) - 1):
-            rest = np.flatnonzero((component[x + 1 :] != component[x]) & ((own[x + 1 :] != own[x]) | (not split))) + x + 1
-            if len(rest):
-                share = (sig[rest] == sig[x]).mean(axis=1)
-                close += [(-s, x, int(y)) for s, y in zip(share, rest) if s >= least]
-        for _, x, y in sorted(close):
+        links = []
+        close = [(-share, *sorted((int(rep[x]), int(rep[y]))), x, int(y)) for x, ys, shares in _across(component, own, sig, slack(sig.shape[1])) for y, share in zip(ys, shares)]
+        for _, a, b, x, y in sorted(close):
             if (p := find(int(component[x]))) == (q := find(int(component[y]))):
                 continue
             for z in (x, y):
                 if z not in sets:
-                    sets[z] = shingles(texts[order[z]], k)
+                    sets[z] = shingles(texts[z].as_py(), k)
             if similar(sets[x], sets[y], percent):
                 root[max(p, q)] = min(p, q)
-                links.append((int(rep[x]), int(rep[y])))
+                links.append((a, b))
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    return dealt.join(held, "rep").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    ids = rest.select(F.col("rep").alias("doc_id")).distinct()
+    held = written(_texts(docs, ids).join(signatures, "doc_id").withColumnRenamed("doc_id", "rep"), "near-texts")
+    return _blocks(rest).join(held, "rep").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row: documents are linked if 100 * |A & B| >= percent * |A | B|
     for their sets of ``k``-word shingles; the component is named by its smallest id, which is kept."""
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5 - 0.03
+    share = percent / 100
+
+    def slack(n: int) -> float:
+        """What ``n`` minima of sets that are similar enough agree in, but for five standard deviations."""
+        return share - 5 * (share * (1 - share) / n) ** 0.5
+
     all_docs = written(sketches(docs, k, bands, rows), "sketches")
     linkable = all_docs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = written(linkable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
-    first = linkable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    buckets = first.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot != last").select("key", "pivot")
-    members = written(buckets.join(shared, "key"), "buckets")
-    named = members.select(F.col("rep").alias("doc_id")).distinct()
+    first = linkable.join(hinted(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    buckets = first.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
+    shared = buckets.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("band")
+    size = F.floor(F.log("n") / F.lit(np.log(1.04 / share)))
+    by_size = buckets.join(shared, "band").select("rep", F.explode(F.array(F.xxhash64("band", size), F.xxhash64("band", size + 1))).alias("key"))
+    by_size = written(by_size, "buckets")
+    pivots = by_size.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("hi")).where("pivot != hi").select("key", "pivot")
+    members = written(by_size.join(pivots, "key"), "members")
+    named = hinted(written(members.select(F.col("rep").alias("doc_id")).distinct(), "named"))
     signatures = written(linkable.select("doc_id", "signature").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "signatures")
     pairs = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     both = pairs.join(signatures.toDF("b", "sig_b"), "b").join(signatures.toDF("a", "sig_a"), "a")
-    likely = written(both.mapInArrow(lambda batches: agreeing(batches, least), "a long, b long"), "likely")
+    likely = written(both.mapInArrow(lambda batches: agreeing(batches, slack(bands * rows)), "a long, b long"), "likely")
     links = written(_confirmed(likely, docs, k, percent), "confirmed")
     known = components(links)
-    more = _between(members, known, docs, signatures, k, percent, least)
+    more = _between(members, known, docs, signatures, k, percent, slack)
     if more is not None:
         more = written(more, "between")
         if not more.isEmpty():
@@ -211,7 +252,5 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
 
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, with their columns, that :func:`near_duplicates` keeps."""
-    gone = written(near_duplicates(docs, **parameters).where("not kept").select("doc_id").distinct(), "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
+    gone = hinted(written(near_duplicates(docs, **parameters).where("not kept").select("doc_id").distinct(), "gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")

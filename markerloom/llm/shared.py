@@ -33,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many narrow rows (ids) may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def hinted(stored: DataFrame) -> DataFrame:
+    """A stored table of a few narrow columns, to be broadcast if its rows are counted to be at most ``BROADCAST_ROWS``; a
+    larger one is joined by shuffling."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds; a lower number that the session has set stays."""
     for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
