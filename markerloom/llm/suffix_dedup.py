@@ -5,8 +5,9 @@
    retain the same suffix.
 2. Suffixes are ordered by a key of their first words; where neighbours are equal, the suffix occurs more than once. Equal
    keys are combined in each task before they are shuffled, so a passage of very many documents is a row for each task.
-3. From these suffixes only, matches are extended to the left and right: each window of ``least`` words whose minimiser is
-   such a suffix is compared by a key of all its words, so that a span is cut exactly where the match ends.
+3. From these suffixes only, matches are extended to the left and right, over all windows of ``least`` words that select
+   the suffix. Where every place of a suffix has the same words as far as these windows reach, they are one extension with
+   one key; else each window is compared by a key of its own, so that a span is cut exactly where the match ends.
 4. The document with the smallest id keeps a window; of equal windows within a document, the first stays. Windows join
    into spans.
 
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markerloom.llm.shared import only, small_batches, written
-from markerloom.llm.textvec import Words, grams, words
+from markerloom.llm.shared import hinted, only, small_batches, written
+from markerloom.llm.textvec import Words, grams, spans_of, words
 
 SPANS = "doc_id long, start_word long, end_word long, keeper long, removed boolean"
 _PLACE = np.uint64((1 << 26) - 1)
@@ -47,26 +48,35 @@ def least_places(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 @dataclass
-class Windows:
-    """Windows of ``least`` words that lie in one text: text, first word, key of the words, suffix and key of the suffix."""
+class Extensions:
+    """Maximal runs of windows that select one suffix: text, first word, number of windows, key of all words of the run,
+    key of the suffix; ``windows`` has the key of each window by its place among the words of the batch, ``place`` the run's."""
 
     text: np.ndarray
     start: np.ndarray
-    hashes: np.ndarray
-    place: np.ndarray
+    size: np.ndarray
+    run: np.ndarray
     suffix: np.ndarray
+    place: np.ndarray
+    windows: np.ndarray
 
 
-def windows(w: Words, least: int, key_words: int) -> Windows:
+def extensions(w: Words, least: int, key_words: int) -> Extensions:
     h = w.hashes()
+    none = np.zeros(0, np.int64)
+    if len(h) < least:
+        return Extensions(none, none, none, none.view(np.uint64), none.view(np.uint64), none, none.view(np.uint64))
     keys = grams(h, key_words)
     place = least_places(keys, least - key_words + 1)
     text = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
-    at = np.flatnonzero(text[: len(place)] == text[least - 1 :]) if len(place) else np.zeros(0, np.int64)
-    return Windows(text[at], at - w.bounds[text[at]], grams(h, least)[at] if len(at) else np.zeros(0, np.uint64), place[at], keys[place[at]] if len(at) else np.zeros(0, np.uint64))
+    inside = text[: len(place)] == text[least - 1 :]
+    first = inside & (np.append(True, place[1:] != place[:-1]) | np.append(True, ~inside[:-1]) | np.append(True, text[1 : len(place)] != text[: len(place) - 1]))
+    last = inside & np.append(first[1:] | ~inside[1:], True)
+    begin, end = np.flatnonzero(first), np.flatnonzero(last)
+    return Extensions(text[begin], begin - w.bounds[text[begin]], end - begin + 1, spans_of(h, begin, end + least), keys[place[begin]], begin, grams(h, least))
 
 
-def repeated_spans(docs: DataFrame, *, least: int = 50, key_words: int = 16) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, least: int = 50, key_words: int = 10) -> DataFrame:
     """``doc_id, start_word, end_word, keeper, removed`` for each longest span of words (the end excluded) all of whose
     windows of ``least`` words occur elsewhere; ``keeper`` is the smallest document that has the first of them, and spans
     that are not ``removed`` are those that stay."""
@@ -75,40 +85,50 @@ def repeated_spans(docs: DataFrame, *, least: int = 50, key_words: int = 16) ->
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = windows(words(b.column("text"), lower=False), least, key_words)
-            _, first = np.unique(v.place, return_index=True)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(v.text[first])), pa.array(v.suffix[first].view(np.int64))], ["doc_id", "suffix"])
+            v = extensions(words(b.column("text"), lower=False), least, key_words)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(v.text)), pa.array(v.suffix.view(np.int64)), pa.array(v.run.view(np.int64))], ["doc_id", "suffix", "run"])
 
-    suffixes = written(rows.select("doc_id", "text").mapInArrow(retain, "doc_id long, suffix long"), "suffixes")
-    shared = suffixes.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix")
-    of_doc = suffixes.join(shared, "suffix").groupBy("doc_id").agg(F.collect_set("suffix").alias("suffixes"))  # at most one document's
+    suffixes = written(rows.select("doc_id", "text").mapInArrow(retain, "doc_id long, suffix long, run long"), "suffixes")
+    shared = suffixes.groupBy("suffix").agg(F.count("*").alias("n"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("n > 1")
+    shared = shared.select("suffix", (F.col("lo") == F.col("hi")).alias("alike"))
+    kept = suffixes.select("doc_id", "suffix").join(shared, "suffix")
+    keys = lambda c: F.collect_set(F.when(c, F.col("suffix")))
+    of_doc = written(kept.groupBy("doc_id").agg(keys(F.col("alike")).alias("whole"), keys(~F.col("alike")).alias("single")), "shared")  # one document's at most
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = windows(words(b.column("text"), lower=False), least, key_words)
-            keep = np.zeros(len(v.text), bool)
+            v = extensions(words(b.column("text"), lower=False), least, key_words)
+            whole, single = np.zeros(len(v.text), bool), np.zeros(len(v.text), bool)
             bounds = np.searchsorted(v.text, np.arange(b.num_rows + 1))
-            for i, known in enumerate(b.column("suffixes")):
-                mine = slice(bounds[i], bounds[i + 1])
-                keep[mine] = np.isin(v.suffix[mine], known.values.to_numpy().view(np.uint64))
-            text, start, hashes = v.text[keep], v.start[keep], v.hashes[keep]
-            # Of equal windows of one text, which come again, and which are not alone.
-            order = np.lexsort((start, hashes, text))
+            for name, found in (("whole", whole), ("single", single)):
+                for i, known in enumerate(b.column(name)):
+                    mine = slice(bounds[i], bounds[i + 1])
+                    found[mine] = np.isin(v.suffix[mine], known.values.to_numpy().view(np.uint64))
+            # Runs that are alike wherever they are stay whole, others go window by window.
+            each = np.repeat(np.flatnonzero(single), v.size[single])
+            nth = np.arange(len(each)) - np.repeat(np.cumsum(v.size[single]) - v.size[single], v.size[single])
+            text, start = np.concatenate([v.text[whole], v.text[each]]), np.concatenate([v.start[whole], v.start[each] + nth])
+            key, size = np.concatenate([v.run[whole], v.windows[v.place[each] + nth]]), np.concatenate([v.size[whole], np.ones(len(each), np.int64)])
+            # Of equal ones in one text, which come again, and which are not alone.
+            order = np.lexsort((start, key, text))
             same = np.zeros(len(order), bool)
-            same[1:] = (hashes[order][1:] == hashes[order][:-1]) & (text[order][1:] == text[order][:-1])
+            same[1:] = (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])
             again, local = np.zeros(len(order), bool), np.zeros(len(order), bool)
             again[order] = same
             local[order] = same | np.append(same[1:], False)[: len(same)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(text)), pa.array(start), pa.array(hashes.view(np.int64)), pa.array(again), pa.array(local)], ["doc_id", "start", "window", "again", "local"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(text)), pa.array(start), pa.array(size), pa.array(key.view(np.int64)), pa.array(again), pa.array(local)], ["doc_id", "start", "size", "window", "again", "local"])
 
-    texts = rows.join(of_doc, "doc_id").select("doc_id", "text", "suffixes")
-    found = written(texts.mapInArrow(extend, "doc_id long, start long, window long, again boolean, local boolean"), "windows")
+    # Texts without a shared suffix stay out of the shuffle.
+    texts = rows.join(hinted(of_doc.select("doc_id")), "doc_id", "left_semi").join(of_doc, "doc_id").select("doc_id", "text", "whole", "single")
+    found = written(texts.mapInArrow(extend, "doc_id long, start long, size long, window long, again boolean, local boolean"), "windows")
     keepers = found.groupBy("window").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper != last").select("window", "keeper")
     marked = found.join(keepers, "window", "left").where("keeper IS NOT NULL OR local")
-    marked = marked.select("doc_id", "start", F.coalesce("keeper", "doc_id").alias("keeper"), (F.col("again") | (F.coalesce("keeper", "doc_id") < F.col("doc_id"))).alias("removed"))
+    marked = marked.select("doc_id", "start", "size", F.coalesce("keeper", "doc_id").alias("keeper"), (F.col("again") | (F.coalesce("keeper", "doc_id") < F.col("doc_id"))).alias("removed"))
 
     def join_windows(table: pa.Table) -> pa.Table:
-        start, keeper, removed = (table.column(c).to_numpy() for c in ("start", "keeper", "removed"))
+        start, size, keeper, removed = (table.column(c).to_numpy() for c in ("start", "size", "keeper", "removed"))
+        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        start, keeper, removed = np.repeat(start, size) + nth, np.repeat(keeper, size), np.repeat(removed, size)
         start, first = np.unique(start, return_index=True)  # a repeated row has each of its windows again
         keeper, removed = keeper[first], removed[first]
         out = []
@@ -142,8 +162,10 @@ def remove_repeats(docs: DataFrame, **parameters) -> DataFrame:
     gone = written(repeated_spans(docs, **parameters).where("removed"), "spans")
     spans = gone.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))  # of one document
     spans = spans.withColumnRenamed("doc_id", "span_doc")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.col("text").alias("row_text"))
-    marked = whole.join(spans, F.col("row_id") == F.col("span_doc"), "left")
+    ids = hinted(written(gone.select("doc_id").distinct(), "cut-ids"))
+    key = docs["doc_id"].cast("long") == ids["doc_id"]
+    whole = docs.join(ids, key, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.col("text").alias("row_text"))
+    marked = whole.join(spans, F.col("row_id") == F.col("span_doc"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,9 +173,6 @@ def remove_repeats(docs: DataFrame, **parameters) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("row_text"), pa.array(out, pa.string())], ["row", "row_text", "cut"])
 
     row_type = whole.schema["row"].dataType.simpleString()
-    touched = marked.where("spans IS NOT NULL").mapInArrow(cut, f"row {row_type}, row_text string, cut string").where(F.length(F.regexp_replace("cut", r"[\x20\x09-\x0D]+", "")) > 0)
-    both = marked.where("spans IS NULL").select("row", "row_text", F.lit(None).cast("string").alias("cut")).unionByName(touched)
-    new = F.coalesce("cut", "row_text")
-    # Columns are compared by name as Spark does, without case.
-    values = {"text": new, "n_chars": F.when(F.col("cut").isNotNull(), F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")) if "n_chars" in names else None}
-    return both.select(*[(values[c] if values.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in names])
+    left = marked.mapInArrow(cut, f"row {row_type}, row_text string, cut string").where(F.length(F.regexp_replace("cut", r"[\x20\x09-\x0D]+", "")) > 0)
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
+    return docs.join(ids, key, "left_anti").unionAll(left.select(*[(new[c] if new.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in names]))

@@ -96,3 +96,11 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * forward, out=sums[1:])
     return mixed((sums[k:] - sums[:n]) * back)
+
+
+def spans_of(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash for each run of words ``begin`` to ``end`` (excluded), of any lengths."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers(_WORD_BASE, len(hashes)), out=sums[1:])
+    back = powers(pow(_WORD_BASE, -1, 1 << 64), len(hashes))
+    return mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
