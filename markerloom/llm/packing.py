@@ -2,7 +2,9 @@
 
 Round 0: each partition tokenises its documents, cuts those that are longer than a bin, and packs its pieces best-fit
 (longest first). Bins that are nearly full are final. Round r: the bins that are left become items, ``fan_in`` groups
-meet in one, and are packed best-fit again, up to one group. Only a few numbers for each piece or bin are ever moved.
+meet in one, and are packed best-fit again, up to one group. Where more bins would meet than one task should hold, all
+bins that are left are packed at once by how many there are of each fill, which is the same best fit. Every underfull bin
+goes on to the next round. Only a few numbers for each piece or bin are ever moved.
 
 Defined cases: a null text is an empty one, whose sequence is the end token alone; a null ``doc_id`` is kept as null;
 repeated rows are packed each; an empty table gives no rows; further columns are ignored; equal lengths keep their order.
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markerloom.llm.bpe import encoder
@@ -24,8 +26,10 @@ from markerloom.llm.shared import only, small_batches, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, grp long"
 MERGED = "bin long, root long, base long, fill long, grp long"
-#: A round packs at most so many items together, and passes at most so many of its emptiest bins on.
-BLOCK, CARRY = 1_000_000, 100_000
+#: A task packs at most so many items together.
+BLOCK = 1_000_000
+#: Bins made from counts are numbered from here, beyond those of any task.
+COUNTED = 1 << 62
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,6 +57,36 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fills, np.int64)
 
 
+def best_fit_of_counts(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """``best_fit`` of ``counts[n]`` items of each length n, without a step for each item.
+
+    Items of a length are numbered from 0. A row ``(length, first, bin, offset, each)`` says that the items from ``first`` on,
+    up to the next row of that length, fill the bins from ``bin`` on, ``each`` in a bin, from ``offset`` on."""
+    out, made = [], 0
+    with_room: dict[int, list[tuple[int, int]]] = {}  # (first bin, how many) by what is left in them
+    for n in sorted(counts, reverse=True):
+        first, left = 0, counts[n]
+        while left:
+            room = min((r for r in with_room if r >= n), default=capacity)
+            each = room // n  # what is left of the bin is the best fit of the next item
+            if room in with_room:
+                b, bins = with_room[room].pop()
+                if not with_room[room]:
+                    del with_room[room]
+            else:
+                b, bins = made, -(-left // each)
+                made += bins
+            out.append((n, first, b, capacity - room, each))
+            whole = min(bins, left // each)
+            rest = min(left - whole * each, each) if whole < bins else 0
+            first, left = first + whole * each + rest, left - whole * each - rest
+            untouched = bins - whole - (rest > 0)
+            for now, begin, k in ((room - each * n, b, whole), (room - rest * n, b + whole, rest > 0), (room, b + bins - untouched, untouched)):
+                if now and k:
+                    with_room.setdefault(now, []).append((begin, int(k)))
+    return out
+
+
 def _scraps_apart(lengths: np.ndarray, bins: np.ndarray, offsets: np.ndarray, fills: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same packing, with each item of a bin that is at most three quarters full in a bin of its own: such bins are
     better joined item by item in the next round."""
@@ -116,25 +150,50 @@ def _merge(bins: DataFrame, capacity: int, slack: int, fan_in: int) -> DataFrame
                 where, base, fills = _scraps_apart(fill, where, base, fills, capacity)
             root = np.zeros(len(fills), np.int64)
             root[where[base == 0]] = at[base == 0]
-            left = np.where((fills < capacity - slack) & (np.bincount(where, minlength=len(fills)) > 0), fills, capacity)
-            closed = np.ones(len(fills), bool)
-            closed[np.argsort(left, kind="stable")[:CARRY]] = False
-            closed |= left == capacity
+            closed = (fills >= capacity - slack) | (np.bincount(where, minlength=len(fills)) == 0)
             return pa.table({"bin": at, "root": root[where], "base": base, "fill": fills[where], "grp": np.where(closed[where], -1, grp[0])})
 
         return pack_bins
 
     chain = None
-    groups = bins.agg(F.max("grp")).first()[0]
-    while groups is not None:
-        groups = groups // fan_in
-        done = written(bins.withColumn("grp", F.expr(f"grp div {fan_in}")).groupBy("grp").applyInArrow(packer(groups == 0), MERGED), "merged")
+    while True:
+        met = bins.withColumn("grp", F.expr(f"grp div {fan_in}"))
+        groups, most = met.groupBy("grp").count().agg(F.max("grp"), F.max("count")).first()
+        if groups is None:
+            break
+        counted = most > BLOCK
+        done = written(_merge_counted(bins, capacity) if counted else met.groupBy("grp").applyInArrow(packer(groups == 0), MERGED), "merged")
         if chain is None:
             chain = done
         else:
             later = done.select(F.col("bin").alias("at"), F.col("root").alias("to"), F.col("base").alias("more"))
             chain = chain.join(later, F.col("root") == F.col("at"), "left").select("bin", F.coalesce("to", "root").alias("root"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"))
-        if groups == 0:
+        if groups == 0 or counted:
             break
         bins = done.where((F.col("base") == 0) & (F.col("grp") >= 0)).select(F.col("root").alias("bin"), "fill", "grp")
     return chain
+
+
+def _merge_counted(bins: DataFrame, capacity: int) -> DataFrame:
+    """All of ``bins`` packed together by the numbers of each fill, so that no task holds them."""
+    own = Window.partitionBy("grp", "fill").orderBy("bin")
+    ranked = written(bins.withColumn("n", F.row_number().over(own) - 1), "ranked")
+    counts = ranked.groupBy("grp", "fill").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("fill").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = {r.fill: r.n for r in counts.groupBy("fill").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    plan = np.array(sorted(best_fit_of_counts(total, capacity)), np.int64).reshape(-1, 5)
+    starts = {n: np.searchsorted(plan[:, 0], [n, n + 1]) for n in total}
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fill, n = b.column("fill").to_numpy(), b.column("n").to_numpy()
+            row = np.zeros(len(fill), np.int64)
+            for f in np.unique(fill).tolist():
+                i, j = starts[f]
+                row[fill == f] = i + np.searchsorted(plan[i:j, 1], n[fill == f], "right") - 1
+            _, first, to, offset, each = plan[row].T
+            at = n - first
+            yield pa.RecordBatch.from_arrays([b.column("bin"), pa.array(COUNTED + to + at // each), pa.array(offset + at % each * fill), pa.array(fill), pa.array(np.full(len(fill), -1))], ["bin", "root", "base", "fill", "grp"])
+
+    numbered = ranked.join(counts.select("grp", "fill", before.alias("before")), ["grp", "fill"])
+    return numbered.select("bin", "fill", (F.col("n") + F.col("before")).alias("n")).mapInArrow(place, MERGED)

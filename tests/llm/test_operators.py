@@ -396,6 +396,36 @@ def test_underfull_bins_merge_over_rounds(spark):
     assert len(rows) == 300 and len(by_bin) <= math.ceil(sum(r.length for r in rows) / 1024) + 1
 
 
+@pytest.mark.parametrize("block", [60, 1_000_000])
+def test_no_underfull_bin_is_closed(spark, monkeypatch, block):
+    rng = random.Random(9)
+    long, short = [(i, "the " * rng.randint(600, 660)) for i in range(100)], [(i, "the " * rng.randint(345, 360)) for i in range(100, 200)]
+    df = frame(spark, long).coalesce(2).unionByName(frame(spark, short).coalesce(2))
+    monkeypatch.setattr(packing, "BLOCK", block)
+    monkeypatch.setattr(packing, "CARRY", 5, raising=False)
+    rows = packing.pack(df, vocabulary_path(), fan_in=2).collect()
+    _, by_bin = check_packing(rows)
+    assert len(rows) == 200 and len(by_bin) <= len(packing.best_fit(np.array([r.length for r in rows]), 1024)[2]) + 1
+
+
+def test_best_fit_of_counts():
+    rng = np.random.default_rng(8)
+    for capacity, n in [(10, 7), (100, 500), (1024, 3000)] * 20:
+        lengths = rng.integers(1, rng.integers(2, capacity + 1), n)
+        each, counts = np.unique(lengths, return_counts=True)
+        plan = packing.best_fit_of_counts(dict(zip(each.tolist(), counts.tolist())), capacity)
+        fills = np.zeros(len(packing.best_fit(lengths, capacity)[2]), np.int64)
+        for m, total in zip(each.tolist(), counts.tolist()):
+            own = [x for x in plan if x[0] == m]
+            assert own[0][1] == 0
+            for (_, first, to, offset, k), end in zip(own, [*[x[1] for x in own[1:]], total]):
+                for i in range(end - first):
+                    fills[to + i // k] += m
+        taken = sorted((to + i // k, offset + i % k * m, m) for m, total in zip(each.tolist(), counts.tolist()) for own in [[x for x in plan if x[0] == m]] for (_, first, to, offset, k), end in zip(own, [*[x[1] for x in own[1:]], total]) for i in range(end - first))
+        assert all(y[1] == (x[1] + x[2] if x[0] == y[0] else 0) for x, y in zip(taken, taken[1:]))
+        assert sorted(fills.tolist()) == sorted(packing.best_fit(lengths, capacity)[2].tolist())
+
+
 def test_best_fit():
     bins, offsets, fills = packing.best_fit(np.array([5, 6, 4, 4, 10, 1]), 10)
     assert fills.tolist() == [10, 10, 10] and sorted(zip(bins.tolist(), offsets.tolist())) == sorted(set(zip(bins.tolist(), offsets.tolist())))
