@@ -5,6 +5,8 @@ so a score is the share of an item that a passage has; the largest impact of eac
 a block can reach. Every passage is a query: bounds of all passages of an Arrow batch are summed in numpy (over all items,
 then over blocks), and passages that can reach the threshold go through the posting lists, document at a time, skipping
 blocks. All items above the threshold are verified: enough word runs of the question, and of the answer, stand in the passage.
+A longer item is found by any of its equal parts, whose score is reported, and verified as a whole: on the passage and as
+many words around it as the rest of the item has. An item shorter than a run must stand in the passage as it is.
 
 An index holds ``max_items`` items at most; a larger benchmark is indexed in several, with the statistics of all items,
 and the documents are read once for each.
@@ -31,7 +33,7 @@ from markerloom.llm.textvec import PLAIN, words
 
 LEAKS = "doc_id long, item_id long, passage long, score double, question_overlap double, answer_overlap double"
 K1, B = 1.2, 0.75
-#: Longer items are indexed in parts of so many words; postings and items in a block.
+#: Longer items are indexed in equal parts of so many words at most; postings and items in a block.
 PART, POSTINGS, RANGES, RUN = 256, 32, 64, 3
 
 
@@ -54,6 +56,11 @@ def runs(w: list[bytes]) -> Counter:
     return Counter(zip(*[w[i:] for i in range(n)])) if n else Counter()
 
 
+def stands(item: list[bytes], passage: list[bytes]) -> bool:
+    """Whether ``passage`` has the words of ``item`` one after the other."""
+    return any(passage[i : i + len(item)] == item for i in range(len(passage) - len(item) + 1))
+
+
 def overlap(part: list[bytes], passage: list[bytes]) -> float:
     """The share of the word runs of ``part`` that ``passage`` has."""
     own = runs(part)
@@ -67,15 +74,17 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]], n_items: int, mean_words: float, counts: dict[int, int]):
         """``counts`` has, for each term hash, in how many of all ``n_items`` items it is."""
-        self.parts: list[tuple[int, list[bytes], list[bytes]]] = []
+        #: Item, its question and answer, and how many of its words are before and after the part.
+        self.parts: list[tuple[int, list[bytes], list[bytes], int, int]] = []
         bags: list[tuple[np.ndarray, np.ndarray, int]] = []
         for item, text in items:
             hashes = words(pa.array([text]), table=PLAIN).hashes()
             question, answer = question_and_answer(text)
-            for at in range(0, len(hashes), PART):
-                part = hashes[at : at + PART]
-                whole = plain_words(text)[at : at + PART]
-                self.parts.append((item, question, answer) if len(hashes) <= PART else (item, whole[: len(whole) * 2 // 3], whole[len(whole) * 2 // 3 :]))
+            n_parts = math.ceil(len(hashes) / PART)
+            for k in range(n_parts):
+                begin, end = len(hashes) * k // n_parts, len(hashes) * (k + 1) // n_parts
+                part = hashes[begin:end]
+                self.parts.append((item, question, answer, begin, len(hashes) - end))
                 bags.append((*np.unique(part, return_counts=True), len(part)))
         self.terms = np.unique(np.concatenate([b[0] for b in bags])) if bags else np.zeros(0, np.uint64)
         self.span = max((b[2] for b in bags), default=1)
@@ -196,12 +205,19 @@ class ItemIndex:
                 continue
             i = int(np.searchsorted(base, p, "right")) - 1
             first = int(w.bounds[i]) + (p - int(base[i])) * self.span
-            own_words = [w.text(j) for j in range(first, min(first + 2 * self.span, int(w.bounds[i + 1])))]
+            around: dict[tuple[int, int], list[bytes]] = {}
             for part, score in found:
-                item, question, answer = self.parts[part]
+                item, question, answer, lead, rest = self.parts[part]
+                if (i, item) in best and best[i, item][3] >= score:
+                    continue
+                if (lead, rest) not in around:
+                    around[lead, rest] = [w.text(j) for j in range(max(first - lead, int(w.bounds[i])), min(first + 2 * self.span + rest, int(w.bounds[i + 1])))]
+                own_words = around[lead, rest]
+                if len(question) + len(answer) < RUN and not stands(question + answer, own_words):
+                    continue
                 q, a = overlap(question, own_words), overlap(answer, own_words)
                 row = (i, item, p - int(base[i]), score, q, a)
-                if min(q, a) >= verified and ((i, item) not in best or best[i, item][3] < score):
+                if min(q, a) >= verified:
                     best[i, item] = row
         return list(best.values())
 

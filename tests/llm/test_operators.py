@@ -116,6 +116,21 @@ def test_leaks(spark, docs, none, max_items):
     assert decontamination.contaminated(docs, table.limit(0)).count() == 0 and decontamination.decontaminate(docs, table.limit(0)).count() == docs.count()
 
 
+def test_leaks_of_long_and_of_tiny_items(spark):
+    rng = random.Random(6)
+    sizes = {1: 258, 2: 259, 3: 513, 4: 700, 5: 1500}
+    items = {i: prose(rng, n - 5).rstrip(".") + ". Zu" + str(i) + " yo xe wa" + str(i) + " vi." for i, n in sizes.items()}
+    assert all(len(decontamination.plain_words(t)) == sizes[i] and decontamination.question_and_answer(t)[1][-1] == b"vi" for i, t in items.items())
+    items[6] = "Quo vadis"
+    whole = [(100 + i, prose(rng, rng.randint(0, 900)) + " " + t.upper() + " " + prose(rng, 300)) for i, t in items.items()]
+    questions = [(200 + i, prose(rng, 50) + " " + " ".join(t.split()[:-5]) + " " + prose(rng, 900)) for i, t in items.items() if i < 6]
+    ends = [(300 + i, " ".join(t.split()[-5:]) + " " + prose(rng, 100) + " " + " ".join(t.split()[-2:][::-1])) for i, t in items.items() if i < 6]
+    tiny = [(400, "They vadis " + prose(rng, 20) + " quo " + prose(rng, 20))]
+    docs, table = frame(spark, whole + questions + ends + tiny), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, table).collect()} == {(100 + i, i) for i in items}
+    assert {r.doc_id for r in decontamination.decontaminate(docs, table).collect()} == {d for d, _ in questions + ends + tiny}
+
+
 # -- 2 -------------------------------------------------------------------------------------------------------------------
 
 
