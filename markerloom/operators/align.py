@@ -1,7 +1,8 @@
 """Places of markers on a genome, by k-mer seeds and ungapped extension.
 
 Seeds of the markers meet those of the contigs in an equi-join; hits vote for a strand, contig and diagonal; the best
-diagonals are scored without gaps. Scores approximate those of an aligner with gaps: a marker that needs one may be lost.
+diagonals are scored without gaps, tile by tile, so a marker may be of any length. Scores approximate those of an aligner
+with gaps: a marker that needs one may be lost.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from markerloom.table import MarkerTable
 from markerloom.types import Correction, least_individuals, single
 
 MATCH, MISMATCH = 2, -8
+#: Bases of a tile of a contig, without its overlap.
+TILE = 10_000
 
 
 def seeds(df: DataFrame, sequence: str, k: int, step: int) -> DataFrame:
@@ -30,20 +33,24 @@ def tiles(genome: DataFrame, size: int, overlap: int) -> DataFrame:
     return genome.select("contig", F.upper("sequence").alias("sequence"), F.explode(starts).alias("tile_start")).select("contig", "tile_start", F.substring("sequence", F.col("tile_start") + 1, F.lit(size + overlap)).alias("tile"))
 
 
-def hits(markers: DataFrame, genome: DataFrame, *, k: int = 15, longest: int = 500) -> DataFrame:
+def hits(markers: DataFrame, genome: DataFrame, *, k: int = 15) -> DataFrame:
     """``id, contig, position, strand, score`` of each marker's diagonals, scored without gaps over the whole marker."""
     both = F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.upper("sequence").alias("query")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.upper("sequence")).alias("query"))))
     query = markers.select("id", both.alias("x")).select("id", "x.strand", "x.query")
-    marker_seeds = seeds(query.where(F.length("query") <= longest), "query", k, 1).select("id", "strand", "query", F.col("pos").alias("q"), "seed")
-    cut = tiles(genome, 10_000, longest)
+    marker_seeds = seeds(query, "query", k, 1).select("id", "strand", "query", F.col("pos").alias("q"), "seed")
+    cut = tiles(genome, TILE, k)
     # Half of the seeds of a tile suffice: those that begin in its own part and at an even place.
-    genome_seeds = seeds(cut, "tile", k, 2).where("pos < 10000").select("contig", "tile_start", F.col("pos").alias("t"), "seed")
+    genome_seeds = seeds(cut, "tile", k, 2).where(F.col("pos") < TILE).select("contig", "tile_start", F.col("pos").alias("t"), "seed")
     places = marker_seeds.join(genome_seeds, "seed").select("id", "strand", "query", "contig", (F.col("tile_start") + F.col("t") - F.col("q")).alias("position")).where("position >= 0").distinct()
-    home = F.expr("cast(position div 10000 * 10000 as int)")
-    target = F.substring("tile", F.col("position") - F.col("tile_start") + 1, F.length("query"))
-    found = places.withColumn("tile_start", home).join(cut, ["contig", "tile_start"]).withColumn("target", target)
+    # What a place has in each tile that it touches; bases beyond the end of a contig have none, and count as mismatches.
+    last = F.col("position") + F.length("query") - 1
+    touched = places.withColumn("tile_start", F.explode(F.sequence((F.col("position") - F.col("position") % TILE).cast("int"), last.cast("int"), F.lit(TILE))))
+    begin, end = F.greatest("position", "tile_start"), F.least(last + 1, F.col("tile_start") + TILE)
+    pieces = touched.select("id", "contig", "position", "strand", "tile_start", F.length("query").alias("bases"), F.substring("query", begin - F.col("position") + 1, end - begin).alias("query"), (begin - F.col("tile_start") + 1).alias("at"))
+    found = pieces.join(cut, ["contig", "tile_start"]).withColumn("target", F.substring("tile", F.col("at"), F.length("query")))
     same = F.size(F.filter(F.sequence(F.lit(1), F.length("query")), lambda i: F.substring("query", i, F.lit(1)) == F.substring("target", i, F.lit(1))))
-    return found.select("id", "contig", "position", "strand", (same * (MATCH - MISMATCH) + F.length("query") * MISMATCH).alias("score"))
+    whole = found.select("id", "contig", "position", "strand", "bases", same.alias("same")).groupBy("id", "contig", "position", "strand", "bases").agg(F.sum("same").alias("same"))
+    return whole.select("id", "contig", "position", "strand", (F.col("same") * (MATCH - MISMATCH) + F.col("bases") * MISMATCH).cast("int").alias("score"))
 
 
 def align(table: MarkerTable, genome: DataFrame, *, group1: str | None = None, group2: str | None = None, min_depth: int = 1, min_quality: int = 20, min_frequency: float = 0.1, threshold: float = 0.05, correction: Correction | str = "bonferroni", k: int = 15) -> DataFrame:
