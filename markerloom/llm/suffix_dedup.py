@@ -1,9 +1,9 @@
-"""Removal of long passages that repeat, by a sparse suffix array over words.
+"""Removal of long passages that repeat, by a sparse set of suffixes over words, grouped by hash instead of sorted.
 
 1. Each document retains only suffixes that begin at minimisers: of the runs of ``key_words`` words within each window of
    ``least`` words, the one with the least hash. Content alone selects them, so two copies of a passage of ``least`` words
    retain the same suffix.
-2. Suffixes are ordered by a key of their first words; where neighbours are equal, the suffix occurs more than once. Equal
+2. Suffixes are grouped by a hash of their first words; where a group has several, the suffix occurs more than once. Equal
    keys are combined in each task before they are shuffled, so a passage of very many documents is a row for each task.
 3. From these suffixes only, matches are extended to the left and right, over all windows of ``least`` words that select
    the suffix. Where every place of a suffix has the same words as far as these windows reach, they are one extension with
