@@ -1,6 +1,6 @@
 """Token counts under a unigram model, by dynamic programming that words with a common prefix share.
 
-Pre-tokens are the words of a text, each with a space before it. The best score of a prefix depends on the prefix alone,
+Pre-tokens are the words of a text, each with a space before it; further white space isn't counted. The best score of a prefix depends on the prefix alone,
 so distinct pre-tokens of an Arrow batch go into a trie whose nodes hold the forward score of their prefix and the number
 of tokens of its best segmentation; a node is computed once, however many pre-tokens pass it, and where a pre-token ends
 the node's number is its count. Each worker keeps its trie from batch to batch, up to a bound of nodes.
