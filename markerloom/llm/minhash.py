@@ -5,9 +5,10 @@
 2. Buckets of a band are split by the size of the sets (similar sets are in the same or the next class of size); in each
    that classes share, every member is paired with the smallest one: as many pairs as rows.
 3. Pairs whose signatures agree too little are dropped; the others are confirmed on the full sets.
-4. Components of the confirmed links. Buckets whose members are then in several components are dealt out in blocks of
-   bounded size; short signatures leave the members that may be similar to one of another component, and these are
-   compared there, most similar first, until nothing can join.
+4. Components of the confirmed links. A bucket whose members are then in several components has a main one, that of most
+   of its members; buckets with the same main component are one group. Its members outside the main component are
+   compared with those inside and among themselves, in blocks of bounded size, by the counts of their common shingles; only
+   links between different components are confirmed and kept.
 5. Components of all links.
 
 So no bucket is gathered in one task, no group's pairs are written out, and no link between different texts that share a
@@ -20,6 +21,7 @@ an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.llm.components import components
-from markerloom.llm.shared import hinted, only, small_batches, written
+from markerloom.llm.shared import hinted, only, small_batches, tasks, whole_groups, written
 from markerloom.llm.textvec import grams, mixed, words
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
-#: Documents in a block of a bucket, minima in a short signature.
-BLOCK, SHORT = 1500, 64
+#: Documents, and shingles of all of them, in a block of a group; pairs that share one copy of their pivot's data.
+BLOCK, WORDS, SALT = 2000, 2_000_000, 1000
 
 
 def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
@@ -87,15 +89,6 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return only(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text")).mapInArrow(sketch, SKETCH)
 
 
-def agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of which at least this share of the minima is equal."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(b.num_rows, -1) for c in ("sig_a", "sig_b"))
-        yield b.filter(pa.array((x == y).mean(axis=1) >= least)).select(["a", "b"])
-
-
 def shingles(text: str | None, k: int) -> set:
     """The set itself, of tuples of words."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -113,102 +106,129 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(hinted(written(ids, "ids")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
+def _beside_pivots(pairs: DataFrame, data: DataFrame) -> DataFrame:
+    """``a, salt, b, data``: for each ``SALT`` pairs of a pivot its own row (whose ``b`` is null), then those of its ``b``.
+
+    ``pairs`` and ``data`` (doc_id, data) are stored tables. A pivot's data is moved once for ``SALT`` of its pairs, and
+    no task has to take all of them."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALT)).cast("int").alias("salts"))
+    own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+    others = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", F.col("b").alias("doc_id"))
+    rows = own.unionByName(others).join(data, "doc_id").select("a", "salt", "b", "data")
+    return rows.repartition(tasks(pairs, 4000), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+
+
+def agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of which at least this share of the minima is equal, from signatures as :func:`_beside_pivots` orders them."""
+    pivot = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sig = np.frombuffer(b"".join(b.column("data").to_pylist()), "<u2").reshape(b.num_rows, -1)
+        member = b.column("b").is_valid().to_numpy(zero_copy_only=False)
+        own = np.maximum.accumulate(np.where(member, -1, np.arange(b.num_rows)))
+        left = sig[own]
+        if pivot is not None:
+            left[own < 0] = pivot
+        pivot = left[-1].copy()
+        yield b.filter(pa.array(member & ((left == sig).mean(axis=1) >= least))).select(["a", "b"])
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs ``a, b`` whose full sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = written(_texts(docs, ids), "texts")
-    x, y = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
+        held: set = set()
         for batch in batches:
-            a, good = batch.column("a").to_pylist(), []
-            for i, (doc, text_a, text_b) in enumerate(zip(a, batch.column("text_a"), batch.column("text_b"))):
-                if doc != last:
-                    last, held = doc, shingles(text_a.as_py(), k)
-                if similar(held, shingles(text_b.as_py(), k), percent):
+            good = []
+            for i, (b, text) in enumerate(zip(batch.column("b").to_pylist(), batch.column("data"))):
+                own = shingles(text.as_py(), k)
+                if b is None:
+                    held = own
+                elif similar(held, own, percent):
                     good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return pairs.join(y, "b").join(x, "a").mapInArrow(confirm, "a long, b long")
-
-
-def _blocks(rest: DataFrame) -> DataFrame:
-    """``key, i, j, own, rep, component``: each pair of blocks of a bucket has the rows of both."""
-    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return placed.withColumn("other", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component")
-
-
-def _across(component: np.ndarray, own: np.ndarray, sig: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row the later rows of other components (and, if there are two blocks, of the other one) whose signatures
-    agree in this share or more, with the shares."""
-    split = own.min() != own.max()
-    for x in range(len(component) - 1):
-        rest = np.flatnonzero((component[x + 1 :] != component[x]) & ((own[x + 1 :] != own[x]) | (not split))) + x + 1
-        if len(rest):
-            share = (sig[rest] == sig[x]).mean(axis=1)
-            near = share >= least
-            if near.any():
-                yield x, rest[near], share[near]
-
-
-def _between(members: DataFrame, known: DataFrame, docs: DataFrame, signatures: DataFrame, k: int, percent: int, slack) -> DataFrame | None:
-    """Links between members of a bucket that are still in different components, at most one for each member and block."""
-    placed = members.join(known, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rest = written(placed.join(open_keys, "key"), "rest")
-    if rest.isEmpty():
-        return None
-
-    def columns(table: pa.Table, *names: str) -> list[np.ndarray]:
-        return [np.array(table.column(c).to_pylist()) for c in names]
-
-    def may_join(table: pa.Table) -> pa.Table:
-        rep, component, own = columns(table, "rep", "component", "own")
-        sig, near = np.frombuffer(b"".join(table.column("short").to_pylist()), "<u2").reshape(len(rep), -1), np.zeros(len(rep), bool)
-        for x, ys, _ in _across(component, own, sig, slack(SHORT)):
-            near[x] = True
-            near[ys] = True
-        return pa.table({"key": table.column("key").filter(pa.array(near)), "rep": rep[near], "component": component[near]})
-
-    short = signatures.select(F.col("doc_id").alias("rep"), F.substring("signature", 1, 2 * SHORT).alias("short"))
-    rest = written(_blocks(rest).join(short, "rep").groupBy("key", "i", "j").applyInArrow(may_join, "key long, rep long, component long").distinct(), "near")
-    if rest.isEmpty():
-        return None
-    # Pairs meet in many buckets: of buckets that are left with the same members, one is compared.
-    member = F.xxhash64("rep")
-    same = rest.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.sum(member.cast("decimal(38,0)")).alias("s"))
-    rest = written(rest.join(same.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"), "to-compare")
-
-    def compare(table: pa.Table) -> pa.Table:
-        rep, component, own = columns(table, "rep", "component", "own")
-        texts, sig = table.column("text"), np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(rep), -1)
-        root = {int(c): int(c) for c in component}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = c = root[root[c]]
-            return c
-
-        sets: dict[int, set] = {}
-        links = []
-        close = [(-share, *sorted((int(rep[x]), int(rep[y]))), x, int(y)) for x, ys, shares in _across(component, own, sig, slack(sig.shape[1])) for y, share in zip(ys, shares)]
-        for _, a, b, x, y in sorted(close):
-            if (p := find(int(component[x]))) == (q := find(int(component[y]))):
+    return _beside_pivots(pairs, texts.withColumnRenamed("text", "data")).mapInArrow(confirm, "a long, b long")
+
+
+def _open_groups(members: DataFrame, known: DataFrame) -> DataFrame:
+    """``grp, rep, component, n, main``: what buckets whose members are in several components still have to compare.
+
+    The component that has most members in such a bucket is its main one. Buckets with the same main component (the many
+    buckets that one group of copies fills) are one group, so a pair is compared once and not in each of its buckets."""
+    placed = members.join(known, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    shares = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    mains = shares.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("rows", -F.col("component"))).alias("grp")).where("parts > 1")
+    return placed.join(mains.select("key", "grp"), "key").select("grp", "rep", "component", "n", (F.col("component") == F.col("grp")).alias("main")).distinct()
+
+
+def _blocks(groups: DataFrame) -> DataFrame:
+    """Groups dealt out in tasks ``grp, i, j`` of bounded size: block i of the main component's members with block j of
+    the others (``i = 0`` compares the others of block j among themselves, too), or for ``i < 0`` blocks -1 - i and j of
+    the others. Only members outside the main component are in several of its blocks."""
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / F.lit(BLOCK)), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / F.lit(WORDS))).cast("int")
+    sizes = groups.groupBy("grp").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("others"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    placed = groups.join(sizes, "grp").withColumn("own", own)
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    with_others = F.transform(upto("others"), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
+    with_mains = F.transform(upto("mains"), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
+    among = F.transform(F.filter(upto("others"), lambda j: j != F.col("own")), lambda j: F.struct((-1 - F.least(j, "own")).alias("i"), F.greatest(j, "own").alias("j")))
+    return placed.withColumn("at", F.explode(F.when(F.col("main"), with_others).otherwise(F.concat(with_mains, among)))).select("grp", "at.i", "at.j", "own", "main", "rep", "component")
+
+
+def new_links(sets: list[np.ndarray], component: np.ndarray, main: np.ndarray, block: np.ndarray, i: int, percent: int) -> Iterator[tuple[int, int]]:
+    """Rows of a task of :func:`_blocks` that are similar enough and in different components, most similar first; a pair is
+    taken to be linked unless ``False`` is sent back. No pair of components is given again once it is linked.
+
+    The common shingles of a row with all others are counted at once, over the lists of the rows that have a shingle."""
+    sizes = np.array([len(s) for s in sets])
+    ends, label = np.cumsum(sizes), component.copy()
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(token, kind="stable")
+    rows, begins = np.repeat(np.arange(len(sets)), sizes)[order], np.append(0, np.cumsum(np.bincount(token)))
+    for x in np.flatnonzero(~main).tolist():
+        mine = token[ends[x] - sizes[x] : ends[x]]
+        n = begins[mine + 1] - begins[mine]
+        at = np.repeat(begins[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(rows[at], minlength=len(sets))
+        near = (100 * both >= percent * (sizes[x] + sizes - both)) & (label != label[x])
+        near &= main | ((np.arange(len(sets)) < x) if i == 0 else (block != block[x]) if i < 0 else False)
+        while near.any():
+            y = int(np.where(near, both / (sizes[x] + sizes - both), -1).argmax())
+            if (yield x, y) is False:
+                near[y] = False
                 continue
-            for z in (x, y):
-                if z not in sets:
-                    sets[z] = shingles(texts[z].as_py(), k)
-            if similar(sets[x], sets[y], percent):
-                root[max(p, q)] = min(p, q)
-                links.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+            label[label == label[y]] = label[x]
+            near &= label != label[x]
 
-    ids = rest.select(F.col("rep").alias("doc_id")).distinct()
-    held = written(_texts(docs, ids).join(signatures, "doc_id").withColumnRenamed("doc_id", "rep"), "near-texts")
-    return _blocks(rest).join(held, "rep").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+def _between(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of members of a group that are still in different components."""
+    texts = written(_texts(docs, groups.select(F.col("rep").alias("doc_id")).distinct()), "near-texts").withColumnRenamed("doc_id", "rep")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in whole_groups(batches, ["grp", "i", "j"]):
+            w = words(task.column("text"))
+            sets = shingle_hashes(w.hashes(), w.bounds, k)
+            rep, component, main, own = (task.column(c).to_numpy() for c in ("rep", "component", "main", "own"))
+            exact: dict[int, set] = {}
+            pairs, links, answer = new_links(sets, component, main, own, task.column("i")[0].as_py(), percent), [], None
+            with contextlib.suppress(StopIteration):
+                while True:
+                    x, y = pairs.send(answer)
+                    for z in (x, y):
+                        if z not in exact:
+                            exact[z] = shingles(task.column("text")[z].as_py(), k)
+                    if answer := similar(exact[x], exact[y], percent):
+                        links.append(sorted((int(rep[x]), int(rep[y]))))
+            yield pa.RecordBatch.from_arrays([pa.array([v[n] for v in links], pa.int64()) for n in (0, 1)], ["a", "b"])
+
+    rows = _blocks(groups).join(texts, "rep").repartition(tasks(groups, 500), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -216,10 +236,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     for their sets of ``k``-word shingles; the component is named by its smallest id, which is kept."""
     share = percent / 100
 
-    def slack(n: int) -> float:
-        """What ``n`` minima of sets that are similar enough agree in, but for five standard deviations."""
-        return share - 5 * (share * (1 - share) / n) ** 0.5
-
+    slack = share - 5 * (share * (1 - share) / (bands * rows)) ** 0.5  # signatures of linked sets agree in this share, but for five deviations
     all_docs = written(sketches(docs, k, bands, rows), "sketches")
     linkable = all_docs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = written(linkable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
@@ -227,20 +244,18 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     buckets = first.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("band")
     size = F.floor(F.log("n") / F.lit(np.log(1.04 / share)))
-    by_size = buckets.join(shared, "band").select("rep", F.explode(F.array(F.xxhash64("band", size), F.xxhash64("band", size + 1))).alias("key"))
+    by_size = buckets.join(shared, "band").select("rep", "n", F.explode(F.array(F.xxhash64("band", size), F.xxhash64("band", size + 1))).alias("key"))
     by_size = written(by_size, "buckets")
     pivots = by_size.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("hi")).where("pivot != hi").select("key", "pivot")
     members = written(by_size.join(pivots, "key"), "members")
     named = hinted(written(members.select(F.col("rep").alias("doc_id")).distinct(), "named"))
-    signatures = written(linkable.select("doc_id", "signature").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "signatures")
-    pairs = members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    both = pairs.join(signatures.toDF("b", "sig_b"), "b").join(signatures.toDF("a", "sig_a"), "a")
-    likely = written(both.mapInArrow(lambda batches: agreeing(batches, slack(bands * rows)), "a long, b long"), "likely")
-    links = written(_confirmed(likely, docs, k, percent), "confirmed")
-    known = components(links)
-    more = _between(members, known, docs, signatures, k, percent, slack)
-    if more is not None:
-        more = written(more, "between")
+    signatures = written(linkable.select("doc_id", F.col("signature").alias("data")).join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "signatures")
+    pairs = written(members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    likely = written(_beside_pivots(pairs, signatures).mapInArrow(lambda batches: agreeing(batches, slack), "a long, b long"), "likely")
+    known = components(written(_confirmed(likely, docs, k, percent), "confirmed"))
+    groups = written(_open_groups(members, known), "groups")
+    if not groups.isEmpty():
+        more = written(_between(groups, docs, k, percent), "between")
         if not more.isEmpty():
             known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     grouped = classes.join(known, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.col("last") != F.col("rep")).alias("copies"), F.col("node").isNotNull().alias("linked"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +54,34 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def tasks(stored: DataFrame, each: int) -> int:
+    """How many tasks to deal a stored table's rows out to, about ``each`` to one, and no fewer than there are cores."""
+    return max(stored.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // each))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """A table for each group of rows with the same keys, from batches that are ordered by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(b.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            if begin == end:
+                continue
+            key = tuple(c[begin] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(b.slice(begin, end - begin))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def only(df: DataFrame, **columns) -> DataFrame:
     """Exactly the named columns, so that other columns of the input, however they are called, can't clash."""
     return df.select(*[c.alias(name) for name, c in columns.items()])
