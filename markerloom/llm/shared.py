@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches given to Python stay below this many bytes and rows, whatever the length of a text.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 4000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is chosen only where the session names none."""
+    """The folder that driver and executors share. A session that names none gets a local one if all of it runs on this
+    machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="markerloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -59,25 +62,29 @@ def tasks(stored: DataFrame, each: int) -> int:
     return max(stored.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // each))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """A table for each group of rows with the same keys, from batches that are ordered by them."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows with the same keys, from batches that are ordered by them; groups join in one table
+    until it has ``least`` rows."""
     held: list[pa.RecordBatch] = []
-    last = None
+    last, n = None, 0
     for b in batches:
         cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
         new = np.zeros(b.num_rows, bool)
         for c in cols:
             new[1:] |= c[1:] != c[:-1]
         cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+        done = 0
         for begin, end in zip(cuts, cuts[1:]):
             if begin == end:
                 continue
             key = tuple(c[begin] for c in cols)
-            if held and key != last:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(b.slice(begin, end - begin))
+            if key != last and n + begin - done >= least:
+                yield pa.Table.from_batches([*held, b.slice(done, begin - done)]).combine_chunks()
+                held, n, done = [], 0, begin
             last = key
+        if done < b.num_rows:
+            held.append(b.slice(done))
+            n += b.num_rows - done
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

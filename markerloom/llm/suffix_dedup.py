@@ -1,19 +1,24 @@
-"""Removal of long passages that repeat, by a sparse set of suffixes over words, grouped by hash instead of sorted.
+"""Removal of long passages that repeat, by sparse suffixes over words that are sorted and compared with their neighbours.
 
 1. Each document retains only suffixes that begin at minimisers: of the runs of ``key_words`` words within each window of
    ``least`` words, the one with the least hash. Content alone selects them, so two copies of a passage of ``least`` words
    retain the same suffix.
-2. Suffixes are grouped by a hash of their first words; where a group has several, the suffix occurs more than once. Equal
-   keys are combined in each task before they are shuffled, so a passage of very many documents is a row for each task.
-3. From these suffixes only, matches are extended to the left and right, over all windows of ``least`` words that select
-   the suffix. Where every place of a suffix has the same words as far as these windows reach, they are one extension with
-   one key; else each window is compared by a key of its own, so that a span is cut exactly where the match ends.
-4. The document with the smallest id keeps a window; of equal windows within a document, the first stays. Windows join
-   into spans.
+2. The retained suffixes are sorted (by range over all tasks, by the hash of their first words, then by the words of all
+   windows that select them, then by place) and each is compared with its neighbours: one that shares its first words with
+   none is dropped.
+3. From the others, matches are extended to the left and right, over all windows of ``least`` words that select the suffix.
+   Where every place of a suffix has the same words as far as these windows reach, they are one extension; else each
+   window is one of its own, so that a span is cut exactly where the match ends.
+4. The extensions are sorted by their words and place, and compared with their neighbours: the first stays, in the document
+   with the smallest id, equal ones after it are removed. Windows join into spans.
+
+The sort orders have the place in them, so a passage that a third of all documents have is spread over as many tasks as
+its rows need; of a run of equal rows that goes on in other tasks, one row for each task says how it begins and ends.
 
 Defined cases: a null text has no words; texts are read whole; rows with a null ``doc_id`` are never compared and stay as
-they are; rows with one ``doc_id`` are taken to be one document; an empty table gives no rows; further columns are
-ignored. Words are compared with their case, by 64-bit hashes of runs.
+they are; equal rows are one document, and rows with one ``doc_id`` but different texts are documents of their own; an
+empty table gives no rows; further columns are ignored. Of passages in one document, the first stays. Words are compared
+with their case, in extensions by two 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,10 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markerloom.llm.shared import hinted, only, small_batches, written
-from markerloom.llm.textvec import Words, grams, spans_of, words
+from markerloom.llm.shared import hinted, only, small_batches, tasks, whole_groups, written
+from markerloom.llm.textvec import OTHER_BASE, Words, grams, spans_of, words
 
-SPANS = "doc_id long, start_word long, end_word long, keeper long, removed boolean"
+SPANS = "doc_id long, text_key long, start_word long, end_word long, keeper long, removed boolean"
+SUFFIXES = "doc_id long, text_key long, suffix long, run long"
+WINDOWS = "doc_id long, text_key long, start long, size long, window long, other long"
+#: Rows of a sorted table that one task holds, about.
+SORTED = 400_000
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -49,23 +58,23 @@ def least_places(keys: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Extensions:
-    """Maximal runs of windows that select one suffix: text, first word, number of windows, key of all words of the run,
-    key of the suffix; ``windows`` has the key of each window by its place among the words of the batch, ``place`` the run's."""
+    """Maximal runs of windows that select one suffix: text, first word, place of it in the batch, number of windows, key of
+    the suffix and of all words of the run; ``hashes`` are those of the words of the batch."""
 
     text: np.ndarray
     start: np.ndarray
+    place: np.ndarray
     size: np.ndarray
-    run: np.ndarray
     suffix: np.ndarray
-    place: np.ndarray
-    windows: np.ndarray
+    run: np.ndarray
+    hashes: np.ndarray
 
 
 def extensions(w: Words, least: int, key_words: int) -> Extensions:
     h = w.hashes()
     none = np.zeros(0, np.int64)
     if len(h) < least:
-        return Extensions(none, none, none, none.view(np.uint64), none.view(np.uint64), none, none.view(np.uint64))
+        return Extensions(none, none, none, none, none.view(np.uint64), none.view(np.uint64), h)
     keys = grams(h, key_words)
     place = least_places(keys, least - key_words + 1)
     text = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
@@ -73,27 +82,84 @@ def extensions(w: Words, least: int, key_words: int) -> Extensions:
     first = inside & (np.append(True, place[1:] != place[:-1]) | np.append(True, ~inside[:-1]) | np.append(True, text[1 : len(place)] != text[: len(place) - 1]))
     last = inside & np.append(first[1:] | ~inside[1:], True)
     begin, end = np.flatnonzero(first), np.flatnonzero(last)
-    return Extensions(text[begin], begin - w.bounds[text[begin]], end - begin + 1, spans_of(h, begin, end + least), keys[place[begin]], begin, grams(h, least))
+    return Extensions(text[begin], begin - w.bounds[text[begin]], begin, end - begin + 1, keys[place[begin]], spans_of(h, begin, end + least), h)
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _by_range(rows: DataFrame, *order: str) -> DataFrame:
+    """A stored table's rows in one order over all partitions, each of which is small enough to be held."""
+    return rows.repartitionByRange(tasks(rows, SORTED), *order).sortWithinPartitions(*order)
+
+
+def _runs(table: pa.Table, *keys: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of rows with equal keys begin, and how long they are."""
+    new = np.append(True, np.zeros(table.num_rows - 1, bool))
+    for k in keys:
+        c = table.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, table.num_rows))
+
+
+def _of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """All rows of a task of :func:`_by_range`, if it has any."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes that have an equal neighbour, and whether all equal ones have the same run (``alike``); null for those whose
+    neighbours may be in another task."""
+    for t in _of_task(batches):
+        first, n = _runs(t, "suffix")
+        run = t.column("run").to_numpy()
+        alike = np.repeat(run[first] == run[first + n - 1], n)
+        edge = np.zeros(t.num_rows, bool)
+        edge[: n[0]] = edge[t.num_rows - n[-1] :] = True
+        keep = pa.array(edge | (np.repeat(n, n) > 1))
+        out = t.select(["doc_id", "text_key", "suffix", "run"]).append_column("alike", pa.array(alike, mask=edge)).filter(keep)
+        yield from out.to_batches()
+
+
+def _kept_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Extensions that have an equal neighbour; the first of them, its ``keeper``, is not ``removed``; null for those whose
+    neighbours may be in another task."""
+    for t in _of_task(batches):
+        place = _runs(t, "window", "other", "doc_id", "text_key", "start")[0]  # equal rows of the table are one
+        t = t.take(pa.array(place))
+        first, n = _runs(t, "window", "other")
+        doc = t.column("doc_id").to_numpy()
+        edge, removed = np.zeros(t.num_rows, bool), np.ones(t.num_rows, bool)
+        edge[: n[0]] = edge[t.num_rows - n[-1] :] = True
+        removed[first] = False
+        out = t.append_column("keeper", pa.array(np.repeat(doc[first], n), mask=edge)).append_column("removed", pa.array(removed, mask=edge))
+        yield from out.filter(pa.array(edge | (np.repeat(n, n) > 1))).to_batches()
 
 
 def repeated_spans(docs: DataFrame, *, least: int = 50, key_words: int = 10) -> DataFrame:
-    """``doc_id, start_word, end_word, keeper, removed`` for each longest span of words (the end excluded) all of whose
-    windows of ``least`` words occur elsewhere; ``keeper`` is the smallest document that has the first of them, and spans
-    that are not ``removed`` are those that stay."""
+    """``doc_id, text_key, start_word, end_word, keeper, removed`` for each longest span of words (the end excluded) all of
+    whose windows of ``least`` words occur elsewhere; ``keeper`` is the smallest document that has the first of them, and
+    spans that are not ``removed`` are those that stay. ``text_key`` is the xxhash64 of the text."""
     small_batches(docs.sparkSession)
-    rows = only(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text")).where("doc_id IS NOT NULL")
+    rows = only(docs, doc_id=F.col("doc_id").cast("long"), text_key=F.xxhash64(F.col("text")), text=F.col("text")).where("doc_id IS NOT NULL")
+    document = ["doc_id", "text_key"]
 
     def retain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = extensions(words(b.column("text"), lower=False), least, key_words)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(v.text)), pa.array(v.suffix.view(np.int64)), pa.array(v.run.view(np.int64))], ["doc_id", "suffix", "run"])
+            of = b.select(document).take(pa.array(v.text))
+            yield pa.RecordBatch.from_arrays([*of.columns, _signed(v.suffix), _signed(v.run)], [*document, "suffix", "run"])
 
-    suffixes = written(rows.select("doc_id", "text").mapInArrow(retain, "doc_id long, suffix long, run long"), "suffixes")
-    shared = suffixes.groupBy("suffix").agg(F.count("*").alias("n"), F.min("run").alias("lo"), F.max("run").alias("hi")).where("n > 1")
-    shared = shared.select("suffix", (F.col("lo") == F.col("hi")).alias("alike"))
-    kept = suffixes.select("doc_id", "suffix").join(shared, "suffix")
+    suffixes = written(rows.mapInArrow(retain, SUFFIXES), "suffixes")
+    near = written(_by_range(suffixes, "suffix", "run", *document).mapInArrow(_compared, SUFFIXES + ", alike boolean"), "neighbours")
+    edges = near.where("alike IS NULL").groupBy("suffix").agg(F.count("*").alias("n"), (F.min("run") == F.max("run")).alias("same")).where("n > 1")  # two suffixes a task
+    near = near.where("alike IS NOT NULL").select(*document, "suffix", "alike").unionByName(near.where("alike IS NULL").join(F.broadcast(edges), "suffix").select(*document, "suffix", F.col("same").alias("alike")))
     keys = lambda c: F.collect_set(F.when(c, F.col("suffix")))
-    of_doc = written(kept.groupBy("doc_id").agg(keys(F.col("alike")).alias("whole"), keys(~F.col("alike")).alias("single")), "shared")  # one document's at most
+    of_doc = written(near.groupBy(*document).agg(keys(F.col("alike")).alias("whole"), keys(~F.col("alike")).alias("single")), "shared")  # one document's at most
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,44 +171,40 @@ def repeated_spans(docs: DataFrame, *, least: int = 50, key_words: int = 10) ->
                     mine = slice(bounds[i], bounds[i + 1])
                     found[mine] = np.isin(v.suffix[mine], known.values.to_numpy().view(np.uint64))
             # Runs that are alike wherever they are stay whole, others go window by window.
-            each = np.repeat(np.flatnonzero(single), v.size[single])
-            nth = np.arange(len(each)) - np.repeat(np.cumsum(v.size[single]) - v.size[single], v.size[single])
-            text, start = np.concatenate([v.text[whole], v.text[each]]), np.concatenate([v.start[whole], v.start[each] + nth])
-            key, size = np.concatenate([v.run[whole], v.windows[v.place[each] + nth]]), np.concatenate([v.size[whole], np.ones(len(each), np.int64)])
-            # Of equal ones in one text, which come again, and which are not alone.
-            order = np.lexsort((start, key, text))
-            same = np.zeros(len(order), bool)
-            same[1:] = (key[order][1:] == key[order][:-1]) & (text[order][1:] == text[order][:-1])
-            again, local = np.zeros(len(order), bool), np.zeros(len(order), bool)
-            again[order] = same
-            local[order] = same | np.append(same[1:], False)[: len(same)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(text)), pa.array(start), pa.array(size), pa.array(key.view(np.int64)), pa.array(again), pa.array(local)], ["doc_id", "start", "size", "window", "again", "local"])
+            size = np.where(single, v.size, 1)[whole | single]
+            each = np.repeat(np.flatnonzero(whole | single), size)
+            nth = np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
+            begin, windows = v.place[each] + nth, np.where(single, 1, v.size)[each]
+            of = b.select(document).take(pa.array(v.text[each]))
+            cols = [spans_of(v.hashes, begin, begin + windows + least - 1, *base) for base in ((), (OTHER_BASE,))]
+            yield pa.RecordBatch.from_arrays([*of.columns, pa.array(v.start[each] + nth), pa.array(windows), *map(_signed, cols)], [x.split(" ")[0] for x in WINDOWS.split(", ")])
 
     # Texts without a shared suffix stay out of the shuffle.
-    texts = rows.join(hinted(of_doc.select("doc_id")), "doc_id", "left_semi").join(of_doc, "doc_id").select("doc_id", "text", "whole", "single")
-    found = written(texts.mapInArrow(extend, "doc_id long, start long, size long, window long, again boolean, local boolean"), "windows")
-    keepers = found.groupBy("window").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper != last").select("window", "keeper")
-    marked = found.join(keepers, "window", "left").where("keeper IS NOT NULL OR local")
-    marked = marked.select("doc_id", "start", "size", F.coalesce("keeper", "doc_id").alias("keeper"), (F.col("again") | (F.coalesce("keeper", "doc_id") < F.col("doc_id"))).alias("removed"))
-
-    def join_windows(table: pa.Table) -> pa.Table:
-        start, size, keeper, removed = (table.column(c).to_numpy() for c in ("start", "size", "keeper", "removed"))
-        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        start, keeper, removed = np.repeat(start, size) + nth, np.repeat(keeper, size), np.repeat(removed, size)
-        start, first = np.unique(start, return_index=True)  # a repeated row has each of its windows again
-        keeper, removed = keeper[first], removed[first]
-        out = []
-        for flag in (False, True):
-            s, k = start[removed == flag], keeper[removed == flag]
-            if len(s):
-                begin = np.flatnonzero(np.append(True, s[1:] > s[:-1] + (least if flag else 1)))
-                end = np.append(begin[1:], len(s)) - 1
-                out.append((s[begin], s[end] + least, k[begin], np.full(len(begin), flag)))
-        doc = table.column("doc_id")[0].as_py()
-        cols = [np.concatenate(c) for c in zip(*out)]
-        return pa.table({"doc_id": pa.array([doc] * len(cols[0]), pa.int64()), "start_word": cols[0], "end_word": cols[1], "keeper": cols[2], "removed": cols[3]})
-
-    return marked.groupBy("doc_id").applyInArrow(join_windows, SPANS)
+    texts = rows.join(hinted(of_doc.select("doc_id").distinct()), "doc_id", "left_semi").join(of_doc, document).select(*document, "text", "whole", "single")
+    found = written(texts.mapInArrow(extend, WINDOWS), "windows")
+    order = ["window", "other", *document, "start"]
+    marked = written(_by_range(found, *order).mapInArrow(_kept_first, WINDOWS + ", keeper long, removed boolean"), "kept")
+    place = F.struct(*document, "start")
+    edges = marked.where("removed IS NULL").groupBy("window", "other").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").drop("hi")  # two extensions a task
+    apart = marked.where("removed IS NULL").join(F.broadcast(edges), ["window", "other"])
+    apart = apart.select(*document, "start", "size", F.col("lo.doc_id").alias("keeper"), (place != F.col("lo")).alias("removed"))
+    marked = marked.where("removed IS NOT NULL").select(*document, "start", "size", "keeper", "removed").unionByName(apart)
+
+    def join_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, [*document, "removed"], 100_000):
+            size = t.column("size").to_numpy()
+            row = np.repeat(np.arange(t.num_rows), size)
+            start = t.column("start").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            doc, text, removed = (t.column(c).to_numpy(zero_copy_only=False)[row] for c in (*document, "removed"))
+            new = np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (removed[1:] != removed[:-1]))
+            # Windows are in order, but may come twice; removed ones join where they meet, others where they overlap by all but a word.
+            new[1:] |= start[1:] > start[:-1] + np.where(removed[1:], least, 1)
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(row)) - 1
+            keeper = t.column("keeper").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[begin], text[begin], start[begin], start[end] + least, keeper[begin], removed[begin])], [x.split(" ")[0] for x in SPANS.split(", ")])
+
+    return marked.repartition(*document).sortWithinPartitions(*document, "removed", "start").mapInArrow(join_windows, SPANS)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -160,19 +222,20 @@ def remove_repeats(docs: DataFrame, **parameters) -> DataFrame:
     rows of which nothing but white space is left go."""
     names = docs.columns
     gone = written(repeated_spans(docs, **parameters).where("removed"), "spans")
-    spans = gone.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))  # of one document
-    spans = spans.withColumnRenamed("doc_id", "span_doc")
+    spans = gone.groupBy(F.col("doc_id").alias("span_doc"), F.col("text_key").alias("span_text")).agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))  # of one document
     ids = hinted(written(gone.select("doc_id").distinct(), "cut-ids"))
     key = docs["doc_id"].cast("long") == ids["doc_id"]
     whole = docs.join(ids, key, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("row_id"), F.col("text").alias("row_text"))
-    marked = whole.join(spans, F.col("row_id") == F.col("span_doc"))
+    marked = whole.join(spans, (F.col("row_id") == F.col("span_doc")) & (F.xxhash64("row_text") == F.col("span_text")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [None if s is None else without(t, [(x["start_word"], x["end_word"]) for x in s]) for t, s in zip(b.column("row_text").to_pylist(), b.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("row_text"), pa.array(out, pa.string())], ["row", "row_text", "cut"])
+            out = [t if s is None else without(t, [(x["start_word"], x["end_word"]) for x in s]) for t, s in zip(b.column("row_text").to_pylist(), b.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("spans").is_valid(), pa.array(out, pa.string())], ["row", "changed", "cut"])
 
     row_type = whole.schema["row"].dataType.simpleString()
-    left = marked.mapInArrow(cut, f"row {row_type}, row_text string, cut string").where(F.length(F.regexp_replace("cut", r"[\x20\x09-\x0D]+", "")) > 0)
-    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
-    return docs.join(ids, key, "left_anti").unionAll(left.select(*[(new[c] if new.get(c) is not None else F.col(f"row.`{c}`")).alias(c) for c in names]))
+    left = marked.mapInArrow(cut, f"row {row_type}, changed boolean, cut string").where(~F.col("changed") | (F.length(F.regexp_replace("cut", r"[\x20\x09-\x0D]+", "")) > 0))
+    new = {"text": F.col("cut")}
+    if "n_chars" in names:
+        new["n_chars"] = F.when(F.col("changed"), F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return docs.join(ids, key, "left_anti").unionAll(left.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names]))

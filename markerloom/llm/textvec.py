@@ -19,6 +19,8 @@ PLAIN = _LOWER.copy()
 PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0x20
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD_BASE = 0xD6E8FEB86659FD93
+#: For a second hash of the same words.
+OTHER_BASE = 0xA0761D6478BD642F
 _MASK = (1 << 64) - 1
 
 
@@ -38,6 +40,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+SLICE = 1 << 17
+_POWERS = powers(int(_BYTE_BASE), SLICE)
+
+
 @dataclass
 class Words:
     """Words of the texts of a batch; ``bounds[i]:bounds[i + 1]`` are those of text i."""
@@ -48,16 +54,27 @@ class Words:
     bounds: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash for each word."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        first = self.starts[0]
-        data = self.data[first:]
-        spans = np.diff(np.append(self.starts, first + len(data)))
-        at = np.arange(len(data)) - np.repeat(self.starts - first, spans)
-        values = (data.astype(np.uint64) + np.uint64(1)) * powers(int(_BYTE_BASE), int(spans.max()))[at]
-        values[SPACE[data]] = 0
-        return mixed(np.add.reduceat(values, self.starts - first) + (self.ends - self.starts).astype(np.uint64))
+        """A 64-bit hash for each word; ``SLICE`` bytes are worked on at a time, whatever the size of the batch."""
+        out = np.empty(len(self.starts), np.uint64)
+        begin = 0
+        while begin < len(out):
+            first = int(self.starts[begin])
+            end = int(np.searchsorted(self.ends, first + SLICE, "right"))
+            if end > begin:
+                data = self.data[first : self.ends[end - 1]]
+                starts = self.starts[begin:end] - first
+                at = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+                values = (data.astype(np.uint64) + np.uint64(1)) * _POWERS[at]
+                values[SPACE[data]] = 0
+                out[begin:end] = np.add.reduceat(values, starts)
+            else:  # one word that is longer
+                end, total = begin + 1, 0
+                for at in range(first, int(self.ends[begin]), SLICE):
+                    data = self.data[at : min(at + SLICE, int(self.ends[begin]))]
+                    total += int(((data.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(data)]).sum(dtype=np.uint64)) * pow(int(_BYTE_BASE), at - first, 1 << 64)
+                out[begin] = total & _MASK
+            begin = end
+        return mixed(out + (self.ends - self.starts).astype(np.uint64))
 
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -81,7 +98,7 @@ def words(texts: pa.Array, lower: bool = True, table: np.ndarray | None = None)
     return Words(data, starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets))
 
 
-def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+def grams(hashes: np.ndarray, k: int, base: int = _WORD_BASE) -> np.ndarray:
     """A hash for each run of k words, by its first word; runs may cross texts, which the caller leaves out."""
     n = len(hashes) - k + 1
     if n <= 0:
@@ -89,18 +106,20 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     if k <= 8:
         out = hashes[:n].copy()
         for j in range(1, k):
-            out *= np.uint64(_WORD_BASE)
+            out *= np.uint64(base)
             out += hashes[j : n + j]
         return mixed(out)
-    forward, back = powers(_WORD_BASE, len(hashes)), powers(pow(_WORD_BASE, -1, 1 << 64), n)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * forward, out=sums[1:])
-    return mixed((sums[k:] - sums[:n]) * back)
+    sums = _sums(hashes, base)
+    return mixed((sums[k:] - sums[:n]) * powers(pow(base, -1, 1 << 64), n))
+
+
+def _sums(hashes: np.ndarray, base: int) -> np.ndarray:
+    out = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers(base, len(hashes)), out=out[1:])
+    return out
 
 
-def spans_of(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def spans_of(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int = _WORD_BASE) -> np.ndarray:
     """A hash for each run of words ``begin`` to ``end`` (excluded), of any lengths."""
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(_WORD_BASE, len(hashes)), out=sums[1:])
-    back = powers(pow(_WORD_BASE, -1, 1 << 64), len(hashes))
+    sums, back = _sums(hashes, base), powers(pow(base, -1, 1 << 64), len(hashes))
     return mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
