@@ -27,6 +27,13 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def vocabulary_pattern() -> str:
+    """The pattern of the byte-level vocabularies' pre-tokens."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 class Memo(dict):
     """``word -> ids of " " + word`` as little-endian bytes; emptied when it holds ``most`` words."""
 
@@ -44,7 +51,7 @@ class Memo(dict):
 
 
 class ByteBpe:
-    def __init__(self, json_path: str, most: int = 600_000):
+    def __init__(self, json_path: str, most: int = 200_000):
         """``json_path`` is the tokenizers file; a ``.tiktoken`` file of the same stem, if there, serves for plain text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer

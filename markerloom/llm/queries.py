@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from markerloom.llm import decontamination, langid, line_rules, lm_trie, minhash, packing, rule_ensemble, suffix_dedup, token_trie, warc
-from markerloom.llm.bpe import vocabulary_path
+from markerloom.llm.bpe import vocabulary_path, vocabulary_pattern
 from markerloom.llm.shared import read_table
 
 
@@ -29,7 +29,7 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_trie.token_counts(read_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
+    return token_trie.token_counts(read_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"), vocabulary_pattern())
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

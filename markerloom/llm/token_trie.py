@@ -1,12 +1,13 @@
 """Token counts under a unigram model, by dynamic programming that words with a common prefix share.
 
-Pre-tokens are the words of a text, each with a space before it; further white space isn't counted. The best score of a prefix depends on the prefix alone,
-so distinct pre-tokens of an Arrow batch go into a trie whose nodes hold the forward score of their prefix and the number
-of tokens of its best segmentation; a node is computed once, however many pre-tokens pass it, and where a pre-token ends
-the node's number is its count. Each worker keeps its trie from batch to batch, up to a bound of nodes.
+Texts are split by the vocabulary's own pre-token pattern, so words, punctuation and runs of white space are all counted.
+The best score of a prefix depends on the prefix alone, so distinct pre-tokens go into a trie whose nodes hold the forward
+score of their prefix and the number of tokens of its best segmentation; a node is computed once, however many pre-tokens
+pass it, and where a pre-token ends the node's number is its count. Each worker keeps its trie, and the counts of the
+pre-tokens that it has met, from batch to batch, up to a bound of nodes.
 
-The model is a public vocabulary in order of rank, its r-th piece with the score ``-log(r + 2)`` (Zipf's law, up to a
-constant that only depends on the number of tokens and is left at 0). Of equal scores the one with fewer tokens wins.
+The model is a public vocabulary in order of rank: the r-th piece has the probability ``1 / (r + 2)`` over the sum of these
+for all pieces (Zipf's law), and its logarithm as score. Of equal scores the one with fewer tokens wins.
 
 Defined cases: a null or empty text has no tokens; texts are read whole; a null ``doc_id`` is kept as null; repeated rows
 are counted each; an empty table gives no rows; further columns are ignored; bytes without a piece count as one token.
@@ -20,13 +21,12 @@ import math
 from collections.abc import Iterator
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.llm.shared import only, small_batches
-from markerloom.llm.textvec import words
 
 COUNTS = "doc_id long, n_pretokens long, n_tokens long"
 #: A worker's trie is begun anew beyond so many nodes; longer pre-tokens are not inserted.
@@ -78,32 +78,48 @@ class UnigramTrie:
         return tokens[-1]
 
 
-@functools.cache
-def trie_of(ranks_path: str) -> UnigramTrie:
-    """One for each worker process."""
-    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks_path).read_bytes().splitlines())}
-    return UnigramTrie({piece: -math.log(rank + 2) for piece, rank in table.items()})
+class Counts(dict):
+    """``pre-token -> number of tokens``, emptied with its trie."""
+
+    def __init__(self, trie: UnigramTrie, most: int = 300_000):
+        super().__init__()
+        self.trie, self.most = trie, most
+
+    def __missing__(self, word: str) -> int:
+        n = self.trie.count(word.encode("utf-8", "surrogatepass"))
+        if len(self) >= self.most:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = n
+        return n
 
 
-def count_batch(texts: pa.Array, trie: UnigramTrie) -> tuple[np.ndarray, np.ndarray]:
-    """Pre-tokens and tokens of each text."""
-    w = words(texts, lower=False)
-    _, first, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-    data = w.data.tobytes()
-    each = np.array([trie.count(b" " + data[s:e]) for s, e in zip(w.starts[first].tolist(), w.ends[first].tolist())], np.int64)
-    sums = np.zeros(len(w.starts) + 1, np.int64)
-    np.cumsum(each[back], out=sums[1:])
-    return np.diff(w.bounds), np.diff(sums[w.bounds])
+def zipf_scores(pieces: list[bytes]) -> dict[bytes, float]:
+    """Log probabilities of pieces in order of rank."""
+    total = math.log(sum(1 / (rank + 2) for rank in range(len(pieces))))
+    return {piece: -math.log(rank + 2) - total for rank, piece in enumerate(pieces)}
+
+
+@functools.cache
+def counts_of(ranks_path: str) -> Counts:
+    """One for each worker process."""
+    table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, Path(ranks_path).read_bytes().splitlines())}
+    return Counts(UnigramTrie(zipf_scores([table[rank] for rank in sorted(table)])))
 
 
-def token_counts(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """``doc_id, n_pretokens, n_tokens`` for each row; ``ranks_path`` is a vocabulary of ranks on every executor."""
+def token_counts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_pretokens, n_tokens`` for each row; ``ranks_path`` is a vocabulary of ranks on every executor,
+    ``pattern`` the regular expression of its pre-tokens."""
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = trie_of(ranks_path)
+        counts, split = counts_of(ranks_path), regex.compile(pattern).findall
         for b in batches:
-            n, tokens = count_batch(b.column("text"), trie)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(tokens)], ["doc_id", "n_pretokens", "n_tokens"])
+            n, tokens = [], []
+            for text in b.column("text"):
+                found = split(text.as_py() or "")
+                n.append(len(found))
+                tokens.append(sum(map(counts.__getitem__, found)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
     return only(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text")).mapInArrow(count, COUNTS)

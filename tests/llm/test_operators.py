@@ -1,5 +1,7 @@
 """Each operator against a brute-force version, on texts with every awkward case."""
 
+import base64
+import functools
 import gzip
 import hashlib
 import math
@@ -10,10 +12,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from markerloom.llm import decontamination, langid, line_rules, lm_trie, minhash, packing, rule_ensemble, suffix_dedup, token_trie, warc
-from markerloom.llm.bpe import ByteBpe, vocabulary_path
+from markerloom.llm.bpe import ByteBpe, vocabulary_path, vocabulary_pattern
 from markerloom.llm.elias_fano import EliasFano
 from markerloom.llm.textvec import grams, words
 from tests.llm.corpus import DOCS, awkward, frame, prose, word
@@ -242,23 +245,28 @@ def test_ranges_join_neighbours():
 
 def test_token_counts(docs, texts, none):
     ranks = vocabulary_path("byte_bpe_50k.tiktoken")
-    scores = token_trie.trie_of(ranks).scores
-    longest = max(map(len, scores))
+    lines = [line.split() for line in open(ranks, "rb")]
+    total = sum(1 / (int(r) + 2) for _, r in lines)
+    probability = {base64.b64decode(p): 1 / (int(r) + 2) / total for p, r in lines}
+    longest = max(map(len, probability))
+    assert sum(map(math.exp, token_trie.counts_of(ranks).trie.scores.values())) == pytest.approx(1)
 
+    @functools.cache
     def by_force(w):
         best = [(0.0, 0)]
         for end in range(1, len(w) + 1):
-            options = [(best[b][0] + scores[w[b:end]], -best[b][1] - 1) for b in range(max(0, end - longest), end) if w[b:end] in scores]
+            options = [(best[b][0] + math.log(probability[w[b:end]]), -best[b][1] - 1) for b in range(max(0, end - longest), end) if w[b:end] in probability]
             s, n = max(options)
             best.append((s, -n))
         return best[-1][1]
 
-    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_trie.token_counts(docs, ranks).collect()}
+    got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in token_trie.token_counts(docs, ranks, vocabulary_pattern()).collect()}
     for i, t in texts:
-        if i is not None and i != 14:
-            w = tokens(t, False)
-            assert got[i] == (len(w), sum(by_force(b" " + x) for x in w))
-    assert token_trie.token_counts(none, ranks).count() == 0
+        if i is not None:
+            w = [m.group().encode() for m in regex.finditer(vocabulary_pattern(), t or "")]
+            assert b"".join(w) == (t or "").encode()
+            assert got[i] == (len(w), sum(map(by_force, w)))
+    assert got[3][1] > 0 and token_trie.token_counts(none, ranks, vocabulary_pattern()).count() == 0
 
 
 def test_trie_is_begun_anew_without_changing_counts():
