@@ -111,9 +111,11 @@ def _beside_pivots(pairs: DataFrame, data: DataFrame) -> DataFrame:
 
     ``pairs`` and ``data`` (doc_id, data) are stored tables. A pivot's data is moved once for ``SALT`` of its pairs, and
     no task has to take all of them."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALT)).cast("int").alias("salts"))
-    own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
-    others = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b", F.col("b").alias("doc_id"))
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALT)).cast("int").alias("salts"))
+    own = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+    split = hinted(written(counts.where("salts > 1"), "split"))  # a row for SALT pairs at most
+    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")
+    others = pairs.join(split, "a", "left").select("a", salt.alias("salt"), "b", F.col("b").alias("doc_id"))
     rows = own.unionByName(others).join(data, "doc_id").select("a", "salt", "b", "data")
     return rows.repartition(tasks(pairs, 4000), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
