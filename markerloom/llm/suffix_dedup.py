@@ -111,6 +111,13 @@ def _of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _looked_up(places: np.ndarray, columns: list[np.ndarray], known: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``places`` those whose values in ``columns`` are a key of ``known``, and the values there."""
+    found = [known.get(k, -1) for k in zip(*(c[places].tolist() for c in columns))]
+    values = np.array(found, np.int64)
+    return places[values >= 0], values[values >= 0]
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes that have an equal neighbour, and whether all equal ones have the same run (``alike``); null for those whose
     neighbours may be in another task."""
@@ -156,20 +163,24 @@ def repeated_spans(docs: DataFrame, *, least: int = 50, key_words: int = 10) ->
 
     suffixes = written(rows.mapInArrow(retain, SUFFIXES), "suffixes")
     near = written(_by_range(suffixes, "suffix", "run", *document).mapInArrow(_compared, SUFFIXES + ", alike boolean"), "neighbours")
-    edges = near.where("alike IS NULL").groupBy("suffix").agg(F.count("*").alias("n"), (F.min("run") == F.max("run")).alias("same")).where("n > 1")  # two suffixes a task
-    near = near.where("alike IS NOT NULL").select(*document, "suffix", "alike").unionByName(near.where("alike IS NULL").join(F.broadcast(edges), "suffix").select(*document, "suffix", F.col("same").alias("alike")))
+    # Suffixes whose neighbours may be in another task, two of each task: those with several places, and whether all are alike.
+    edges = near.where("alike IS NULL").groupBy("suffix").agg(F.count("*").alias("n"), (F.min("run") == F.max("run")).alias("same")).where("n > 1").collect()
+    cut = docs.sparkSession.sparkContext.broadcast({(r.suffix,): int(r.same) for r in edges})
     keys = lambda c: F.collect_set(F.when(c, F.col("suffix")))
-    of_doc = written(near.groupBy(*document).agg(keys(F.col("alike")).alias("whole"), keys(~F.col("alike")).alias("single")), "shared")  # one document's at most
+    of_doc = near.groupBy(*document).agg(keys(F.col("alike")).alias("whole"), keys(~F.col("alike")).alias("single"), keys(F.col("alike").isNull()).alias("cut"))
+    of_doc = written(of_doc, "shared")  # one document's at most
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = extensions(words(b.column("text"), lower=False), least, key_words)
-            whole, single = np.zeros(len(v.text), bool), np.zeros(len(v.text), bool)
-            bounds = np.searchsorted(v.text, np.arange(b.num_rows + 1))
-            for name, found in (("whole", whole), ("single", single)):
+            whole, single, unsure = (np.zeros(len(v.text), bool) for _ in range(3))
+            bounds, own = np.searchsorted(v.text, np.arange(b.num_rows + 1)), v.suffix.view(np.int64)
+            for name, found in (("whole", whole), ("single", single), ("cut", unsure)):
                 for i, known in enumerate(b.column(name)):
                     mine = slice(bounds[i], bounds[i + 1])
-                    found[mine] = np.isin(v.suffix[mine], known.values.to_numpy().view(np.uint64))
+                    found[mine] = np.isin(own[mine], known.values.to_numpy())
+            for place, alike in zip(*_looked_up(np.flatnonzero(unsure), [own], cut.value)):
+                (whole if alike else single)[place] = True
             # Runs that are alike wherever they are stay whole, others go window by window.
             size = np.where(single, v.size, 1)[whole | single]
             each = np.repeat(np.flatnonzero(whole | single), size)
@@ -180,31 +191,41 @@ def repeated_spans(docs: DataFrame, *, least: int = 50, key_words: int = 10) ->
             yield pa.RecordBatch.from_arrays([*of.columns, pa.array(v.start[each] + nth), pa.array(windows), *map(_signed, cols)], [x.split(" ")[0] for x in WINDOWS.split(", ")])
 
     # Texts without a shared suffix stay out of the shuffle.
-    texts = rows.join(hinted(of_doc.select("doc_id").distinct()), "doc_id", "left_semi").join(of_doc, document).select(*document, "text", "whole", "single")
+    texts = rows.join(hinted(of_doc.select("doc_id").distinct()), "doc_id", "left_semi").join(of_doc, document).select(*document, "text", "whole", "single", "cut")
     found = written(texts.mapInArrow(extend, WINDOWS), "windows")
     order = ["window", "other", *document, "start"]
     marked = written(_by_range(found, *order).mapInArrow(_kept_first, WINDOWS + ", keeper long, removed boolean"), "kept")
     place = F.struct(*document, "start")
-    edges = marked.where("removed IS NULL").groupBy("window", "other").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").drop("hi")  # two extensions a task
-    apart = marked.where("removed IS NULL").join(F.broadcast(edges), ["window", "other"])
-    apart = apart.select(*document, "start", "size", F.col("lo.doc_id").alias("keeper"), (place != F.col("lo")).alias("removed"))
-    marked = marked.where("removed IS NOT NULL").select(*document, "start", "size", "keeper", "removed").unionByName(apart)
+    edges = marked.where("removed IS NULL").groupBy("window", "other").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi")  # two extensions a task
+    edges = edges.select("window", "other", "lo.*").collect()
+    first = docs.sparkSession.sparkContext.broadcast(({tuple(r)[:2]: k for k, r in enumerate(edges)}, np.array([tuple(r)[2:] for r in edges], np.int64).reshape(-1, 3).T))
 
     def join_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, [*document, "removed"], 100_000):
-            size = t.column("size").to_numpy()
-            row = np.repeat(np.arange(t.num_rows), size)
-            start = t.column("start").to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            doc, text, removed = (t.column(c).to_numpy(zero_copy_only=False)[row] for c in (*document, "removed"))
-            new = np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (removed[1:] != removed[:-1]))
-            # Windows are in order, but may come twice; removed ones join where they meet, others where they overlap by all but a word.
-            new[1:] |= start[1:] > start[:-1] + np.where(removed[1:], least, 1)
-            begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(row)) - 1
-            keeper = t.column("keeper").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[begin], text[begin], start[begin], start[end] + least, keeper[begin], removed[begin])], [x.split(" ")[0] for x in SPANS.split(", ")])
-
-    return marked.repartition(*document).sortWithinPartitions(*document, "removed", "start").mapInArrow(join_windows, SPANS)
+        for t in whole_groups(batches, document, 100_000):
+            doc, text, start, size = (t.column(c).to_numpy() for c in (*document, "start", "size"))
+            keeper, removed = t.column("keeper").fill_null(0).to_numpy().copy(), t.column("removed").fill_null(False).to_numpy(zero_copy_only=False).copy()
+            there = t.column("removed").is_valid().to_numpy(zero_copy_only=False).copy()
+            known, lows = first.value
+            at, row = _looked_up(np.flatnonzero(~there), [t.column(c).to_numpy() for c in ("window", "other")], known)
+            there[at], keeper[at] = True, lows[0][row]
+            removed[at] = (doc[at] != lows[0][row]) | (text[at] != lows[1][row]) | (start[at] != lows[2][row])
+            out = []
+            for flag in (False, True):
+                mine = np.flatnonzero(there & (removed == flag))
+                each = np.repeat(mine, size[mine])
+                if not len(each):
+                    continue
+                s = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
+                # Windows are in order, but may come twice. Removed spans join where they meet, others only from word to word.
+                new = np.append(True, (doc[each][1:] != doc[each][:-1]) | (text[each][1:] != text[each][:-1]) | (s[1:] > s[:-1] + (least if flag else 1)))
+                begin = np.flatnonzero(new)
+                end = np.append(begin[1:], len(each)) - 1
+                of = each[begin]
+                out.append((doc[of], text[of], s[begin], s[end] + least, keeper[of], np.full(len(of), flag)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], [x.split(" ")[0] for x in SPANS.split(", ")])
+
+    return marked.repartition(tasks(marked, SORTED), *document).sortWithinPartitions(*document, "start").mapInArrow(join_windows, SPANS)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
