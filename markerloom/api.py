@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from markerloom.operators.merge import merge as merge_tables
 from markerloom.operators.process import process as process_reads
+from markerloom.results import TriageResult
 from markerloom.sources import readers, writers
 from markerloom.table import MarkerTable
 
@@ -45,7 +46,7 @@ def pairs(popmap) -> list[tuple[str, str]]:
     if isinstance(popmap, str):
         return readers.read_popmap(session(), popmap)
     if isinstance(popmap, pa.Table):
-        return list(zip(popmap.column(0).to_pylist(), popmap.column(1).to_pylist()))
+        return readers.popmap_pairs(popmap)
     return [tuple(x) for x in popmap]
 
 
@@ -72,6 +73,16 @@ def _to_arrow(name: str) -> Callable[..., pa.Table]:
 freq_to_arrow, distrib_to_arrow, signif_to_arrow, subset_to_arrow, triage_to_arrow, depth_to_arrow = map(_to_arrow, ("freq", "distrib", "signif", "subset", "triage", "depth"))
 
 
+def triage(markers, popmap=None, params: TriageParams | None = None) -> TriageResult:
+    """Candidates with conversions and a summary."""
+    return TriageResult((params or TriageParams())(marker_table(markers, popmap)))
+
+
+def map_to_arrow(markers, genome: str, popmap=None, **parameters) -> pa.Table:
+    """Places of markers on the FASTA files of ``genome``."""
+    return marker_table(markers, popmap).map(readers.read_genome(session(), genome), **parameters).toArrow()
+
+
 def pca_to_arrow(markers, **parameters) -> tuple[pa.Table, pa.Table]:
     """Components and loadings."""
     result = marker_table(markers).pca(**parameters)

@@ -10,7 +10,12 @@ from collections.abc import Sequence
 
 import numpy as np
 
+# Least p-value, tolerance of equal log probabilities, cut of log odds and of log Bayes factors, and start,
+# least move and steps of the expectation maximisation.
 FLOOR = 1e-16
+SAME_LOG = 1e-9
+MOST_ODDS, MOST_LOG_FACTOR = 20.0, 700.0
+EM_START, EM_MOVE, EM_STEPS = 0.01, 1e-8, 200
 
 
 def chi_squared_yates(a: int, b: int, t1: int, t2: int) -> float:
@@ -61,7 +66,7 @@ def p_fisher(a: int, b: int, t1: int, t2: int) -> float:
     logs = {i: log_choose(t1, i) + log_choose(t2, present - i) - whole for i in range(lo, hi + 1)}
     if a not in logs:
         return 1.0
-    return _clamped(math.fsum(math.exp(x) for x in logs.values() if x <= logs[a] + 1e-9))
+    return _clamped(math.fsum(math.exp(x) for x in logs.values() if x <= logs[a] + SAME_LOG))
 
 
 def _log_beta(k: int, n: int) -> float:
@@ -70,7 +75,7 @@ def _log_beta(k: int, n: int) -> float:
 
 def bayes_factor(a: int, b: int, t1: int, t2: int) -> float:
     """Different against equal frequencies, both with uniform priors."""
-    return math.exp(min(700.0, _log_beta(a, t1) + _log_beta(b, t2) - _log_beta(a + b, t1 + t2)))
+    return math.exp(min(MOST_LOG_FACTOR, _log_beta(a, t1) + _log_beta(b, t2) - _log_beta(a + b, t1 + t2)))
 
 
 def _log_binomial(k: int, n: int, p: float) -> float:
@@ -93,16 +98,16 @@ def posterior_linked(a: int, b: int, t1: int, t2: int, prior: float = 0.01, link
     if prior <= 0 or prior >= 1:
         return float(prior >= 1)
     odds = math.log(prior) - math.log1p(-prior) + either - chance
-    return 1.0 if odds > 20 else 0.0 if odds < -20 else 1 / (1 + math.exp(-odds))
+    return 1.0 if odds > MOST_ODDS else 0.0 if odds < -MOST_ODDS else 1 / (1 + math.exp(-odds))
 
 
-def expectation_maximisation(cells: Sequence[tuple[int, int, int]], t1: int, t2: int, linked: float = 0.9, start: float = 0.01, steps: int = 200) -> tuple[float, list[float]]:
+def expectation_maximisation(cells: Sequence[tuple[int, int, int]], t1: int, t2: int, linked: float = 0.9, start: float = EM_START, steps: int = EM_STEPS) -> tuple[float, list[float]]:
     """Empirical-Bayes prior from cells ``(a, b, markers)``, and the posterior of each cell under it."""
     prior, total = start, sum(n for *_, n in cells)
     for _ in range(steps if total else 0):
         new = sum(n * posterior_linked(a, b, t1, t2, prior, linked) for a, b, n in cells) / total
         moved, prior = abs(new - prior), new
-        if moved < 1e-8:
+        if moved < EM_MOVE:
             break
     return prior, [posterior_linked(a, b, t1, t2, prior, linked) for a, b, _ in cells]
 

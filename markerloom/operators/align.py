@@ -8,6 +8,7 @@ with gaps: a marker that needs one may be lost.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from markerloom.functions.sequences import reverse_complement
@@ -17,7 +18,7 @@ from markerloom.types import Correction, least_individuals, single
 
 MATCH, MISMATCH = 2, -8
 #: Bases of a tile of a contig, without its overlap.
-TILE = 10_000
+TILE = 2000
 
 
 def seeds(df: DataFrame, sequence: str, k: int, step: int) -> DataFrame:
@@ -28,9 +29,10 @@ def seeds(df: DataFrame, sequence: str, k: int, step: int) -> DataFrame:
 
 
 def tiles(genome: DataFrame, size: int, overlap: int) -> DataFrame:
-    """``contig, tile_start, tile``: contigs cut in pieces that overlap, so that a chromosome isn't one row."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("sequence") - 1, F.lit(0)), F.lit(size))
-    return genome.select("contig", F.upper("sequence").alias("sequence"), F.explode(starts).alias("tile_start")).select("contig", "tile_start", F.substring("sequence", F.col("tile_start") + 1, F.lit(size + overlap)).alias("tile"))
+    """``contig, tile_start, tile``: contigs cut in pieces that overlap, in one walk over each contig."""
+    parts = genome.select("contig", F.regexp_extract_all(F.upper("sequence"), F.lit("(?s).{1,%d}" % size), F.lit(0)).alias("parts"))
+    with_next = F.transform("parts", lambda x, i: F.concat(x, F.substring(F.coalesce(F.get("parts", i + 1), F.lit("")), 1, overlap)))
+    return parts.select("contig", F.posexplode(with_next).alias("nth", "tile")).select("contig", (F.col("nth") * size).alias("tile_start"), "tile")
 
 
 def hits(markers: DataFrame, genome: DataFrame, *, k: int = 15) -> DataFrame:
@@ -57,14 +59,16 @@ def align(table: MarkerTable, genome: DataFrame, *, group1: str | None = None, g
     """``Contig, Position, Length, Marker_id, Bias, P, CorrectedP, Signif`` of markers with a unique best place whose quality
     (60 for no second place, less the closer the second one scores) is at least ``min_quality``."""
     groups, correction = table.groups(group1, group2), Correction.of(correction)
-    counts = table.counts(min_depth, groups)
+    counts = table.counts_twice(min_depth, groups)
     stats = with_statistics(cells(counts), groups).drop("markers")
     enough = counts.where(F.col("n_ind") >= max(1, least_individuals(min_frequency, len(table.popmap))))
     scored = hits(enough.select("id", "sequence"), genome, k=k).where("score > 0")
-    best = scored.groupBy("id").agg(F.max(F.struct("score", "contig", "position")).alias("b"), F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
-    second = F.coalesce(F.get("scores", F.lit(1)), F.lit(0))
-    quality = F.floor(60 * (1 - second / F.col("b.score")))
-    unique = best.where((quality >= min_quality) & (second < F.col("b.score"))).select("id", "b.contig", "b.position")
+    # Places are counted by score first, so that a marker with very many places is no hot key; of equally good ones none is the best.
+    by_score = scored.groupBy("id", "score").agg(F.count("*").alias("n"), F.max(F.struct("contig", "position")).alias("place"))
+    down = W.partitionBy("id").orderBy(F.desc("score"))
+    best = by_score.select("id", "score", "n", "place", F.lead("score").over(down).alias("second"), F.row_number().over(down).alias("k")).where("k = 1")
+    quality = F.floor(60 * (1 - F.coalesce("second", F.lit(0)) / F.col("score")))
+    unique = best.where((quality >= min_quality) & (F.col("n") == 1)).select("id", "place.contig", "place.position")
     lengths = genome.select("contig", F.length("sequence").cast("bigint").alias("Length"))
     limit = F.lit(single(threshold)) / (F.greatest("n_markers", F.lit(1)) if correction is Correction.BONFERRONI else F.lit(1))
     out = unique.join(enough, "id").join(F.broadcast(stats), ["g1", "g2"]).join(lengths, "contig", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -131,6 +132,23 @@ def speedups(timings: DataFrame) -> DataFrame:
     return wide.groupBy("command").agg(F.count("*").alias("n"), F.count_if(ratio > 1).alias("wins"), F.exp(F.avg(F.log(ratio))).alias("geomean"))
 
 
+def elapsed(timings: DataFrame, *keys: str) -> DataFrame:
+    """Runs and their total seconds by ``keys`` (the tool, if none is named)."""
+    return timings.groupBy(*(keys or ("tool",))).agg(F.count("seconds").alias("runs"), F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"))
+
+
+def prior_sweep(shards: Sequence[tuple[str, float, float, int, DataFrame]], posterior: float = 0.9, factor: float = 10.0) -> DataFrame:
+    """``dataset, prior, linked, stamp, n_posterior, n_factor, n_strict`` of shards ``(dataset, prior, linked, stamp, triage
+    rows)``: how many candidates each kind of call has; of shards with the same dataset and parameters the newest counts."""
+    parts = [
+        rows.agg(F.count_if(F.col("Posterior_SexLinked") > posterior).alias("n_posterior"), F.count_if(F.col("Bayes_Factor") > factor).alias("n_factor"), F.count_if("Strict_Call").alias("n_strict")).select(
+            F.lit(dataset).alias("dataset"), F.lit(float(prior)).alias("prior"), F.lit(float(linked)).alias("linked"), F.lit(stamp).alias("stamp"), "n_posterior", "n_factor", "n_strict"
+        )
+        for dataset, prior, linked, stamp, rows in shards
+    ]
+    return newest(reduce(DataFrame.unionByName, parts), ["dataset", "prior", "linked"], "stamp")
+
+
 def metadata(line: Column) -> Column:
     """The map of a ``#key:value;key:value`` line."""
     return F.str_to_map(F.regexp_replace(line, "^#", ""), F.lit(";"), F.lit(":"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from markerloom.plans.lineage import stored
 from markerloom.table import MarkerTable
 from markerloom.types import MarkerError, least_individuals
 
@@ -17,16 +18,23 @@ def depth(table: MarkerTable, *, min_frequency: float = 0.75, strict: bool = Fal
     is the upper one and the average is rounded down. Depths are first counted by individual and value, of which there are
     65,536 at most, so that no task holds the depths of an individual. ``strict`` refuses a table that retains nothing."""
     least = least_individuals(min_frequency, table.n_individuals)
-    long = table.long()
-    n_ind = table.counts(1).select("id", "sequence", "n_ind")
-    retained = n_ind.where(F.col("n_ind") >= least)
-    kept = long.join(retained.select("id", "sequence"), ["id", "sequence"])
-    # With a threshold of 0, markers that nobody has are retained too, where the layout has rows for them.
-    total = (table.df if least == 0 and table.layout == "array" else retained).agg(F.count("*").alias("n_retained"))
-    sums = long.groupBy("individual").agg(F.sum("depth").alias("Reads"), F.count("*").alias("Markers"))
-    values = kept.groupBy("individual", "depth").agg(F.count("*").alias("n"))
+    n_ind = F.col("n_ind")
+    if table.layout == "array":
+        each = table.df.select(F.size(F.filter("depths", lambda d: d >= 1)).alias("n_ind"), F.posexplode("depths").alias("pos", "depth")).where("depth > 0")
+        rows = each.select(F.element_at(F.lit(table.individuals), F.col("pos") + 1).alias("individual"), "depth", (n_ind >= least).alias("retained"), F.lit(0).cast("bigint").alias("first"))
+        # With a threshold of 0, markers that nobody has are retained too, where the layout has rows for them.
+        total = table.df.agg(F.count_if(F.size(F.filter("depths", lambda d: d >= 1)) >= least).alias("n_retained"))
+    else:
+        # How many have a marker, and its first row, come with the rows themselves: one shuffle of the table by marker.
+        same = W.partitionBy("id", "sequence")
+        each = table.df.where("depth > 0").select("individual", "depth", F.count("*").over(same).alias("n_ind"), F.row_number().over(same.orderBy("individual")).alias("place"))
+        rows = each.select("individual", "depth", (n_ind >= least).alias("retained"), (F.col("place") == 1).cast("bigint").alias("first"))
+        total = None
+    values = stored(rows.groupBy("individual", "depth", "retained").agg(F.count("*").alias("n"), F.sum("first").alias("first")), "depth-counts")  # 131,072 rows an individual at most
+    total = values.agg(F.coalesce(F.sum(F.when(F.col("retained"), F.col("first"))), F.lit(0)).alias("n_retained")) if total is None else total
+    sums = values.groupBy("individual").agg(F.sum(F.col("n") * F.col("depth")).alias("Reads"), F.sum("n").alias("Markers"))
     running = F.sum("n").over(W.partitionBy("individual").orderBy("depth").rowsBetween(W.unboundedPreceding, 0))
-    ranked = values.withColumn("upto", running).join(F.broadcast(total))
+    ranked = values.where("retained").withColumn("upto", running).join(F.broadcast(total))
     present = F.sum("n").over(W.partitionBy("individual"))
     ranked = ranked.withColumn("zeros", F.col("n_retained") - present)
     middle = F.expr("n_retained div 2")

@@ -26,6 +26,13 @@ class PcaResult:
     total_variance: float
     n_markers: int
 
+    def summary(self) -> dict:
+        return {"n_markers": self.n_markers, "total_variance": self.total_variance}
+
+    def to_pandas(self):
+        """Components and loadings."""
+        return self.components.toPandas(), self.loadings.toPandas()
+
 
 def gram(table: MarkerTable, min_depth: int = 1) -> DataFrame:
     """``i, j, products, n`` for i <= j: sums of products of the raw depths of two individuals over markers present anywhere
@@ -45,7 +52,7 @@ def gram(table: MarkerTable, min_depth: int = 1) -> DataFrame:
         i, j, v = np.append(i, np.arange(n)), np.append(j, np.full(n, -1)), np.append(products[i, j], sums)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(v), pa.array(np.full(len(i), rows))], ["i", "j", "v", "m"])
 
-    kept = table.arrays().df.where(F.exists("depths", lambda d: d >= min_depth)).select("depths")
+    kept = table.arrays(ordered=False).df.where(F.exists("depths", lambda d: d >= min_depth)).select("depths")
     parts = kept.mapInArrow(partial, "i int, j int, v double, m long")
     return parts.groupBy("i", "j").agg(F.sum("v").alias("products"), F.sum("m").alias("n"))
 

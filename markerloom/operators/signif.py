@@ -16,7 +16,7 @@ def signif(table: MarkerTable, *, group1: str | None = None, group2: str | None
     """Markers below the threshold with ``g1, g2, p, p_corrected`` (and ``Bayes_Factor, Posterior_SexLinked``), and their
     depths if the table is of arrays. p-values are compared in single precision, q-values in double."""
     groups, correction = table.groups(group1, group2), Correction.of(correction)
-    counts = table.counts(min_depth, groups, depths)
+    counts = table.counts_twice(min_depth, groups, depths)
     stats = with_statistics(cells(counts), groups, test=test, prior=PRIOR if bayes else None, linked=LINKED)
     limit = single(threshold)
     if correction is Correction.FDR:

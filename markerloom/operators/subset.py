@@ -14,7 +14,7 @@ def subset(table: MarkerTable, *, group1: str | None = None, group2: str | None
     """Markers whose counts lie in the ranges (both ends included); ``statistics`` adds ``p, p_corrected``, which filter
     nothing, and ``depths`` keeps the arrays."""
     groups, correction = table.groups(group1, group2), Correction.of(correction)
-    counts = table.counts(min_depth, groups, depths)
+    counts = table.counts_twice(min_depth, groups, depths) if statistics else table.counts(min_depth, groups, depths)
     inside = F.col("g1").between(*range1) & F.col("g2").between(*range2) & F.col("n_ind").between(*total)
     if not statistics:
         return counts.where("n_ind > 0").where(inside)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from markerloom.plans.cells import cells, to_markers, with_statistics
@@ -20,7 +21,7 @@ def candidate_class(strict: Column, posterior: Column, factor: Column) -> Column
 def triage(table: MarkerTable, *, group1: str | None = None, group2: str | None = None, min_depth: int = 1, threshold: float = 0.05, posterior_threshold: float = 0.9, bayes_factor_threshold: float = 10.0, prior: float = 0.01, linked: float = 0.9) -> DataFrame:
     """Twenty columns for each marker with at least one call; the strict one is chi-squared with Bonferroni's correction."""
     g = table.groups(group1, group2)
-    counts = table.counts(min_depth, g)
+    counts = table.counts_twice(min_depth, g)
     stats = with_statistics(cells(counts), g, prior=prior, linked=linked)
     share1, share2 = (F.col(c) / F.lit(float(t)) if t else F.lit(0.0) for c, t in (("g1", g.total1), ("g2", g.total2)))
     strict = F.col("p") < F.lit(single(threshold)) / F.greatest("n_markers", F.lit(1))
@@ -51,8 +52,10 @@ def triage(table: MarkerTable, *, group1: str | None = None, group2: str | None
 
 
 def ranked(candidates: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` candidates: by class, posterior, Bayes factor, difference of penetrance, then id."""
+    """The first ``k`` candidates with their ``rank`` from 1: by class, posterior, Bayes factor, difference of penetrance,
+    then id."""
     place = F.array_position(F.lit(list(CLASSES)), F.col("Candidate_Class"))
     gap = F.abs(F.col("Group1_Penetrance") - F.col("Group2_Penetrance"))
     order = [place, F.desc("Posterior_SexLinked"), F.desc("Bayes_Factor"), gap.desc(), F.try_to_number("id", F.lit("9999999999999999999")).asc_nulls_last(), F.col("id")]
-    return candidates.orderBy(*order).limit(k)
+    best = candidates.orderBy(*order).limit(k)
+    return best.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))  # k rows

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from markerloom.functions import kernels
+from markerloom.plans.lineage import stored
 from markerloom.types import Correction, Groups, Test
 
 #: A table of cells is broadcast up to so many possible cells (some 100 bytes each).
@@ -25,7 +26,7 @@ def cells(counts: DataFrame) -> DataFrame:
     """``g1, g2, markers, n_markers`` of markers present anywhere; ``n_markers`` is the number of all of them. Cell (0, 0)
     holds markers of other groups only, and counts among the tests."""
     sums = counts.where("n_ind > 0").groupBy("g1", "g2").agg(F.count("*").alias("markers"))
-    return sums.withColumn("n_markers", F.sum("markers").over(W.partitionBy()))  # over cells
+    return sums.join(F.broadcast(sums.agg(F.sum("markers").alias("n_markers"))))  # one row
 
 
 def with_statistics(rows: DataFrame, groups: Groups, *, test: Test | str = Test.CHISQ, prior: float | None = None, linked: float = 0.9) -> DataFrame:
@@ -47,13 +48,21 @@ def with_statistics(rows: DataFrame, groups: Groups, *, test: Test | str = Test.
 
 
 def with_fdr(stats: DataFrame) -> DataFrame:
-    """Benjamini and Hochberg's q by cell: equal p-values share a rank, the number of markers up to them."""
+    """Benjamini and Hochberg's q by cell: equal p-values share a rank, the number of markers up to them.
+
+    Distinct p-values are sorted by range over all tasks; the ranks and minima of a task begin with what the tasks before
+    (or after) it come to, one row for each task."""
     by_p = stats.groupBy("p").agg(F.sum("markers").alias("m"), F.first("n_markers").alias("n"))
-    rank = F.sum("m").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, 0))  # over distinct p-values of cells
-    ranked = by_p.withColumn("q", F.col("p") * F.col("n") / rank)
-    lowest = F.min("q").over(W.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0))
-    q = ranked.select(F.col("p").alias("p_of_q"), F.least(F.lit(1.0), lowest).alias("fdr"))
-    return stats.join(F.broadcast(q), F.col("p") == F.col("p_of_q")).drop("p_of_q")
+    parts = stored(by_p.repartitionByRange("p").withColumn("part", F.spark_partition_id()), "p-values")
+    own, tasks = W.partitionBy("part"), W.partitionBy(F.lit(0)).orderBy("part")  # a row for each task
+    before = parts.groupBy("part").agg(F.sum("m").alias("sum")).select("part", (F.sum("sum").over(tasks) - F.col("sum")).alias("before"))
+    rank = F.sum("m").over(own.orderBy("p").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
+    ranked = parts.join(F.broadcast(before), "part").withColumn("q", F.col("p") * F.col("n") / rank)
+    after = ranked.groupBy("part").agg(F.min("q").alias("least")).select("part", F.min("least").over(tasks.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    lowest = F.min("q").over(own.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0))
+    q = stored(ranked.join(F.broadcast(after), "part").select(F.col("p").alias("p_of_q"), F.least(F.lit(1.0), lowest, F.col("after")).alias("fdr")), "q-values")
+    small = q.count() <= BROADCAST_CELLS
+    return stats.join(F.broadcast(q) if small else q, F.col("p") == F.col("p_of_q")).drop("p_of_q")
 
 
 def corrected(correction: Correction) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from markerloom.plans.lineage import stored
 from markerloom.sources.readers import from_long
 from markerloom.table import MarkerTable
 
@@ -17,36 +18,44 @@ from markerloom.table import MarkerTable
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "acgtgatctgcaacgtgatctgcaac"
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of the data folder; one with fewer splits than the session has cores is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def ps(spark: SparkSession, sf_dir: str) -> MarkerTable:
-    who = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string"), F.when(F.col("s_nationkey") % 2 == 0, "M").otherwise("F")).orderBy("s_suppkey")
+    who = _read(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").select(F.col("s_suppkey").cast("string"), F.when(F.col("s_nationkey") % 2 == 0, "M").otherwise("F")).orderBy("s_suppkey")
     popmap = [tuple(r) for r in who.collect()]  # individuals
-    long = _read(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("depth"))
+    long = _read(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("depth"))
     key = F.col("l_partkey").cast("string")
     return from_long(long.select(key.alias("id"), key.alias("sequence"), F.col("l_suppkey").cast("string").alias("individual"), "depth"), [x for x, _ in popmap], popmap)
 
 
 def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``individual, lang, doc_id, word`` for each word of the documents in en and de."""
-    docs = _read(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de"))
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").where(F.col("lang").isin("en", "de"))
     individual = F.concat_ws("_", "source", "lang", (F.col("doc_id") % 6).cast("string"))
     return docs.select(individual.alias("individual"), "lang", "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word"))
 
 
-def wl_popmap(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
-    """Individuals whose documents have a word, in order."""
-    docs = _read(spark, sf_dir, "documents").where(F.col("lang").isin("en", "de") & F.lower("text").rlike("[a-z]"))
-    individual = F.concat_ws("_", "source", "lang", (F.col("doc_id") % 6).cast("string"))
-    return [tuple(r) for r in docs.select(individual.alias("individual"), "lang").distinct().orderBy("individual").collect()]  # individuals
+def word_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``word, individual, lang, depth``, stored so that the texts are read once; and the individuals that have a word, in
+    order, with their languages."""
+    counts = stored(words_of(spark, sf_dir).groupBy("word", "individual", "lang").agg(F.count("*").alias("depth")), "words")
+    return counts, [tuple(r) for r in counts.select("individual", "lang").distinct().orderBy("individual").collect()]  # individuals
 
 
 def wl(spark: SparkSession, sf_dir: str) -> MarkerTable:
-    popmap = wl_popmap(spark, sf_dir)
-    long = words_of(spark, sf_dir).groupBy("word", "individual").agg(F.count("*").alias("depth"))
-    return from_long(long.select(F.col("word").alias("id"), F.col("word").alias("sequence"), "individual", "depth"), [x for x, _ in popmap], popmap)
+    counts, popmap = word_counts(spark, sf_dir)
+    return from_long(counts.select(F.col("word").alias("id"), F.col("word").alias("sequence"), "individual", "depth"), [x for x, _ in popmap], popmap)
+
+
+def people(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Individuals that have a word, in order; the first letter of a text is all that is looked for."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").where(F.col("lang").isin("en", "de") & F.lower("text").rlike("[a-z]"))
+    individual = F.concat_ws("_", "source", "lang", (F.col("doc_id") % 6).cast("string"))
+    return [r[0] for r in docs.select(individual.alias("individual")).distinct().orderBy("individual").collect()]  # individuals
 
 
 def dna_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,15 +63,16 @@ def dna_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_of(spark, sf_dir).where(F.length("word") >= 8).select("individual", "lang", F.translate("word", LETTERS, BASES).alias("sequence"))
 
 
-def dna(spark: SparkSession, sf_dir: str, lang: str) -> MarkerTable:
-    """Sequences of one language, not normalised; individuals are those of the language."""
-    people = [x for x, g in wl_popmap(spark, sf_dir) if g == lang]
-    counts = dna_reads(spark, sf_dir).where(F.col("lang") == lang).groupBy("sequence", "individual").agg(F.count("*").alias("depth"))
-    return from_long(counts.select(F.col("sequence").alias("id"), "sequence", "individual", "depth"), people)
+def dna(spark: SparkSession, sf_dir: str, *langs: str) -> list[MarkerTable]:
+    """Sequences of each language, not normalised; individuals are those of the language."""
+    counts, popmap = word_counts(spark, sf_dir)
+    counts = counts.where(F.length("word") >= 8).select(F.translate("word", LETTERS, BASES).alias("sequence"), "individual", "lang", "depth")
+    each = counts.groupBy("sequence", "individual", "lang").agg(F.sum("depth").alias("depth"))
+    return [from_long(each.where(F.col("lang") == x).select(F.col("sequence").alias("id"), "sequence", "individual", "depth"), [i for i, g in popmap if g == x]) for x in langs]
 
 
 def ev(spark: SparkSession, sf_dir: str) -> MarkerTable:
-    events = _read(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    events = _read(spark, sf_dir, "events", "user_id", "event_type", "ts").where("user_id IS NOT NULL")
     people = [r[0] for r in events.select("user_id").distinct().orderBy("user_id").collect()]  # individuals
     key = F.concat_ws("_", "event_type", F.hour("ts").cast("string"))
     long = events.groupBy(key.alias("id"), F.col("user_id").cast("string").alias("individual")).agg(F.count("*").alias("depth"))

@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from markerloom.functions.sequences import kmer_signature
 from markerloom.operators import analysis
-from markerloom.operators.align import hits
+from markerloom.operators.align import align, hits
 from markerloom.operators.merge import merge, merged_long
 from markerloom.operators.pca import gram, pca
 from markerloom.operators.process import process
 from markerloom.operators.triage import ranked
 from markerloom.plans import driver_tables as tables
-from markerloom.plans.cells import cells, with_statistics
+from markerloom.plans.cells import cells
+from markerloom.plans.lineage import new_path
+from markerloom.sources import readers, writers
+from markerloom.sources.readers import from_long
 
 PS = {"group1": "M", "group2": "F"}
 WL = {"group1": "en", "group2": "de"}
@@ -55,8 +58,7 @@ def map_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _process(spark: SparkSession, sf_dir: str, **kw):
-    people = [x for x, _ in tables.wl_popmap(spark, sf_dir)]
-    return process(tables.dna_reads(spark, sf_dir).select("individual", "sequence"), people, **kw)
+    return process(tables.dna_reads(spark, sf_dir).select("individual", "sequence"), tables.people(spark, sf_dir), **kw)
 
 
 def _depths(df: DataFrame) -> DataFrame:
@@ -64,11 +66,11 @@ def _depths(df: DataFrame) -> DataFrame:
 
 
 def _merge_long(s: SparkSession, d: str) -> DataFrame:
-    return merged_long([tables.dna(s, d, "en"), tables.dna(s, d, "de")]).select("sequence", F.col("col").cast("bigint").alias("col"), F.col("depth").cast("bigint").alias("depth"))
+    return merged_long(tables.dna(s, d, "en", "de")).select("sequence", F.col("col").cast("bigint").alias("col"), F.col("depth").cast("bigint").alias("depth"))
 
 
 def _merge_ids(s: SparkSession, d: str) -> DataFrame:
-    t = merge([tables.dna(s, d, "en"), tables.dna(s, d, "de")])
+    t = merge(tables.dna(s, d, "en", "de"))
     return t.df.select("ord", "sequence", F.aggregate("depths", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
@@ -98,6 +100,80 @@ def _pca(s: SparkSession, d: str) -> DataFrame:
     return pca(tables.wl(s, d), components=5).components
 
 
+def _pca_checks(s: SparkSession, d: str) -> DataFrame:
+    """What an eigendecomposition must fulfil: its values sum to the variance, its vectors are orthonormal and explain the
+    centred sums of products (whose sum is that of the eigenvectors' own)."""
+    result = pca(tables.wl(s, d))
+    vectors = result.loadings.select(F.explode(F.array(*[F.struct(F.lit(k + 1).alias("component"), F.col(f"PC{k + 1}").alias("v")) for k in range(len(result.loadings.columns) - 1)])).alias("x")).select("x.*")
+    sums = vectors.groupBy("component").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("norm")).join(result.components, "component")
+    return sums.agg(F.round(F.sum("eigenvalue")).alias("variance"), F.round(F.sum(F.col("eigenvalue") * F.col("s") * F.col("s"))).alias("all_products"), _r(F.max("norm")).alias("norm"), F.count("*").alias("components"))
+
+
+def _map_command(s: SparkSession, d: str) -> DataFrame:
+    """The map command on the words of WL as bases, over the genome of the long ones."""
+    counts, popmap = tables.word_counts(s, d)
+    bases = F.upper(F.translate("word", tables.LETTERS, tables.BASES))
+    long = counts.where(F.length("word") >= 16).groupBy(bases.alias("id"), "individual").agg(F.sum("depth").alias("depth"))
+    table = from_long(long.select("id", F.col("id").alias("sequence"), "individual", "depth"), [x for x, _ in popmap], popmap)
+    found = align(table, _genome(s, d), min_frequency=0.02, **WL)
+    return found.select("Contig", "Position", "Length", "Marker_id", _r("Bias").alias("Bias"), _r("P").alias("P"), _r("CorrectedP").alias("CorrectedP"), "Signif")
+
+
+def _counted(t, groups: dict = WL) -> DataFrame:
+    return t.counts(1, t.groups(**groups)).select("id", "g1", "g2", "n_ind")
+
+
+def _tsv_round_trip(s: SparkSession, d: str) -> DataFrame:
+    t = tables.wl(s, d)
+    path = new_path(s, "rows")
+    writers.write_marker_rows(t, path)
+    return _counted(readers.read_marker_tsv(s, path, t.popmap, t.individuals))
+
+
+def _parquet_round_trip(s: SparkSession, d: str) -> DataFrame:
+    t = tables.wl(s, d)
+    path = new_path(s, "wide") + ".parquet"
+    writers.write_parquet(t, path)
+    return _counted(readers.read_marker_parquet(s, path, t.popmap))
+
+
+def _result_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """The FASTA sink of signif, read as FASTA."""
+    t = tables.wl(s, d)
+    path = new_path(s, "found")
+    writers.write_fasta(t.signif(**WL), path, t.groups(**WL), 1)
+    lines = s.read.text(path)
+    part = lambda k: F.regexp_extract("value", "^>(.*)_de:([0-9]+)_en:([0-9]+)_p:.*_pcorr:.*_mindepth:1$", k)
+    return lines.where("value LIKE '>%'").select(part(1).alias("id"), part(3).cast("int").alias("g1"), part(2).cast("int").alias("g2"))
+
+
+def _reads_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Words of WL as FASTA files, a folder read back by the scan of reads."""
+    path = new_path(s, "reads")
+    writers.write_reads(tables.dna_reads(s, d).select(F.col("individual").alias("name"), "sequence"), path, width=6)
+    return readers.read_fastx(s, path).groupBy("name", "sequence").agg(F.count("*").alias("n"))
+
+
+def _newest(s: SparkSession, d: str) -> DataFrame:
+    events = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id").where("user_id IS NOT NULL")
+    return analysis.newest(events, ["user_id", "event_type"], "event_id")
+
+
+def _loading_means(s: SparkSession, d: str) -> DataFrame:
+    t = tables.wl(s, d)
+    return analysis.loading_means(t.pca(components=2).loadings, t.popmap_frame())
+
+
+def _em(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(round(analysis.prior_by_em(tables.wl(s, d), **WL), 4),)], "prior double")
+
+
+def _sweep(s: SparkSession, d: str) -> DataFrame:
+    t = tables.wl(s, d)
+    shards = [("wl", p, 0.9, stamp, t.triage(prior=p, min_depth=3 - stamp, **WL)) for p in (0.001, 0.1) for stamp in (1, 2)]
+    return analysis.prior_sweep(shards)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "freq_ps": lambda s, d: tables.ps(s, d).freq(),
     "freq_wl": lambda s, d: tables.wl(s, d).freq(),
@@ -117,10 +193,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "signif_fdr_wl": lambda s, d: _signif(tables.wl(s, d).signif(correction="fdr", **WL)),
     "signif_fisher_fdr_wl": lambda s, d: _signif(tables.wl(s, d).signif(correction="fdr", test="fisher", **WL)),
     "signif_bayes_wl": lambda s, d: _signif(tables.wl(s, d).signif(bayes=True, **WL)),
+    "signif_summary_wl": lambda s, d: analysis.signif_summary(tables.wl(s, d).signif(bayes=True, **WL)),
+    "subset_statistics_wl": lambda s, d: tables.wl(s, d).subset(range1=(5, 30), range2=(0, 2), total=(6, 40), statistics=True, correction="fdr", **WL).select("id", "g1", "g2", "n_ind", _r("p").alias("p"), _r("p_corrected").alias("p_corrected")),
     "subset_ranges_wl": lambda s, d: tables.wl(s, d).subset(range1=(5, 30), range2=(0, 2), total=(6, 40), **WL).select("id", "g1", "g2", "n_ind"),
     "triage_wl": lambda s, d: _triage(tables.wl(s, d).triage(**WL)),
     "triage_class_counts_wl": lambda s, d: tables.wl(s, d).triage(**WL).groupBy("Candidate_Class").agg(F.count("*").alias("n")),
-    "triage_ranked_topk_wl": lambda s, d: ranked(tables.wl(s, d).triage(**WL), 25).select("id", "Candidate_Class"),
+    "triage_ranked_topk_wl": lambda s, d: ranked(tables.wl(s, d).triage(**WL), 25).select("rank", "id", "Candidate_Class"),
     "triage_call_sets_wl": lambda s, d: analysis.call_sets(tables.wl(s, d).triage(**WL)),
     "joined_calls_wl": lambda s, d: (lambda t: analysis.joined_calls(t.signif(**WL), t.triage(threshold=0.001, **WL)))(tables.wl(s, d)).select("id", "Strict_Call", "Candidate_Class"),
     "sex_system_wl": lambda s, d: analysis.sex_system(tables.wl(s, d).triage(**WL), male="en", female="de"),
@@ -137,7 +215,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pca_eigen_wl": _pca,
     "bayes_evidence_wl": lambda s, d: _evidence(analysis.table_evidence(tables.wl(s, d), **WL)),
     "prior_sensitivity_wl": lambda s, d: (lambda t: analysis.prior_sensitivity(_cells(t, WL), t.groups(**WL)))(tables.wl(s, d)),
+    "prior_sweep_wl": _sweep,
+    "em_prior_wl": _em,
+    "newest_ev": _newest,
+    "loading_means_wl": _loading_means,
+    "pca_checks_wl": _pca_checks,
     "map_exact_dna": map_exact,
+    "map_command_dna": _map_command,
+    "tsv_round_trip_wl": _tsv_round_trip,
+    "parquet_round_trip_wl": _parquet_round_trip,
+    "fasta_round_trip_wl": _result_round_trip,
+    "reads_round_trip_dna": _reads_round_trip,
 }
 
 # -- SQL -------------------------------------------------------------------------------------------------------------------
@@ -288,6 +376,39 @@ def _stability_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+#: Ungapped places of both strands on diagonals with a common 15-mer (at an even place of the contig), the unique best of each.
+_MAP = """long AS (SELECT upper(translate(word, '{letters}', '{bases}')) AS id, ind FROM docs WHERE length(word) >= 16),
+d AS (SELECT id, ind, least(count(*), 65535) AS depth FROM long GROUP BY 1, 2), pm AS (SELECT DISTINCT ind, lang AS grp FROM docs)"""
+_MAP_PLACES = """, w AS (SELECT DISTINCT sequence AS w, regexp_extract(ind, '^(src[0-9]+)', 1) AS contig FROM reads WHERE length(sequence) >= 16),
+g AS (SELECT contig, string_agg(w, 'N' ORDER BY w) AS g FROM w GROUP BY contig),
+enough AS (SELECT c.* FROM c, (SELECT greatest(1, CAST(floor(CAST(0.02 AS FLOAT) * CAST(count(*) AS FLOAT)) AS BIGINT)) AS k FROM pm) WHERE n_ind >= k),
+q AS (SELECT id, '+' AS strand, id AS query FROM enough UNION ALL SELECT id, '-', reverse(translate(id, 'ACGT', 'TGCA')) FROM enough),
+qs AS (SELECT id, strand, query, i - 1 AS at, substr(query, CAST(i AS BIGINT), 15) AS seed FROM (SELECT *, unnest(range(1, length(query) - 13)) AS i FROM q)),
+gs AS (SELECT contig, i - 1 AS at, substr(g, CAST(i AS BIGINT), 15) AS seed FROM (SELECT *, unnest(range(1, length(g) - 13, 2)) AS i FROM g)),
+places AS (SELECT DISTINCT id, strand, query, gs.contig, gs.at - qs.at AS position FROM qs JOIN gs USING (seed) WHERE gs.at >= qs.at AND NOT contains(seed, 'N')),
+scored AS (SELECT id, strand, contig, position, 10 * list_sum(list_transform(range(1, length(query) + 1), lambda i: CASE WHEN substr(query, CAST(i AS BIGINT), 1) = substr(g, CAST(position + i AS BIGINT), 1) THEN 1 ELSE 0 END)) - 8 * length(query) AS score FROM places JOIN g USING (contig)),
+best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC) AS k, lead(score) OVER (PARTITION BY id ORDER BY score DESC) AS second FROM scored WHERE score > 0)
+SELECT contig AS "Contig", CAST(position AS BIGINT) AS "Position", CAST(length(g) AS BIGINT) AS "Length", id AS "Marker_id", round(s.bias, 6) AS "Bias", round(s.p, 6) AS "P", round(s.bonferroni, 6) AS "CorrectedP", s.p < {limit} / s.n_markers AS "Signif"
+FROM best JOIN g USING (contig) JOIN enough USING (id) JOIN s USING (g1, g2) WHERE k = 1 AND coalesce(second, 0) < score AND floor(60 * (1 - coalesce(second, 0) / score)) >= 20"""
+
+
+def _map_sql() -> str:
+    source = f"{_WORDS}, " + _MAP.format(letters=tables.LETTERS, bases=tables.BASES)
+    reads = f", reads AS (SELECT ind, upper(translate(word, '{tables.LETTERS}', '{tables.BASES}')) AS sequence FROM docs WHERE length(word) >= 8)"
+    return _counts(source, "en", "de") + _stats() + reads + _MAP_PLACES.format(limit=_LIMIT)
+
+
+#: Steps of the expectation maximisation over cells: far more than it takes to settle.
+_EM = f""", em AS (SELECT 0 AS step, CAST(0.01 AS DOUBLE) AS prior UNION ALL
+  SELECT step + 1, sum(markers * {_posterior('prior', '0.9')}) / sum(markers) FROM em, cells, t WHERE step < 60 GROUP BY step)
+SELECT round(max_by(prior, step), 4) AS prior FROM em"""
+
+_SWEEP = " UNION ALL ".join(
+    f"""SELECT 'wl' AS dataset, CAST({p} AS DOUBLE) AS prior, CAST(0.9 AS DOUBLE) AS linked, CAST(2 AS INTEGER) AS stamp, count(*) FILTER (kept AND post > 0.9) AS n_posterior, count(*) FILTER (kept AND ln_bf > ln(10.0)) AS n_factor, count(*) FILTER (kept AND sc) AS n_strict
+  FROM (SELECT post, ln_bf, sc, sc OR post > 0.9 OR ln_bf > ln(10.0) AS kept FROM (SELECT {_posterior(f'CAST({p} AS DOUBLE)', '0.9')} AS post, s.ln_bf, s.p < {_LIMIT} / s.n_markers AS sc, c.g1, c.g2, t1, t2 FROM c JOIN s USING (g1, g2)))"""
+    for p in (0.001, 0.1)
+)
+
 ORACLES: dict[str, str] = {
     "freq_ps": _freq_sql(_PS),
     "freq_wl": _freq_sql(_WL),
@@ -314,7 +435,7 @@ SELECT g1, g2, markers AS "Markers", round(p, 6) AS "P", round(bonferroni, 6) AS
     "triage_wl": _TRIAGE + f""" SELECT id, sequence, 'en' AS "Group1", g1 AS "Group1_Present", t1 AS "Group1_Total", round(pen1, 6) AS "Group1_Penetrance", 'de' AS "Group2", g2 AS "Group2_Present", t2 AS "Group2_Total", round(pen2, 6) AS "Group2_Penetrance",
   {_DIRECTION} AS "Bias_Direction", round(bias, 6) AS "Bias", round(p, 6) AS "P", round(bonferroni, 6) AS "CorrectedP", round(ln_bf, 6) AS ln_bf, round(posterior, 6) AS "Posterior_SexLinked", sc AS "Strict_Call", pc AS "Posterior_Call", bc AS "Bayes_Factor_Call", class AS "Candidate_Class" FROM tri""",
     "triage_class_counts_wl": _TRIAGE + ' SELECT class AS "Candidate_Class", count(*) AS n FROM tri GROUP BY 1',
-    "triage_ranked_topk_wl": _TRIAGE + """ SELECT id, class AS "Candidate_Class" FROM tri ORDER BY list_position(['strict+posterior', 'posterior_only', 'strict_only', 'bayes_factor_only', 'exploratory'], class), round(posterior, 9) DESC, round(ln_bf, 9) DESC, abs(pen1 - pen2) DESC, id LIMIT 25""",
+    "triage_ranked_topk_wl": _TRIAGE + """ SELECT CAST(row_number() OVER (ORDER BY list_position(['strict+posterior', 'posterior_only', 'strict_only', 'bayes_factor_only', 'exploratory'], class), round(posterior, 9) DESC, round(ln_bf, 9) DESC, abs(pen1 - pen2) DESC, id) AS INTEGER) AS rank, id, class AS "Candidate_Class" FROM tri QUALIFY rank <= 25""",
     "triage_call_sets_wl": _TRIAGE + " SELECT count(*) FILTER (sc AND pc) AS both, count(*) FILTER (sc AND NOT pc) AS strict_only, count(*) FILTER (pc AND NOT sc) AS posterior_only, count(*) FILTER (bc AND NOT sc AND NOT pc) AS bayes_factor_only FROM tri",
     "joined_calls_wl": f"""SELECT coalesce(x.id, y.id) AS id, (x.id IS NOT NULL OR coalesce(sc, false)) AS "Strict_Call", class AS "Candidate_Class" FROM ({_signif_sql(_WL, 'en', 'de', 'chisq', 'bonferroni')}) x FULL JOIN ({_triage_cte('0.001')} SELECT id, sc, class FROM tri) y ON x.id = y.id""",
     "sex_system_wl": _TRIAGE + f""", b AS (SELECT count(*) FILTER ({_DIRECTION} = 'en-biased') AS male_biased, count(*) FILTER ({_DIRECTION} = 'de-biased') AS female_biased FROM tri)
@@ -338,6 +459,18 @@ SELECT a.i, b.i AS j, coalesce(products, 0) AS products, n FROM p a JOIN p b ON
     "bayes_evidence_wl": _counts(_WL, "en", "de") + _stats("chisq", True) + """ SELECT CAST(sum(markers) AS BIGINT) AS n_markers, round(sum(markers * posterior), 3) AS posterior_mass, CAST(coalesce(sum(markers) FILTER (ln_bf > ln(10.0)), 0) AS BIGINT) AS bf_over_10,
   CAST(coalesce(sum(markers) FILTER (ln_bf > ln(100.0)), 0) AS BIGINT) AS bf_over_100, CAST(coalesce(sum(markers) FILTER (posterior > 0.5), 0) AS BIGINT) AS posterior_over_50, CAST(coalesce(sum(markers) FILTER (posterior > 0.9), 0) AS BIGINT) AS posterior_over_90, round(max(posterior), 6) AS best_posterior FROM s""",
     "prior_sensitivity_wl": _counts(_WL, "en", "de") + " " + _SENSITIVITY,
+    "signif_summary_wl": f"""SELECT count(*) AS n_markers, count(*) FILTER (ln_bf > ln(10.0)) AS bf_over_10, count(*) FILTER (posterior > 0.9) AS posterior_over_90 FROM ({_signif_sql(_WL, 'en', 'de', 'chisq', 'bonferroni', bayes=True)})""",
+    "subset_statistics_wl": _counts(_WL, "en", "de") + _stats() + " SELECT id, c.g1, c.g2, n_ind, round(p, 6) AS p, round(fdr, 6) AS p_corrected FROM c JOIN s USING (g1, g2) WHERE c.g1 BETWEEN 5 AND 30 AND c.g2 BETWEEN 0 AND 2 AND n_ind BETWEEN 6 AND 40",
+    "prior_sweep_wl": _counts(_WL, "en", "de") + _stats("chisq", True) + " " + _SWEEP,
+    "em_prior_wl": _counts(_WL, "en", "de").replace("WITH ", "WITH RECURSIVE ", 1) + _EM,
+    "newest_ev": "SELECT user_id, event_type, max(event_id) AS event_id FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2",
+    "pca_checks_wl": f"""WITH {_WL}, people AS (SELECT count(*) AS n FROM pm), m AS (SELECT count(DISTINCT id) AS m FROM d), per AS (SELECT ind, sum(depth) AS s, sum(depth * depth) AS q FROM d GROUP BY 1), rows AS (SELECT id, sum(depth) AS s FROM d GROUP BY 1)
+SELECT round((SELECT sum(q - CAST(s AS DOUBLE) * s / m) FROM per, m)) AS variance, round((SELECT sum(CAST(s AS DOUBLE) * s) FROM rows) - (SELECT CAST(sum(s) AS DOUBLE) * sum(s) / max(m) FROM rows, m)) AS all_products, CAST(1 AS DOUBLE) AS norm, n AS components FROM people""",
+    "map_command_dna": _map_sql(),
+    "tsv_round_trip_wl": _counts(_WL, "en", "de") + " SELECT id, g1, g2, n_ind FROM c",
+    "parquet_round_trip_wl": _counts(_WL, "en", "de") + " SELECT id, g1, g2, n_ind FROM c",
+    "fasta_round_trip_wl": f"SELECT id, g1, g2 FROM ({_signif_sql(_WL, 'en', 'de', 'chisq', 'bonferroni')})",
+    "reads_round_trip_dna": f"WITH {_WORDS} SELECT ind AS name, translate(word, '{tables.LETTERS}', '{tables.BASES}') AS sequence, count(*) AS n FROM docs WHERE length(word) >= 8 GROUP BY 1, 2",
     "map_exact_dna": f"""WITH {_DNA}, w AS (SELECT DISTINCT sequence AS w, regexp_extract(ind, '^(src[0-9]+)', 1) AS contig FROM reads WHERE length(sequence) >= 16),
 g AS (SELECT contig, string_agg(w, 'N' ORDER BY w) AS g FROM w GROUP BY contig), m AS (SELECT DISTINCT w AS id FROM w),
 q AS (SELECT id, '+' AS strand, id AS query FROM m UNION ALL SELECT id, '-' AS strand, reverse(translate(id, 'ACGT', 'TGCA')) AS query FROM m),

@@ -4,36 +4,55 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from markerloom.table import MarkerTable, clamped
+from markerloom.plans.lineage import stored
+from markerloom.table import MAX_INDIVIDUALS, MarkerTable, clamped
 from markerloom.types import MarkerError
 
 READ_FILE = re.compile(r"^(.*)\.(fq|fastq|fasta|fa|fna)(\.gz)?$", re.I)
 
 
 def read_popmap(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """``(individual, group)`` pairs of a tab-separated file without header; lines without two fields are left out."""
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).orderBy("at").select("value").limit(1_000_000).collect()
-    return [tuple(x) for x in (r.value.rstrip("\r").split("\t") for r in lines) if len(x) == 2]
-
-
-def read_marker_tsv(spark: SparkSession, path: str, popmap: Sequence[tuple[str, str]] = ()) -> MarkerTable:
-    """A marker table with an optional comment line and a header ``id, sequence, individual...``. Blank lines and lines with
-    less than two tabs are skipped, missing depths are 0 and depths are clamped; duplicate names keep their columns."""
-    raw = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"))
-    head = raw.where("line NOT LIKE '#%' AND line LIKE 'id\t%'").limit(1).collect()
-    if not head:
-        raise MarkerError(f"{path} has no header")
-    individuals = head[0].line.split("\t")[2:]
-    parts = raw.where(F.col("line").rlike("^[^#].*\t.*\t|^\t.*\t") & ~F.col("line").startswith("id\t")).select(F.split("line", "\t", -1).alias("f"), F.monotonically_increasing_id().alias("ord"))
+    """``(individual, group)`` pairs of a tab-separated file without header; lines without two fields are left out. More
+    than the format's ``MAX_INDIVIDUALS`` are an error."""
+    fields = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
+    lines = spark.read.text(path).select(fields.alias("f"), F.monotonically_increasing_id().alias("at")).where(F.size("f") == 2)
+    found = lines.orderBy("at").select("f").limit(MAX_INDIVIDUALS + 1).collect()
+    if len(found) > MAX_INDIVIDUALS:
+        raise MarkerError(f"more than {MAX_INDIVIDUALS} individuals in {path}")
+    return [tuple(r.f) for r in found]
+
+
+def read_marker_tsv(spark: SparkSession, path: str, popmap: Sequence[tuple[str, str]] = (), individuals: Sequence[str] | None = None) -> MarkerTable:
+    """A marker table with optional comment lines and a header (the first other line): id, sequence (whatever they are
+    called), and the individuals. Blank lines and lines with less than two tabs are skipped, missing depths are 0 and depths
+    are clamped; duplicate names keep their columns. With ``individuals`` there is no header (a folder of rows, say)."""
+    raw = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_block_start").alias("block"))
+    raw = raw.where("line NOT LIKE '#%' AND line <> ''")
+    if individuals is None:
+        head = raw.where("block = 0").limit(1).collect()
+        if not head or "\t" not in head[0].line:
+            raise MarkerError(f"{path} has no header")
+        individuals = head[0].line.split("\t")[2:]
+        raw = raw.where(F.col("line") != head[0].line)
+    parts = raw.where(F.col("line").rlike("\t.*\t")).select(F.split("line", "\t", -1).alias("f"), F.monotonically_increasing_id().alias("ord"))
     depths = F.transform(F.sequence(F.lit(2), F.lit(len(individuals) + 1)), lambda i: clamped(F.try_to_number(F.get("f", i), F.lit("999999999999"))))
     if not individuals:
         depths = F.array().cast("array<int>")
-    return MarkerTable(parts.select("ord", F.get("f", F.lit(0)).alias("id"), F.get("f", F.lit(1)).alias("sequence"), depths.alias("depths")), individuals, popmap)
+    return MarkerTable(parts.select("ord", F.get("f", F.lit(0)).alias("id"), F.get("f", F.lit(1)).alias("sequence"), depths.alias("depths")), list(individuals), popmap)
+
+
+def read_result_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """A table that a command has written, and the metadata of its comment line (if there is one)."""
+    first = spark.read.text(path).where("_metadata.file_block_start = 0").limit(1).collect()
+    line = first[0].value if first and first[0].value.startswith("#") else ""
+    return spark.read.csv(path, sep="\t", header=True, inferSchema=True, comment="#"), dict(x.split(":", 1) for x in line[1:].split(";") if ":" in x)
 
 
 def from_frame(df: DataFrame, popmap: Sequence[tuple[str, str]] = ()) -> MarkerTable:
@@ -59,11 +78,14 @@ def from_frame(df: DataFrame, popmap: Sequence[tuple[str, str]] = ()) -> MarkerT
 
 def from_arrow(spark: SparkSession, table: pa.Table, popmap: pa.Table | Sequence[tuple[str, str]] = ()) -> MarkerTable:
     """An Arrow table of markers, with a population map as pairs or as a table whose first two columns are used."""
-    if isinstance(popmap, pa.Table):
-        if popmap.num_columns < 2 or not popmap.num_rows:
-            raise MarkerError("a population map has two columns and rows")
-        popmap = list(zip(popmap.column(0).to_pylist(), popmap.column(1).to_pylist()))
-    return from_frame(spark.createDataFrame(table), popmap)
+    return from_frame(spark.createDataFrame(table), popmap_pairs(popmap) if isinstance(popmap, pa.Table) else popmap)
+
+
+def popmap_pairs(popmap: pa.Table) -> list[tuple[str, str]]:
+    """The first two columns of an Arrow table."""
+    if popmap.num_columns < 2 or not popmap.num_rows:
+        raise MarkerError("a population map has two columns and rows")
+    return list(zip(popmap.column(0).to_pylist(), popmap.column(1).to_pylist()))
 
 
 def from_long(df: DataFrame, individuals: Sequence[str], popmap: Sequence[tuple[str, str]] = ()) -> MarkerTable:
@@ -76,57 +98,106 @@ def read_marker_parquet(spark: SparkSession, path: str, popmap: Sequence[tuple[s
     return from_frame(spark.read.parquet(path), popmap)
 
 
-def _fastx(text: Iterator[bytes]) -> Iterator[tuple[str, str]]:
-    """(name, sequence) records of FASTA or FASTQ lines."""
-    name, parts, quality = None, [], -1
-    for raw in text:
-        line = raw.decode("ascii", "replace").rstrip("\r\n")
-        if quality >= 0:  # quality lines are as long as the sequence, whatever they begin with
-            quality -= len(line)
-            if quality <= 0:
-                yield name, "".join(parts)
-                name, parts, quality = None, [], -1
-        elif line.startswith(">"):
-            if name is not None:
-                yield name, "".join(parts)
-            name, parts = line[1:], []
-        elif line.startswith("@") and name is None:
-            name, parts = line[1:], []
-        elif line.startswith("+") and name is not None and parts:
-            quality = sum(map(len, parts))
-        elif line and name is not None:
-            parts.append(line)
-    if name is not None and quality < 0:
-        yield name, "".join(parts)
+class Records:
+    """(name, sequence) records of the lines of a split of a FASTA or FASTQ file, whose first and last may be cut.
+
+    ``head`` has the lines before the first record that surely begins here (``synced``: there is one), ``tail`` those of the
+    last record if it may go on. FASTQ records have four lines; one begins where a line with @ is two before one with +, as no
+    sequence begins with +."""
+
+    def __init__(self, fastq: bool, whole: bool = False):
+        self.fastq, self.synced, self.head, self.tail = fastq, whole, [], []
+
+    def add(self, line: str) -> tuple[str, str] | None:
+        """The record that ends with (FASTQ) or before (FASTA) this line."""
+        if not self.synced:
+            self.head.append(line)
+            if self.fastq and len(self.head) > 2 and line.startswith("+") and self.head[-3].startswith("@"):
+                self.head, self.tail, self.synced = self.head[:-3], self.head[-3:], True
+            elif not self.fastq and line.startswith(">"):
+                self.head, self.tail, self.synced = self.head[:-1], [line], True
+            return None
+        done = None
+        if not self.fastq and line.startswith(">"):
+            done, self.tail = self.last(), []
+        if line or (self.fastq and self.tail):
+            self.tail.append(line)
+        if self.fastq and len(self.tail) == 4:
+            done, self.tail = (self.tail[0][1:], self.tail[1]), []
+        return done
+
+    def last(self) -> tuple[str, str] | None:
+        """The record of ``tail``, if it is one."""
+        if not self.tail or self.tail[0][:1] != ("@" if self.fastq else ">") or (self.fastq and len(self.tail) < 4):
+            return None
+        return self.tail[0][1:], self.tail[1] if self.fastq else "".join(self.tail[1:])
 
 
 def read_fastx(spark: SparkSession, path: str, records: int = 20_000) -> DataFrame:
-    """``individual, name, sequence`` of all FASTA and FASTQ files of a folder (or of one file), gzip included. Gzip can't be
-    split, so a file is one task's; records leave it in batches."""
-    files = spark.read.format("binaryFile").load(path)
-    names = [r.path for r in files.select("path").collect()]  # file names
-    if not any(READ_FILE.match(n.rsplit("/", 1)[-1]) for n in names):
+    """``individual, name, sequence`` of all FASTA and FASTQ files of a folder (or of one file), gzip included.
+
+    Lines are streamed, whatever the size of a file; plain files are split, and the records that are cut by the bounds of
+    splits are put together again. Gzip can't be split, so such a file is one task's."""
+    pattern = r"(?i)\.(fq|fastq|fasta|fa|fna)(\.gz)?$"
+    if not individuals_of(spark, path):
         raise MarkerError(f"no read files in {path}")
+    file, block = F.col("_metadata.file_name"), F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).where(file.rlike(pattern)).select(F.col("_metadata.file_path").alias("path"), block.alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
+    names = ["individual", "name", "sequence", "path", "block", "synced", "head", "tail"]
+
+    def individual(path: str) -> str:
+        return READ_FILE.match(unquote(path.rsplit("/", 1)[-1]))[1]
+
+    def fastq(path: str) -> bool:
+        return READ_FILE.match(path.rsplit("/", 1)[-1])[2].lower() in ("fq", "fastq")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-        import io
+        held: list[tuple] = []
+        at, now = None, None
 
-        for b in batches:
-            for file, content in zip(b.column("path").to_pylist(), b.column("content")):
-                found = READ_FILE.match(file.rsplit("/", 1)[-1])
-                data = io.BufferedReader(io.BytesIO(content.as_buffer()))
-                held: list[tuple[str, str]] = []
-                for record in _fastx(gzip.open(data) if found[3] else data):
-                    held.append(record)
-                    if len(held) == records:
-                        yield pa.RecordBatch.from_pydict({"individual": [found[1]] * len(held), "name": [x for x, _ in held], "sequence": [x for _, x in held]})
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_pydict({"individual": [found[1]] * len(held), "name": [x for x, _ in held], "sequence": [x for _, x in held]})
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _SPLIT_TYPES)], names)
+            held.clear()
+            return batch
 
-    pattern = r"(?i)\.(fq|fastq|fasta|fa|fna)(\.gz)?$"
-    return files.where(F.col("path").rlike(pattern)).select("path", "content").repartition(max(1, min(len(names), 2000)), "path").mapInArrow(parse, "individual string, name string, sequence string")
+        def ended() -> None:
+            held.append((None, None, None, *at, now.synced, "\n".join(now.head), "\n".join(now.tail)))
+
+        for b in batches:
+            for path, block, line in zip(*(b.column(c).to_pylist() for c in ("path", "block", "line"))):
+                if at != (path, block):
+                    if at is not None:
+                        ended()
+                    at, now, who = (path, block), Records(fastq(path)), individual(path)
+                if found := now.add(line):
+                    held.append((who, *found, None, None, None, None, None))
+                    if len(held) >= records:
+                        yield out()
+        if at is not None:
+            ended()
+        if held:
+            yield out()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist()):
+                cut = Records(fastq(path), whole=True)
+                each = [cut.add(line) for line in text.split("\n")]
+                found += [(individual(path), *r) for r in (*each, None if cut.fastq else cut.last()) if r]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.string()) for k in range(3)], names[:3])
+
+    parsed = stored(lines.mapInArrow(parse, "individual string, name string, sequence string, path string, block long, synced boolean, head string, tail string"), "reads")
+    splits = parsed.where("path IS NOT NULL").select("path", "block", "synced", "head", "tail")
+    begun = F.count_if("synced").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, 0))  # a row for each split
+    ends = F.explode(F.array(F.struct((F.col("begun") - F.col("synced").cast("int")).alias("record"), F.col("head").alias("part")), F.struct(F.col("begun").alias("record"), F.col("tail").alias("part"))))
+    pieces = splits.withColumn("begun", begun).select("path", "block", ends.alias("x")).select("path", "block", "x.record", "x.part").where("part <> ''")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("block", "part"))), lambda x: x["part"])  # of one record
+    cut = pieces.groupBy("path", "record").agg(F.array_join(ordered, "\n").alias("text"))
+    return parsed.where("path IS NULL").select("individual", "name", "sequence").unionAll(cut.mapInArrow(join, "individual string, name string, sequence string"))
+
+
+_SPLIT_TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
 
 
 def individuals_of(spark: SparkSession, path: str) -> list[str]:

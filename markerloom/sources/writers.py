@@ -56,14 +56,24 @@ def write_fasta(df: DataFrame, path: str, groups: Groups, min_depth: int) -> Non
     fasta(df, groups, min_depth).write.text(path)
 
 
+def write_reads(reads: DataFrame, path: str, width: int = 60) -> None:
+    """``name, sequence`` rows as a folder of FASTA files (``.fna``), written by the executors, ``width`` bases in a line."""
+    lines = F.concat(F.array(F.concat(F.lit(">"), "name")), F.regexp_extract_all("sequence", F.lit(".{1,%d}" % width), F.lit(0)))
+    reads.select(F.explode(lines).alias("value")).write.option("extension", "fna").option("quote", "\u0000").csv(path)
+
+
 def wide(table: MarkerTable) -> DataFrame:
-    """A column for each individual; 0 is null. For exchange only: the engine itself never has a column for each."""
+    """A column for each individual; 0 is null. The id is a number where all ids are (and look like it), else text. For
+    exchange only: the engine itself never has a column for each."""
     names, seen = [], {}
     for x in table.individuals:
         seen[x] = seen.get(x, 0) + 1
         names.append(x if seen[x] == 1 else f"{x}_{seen[x]}")
     cols = [F.nullif(F.get("depths", F.lit(i)), F.lit(0)).alias(n) for i, n in enumerate(names)]
-    return table.arrays().df.select(F.col("id").try_cast("bigint").alias("id"), "sequence", *cols)
+    rows = table.arrays().df
+    number = F.col("id").try_cast("bigint")
+    numbers = rows.where(F.col("id").isNotNull() & (number.isNull() | (number.cast("string") != F.col("id")))).isEmpty()
+    return rows.select((number if numbers else F.col("id")).alias("id"), "sequence", *cols)
 
 
 def write_parquet(table: MarkerTable, path: str) -> None:

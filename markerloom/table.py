@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from markerloom.plans.lineage import stored
 from markerloom.types import MAX_DEPTH, Groups, MarkerError, resolve_groups
 
 #: A population map of at most so many individuals (the bound of the table format) is broadcast.
@@ -44,10 +45,11 @@ class MarkerTable:
         return marker_table(markers, popmap)
 
     def to_dataframe(self) -> DataFrame:
-        """A column for each individual."""
+        """A column for each individual, after the id (a number where all ids are numbers, else text) and the sequence."""
         from markerloom.sources.writers import wide
 
-        return wide(self).na.fill(0)
+        out = wide(self)
+        return out.na.fill(0, out.columns[2:])
 
     def to_pandas(self):
         return self.to_dataframe().toPandas()
@@ -55,6 +57,16 @@ class MarkerTable:
     def to_arrow(self):
         return self.to_dataframe().toArrow()
 
+    def to_polars(self):
+        import polars
+
+        return polars.from_arrow(self.to_arrow())
+
+    @property
+    def data(self) -> DataFrame:
+        """The rows as they are held."""
+        return self.df
+
     def __arrow_c_stream__(self, requested_schema=None):
         return self.to_arrow().__arrow_c_stream__(requested_schema)
 
@@ -112,6 +124,11 @@ class MarkerTable:
             g1 = g2 = F.lit(0)
         return here.groupBy("id", "sequence").agg(g1.cast("int").alias("g1"), g2.cast("int").alias("g2"), F.count("*").cast("int").alias("n_ind"))
 
+    def counts_twice(self, min_depth: int, groups: Groups | None, depths: bool = False) -> DataFrame:
+        """:meth:`counts` for plans that read it twice: those of the long layout, which take a shuffle, are stored."""
+        out = self.counts(min_depth, groups, depths)
+        return out if self.layout == "array" else stored(out, "counts")
+
     def long(self) -> DataFrame:
         """``id, sequence, individual, depth`` of all pairs that aren't 0."""
         if self.layout == "long":
@@ -119,14 +136,18 @@ class MarkerTable:
         each = self.df.select("id", "sequence", F.posexplode("depths").alias("pos", "depth")).where("depth > 0")
         return each.select("id", "sequence", F.element_at(F.lit(self.individuals), F.col("pos") + 1).alias("individual"), "depth")
 
-    def arrays(self) -> MarkerTable:
-        """The same table in the array layout; ids are ordered to make ``ord``."""
+    def arrays(self, ordered: bool = True) -> MarkerTable:
+        """The same table in the array layout; ids are ordered to make ``ord`` (0 everywhere unless ``ordered``)."""
+        from markerloom.operators.merge import numbered
+
         if self.layout == "array":
             return self
         place = F.map_from_arrays(F.lit(self.individuals), F.lit(list(range(len(self.individuals)))))
         rows = self.df.groupBy("id", "sequence").agg(F.map_from_entries(F.collect_list(F.struct(place[F.col("individual")].alias("k"), F.col("depth").alias("v")))).alias("m"))
         depths = F.transform(F.sequence(F.lit(0), F.lit(len(self.individuals) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
-        return MarkerTable(rows.select(F.xxhash64("id").alias("ord"), "id", "sequence", depths.alias("depths")), self.individuals, self.popmap)
+        rows = rows.select("id", "sequence", depths.alias("depths"))
+        rows = numbered(rows, F.col("id"), F.col("sequence")) if ordered else rows.withColumn("ord", F.lit(0).cast("bigint"))
+        return MarkerTable(rows.select("ord", "id", "sequence", "depths"), self.individuals, self.popmap)
 
     # -- operators -------------------------------------------------------------------------------------------------
 

@@ -6,10 +6,13 @@ import pytest
 
 from markerloom import MarkerTable, api
 from markerloom.sources import writers
+from markerloom.types import MarkerError
+from tests import brute
 
-ROWS = [("0", "ATCGATCG", 10, 5, 8, 12, 7), ("1", "GGGGAAAA", 15, 20, 10, 0, 0), ("2", "CCCCTTTT", 0, 0, 0, 25, 30), ("3", "AAAATTTT", 5, 0, 3, 8, 6)]
-NAMES = ["id", "sequence", "ind1", "ind2", "ind3", "ind4", "ind5"]
-POP = [(f"ind{i}", "M" if i < 4 else "F") for i in range(1, 6)]
+ROWS = [("4", "CATTAG", 3, 0, 9, 2, 0, 1), ("11", "GGTTCA", 6, 7, 0, 8, 0, 0), ("7", "TTAACCG", 0, 0, 0, 0, 12, 4), ("9", "ACAC", 1, 1, 1, 1, 1, 1)]
+NAMES = ["id", "sequence", "a1", "a2", "b1", "a3", "b2", "b3"]
+POP = [(x, {"a": "alpha", "b": "beta"}[x[0]]) for x in NAMES[2:]]
+LISTS = [(r[0], r[1], list(r[2:])) for r in ROWS]
 
 
 @pytest.fixture(scope="module")
@@ -25,24 +28,32 @@ def forms(spark, tmp_path_factory):
 
 def test_forms_agree(forms):
     d, all_forms = forms
+    strict = {i for i, x in brute.tested(LISTS, POP, ("alpha", "beta"), 1, brute.p_g).items() if x[3] < 0.1}
+    assert 0 < len(strict) < 4
     for popmap in (POP, f"{d}/p.tsv", pa.table({"i": [a for a, _ in POP], "g": [b for _, b in POP]})):
         for m in all_forms:
-            got = api.signif_to_arrow(m, popmap, correction="none", test="gtest", depths=False)
-            assert sorted(got.column("id").to_pylist()) == ["1", "2"]
+            got = api.signif_to_arrow(m, popmap, correction="none", test="gtest", threshold=0.1, depths=False)
+            assert set(got.column("id").to_pylist()) == strict
     for m in all_forms:
-        assert api.freq_to_arrow(m, POP).sort_by("Frequency").column("Count").to_pylist() == [0, 1, 1, 1, 1]
-        assert api.depth_to_arrow(m, POP, min_frequency=0.5).sort_by("Sample").column("Average_depth").to_pylist() == [7, 6, 5, 11, 10]
-    assert api.triage_to_arrow(all_forms[0], POP, bayes_factor_threshold=4).num_rows == 2 and api.TriageParams(min_depth=1)(MarkerTable.from_path(all_forms[0], POP)).count() == 0
-    assert api.pca_to_arrow(all_forms[2])[1].num_rows == 5 and api.distrib_to_arrow(all_forms[2], POP).num_rows == 11 and api.subset_to_arrow(all_forms[2], POP).num_rows == 4
+        assert api.freq_to_arrow(m, POP).sort_by("Frequency").column("Count").to_pylist() == [n for _, n in brute.freq(LISTS, 6)]
+        got = api.depth_to_arrow(m, POP, min_frequency=0.5)
+        assert sorted(tuple(r.values()) for r in got.to_pylist()) == sorted(brute.depth(LISTS, POP, 0.5))
+    params = api.TriageParams("alpha", "beta", min_depth=1, bayes_factor_threshold=4.0)
+    found = api.triage(all_forms[0], POP, params)
+    assert found.summary()["candidates"] == found.count() == len(found.to_pandas()) == pa.table(found).num_rows == sum(brute.factor(*brute.cell(x, POP, ("alpha", "beta")), 3, 3) > 4 for _, _, x in LISTS) > 0
+    assert api.triage_to_arrow(all_forms[0], POP, bayes_factor_threshold=4).num_rows == found.count()
+    assert api.pca_to_arrow(all_forms[2])[1].num_rows == 6 and api.distrib_to_arrow(all_forms[2], POP).num_rows == 15 and api.subset_to_arrow(all_forms[2], POP).num_rows == 4
+    with pytest.raises(MarkerError):
+        api.freq_to_arrow(all_forms[0], pa.table({"i": ["a1"]}))
 
 
 def test_back_to_frames(forms, tmp_path):
     table = forms[1][-1]
-    assert table.to_pandas().sort_values("id").astype({"id": str}).values.tolist() == [list(r) for r in ROWS]
-    assert pa.table(table).num_rows == 4 and table.summary() == {"n_markers": 4, "n_individuals": 5}
+    assert table.to_pandas().sort_values("id").astype({"id": str}).values.tolist() == sorted(([*r] for r in ROWS), key=lambda r: int(r[0]))
+    assert pa.table(table).num_rows == 4 and table.summary() == {"n_markers": 4, "n_individuals": 6}
     api.merge([forms[1][0], forms[1][1]], f"{tmp_path}/m.tsv")
     assert len(open(f"{tmp_path}/m.tsv").read().splitlines()) == 6
     (tmp_path / "reads").mkdir()
-    (tmp_path / "reads" / "x.fa").write_text(">a\nACGT\n>b\nAC\nGT\n")
+    (tmp_path / "reads" / "x.fa").write_text(">one\nTTGC\n>two\nTT\nGC\n")
     api.process(f"{tmp_path}/reads", f"{tmp_path}/r.tsv")
-    assert open(f"{tmp_path}/r.tsv").read().splitlines()[-1] == "0\tACGT\t2"
+    assert open(f"{tmp_path}/r.tsv").read().splitlines()[-1] == "0\tTTGC\t2"

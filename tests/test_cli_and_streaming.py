@@ -12,11 +12,13 @@ from markerloom.streaming.ingest import ingest, ingested
 @pytest.fixture(scope="module")
 def files(tmp_path_factory):
     d = tmp_path_factory.mktemp("cli")
-    (d / "t.tsv").write_text("#Number of markers : 3\nid\tsequence\t" + "\t".join([f"m{i}" for i in range(10)] + [f"f{i}" for i in range(10)]) + "\n" + "".join(f"{k}\t{s}\t" + "\t".join(map(str, v)) + "\n" for k, s, v in ((0, "AAAA", [10] * 20), (1, "CCCC", [10] * 10 + [0] * 10), (2, "GGGG", [0] * 10 + [10] * 10))))
-    (d / "p.tsv").write_text("".join(f"{g}{i}\t{g.upper()}\n" for g in "mf" for i in range(10)))
+    people = [f"{g}{i}" for i in range(9) for g in ("oak", "elm")]
+    depths = {"TTAC": [5] * 18, "CGCGA": [8, 0] * 9, "GATTC": [0, 3] * 9}
+    (d / "t.tsv").write_text("# made here\nid\tsequence\t" + "\t".join(people) + "\n" + "".join(f"{k}\t{s}\t" + "\t".join(map(str, v)) + "\n" for k, (s, v) in enumerate(depths.items())))
+    (d / "p.tsv").write_text("".join(f"{x}\t{x[:3]}\n" for x in people))
     (d / "reads").mkdir()
     for i in (1, 2):
-        (d / "reads" / f"i{i}.fa.gz").write_bytes(gzip.compress(b"".join(b">r\n" + s + b"\n" for s in [b"ACGTACGT"] * i + [b"TTTT"])))
+        (d / "reads" / f"i{i}.fa.gz").write_bytes(gzip.compress(b"".join(b">r\n" + s + b"\n" for s in [b"CATTGACC"] * i + [b"TTGG"])))
     (d / "g").mkdir()
     (d / "g" / "g.fa").write_text(">chr1\n" + "ACGT" * 20 + "\n")
     return d
@@ -29,12 +31,12 @@ def lines(path):
 @pytest.mark.parametrize(
     "command,more,header,n",
     [
-        ("freq", [], "Frequency\tCount", 22),
-        ("distrib", ["-p", "p.tsv"], "M\tF\tMarkers\tP\tCorrectedP\tSignif\tBias", 122),
+        ("freq", [], "Frequency\tCount", 20),
+        ("distrib", ["-p", "p.tsv"], "oak\telm\tMarkers\tP\tCorrectedP\tSignif\tBias", 101),
         ("signif", ["-p", "p.tsv", "--bayes"], None, 4),
-        ("subset", ["-p", "p.tsv", "-m", "10", "-N", "0"], None, 3),
-        ("triage", ["-p", "p.tsv", "-G", "F,M"], None, 4),
-        ("depth", ["-p", "p.tsv", "-f", "0.5"], "Sample\tGroup\tReads\tMarkers\tRetained\tMin_depth\tMax_depth\tMedian_depth\tAverage_depth", 21),
+        ("subset", ["-p", "p.tsv", "-m", "9", "-N", "0"], None, 3),
+        ("triage", ["-p", "p.tsv", "-G", "elm,oak"], None, 4),
+        ("depth", ["-p", "p.tsv", "-f", "0.5"], "Sample\tGroup\tReads\tMarkers\tRetained\tMin_depth\tMax_depth\tMedian_depth\tAverage_depth", 19),
         ("map", ["-p", "p.tsv", "-g", "g"], "Contig\tPosition\tLength\tMarker_id\tBias\tP\tCorrectedP\tSignif", 2),
     ],
 )
@@ -49,17 +51,17 @@ def test_commands(spark, files, command, more, header, n):
 def test_fasta_pca_process_merge(spark, files):
     t, p = str(files / "t.tsv"), str(files / "p.tsv")
     assert main(["signif", "-t", t, "-p", p, "-o", str(files / "s.fa"), "-a", "--correction", "fdr"], spark) == 0
-    assert [x for x in lines(files / "s.fa") if x[0] != ">"] == ["CCCC", "GGGG"]
+    assert [x for x in lines(files / "s.fa") if x[0] != ">"] == ["CGCGA", "GATTC"]
     assert main(["pca", "-t", t, "-o", str(files / "pca"), "-r", "2"], spark) == 0
-    assert len(lines(files / "pca" / "loadings.tsv")) == 21
+    assert len(lines(files / "pca" / "loadings.tsv")) == 19
     assert main(["process", "-i", str(files / "reads"), "-o", str(files / "r.tsv")], spark) == 0
-    assert lines(files / "r.tsv")[1:] == ["id\tsequence\ti1\ti2", "0\tACGTACGT\t1\t2", "1\tTTTT\t1\t1"]
+    assert lines(files / "r.tsv")[1:] == ["id\tsequence\ti1\ti2", "0\tCATTGACC\t1\t2", "1\tTTGG\t1\t1"]
     assert main(["merge", str(files / "r.tsv"), str(files / "r.tsv"), "-o", str(files / "m.tsv")], spark) == 0
-    assert lines(files / "m.tsv")[2:] == ["0\tACGTACGT\t1\t2\t1\t2", "1\tTTTT\t1\t1\t1\t1"]
+    assert lines(files / "m.tsv")[2:] == ["0\tCATTGACC\t1\t2\t1\t2", "1\tTTGG\t1\t1\t1\t1"]
 
 
 def test_errors(spark, files, capsys):
-    assert main(["distrib", "-t", str(files / "t.tsv"), "-p", str(files / "p.tsv"), "-o", str(files / "x"), "-G", "M"], spark) == 1
+    assert main(["distrib", "-t", str(files / "t.tsv"), "-p", str(files / "p.tsv"), "-o", str(files / "x"), "-G", "oak"], spark) == 1
     assert "two names" in capsys.readouterr().err
 
 

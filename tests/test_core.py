@@ -2,6 +2,8 @@
 
 import gzip
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,24 @@ from markerloom.operators.triage import ranked
 from markerloom.sources import readers, writers
 from markerloom.table import MarkerTable
 from markerloom.types import Correction, MarkerError, Test, least_individuals, resolve_groups, single
+from tests import brute
 
-FX1 = [("0", "ATCGATCG", [10, 5, 8, 12, 7]), ("1", "GGGGAAAA", [15, 20, 10, 0, 0]), ("2", "CCCCTTTT", [0, 0, 0, 25, 30]), ("3", "AAAATTTT", [5, 0, 3, 8, 6])]
-POP1 = [("ind1", "M"), ("ind2", "M"), ("ind3", "M"), ("ind4", "F"), ("ind5", "F")]
+GROUPS = ("north", "south")
+PEOPLE = [("kea", "north"), ("tui", "south"), ("moa", "north"), ("weka", "south"), ("ruru", "north"), ("pipit", "south"), ("kaka", "north")]
+
+
+def made(n=24, seed=31):
+    """Markers of this file: some biased, some rare, one that nobody has, with ids that are no numbers."""
+    rng = random.Random(seed)
+    rows = []
+    for m in range(n):
+        share = rng.choice([(0.95, 0.05), (0.1, 0.9), (0.5, 0.5), (1.0, 1.0)])
+        depths = [rng.randint(1, 40) if rng.random() < share[g == "south"] else 0 for _, g in PEOPLE]
+        rows.append((f"mk{m:02d}", "".join(rng.choice("ACGT") for _ in range(rng.randint(6, 11))), depths))
+    return [*rows, ("mk-none", "TGCATGCA", [0] * len(PEOPLE))]
+
+
+ROWS = made()
 
 
 def table(spark, rows, popmap):
@@ -29,15 +46,18 @@ def table(spark, rows, popmap):
 
 
 @pytest.fixture(scope="module")
-def fx1(spark):
-    return table(spark, FX1, POP1)
+def small(spark):
+    return table(spark, ROWS, PEOPLE)
+
+
+EIGHT = [(f"{g[0]}{i}", g) for i in range(8) for g in ("reef", "lake")]
+SPLIT = [("both", "ACCA", [7] * 16), ("reefers", "CATT", [4, 0] * 8), ("lakers", "GGTA", [0, 6] * 8), ("some", "TTTA", [3, 3, 0, 0] * 4)]
 
 
 @pytest.fixture(scope="module")
-def fx2(spark):
-    pop = [(f"m{i}", "M") for i in range(10)] + [(f"f{i}", "F") for i in range(10)]
-    on, off = [10] * 10, [0] * 10
-    return table(spark, [("ALL", "A", on + on), ("MONLY", "C", on + off), ("FONLY", "G", off + on)], pop)
+def split(spark):
+    """Two markers that one group alone has, and two that both have."""
+    return table(spark, SPLIT, EIGHT)
 
 
 def as_long(t, spark):
@@ -47,39 +67,29 @@ def as_long(t, spark):
 # -- kernels ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(
-    "cell,chi,p,g,fisher,bf,posterior",
-    [
-        ((0, 1, 5, 5), 0, 1, 0.221036, 1, 0.611111, 0.000278162),
-        ((2, 2, 2, 2), math.nan, 1, 1, 1, 0.555556, 0.00130738),
-        ((2, 0, 2, 2), 1, 0.317311, 0.0185317, 0.333333, 3.33333, 0.0503561),
-        ((3, 0, 3, 2), 1.70139, 0.192106, 0.00947984, 0.1, 5, 0.0871201),
-        ((2, 2, 3, 2), 0, 1, 0.276353, 1, 0.833333, 0.00130738),
-        ((3, 0, 3, 3), 2.66667, 0.10247, 0.00392592, 0.1, 8.75, 0.146597),
-        ((10, 0, 10, 10), 16.2, 5.69941e-05, 1.3978e-07, 1.08251e-05, 32065.1, 0.998449),
-        ((5, 5, 10, 10), 0, 1, 1, 1, 0.50493, 3.69309e-07),
-        ((3, 7, 10, 10), 1.8, 0.179712, 0.0696472, 0.178895, 2.22674, 0.00121005),
-        ((10, 0, 15, 10), 8.50694, 0.00353794, 0.000136115, 0.000964892, 160.801, 0.170835),
-        ((20, 0, 20, 20), 36.1, 1.87447e-09, 9.57802e-14, 1.45089e-11, 1.28157e10, 1),
-        ((30, 2, 45, 55), 42.337, 7.68264e-11, 9.69711e-13, 3.64569e-12, 1.09489e10, 1),
-        ((8, 1, 10, 10), 7.27273, 0.00700094, 0.000903364, 0.00547749, 64.778, 0.468988),
-    ],
-)
-def test_cell_statistics(cell, chi, p, g, fisher, bf, posterior):
-    close = lambda x: pytest.approx(x, rel=2e-5, nan_ok=True)
-    assert kernels.chi_squared_yates(*cell) == close(chi)
-    assert kernels.p_chi_squared(*cell) == close(p)
-    assert kernels.p_g_test(*cell) == close(g)
-    assert kernels.p_fisher(*cell) == close(fisher)
-    assert kernels.bayes_factor(*cell) == close(bf)
-    assert kernels.posterior_linked(*cell) == close(posterior)
-    a, b, t1, t2 = cell
-    for f in (kernels.p_chi_squared, kernels.p_g_test, kernels.p_fisher, kernels.bayes_factor, kernels.posterior_linked):
-        assert f(b, a, t2, t1) == pytest.approx(f(*cell), rel=1e-9)
+def test_cell_statistics():
+    rng = random.Random(4)
+    cells = [(0, 0, 4, 3), (4, 3, 4, 3), (1, 0, 1, 1), (4, 0, 4, 6), (25, 1, 30, 40)]
+    for _ in range(150):
+        t1, t2 = rng.randint(1, 30), rng.randint(1, 30)
+        cells.append((rng.randint(0, t1), rng.randint(0, t2), t1, t2))
+    close = lambda x: pytest.approx(x, rel=1e-6, abs=2e-16)
+    for c in cells:
+        x = brute.chi(*c)
+        assert math.isnan(kernels.chi_squared_yates(*c)) if x is None else kernels.chi_squared_yates(*c) == close(x)
+        assert kernels.p_chi_squared(*c) == pytest.approx(brute.p_chi(*c), rel=1e-6, abs=1e-14)
+        assert kernels.p_g_test(*c) == pytest.approx(brute.p_g(*c), rel=1e-6, abs=1e-14)
+        assert kernels.p_fisher(*c) == close(brute.p_exact(*c))
+        assert kernels.bayes_factor(*c) == close(brute.factor(*c))
+        assert kernels.posterior_linked(*c) == close(brute.posterior(*c))
+        a, b, t1, t2 = c
+        for f in (kernels.p_chi_squared, kernels.p_g_test, kernels.p_fisher, kernels.bayes_factor, kernels.posterior_linked):
+            assert f(b, a, t2, t1) == pytest.approx(f(*c), rel=1e-9)
 
 
 def test_general_format():
-    assert [kernels.general(x) for x in (0.456056540250256, 0.0000569941162332776, 1.0, 0.0, -0.2, 0.0113988)] == ["0.456057", "5.69941e-05", "1", "0", "-0.2", "0.0113988"]
+    # The format of C's %g.
+    assert [kernels.general(x) for x in (2 / 3, 3.14e-7 / 3, 5.0, 0.0, -0.25, 123456789.0)] == ["0.666667", "1.04667e-07", "5", "0", "-0.25", "1.23457e+08"]
 
 
 def test_p_values_have_a_floor_and_fall_with_bias():
@@ -89,16 +99,20 @@ def test_p_values_have_a_floor_and_fall_with_bias():
 
 
 def test_benjamini_hochberg():
-    assert kernels.benjamini_hochberg([0.01, 0.04, 0.03, 0.5]) == pytest.approx([0.04, 0.16 / 3, 0.16 / 3, 0.5])
-    assert kernels.benjamini_hochberg([]) == []
+    rng = random.Random(8)
+    p = [rng.choice([rng.random(), 0.25]) for _ in range(40)]
+    assert kernels.benjamini_hochberg(p) == pytest.approx(brute.adjusted(p)) and kernels.benjamini_hochberg([]) == []
 
 
 def test_em_and_logistic():
-    cells = [(10, 0, 5), (5, 5, 95)]
-    prior, posterior = kernels.expectation_maximisation(cells, 10, 10)
-    assert prior == pytest.approx(0.05, abs=1e-3) and posterior[0] > 0.99
-    beta = kernels.logistic_regression(np.array([[0.0], [1.0]] * 2), np.array([0, 0, 1, 1]), np.array([3, 1, 1, 3]))
-    assert beta == pytest.approx([math.log(1 / 3), 2 * math.log(3)])
+    cells = [(9, 1, 8), (4, 5, 60), (0, 7, 3)]
+    prior, found = kernels.expectation_maximisation(cells, 10, 8)
+    # A fixed point: the mean posterior under the prior is the prior.
+    mean = sum(n * brute.posterior(a, b, 10, 8, prior) for a, b, n in cells) / 71
+    assert mean == pytest.approx(prior, abs=1e-6) and found == pytest.approx([brute.posterior(a, b, 10, 8, prior) for a, b, _ in cells])
+    x, y, w = np.array([[0.0], [0.0], [2.0], [2.0]]), np.array([1, 0, 1, 0]), np.array([2, 6, 5, 1])
+    beta = kernels.logistic_regression(x, y, w)  # saturated: the odds of each x are those that were seen
+    assert [math.exp(beta[0]), math.exp(beta[0] + 2 * beta[1])] == pytest.approx([2 / 6, 5 / 1])
 
 
 def test_upper_median():
@@ -117,95 +131,135 @@ def test_names():
 
 
 def test_groups():
-    g = resolve_groups(POP1)
-    assert (g.group1, g.group2, g.total1, g.total2) == ("M", "F", 3, 2)
-    assert resolve_groups(POP1, "F", "M").total1 == 2
+    g = resolve_groups(PEOPLE)
+    assert (g.group1, g.group2, g.total1, g.total2) == ("north", "south", 4, 3)
+    assert resolve_groups(PEOPLE, "south", "north").total1 == 3
     for bad in ([("a", "x")], [("a", "x"), ("b", "y"), ("c", "z")], [("a", "x"), ("a", "y")]):
         with pytest.raises(MarkerError):
             resolve_groups(bad)
-    with pytest.raises(MarkerError):
-        resolve_groups(POP1, "M", "typo")
-    with pytest.raises(MarkerError):
-        resolve_groups(POP1, "M")
+    for names in (("north", "nowhere"), ("north", None), ("south", "south")):
+        with pytest.raises(MarkerError):
+            resolve_groups(PEOPLE, *names)
 
 
 # -- commands --------------------------------------------------------------------------------------------------------------
 
 
-def test_freq(fx1, spark):
-    for t in (fx1, as_long(fx1, spark)):
-        assert [tuple(r) for r in t.freq().orderBy("Frequency").collect()] == [(1, 0), (2, 1), (3, 1), (4, 1), (5, 1)]
+def test_freq(small, spark):
+    for t in (small, as_long(small, spark)):
+        for least in (1, 12):
+            assert [tuple(r) for r in t.freq(min_depth=least).orderBy("Frequency").collect()] == brute.freq(ROWS, len(PEOPLE), least)
 
 
-def test_min_depth_is_checked(fx1):
+def test_min_depth_is_checked(small):
     with pytest.raises(MarkerError):
-        fx1.freq(min_depth=0)
+        small.freq(min_depth=0)
+
 
+@pytest.mark.parametrize("frequency", [0.2, 0.5, 0.9])
+def test_depth(small, spark, frequency):
+    for t in (small, as_long(small, spark)):
+        assert sorted(tuple(r) for r in t.depth(min_frequency=frequency).collect()) == sorted(brute.depth(ROWS, PEOPLE, frequency))
 
-def test_depth(fx1, spark):
-    expected = [("ind1", "M", 30, 3, 4, 0, 15, 10, 7), ("ind2", "M", 25, 2, 4, 0, 20, 5, 6), ("ind3", "M", 21, 3, 4, 0, 10, 8, 5), ("ind4", "F", 45, 3, 4, 0, 25, 12, 11), ("ind5", "F", 43, 3, 4, 0, 30, 7, 10)]
-    for t in (fx1, as_long(fx1, spark)):
-        assert [tuple(r) for r in t.depth(min_frequency=0.5).orderBy("Sample").collect()] == expected
+
+def test_depth_without_a_threshold_or_a_marker(small, spark):
+    assert sorted(tuple(r) for r in small.depth(min_frequency=0).collect()) == sorted(brute.depth(ROWS, PEOPLE, 0))
+    lonely = table(spark, [("x", "A", [1, *[0] * 6])], PEOPLE)
+    assert {(r.Retained, r.Median_depth) for r in lonely.depth(min_frequency=0.9).collect()} == {(0, 0)}
     with pytest.raises(MarkerError):
-        table(spark, [("0", "A", [1, 0, 0, 0, 0])], POP1).depth(min_frequency=0.9, strict=True)
+        lonely.depth(min_frequency=0.9, strict=True)
 
 
 def test_depth_of_a_formula(spark):
     n = 20000
-    rows = spark.range(n).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("id"), F.lit("A").alias("sequence"), F.array(*[((F.col("id") + 7 * i) % 23).cast("int") for i in range(8)]).alias("depths"))
-    t = MarkerTable(rows, [f"ind{i}" for i in range(8)], [(f"ind{i}", "M" if i < 4 else "F") for i in range(8)])
-    for i, r in enumerate(t.depth(min_frequency=0.5).orderBy("Sample").collect()):
-        d = [(m + 7 * i) % 23 for m in range(n)]
-        assert tuple(r)[2:] == (sum(d), sum(x > 0 for x in d), n, 0, 22, kernels.upper_median(d), sum(d) // n)
-
-
-def test_distrib_exact(spark):
-    pop = [("a", "M"), ("b", "M"), ("c", "F"), ("d", "F")]
-    t = table(spark, [("0", "A", [9, 9, 9, 9]), ("1", "C", [9, 9, 0, 0]), ("2", "G", [0, 0, 9, 9])], pop)
-    rows = {(r.M, r.F): r for r in t.distrib().collect()}
-    assert len(rows) == 8 and {k for k, r in rows.items() if r.Markers} == {(2, 2), (2, 0), (0, 2)}
-    assert rows[2, 2].P == 1 and rows[2, 0].P == pytest.approx(0.317311, abs=1e-6) and rows[2, 0].CorrectedP == pytest.approx(0.951932, abs=1e-6)
-    assert rows[2, 0].Bias == 1 and not rows[2, 0].Signif
-    swapped = {(r.M, r.F): r for r in t.distrib(group1="F", group2="M").collect()}
-    assert all(swapped[k].P == pytest.approx(rows[k].P) and swapped[k].Bias == pytest.approx(-rows[k].Bias) for k in rows)
-
-
-def test_fdr_of_distrib_is_fdr(fx2):
-    fdr = {(r.M, r.F): r.CorrectedP for r in fx2.distrib(correction="fdr", empty_cells=False).collect()}
-    p = kernels.p_chi_squared(10, 0, 10, 10)
-    assert fdr[10, 0] == pytest.approx(1.5 * p) and fdr[10, 10] == 1
-
-
-def test_signif(fx1, spark):
-    for t in (fx1, as_long(fx1, spark)):
-        assert t.signif(correction="none").count() == 0
-        assert sorted(r.id for r in t.signif(correction="none", test="gtest").collect()) == ["1", "2"]
-    row = fx1.signif(correction="none", test="gtest", bayes=True).where("id = '1'").first()
-    assert row.p == pytest.approx(0.00947984, rel=1e-5) and row.Bayes_Factor == pytest.approx(5) and row.depths == [15, 20, 10, 0, 0]
+    depths = [F.pmod(F.col("id") * 5 + 3 * i * i, F.lit(17)).cast("int") for i in range(6)]
+    rows = spark.range(n).select(F.col("id").alias("ord"), F.col("id").cast("string").alias("id"), F.lit("A").alias("sequence"), F.array(*depths).alias("depths"))
+    people = [(f"p{i}", GROUPS[i % 2]) for i in range(6)]
+    t = MarkerTable(rows, [x for x, _ in people], people)
+    assert sorted(tuple(r) for r in t.depth(min_frequency=0.7).collect()) == sorted(brute.depth([(m, "A", [(5 * m + 3 * i * i) % 17 for i in range(6)]) for m in range(n)], people, 0.7))
+
+
+def of_markers(df, *columns):
+    return {r["id"]: tuple(r[c] for c in columns) for r in df.collect()}
+
+
+@pytest.mark.parametrize("test,p_of", [("chisq", brute.p_chi), ("gtest", brute.p_g), ("fisher", brute.p_exact)])
+def test_distrib(small, spark, test, p_of):
+    expected = brute.tested(ROWS, PEOPLE, GROUPS, 1, p_of)
+    n = len(expected)
+    for correction, place in (("none", 3), ("bonferroni", 4), ("fdr", 5)):
+        by_cell = {}
+        for x in expected.values():
+            by_cell.setdefault(x[:2], []).append(x)
+        for t in (small, as_long(small, spark)):
+            got = {(r.north, r.south): r for r in t.distrib(test=test, correction=correction).collect()}
+            assert len(got) == 5 * 4 - 1 and {c for c, r in got.items() if r.Markers} == set(by_cell) - {(0, 0)}
+            for c, r in got.items():
+                assert r.Markers == len(by_cell.get(c, [])) and r.Bias == pytest.approx(c[0] / 4 - c[1] / 3) and r.P == pytest.approx(p_of(*c, 4, 3))
+                if c in by_cell:
+                    assert r.CorrectedP == pytest.approx(by_cell[c][0][place])
+                assert r.Signif == ((r.CorrectedP if correction == "fdr" else r.P) < single(0.05) / (n if correction == "bonferroni" else 1))
+    swapped = {(r.south, r.north): r for r in small.distrib(group1="south", group2="north", test=test).collect()}
+    assert all(swapped[r.south, r.north].P == pytest.approx(r.P) and swapped[r.south, r.north].Bias == pytest.approx(-r.Bias) for r in small.distrib(test=test).collect())
+
+
+def test_fdr_over_many_p_values(spark):
+    """Ranks and minima that go on from task to task."""
+    people = [(f"p{i}", GROUPS[i % 2]) for i in range(60)]
+    rng = random.Random(3)
+    rows = [(str(m), "A", [int(rng.random() < (a, b)[i % 2]) for i in range(60)]) for m in range(300) for a, b in [(rng.random(), rng.random())]]
+    expected = brute.tested(rows, people, GROUPS)
+    for r in table(spark, rows, people).signif(correction="fdr", threshold=0.6, depths=False).repartition(7).collect():
+        assert r.p_corrected == pytest.approx(expected[r.id][5])
+    assert table(spark, rows, people).signif(correction="fdr", threshold=0.6).count() == sum(x[5] < single(0.6) for x in expected.values())
+
+
+def test_signif(small, spark):
+    for test, p_of in (("chisq", brute.p_chi), ("gtest", brute.p_g)):
+        expected = brute.tested(ROWS, PEOPLE, GROUPS, 1, p_of)
+        for correction, place in (("none", 3), ("bonferroni", 4), ("fdr", 5)):
+            for t in (small, as_long(small, spark)):
+                got = of_markers(t.signif(correction=correction, test=test, threshold=0.3), "g1", "g2", "p", "p_corrected")
+                assert set(got) == {i for i, x in expected.items() if x[place] < 0.3}
+                assert all(got[i] == (*expected[i][:2], pytest.approx(expected[i][3]), pytest.approx(expected[i][place])) for i in got)
+    rows = small.signif(correction="none", test="gtest", threshold=0.3, bayes=True).collect()
+    assert rows and all(r.Bayes_Factor == pytest.approx(brute.factor(r.g1, r.g2, 4, 3)) and r.Posterior_SexLinked == pytest.approx(brute.posterior(r.g1, r.g2, 4, 3)) for r in rows)
+    assert all(r.depths == dict((i, d) for i, _, d in ROWS)[r.id] for r in rows)
 
 
 def test_a_third_group_counts_among_the_tests(spark):
-    pop = [*POP1, ("x", "other")]
-    t = table(spark, [(i, s, [*d, 0]) for i, s, d in FX1] + [("4", "T", [0, 0, 0, 0, 3]), ("5", "TT", [0, 0, 0, 0, 0, 5])], pop)
-    got = {(r.g1, r.g2): (r.markers, r.n_markers) for r in __import__("markerloom.plans.cells", fromlist=["cells"]).cells(t.counts(1, t.groups("M", "F"))).collect()}
-    assert got[0, 0] == (1, 6) and t.n_markers() == 6
-
-
-def test_subset(fx1, spark):
-    for t in (fx1, as_long(fx1, spark)):
-        assert [r.id for r in t.subset(range1=(2, 3), range2=(0, 0), total=(2, 5)).collect()] == ["1"]
-    assert fx1.subset(statistics=True).count() == 4
-
-
-def test_triage(fx2):
-    rows = {r.id: r for r in fx2.triage().collect()}
-    assert set(rows) == {"MONLY", "FONLY"} and len(fx2.triage().columns) == 20
-    r = rows["MONLY"]
-    assert r.Candidate_Class == "strict+posterior" and r.Bias_Direction == "M-biased" and r.Bias == 1
-    assert (r.P, r.CorrectedP, r.Bayes_Factor, r.Posterior_SexLinked) == tuple(pytest.approx(x, rel=1e-5) for x in (5.69941e-05, 0.000170982, 32065.1, 0.998449))
-    assert rows["FONLY"].Bias == -1 and rows["FONLY"].Bias_Direction == "F-biased"
-    assert fx2.triage(threshold=1e-9, posterior_threshold=0.9999, bayes_factor_threshold=1e9).count() == 0
-    assert [r.id for r in ranked(fx2.triage(), 1).collect()] == ["FONLY"]
+    from markerloom.plans.cells import cells
+
+    people = [*PEOPLE, ("alien", "west")]
+    t = table(spark, [*[(i, s, [*d, 0]) for i, s, d in ROWS], ("theirs", "T", [0] * 7 + [5])], people)
+    n = sum(any(d) for _, _, d in ROWS) + 1
+    assert {(r.markers, r.n_markers) for r in cells(t.counts(1, t.groups(*GROUPS))).where("g1 = 0 AND g2 = 0").collect()} == {(1, n)} and t.n_markers() == n
+
+
+def test_subset(small, spark):
+    inside = lambda x: 2 <= x[0] <= 4 and x[1] <= 2 and 3 <= x[2] <= 6
+    expected = {i: x for i, x in brute.tested(ROWS, PEOPLE, GROUPS, 3).items() if inside(x)}
+    for t in (small, as_long(small, spark)):
+        assert of_markers(t.subset(min_depth=3, range1=(2, 4), range2=(0, 2), total=(3, 6)), "g1", "g2", "n_ind") == {i: x[:3] for i, x in expected.items()}
+        got = of_markers(t.subset(min_depth=3, range1=(2, 4), range2=(0, 2), total=(3, 6), statistics=True, correction="fdr"), "p", "p_corrected")
+        assert got == {i: (pytest.approx(x[3]), pytest.approx(x[5])) for i, x in expected.items()} and expected
+
+
+def test_triage(split, spark):
+    limits = {"threshold": 0.02, "posterior_threshold": 0.5, "bayes_factor_threshold": 4.0}
+    for t in (split, as_long(split, spark)):
+        rows = {r.id: r for r in t.triage(**limits).collect()}
+        assert set(rows) == {"reefers", "lakers"} and len(t.triage().columns) == 20
+        for i, (a, b) in (("reefers", (8, 0)), ("lakers", (0, 8))):
+            r, p = rows[i], brute.p_chi(a, b, 8, 8)
+            assert (r.P, r.CorrectedP, r.Bayes_Factor, r.Posterior_SexLinked) == tuple(pytest.approx(x) for x in (p, 4 * p, brute.factor(a, b, 8, 8), brute.posterior(a, b, 8, 8)))
+            assert (r.Bias, r.Group1_Penetrance, r.Bias_Direction) == ((1, 1, "reef-biased") if a else (-1, 0, "lake-biased"))
+            assert (r.Strict_Call, r.Posterior_Call, r.Bayes_Factor_Call, r.Candidate_Class) == (True, True, True, "strict+posterior")
+    assert {r.Candidate_Class for r in split.triage(threshold=1e-9, posterior_threshold=0.5).collect()} == {"posterior_only"}
+    assert {r.Candidate_Class for r in split.triage(threshold=1e-9, posterior_threshold=0.9999).collect()} == {"bayes_factor_only"}
+    assert split.triage(threshold=1e-9, posterior_threshold=0.9999, bayes_factor_threshold=1e9).count() == 0
+    first = ranked(split.triage(), 2).collect()
+    assert [(r.rank, r.id) for r in first] == [(1, "lakers"), (2, "reefers")]
 
 
 def test_layouts_agree(spark):
@@ -217,27 +271,34 @@ def test_layouts_agree(spark):
         a, b = getattr(t, name)(**kw), getattr(long, name)(**kw)
         a, b = a.drop("ord"), b.drop("ord")
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect())), name
-    assert sorted((r.id, r.depths) for r in long.arrays().df.collect()) == sorted((r.id, r.depths) for r in t.df.where("exists(depths, d -> d > 0)").collect())
+    back = long.arrays().df.orderBy("ord").collect()
+    assert sorted((r.id, r.depths) for r in back) == sorted((r.id, r.depths) for r in t.df.where("exists(depths, d -> d > 0)").collect())
+    assert [r.id for r in back] == sorted(r.id for r in back) and [r.ord for r in back] == list(range(len(back)))
 
 
-def test_pca(fx1):
-    result = fx1.pca()
+def test_pca(small):
+    result = small.pca()
     rows = result.components.orderBy("component").collect()
-    assert result.total_variance == pytest.approx(1306)
-    assert [r.eigenvalue for r in rows] == pytest.approx([1141.465948, 139.785556, 24.748496, 0, 0], abs=1e-5)
-    assert [r.variance_fraction for r in rows] == pytest.approx([0.874017, 0.107033, 0.018950, 0, 0], abs=1e-6)
-    assert fx1.pca(components=2).loadings.columns == ["individual", "PC1", "PC2"]
-
-
-def test_merge(fx1, spark):
-    other = table(spark, [("0", "atcgatcg", [3, 9]), ("1", "TTTTAAAA", [5, 7])], [("ind6", "M"), ("ind7", "F")])
-    t = merge([fx1, other])
-    assert t.individuals == [f"ind{i}" for i in range(1, 8)]
+    x = np.array([d for _, _, d in ROWS if any(d)], float)
+    values = np.sort(np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2)[::-1]
+    assert result.n_markers == len(x) and result.total_variance == pytest.approx(((x - x.mean(axis=0)) ** 2).sum())
+    assert [r.eigenvalue for r in rows] == pytest.approx(values.tolist()) and [r.cumulative for r in rows] == pytest.approx((np.cumsum(values) / values.sum()).tolist())
+    loadings = np.array([[r[f"PC{k + 1}"] for k in range(len(PEOPLE))] for name, _ in PEOPLE for r in result.loadings.collect() if r.individual == name])
+    assert loadings.T @ loadings == pytest.approx(np.eye(len(PEOPLE)), abs=1e-9)
+    centred = (x - x.mean(axis=0)).T @ (x - x.mean(axis=0))
+    assert centred @ loadings[:, 0] == pytest.approx(values[0] * loadings[:, 0])
+    assert small.pca(components=2).loadings.columns == ["individual", "PC1", "PC2"]
+
+
+def test_merge(small, spark):
+    again = [("x", ROWS[3][1].lower(), [11, 2]), ("y", "NNCC", [0, 1]), ("z", "AACC", [65000, 0]), ("w", "TACC"[1:], [4, 4])]
+    more = [("p", "AACC", [65000])]
+    t = merge([small, table(spark, again, [("one", "m"), ("two", "f")]), table(spark, more, [("kea", "north")])])
+    assert t.individuals == [*[x for x, _ in PEOPLE], "one", "two", "kea"]
+    expected = {s: d for s, d in brute.merged([(ROWS, 7), (again, 2), (more, 1)]).items() if any(d)}
     rows = [(r.ord, r.sequence, r.depths) for r in t.df.orderBy("ord").collect()]
-    assert [r[1] for r in rows] == ["AAAATTTT", "ATCGATCG", "CCCCTTTT", "GGGGAAAA", "TTTTAAAA"] and [r[0] for r in rows] == list(range(5))
-    assert rows[1][2] == [10, 5, 8, 12, 7, 3, 9] and rows[4][2] == [0, 0, 0, 0, 0, 5, 7]
-    big = table(spark, [("0", "A", [65000]), ("1", "N", [65000])], [("a", "M")])
-    assert [r.depths for r in merge([big]).df.collect()] == [[65535]]
+    assert rows == [(k, s, expected[s]) for k, s in enumerate(sorted(expected, key=lambda s: (len(s) % 4, s)))]
+    assert merge([table(spark, more * 2, [("a", "b")])]).df.first().depths == [65535]
     with pytest.raises(MarkerError):
         merge([])
 
@@ -253,26 +314,56 @@ def test_ids_are_in_order_over_many_partitions(spark):
 # -- reads -----------------------------------------------------------------------------------------------------------------
 
 
+READS = {"kea": ["CCATGGTTAAC", "TTACCA", "CCATGGTTAAC"], "moa": ["TTACCA", "ccatggttaac"], "weka": ["GATTACA"] * 4}
+
+
 @pytest.fixture()
 def read_folder(tmp_path):
-    for i in range(1, 6):
-        records = ["ATCGATCGATCG"] * 2 + (["GGGGAAAA"] if i < 3 else [])
-        text = "".join(f"@r{k}\n{s}\n+\n{'@' * len(s)}\n" for k, s in enumerate(records)).encode()
-        if i == 2:
-            (tmp_path / "ind2.fq.gz").write_bytes(gzip.compress(text))
-        else:
-            (tmp_path / f"ind{i}.fastq").write_bytes(text)
-    (tmp_path / "notes.txt").write_text("not reads")
+    for k, (name, reads) in enumerate(READS.items()):
+        fastq = "".join(f"@{name}{n}\n{s}\n+{name}\n{'@' * len(s)}\n" for n, s in enumerate(reads))
+        fasta = "".join(f">{name}{n} x\r\n{s[:4]}\r\n{s[4:]}\r\n" for n, s in enumerate(reads))
+        (tmp_path / f"{name}.{('fq.gz', 'FASTA', 'fastq')[k]}").write_bytes((gzip.compress(fastq.encode()), fasta.encode(), fastq.encode())[k])
+    (tmp_path / "list.txt").write_text("no reads in here")
     return str(tmp_path)
 
 
 def test_process(spark, read_folder):
     people = readers.individuals_of(spark, read_folder)
-    assert people == [f"ind{i}" for i in range(1, 6)]
+    assert people == sorted(READS)
     reads = readers.read_fastx(spark, read_folder)
-    assert [(r.sequence, r.depths) for r in process(reads, people).df.orderBy("ord").collect()] == [("ATCGATCGATCG", [2] * 5), ("GGGGAAAA", [1, 1, 0, 0, 0])]
-    assert [r.sequence for r in process(reads, min_depth=2).df.collect()] == ["ATCGATCGATCG"]
-    assert process(reads, [*people, "silent"]).df.first().depths[-1] == 0
+    counts = Counter((s.upper(), name) for name, own in READS.items() for s in own)
+    expected = [(s, [counts[s, x] for x in people]) for s in sorted({s for s, _ in counts})]
+    assert [(r.sequence, r.depths) for r in process(reads, people).df.orderBy("ord").collect()] == expected
+    assert [(r.sequence, r.depths) for r in process(reads, people, min_depth=2).df.orderBy("ord").collect()] == [x for x in expected if max(x[1]) > 1]
+    assert {r.depths[-1] for r in process(reads, [*people, "silent"]).df.collect()} == {0}
+
+
+def test_reads_that_splits_cut(spark, tmp_path):
+    """Small splits, quality lines that look like headers, and sequences over several splits."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    fastq = [(f"r{k}", word(rng.randint(1, 90))) for k in range(400)]
+    (tmp_path / "a b.fastq").write_text("".join(f"@{n}\n{s}\n+\n{rng.choice('@+>I') * len(s)}\n" for n, s in fastq))
+    fasta = [(f"c{k}", word(rng.choice([3, 70, 5000]))) for k in range(30)]
+    (tmp_path / "g.fa").write_text("".join(f">{n}\n" + "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)) for n, s in fasta))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1000")
+        got = readers.read_fastx(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.name, r.sequence) for r in got if r.individual == "a b") == sorted(fastq)
+    assert sorted((r.name, r.sequence) for r in got if r.individual == "g") == sorted(fasta)
+
+
+def test_tiles_are_those_of_slices(spark):
+    from markerloom.operators.align import tiles
+
+    text = "".join(random.Random(0).choice("ACGTn") for _ in range(1037))
+    got = {(r.contig, r.tile_start): r.tile for r in tiles(spark.createDataFrame([("x", text), ("y", "AC"), ("z", "")], "contig string, sequence string"), 100, 7).collect()}
+    assert got == {("x", at): text.upper()[at : at + 107] for at in range(0, 1037, 100)} | {("y", 0): "AC"}
 
 
 def test_no_reads(spark, tmp_path):
@@ -282,14 +373,21 @@ def test_no_reads(spark, tmp_path):
 
 
 def test_kmer_dedup(spark):
-    reads = spark.createDataFrame([("a", "ATCGATCG")] * 3 + [("b", "CGATCGAT")] * 2 + [("b", "TTTTTTTT")], "individual string, sequence string")
-    assert sorted(r.sequence for r in process(reads, kmer_dedup=4).df.collect()) == ["ATCGATCG", "TTTTTTTT"]
+    rng = random.Random(2)
+    counts = {"".join(rng.choice("ACGT") for _ in range(rng.randint(3, 9))): rng.randint(1, 5) for _ in range(40)}
+    reads = spark.createDataFrame([("p", s) for s, n in counts.items() for _ in range(n)], "individual string, sequence string")
+    best = {}
+    for s in sorted(counts, key=lambda s: (-counts[s], s)):
+        best.setdefault(brute.signature(s, 5), s)
+    assert sorted(r.sequence for r in process(reads, kmer_dedup=5).df.collect()) == sorted(best.values()) and len(best) < len(counts)
 
 
 def test_sequences(spark):
-    df = spark.createDataFrame([("ATCGATCG", "acgNt"), ("CGATCGAT", "x")], "a string, b string")
-    got = df.select(kmer_signature(F.col("a"), 4), normalised(F.col("b")), reverse_complement(F.col("a")), kmer_signature(F.col("a"), 20)).collect()
-    assert [tuple(r) for r in got] == [("ATCG", "ACGAT", "CGATCGAT", "ATCGATCG"), ("ATCG", "A", "ATCGATCG", "CGATCGAT")]
+    rng = random.Random(1)
+    words = ["".join(rng.choice("ACGT") for _ in range(rng.randint(1, 14))) for _ in range(50)]
+    for r in spark.createDataFrame([(s,) for s in words], "s string").select("s", kmer_signature(F.col("s"), 6).alias("k"), reverse_complement(F.col("s")).alias("r")).collect():
+        assert (r.k, r.r) == (brute.signature(r.s, 6), brute.reverse_complement(r.s))
+    assert [r[0] for r in spark.createDataFrame([("gatNXc",), ("-",)], "s string").select(normalised(F.col("s"))).collect()] == ["GATAAC", "A"]
 
 
 def test_map(spark, tmp_path):
@@ -300,8 +398,8 @@ def test_map(spark, tmp_path):
     assert sorted((r.contig, r.length) for r in genome.collect()) == [("chr1", 25000), ("chr2", 400)]
     comp = str.maketrans("ACGT", "TGCA")
     near = chr1[9990:10080]
-    rows = [("exact", chr1[101:191], [5] * 5), ("edge", near[:40] + ("A" if near[40] != "A" else "C") + near[41:], [5] * 5), ("reverse", chr2[50:140].translate(comp)[::-1], [5] * 5), ("absent", "".join(rng.choice(list("ACGT"), 90)), [5] * 5), ("rare", chr1[300:390], [0] * 5)]
-    got = {r.Marker_id: (r.Contig, r.Position, r.Length) for r in table(spark, rows, POP1).map(genome).collect()}
+    rows = [("exact", chr1[101:191], [5] * 7), ("edge", near[:40] + ("A" if near[40] != "A" else "C") + near[41:], [5] * 7), ("reverse", chr2[50:140].translate(comp)[::-1], [5] * 7), ("absent", "".join(rng.choice(list("ACGT"), 90)), [5] * 7), ("rare", chr1[300:390], [0] * 7)]
+    got = {r.Marker_id: (r.Contig, r.Position, r.Length) for r in table(spark, rows, PEOPLE).map(genome).collect()}
     assert got == {"exact": ("chr1", 101, 25000), "edge": ("chr1", 9990, 25000), "reverse": ("chr2", 50, 400)}
 
 
@@ -323,73 +421,96 @@ def test_hits_of_long_markers(spark):
 # -- sources and sinks -------------------------------------------------------------------------------------------------------
 
 
-def test_tsv_round_trip(fx1, spark, tmp_path):
+def test_tsv_round_trip(small, spark, tmp_path):
     path = f"{tmp_path}/t.tsv"
-    writers.write_markers(fx1, path)
-    assert open(path).readline() == "#Number of markers : 4\n"
-    back = readers.read_marker_tsv(spark, path, POP1)
-    assert back.individuals == fx1.individuals and [(r.id, r.sequence, r.depths) for r in back.df.orderBy("ord").collect()] == FX1
+    writers.write_markers(small, path)
+    back = readers.read_marker_tsv(spark, path, PEOPLE)
+    assert back.individuals == small.individuals and [(r.id, r.sequence, r.depths) for r in back.df.orderBy("ord").collect()] == ROWS
+    assert open(path).readline() == f"#Number of markers : {len(ROWS)}\n"
+    writers.write_marker_rows(small, f"{tmp_path}/rows")
+    assert sorted((r.id, r.sequence, r.depths) for r in readers.read_marker_tsv(spark, f"{tmp_path}/rows", PEOPLE, [x for x, _ in PEOPLE]).df.collect()) == sorted(ROWS)
 
 
 def test_tsv_details(spark, tmp_path):
-    (tmp_path / "t.tsv").write_bytes(b"#Number of markers : 9\r\nid\tsequence\ta\ta\tb\r\n0\tAC\t65536\t999999\t1\r\n\r\nshort\tx\r\n1\tGT\t2\t\tz\textra\r\n")
+    lines = [b"# written by hand", b"Locus\tseq\tx\tx\ty", b"id\tCA\t70000\t12345678\t3", b"", b"cut\tshort", b"7\tGG\t5\t\tmany\tmore"]
+    (tmp_path / "t.tsv").write_bytes(b"\r\n".join(lines) + b"\r\n")
     t = readers.read_marker_tsv(spark, f"{tmp_path}/t.tsv")
-    assert t.individuals == ["a", "a", "b"] and [r.depths for r in t.df.orderBy("ord").collect()] == [[65535, 65535, 1], [2, 0, 0]]
-    (tmp_path / "p.tsv").write_text("i1\tM\r\n\nbad\ni2\tF\tx\ni3\tF\n")
-    assert readers.read_popmap(spark, f"{tmp_path}/p.tsv") == [("i1", "M"), ("i3", "F")]
+    assert t.individuals == ["x", "x", "y"] and [(r.id, r.depths) for r in t.df.orderBy("ord").collect()] == [("id", [65535, 65535, 3]), ("7", [5, 0, 0])]
+    (tmp_path / "e.tsv").write_text("#nothing\n")
+    with pytest.raises(MarkerError):
+        readers.read_marker_tsv(spark, f"{tmp_path}/e.tsv")
+    (tmp_path / "p.tsv").write_text("kea\tnorth\r\n\nlonely\ntui\tsouth\tx\nmoa\tnorth\n")
+    assert readers.read_popmap(spark, f"{tmp_path}/p.tsv") == [("kea", "north"), ("moa", "north")]
+    (tmp_path / "q.tsv").write_text("".join(f"i{k}\tg\n" for k in range(65536)))
+    with pytest.raises(MarkerError):
+        readers.read_popmap(spark, f"{tmp_path}/q.tsv")
 
 
-def test_frames(spark, fx1, tmp_path):
-    wide = pa.table({"id": ["0", "1"], "sequence": ["AC", "GT"], "i": [70000, -3], "f": [1.6, float("nan")], "s": ["70000", "x"], "n": pa.array([None, 4], pa.int32())})
+def test_frames(spark, small, tmp_path):
+    wide = pa.table({"id": ["a1", "2"], "sequence": ["AC", "GT"], "i": [70000, -3], "f": [1.6, float("nan")], "s": ["70000", "x"], "n": pa.array([None, 4], pa.int32())})
     t = readers.from_arrow(spark, wide, pa.table({"x": ["i"], "y": ["M"]}))
-    assert [r.depths for r in t.df.orderBy("id").collect()] == [[65535, 2, 65535, 0], [0, 0, 0, 4]] and t.popmap == [("i", "M")]
+    assert [r.depths for r in t.df.orderBy(F.desc("id")).collect()] == [[65535, 2, 65535, 0], [0, 0, 0, 4]] and t.popmap == [("i", "M")]
     with pytest.raises(MarkerError):
         readers.from_frame(spark.createDataFrame([("0", "A")], "id string, sequence string"))
-    writers.write_parquet(fx1, f"{tmp_path}/m.parquet")
-    back = readers.read_marker_parquet(spark, f"{tmp_path}/m.parquet", POP1)
-    assert sorted((r.id, r.depths) for r in back.df.collect()) == [(i, d) for i, _, d in FX1]
+    writers.write_parquet(small, f"{tmp_path}/m.parquet")
+    back = readers.read_marker_parquet(spark, f"{tmp_path}/m.parquet", PEOPLE)
+    assert sorted((r.id, r.sequence, r.depths) for r in back.df.collect()) == sorted(ROWS)
+    assert sorted(r.id for r in small.to_dataframe().collect()) == sorted(i for i, _, _ in ROWS) and all(v is not None for r in small.to_dataframe().collect() for v in r)
+    numbers = table(spark, [("10", "A", [1] * 7), ("9", "C", [0] * 7)], PEOPLE).to_dataframe()
+    assert dict(numbers.dtypes)["id"] == "bigint" and sorted(r.id for r in numbers.collect()) == [9, 10]
+    assert {r.id for r in table(spark, [("010", "A", [1] * 7)], PEOPLE).to_dataframe().collect()} == {"010"}
 
 
-def test_text_sinks(fx2, spark, tmp_path):
+def test_text_sinks(split, spark, tmp_path):
     path = f"{tmp_path}/d.tsv"
-    writers.write_tsv(fx2.distrib(empty_cells=False), path, metadata={"source": "distrib", "min_depth": 1}, order=["M", "F"])
+    writers.write_tsv(split.distrib(empty_cells=False), path, metadata={"source": "distrib", "min_depth": 1}, order=["reef", "lake"])
     lines = open(path).read().splitlines()
-    assert lines[0] == "#source:distrib;min_depth:1" and lines[1].split("\t") == ["M", "F", "Markers", "P", "CorrectedP", "Signif", "Bias"]
-    assert lines[3] == "10\t0\t1\t5.69941e-05\t0.000170982\tTrue\t1"
+    assert lines[0] == "#source:distrib;min_depth:1" and lines[1].split("\t") == ["reef", "lake", "Markers", "P", "CorrectedP", "Signif", "Bias"]
+    p = brute.p_chi(8, 0, 8, 8)
+    assert lines[-2] == f"8\t0\t1\t{p:g}\t{4 * p:g}\tTrue\t1"
     assert spark.createDataFrame([(lines[0],)], "l string").select(analysis.metadata(F.col("l")).alias("m")).first().m == {"source": "distrib", "min_depth": "1"}
-    found = writers.fasta(fx2.signif(), fx2.groups(), 1).collect()
-    assert any(r.value.startswith(">MONLY_F:0_M:10_p:") and r.value.endswith("_mindepth:1\nC") for r in found)
-    writers.write_pca(fx2.pca(components=2), f"{tmp_path}/pca")
+    frame, meta = readers.read_result_tsv(spark, path)
+    assert meta == {"source": "distrib", "min_depth": "1"} and frame.columns == lines[1].split("\t")
+    assert sorted((r.reef, r.lake, r.Markers, r.Signif) for r in frame.collect()) == sorted((r.reef, r.lake, r.Markers, r.Signif) for r in split.distrib(empty_cells=False).collect())
+    found = writers.fasta(split.signif(), split.groups(), 1).collect()
+    assert any(r.value.startswith(">reefers_lake:0_reef:8_p:") and r.value.endswith("_mindepth:1\nCATT") for r in found)
+    writers.write_pca(split.pca(components=2), f"{tmp_path}/pca")
     assert (tmp_path / "pca" / "eigenvalues.tsv").read_text().startswith("component\teigenvalue\tvariance_fraction\tcumulative\n1\t")
 
 
 # -- analysis ----------------------------------------------------------------------------------------------------------------
 
 
-def test_analysis(fx2, spark):
-    tri = fx2.triage()
-    assert analysis.sex_system(tri).first().system == "ambiguous"
-    assert analysis.sex_system(tri.where("id = 'MONLY'")).first().system == "XY"
+def test_analysis(split, spark):
+    from markerloom.plans.cells import cells
+
+    tri = split.triage()
+    assert analysis.sex_system(tri, "reef", "lake").first().system == "ambiguous"
+    assert analysis.sex_system(tri.where("id = 'reefers'"), "reef", "lake").first().system == "XY"
+    assert analysis.sex_system(tri.where("id = 'lakers'"), "reef", "lake").first().system == "ZW"
     assert analysis.call_sets(tri).first().both == 2
-    e = analysis.table_evidence(fx2).first()
-    assert (e.n_markers, e.bf_over_10, e.posterior_over_90) == (3, 2, 2)
-    assert 0.5 < analysis.prior_by_em(fx2) < 0.7
-    g = fx2.groups()
-    cells = __import__("markerloom.plans.cells", fromlist=["cells"]).cells(fx2.counts(1, g))
-    assert {r.n_over for r in analysis.prior_sensitivity(cells, g, priors=[0.01], linked=[0.9]).collect()} == {2}
-    assert analysis.depth_stability({1: tri, 20: fx2.triage(min_depth=20)}).where("min_depth = 20").first().n_markers == 0
-    assert analysis.freq_summary(fx2.freq()).first().singletons == 0
-    assert analysis.depth_summary(fx2.depth()).count() == 2
-    assert analysis.distrib_summary(fx2.distrib()).first().significant_markers == 2
-    assert analysis.signif_summary(fx2.signif(bayes=True)).first().bf_over_10 == 2
-    assert analysis.joined_calls(fx2.signif(), tri).count() == 2
-    assert analysis.loading_means(fx2.pca(components=1).loadings, fx2.popmap_frame()).count() == 2
+    e = analysis.table_evidence(split).first()
+    assert (e.n_markers, e.bf_over_10, e.posterior_over_90) == (4, 2, 2) and e.posterior_mass == pytest.approx(sum(brute.posterior(a, b, 8, 8) for a, b in ((8, 8), (8, 0), (0, 8), (4, 4))))
+    prior = analysis.prior_by_em(split)
+    assert prior == pytest.approx(sum(brute.posterior(a, b, 8, 8, prior) for a, b in ((8, 8), (8, 0), (0, 8), (4, 4))) / 4, abs=1e-6)
+    g = split.groups()
+    assert {(r.prior, r.n_over) for r in analysis.prior_sensitivity(cells(split.counts(1, g)), g, priors=[0.01, 1e-9], linked=[0.9]).collect()} == {(0.01, 2), (1e-9, 0)}
+    assert analysis.depth_stability({1: tri, 5: split.triage(min_depth=5)}).where("min_depth = 5").first().n_markers == 1
+    assert analysis.freq_summary(split.freq()).first().singletons == 0
+    assert {r.Group: r.mean_reads for r in analysis.depth_summary(split.depth()).collect()} == {"reef": (7 + 4 + 1.5) * 1, "lake": 7 + 6 + 1.5}
+    assert analysis.distrib_summary(split.distrib()).first().significant_markers == 2
+    assert analysis.signif_summary(split.signif(bayes=True)).first().bf_over_10 == 2
+    assert analysis.joined_calls(split.signif(), tri).count() == 2
+    assert analysis.loading_means(split.pca(components=1).loadings, split.popmap_frame()).count() == 2
     rows = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "one")], "k string, t int, v string")
     assert sorted(r.v for r in analysis.newest(rows, ["k"], "t").collect()) == ["new", "one"]
     times = spark.createDataFrame([("f", "1", "ours", 1.0), ("f", "1", "theirs", 4.0), ("f", "2", "ours", 1.0), ("f", "2", "theirs", 1.0)], "command string, case string, tool string, seconds double")
     assert tuple(analysis.speedups(times).first()) == ("f", 2, 1, pytest.approx(2.0))
+    assert {(r.tool, r.seconds, r.runs) for r in analysis.elapsed(times).collect()} == {("ours", 2.0, 2), ("theirs", 5.0, 2)}
+    shards = [("s1", 0.01, 0.9, 1, tri.limit(0)), ("s1", 0.01, 0.9, 2, tri), ("s1", 0.2, 0.9, 1, tri.limit(0))]
+    assert {(r.prior, r.stamp, r.n_posterior, r.n_factor, r.n_strict) for r in analysis.prior_sweep(shards).collect()} == {(0.01, 2, 2, 2, 2), (0.2, 1, 0, 0, 0)}
 
 
-def test_statistics_run_on_cells_only(fx1):
-    plan = fx1.signif()._jdf.queryExecution().executedPlan().toString()
+def test_statistics_run_on_cells_only(small):
+    plan = small.signif()._jdf.queryExecution().executedPlan().toString()
     assert plan.index("BroadcastHashJoin") < plan.index("MapInArrow")
