@@ -15,8 +15,9 @@ So no bucket is gathered in one task, no group's pairs are written out, and no l
 bucket is lost; a pair of similarity 0.8 shares none with a probability of 1.3e-7 (40 bands of 5 rows).
 
 Defined cases: a null text is an empty one; an empty set is linked with nothing; fewer words than a shingle has are one
-shingle; texts are read whole; a null ``doc_id`` is linked with nothing; rows with the same ``doc_id`` are one node;
-an empty table gives no rows; further columns are ignored.
+shingle; texts are read whole; a null ``doc_id`` is linked with nothing; rows with one ``doc_id`` but different texts are documents
+of their own, which are compared each; an empty table gives no rows; further columns are ignored. :func:`deduplicate` keeps
+one of several equal rows (by id and text; any of them, where they differ in other columns), and all without an id.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from markerloom.llm.components import components
 from markerloom.llm.shared import hinted, only, small_batches, tasks, whole_groups, written
 from markerloom.llm.textvec import grams, mixed, words
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
+SKETCH = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 #: Documents, and shingles of all of them, in a block of a group; pairs that share one copy of their pivot's data.
 BLOCK, WORDS, SALT = 2000, 2_000_000, 1000
 
@@ -82,11 +83,11 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             flat = pa.array(keys.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
             low = (sig & np.uint32(0xFFFF)).astype("<u2")
-            cols = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), lists, pa.array([r.tobytes() for r in low], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "set_a", "set_b", "bands", "signature"])
+            cols = [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), lists, pa.array([r.tobytes() for r in low], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", "signature"])
 
     small_batches(docs.sparkSession)
-    return only(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text")).mapInArrow(sketch, SKETCH)
+    return only(docs, doc_id=F.col("doc_id").cast("long"), text_key=F.xxhash64(F.col("text")), text=F.col("text")).mapInArrow(sketch, SKETCH)
 
 
 def shingles(text: str | None, k: int) -> set:
@@ -100,23 +101,30 @@ def similar(x: set, y: set, percent: int) -> bool:
     return bool(both) and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One text for each id, of the documents that ``ids`` names."""
-    rows = only(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    return rows.join(hinted(written(ids, "ids")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+class Texts:
+    """Texts of nodes: ``nodes`` is a stored table of ``rep, doc_id, text_key`` for all nodes that may be asked for."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame):
+        self.rows, self.nodes = only(docs, id=F.col("doc_id").cast("long"), key=F.xxhash64(F.col("text")), text=F.col("text")), nodes
+
+    def of(self, reps: DataFrame, name: str) -> DataFrame:
+        """``rep, text``, stored, for a table of distinct ``rep``."""
+        asked = hinted(written(self.nodes.join(reps, "rep", "left_semi"), "asked"))
+        found = self.rows.join(asked, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("text_key")))
+        return written(found.select("rep", "text").dropDuplicates(["rep"]), name)
 
 
 def _beside_pivots(pairs: DataFrame, data: DataFrame) -> DataFrame:
     """``a, salt, b, data``: for each ``SALT`` pairs of a pivot its own row (whose ``b`` is null), then those of its ``b``.
 
-    ``pairs`` and ``data`` (doc_id, data) are stored tables. A pivot's data is moved once for ``SALT`` of its pairs, and
+    ``pairs`` and ``data`` (rep, data) are stored tables. A pivot's data is moved once for ``SALT`` of its pairs, and
     no task has to take all of them."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALT)).cast("int").alias("salts"))
-    own = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id"))
+    own = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("rep"))
     split = hinted(written(counts.where("salts > 1"), "split"))  # a row for SALT pairs at most
     salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")
-    others = pairs.join(split, "a", "left").select("a", salt.alias("salt"), "b", F.col("b").alias("doc_id"))
-    rows = own.unionByName(others).join(data, "doc_id").select("a", "salt", "b", "data")
+    others = pairs.join(split, "a", "left").select("a", salt.alias("salt"), "b", F.col("b").alias("rep"))
+    rows = own.unionByName(others).join(data, "rep").select("a", "salt", "b", "data")
     return rows.repartition(tasks(pairs, 4000), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
 
@@ -136,10 +144,9 @@ def agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield b.filter(pa.array(member & ((left == sig).mean(axis=1) >= least))).select(["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: Texts, k: int, percent: int) -> DataFrame:
     """Pairs ``a, b`` whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = written(_texts(docs, ids), "texts")
+    both = texts.of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "texts")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: set = set()
@@ -153,7 +160,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
                     good.append(i)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return _beside_pivots(pairs, texts.withColumnRenamed("text", "data")).mapInArrow(confirm, "a long, b long")
+    return _beside_pivots(pairs, both.withColumnRenamed("text", "data")).mapInArrow(confirm, "a long, b long")
 
 
 def _open_groups(members: DataFrame, known: DataFrame) -> DataFrame:
@@ -208,9 +215,9 @@ def new_links(sets: list[np.ndarray], component: np.ndarray, main: np.ndarray, b
             near &= label != label[x]
 
 
-def _between(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _between(groups: DataFrame, texts: Texts, k: int, percent: int) -> DataFrame:
     """Links of members of a group that are still in different components."""
-    texts = written(_texts(docs, groups.select(F.col("rep").alias("doc_id")).distinct()), "near-texts").withColumnRenamed("doc_id", "rep")
+    held = texts.of(groups.select("rep").distinct(), "near-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for task in whole_groups(batches, ["grp", "i", "j"]):
@@ -229,45 +236,58 @@ def _between(groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                         links.append(sorted((int(rep[x]), int(rep[y]))))
             yield pa.RecordBatch.from_arrays([pa.array([v[n] for v in links], pa.int64()) for n in (0, 1)], ["a", "b"])
 
-    rows = _blocks(groups).join(texts, "rep").repartition(tasks(groups, 500), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
+    rows = _blocks(groups).join(held, "rep").repartition(tasks(groups, 500), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
     return rows.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row: documents are linked if 100 * |A & B| >= percent * |A | B|
-    for their sets of ``k``-word shingles; the component is named by its smallest id, which is kept."""
+    """``doc_id, n_shingles, component_id, kept, text_key`` for each row: documents are linked if 100 * |A & B| >= percent *
+    |A | B| for their sets of ``k``-word shingles; the component is named by its smallest id, which is kept. ``text_key`` is
+    the xxhash64 of the text."""
     share = percent / 100
-
     slack = share - 5 * (share * (1 - share) / (bands * rows)) ** 0.5  # signatures of linked sets agree in this share, but for five deviations
+    set_key = ["set_a", "set_b", "n_shingles"]
     all_docs = written(sketches(docs, k, bands, rows), "sketches")
     linkable = all_docs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = written(linkable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
-    first = linkable.join(hinted(classes.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-    buckets = first.select(F.col("doc_id").alias("rep"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
+    # Equal sets are one node, numbered when it is stored; its first row stands for it.
+    first = F.min(F.struct("doc_id", "text_key"))
+    classes = written(linkable.groupBy(*set_key).agg(first.alias("row"), F.count("*").alias("rows")).select(F.monotonically_increasing_id().alias("rep"), *set_key, "row.*", "rows"), "classes")
+    nodes = classes.select("rep", "doc_id", "text_key")
+    texts = Texts(docs, nodes)
+    sketched = linkable.join(hinted(nodes), ["doc_id", "text_key"])
+    buckets = sketched.select("rep", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("band")
     size = F.floor(F.log("n") / F.lit(np.log(1.04 / share)))
     by_size = buckets.join(shared, "band").select("rep", "n", F.explode(F.array(F.xxhash64("band", size), F.xxhash64("band", size + 1))).alias("key"))
     by_size = written(by_size, "buckets")
     pivots = by_size.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("hi")).where("pivot != hi").select("key", "pivot")
-    members = written(by_size.join(pivots, "key"), "members")
-    named = hinted(written(members.select(F.col("rep").alias("doc_id")).distinct(), "named"))
-    signatures = written(linkable.select("doc_id", F.col("signature").alias("data")).join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "signatures")
+    members = written(by_size.join(pivots, "key").distinct(), "members")
+    named = hinted(written(members.select("rep").distinct(), "named"))
+    signatures = written(sketched.select("rep", F.col("signature").alias("data")).join(named, "rep", "left_semi").dropDuplicates(["rep"]), "signatures")
     pairs = written(members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     likely = written(_beside_pivots(pairs, signatures).mapInArrow(lambda batches: agreeing(batches, slack), "a long, b long"), "likely")
-    known = components(written(_confirmed(likely, docs, k, percent), "confirmed"))
+    known = components(written(_confirmed(likely, texts, k, percent), "confirmed"))
     groups = written(_open_groups(members, known), "groups")
     if not groups.isEmpty():
-        more = written(_between(groups, docs, k, percent), "between")
+        more = written(_between(groups, texts, k, percent), "between")
         if not more.isEmpty():
             known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    grouped = classes.join(known, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"), (F.col("last") != F.col("rep")).alias("copies"), F.col("node").isNotNull().alias("linked"))
-    grouped = grouped.where("copies or linked").select("set_a", "set_b", "n_shingles", "component_id")
-    out = all_docs.select("doc_id", "n_shingles", "set_a", "set_b").join(grouped, ["set_a", "set_b", "n_shingles"], "left")
+    # Components are named by the smallest id of their nodes; those of one node with one row need no join.
+    linked = known.select(F.explode(F.array("node", "component")).alias("rep"), "component").distinct()
+    linked = written(classes.join(linked, "rep", "left").where("component IS NOT NULL OR rows > 1"), "linked")
+    names = linked.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("name"))
+    grouped = linked.join(names, "component", "left").select(*set_key, F.coalesce("name", "doc_id").alias("component_id"))
+    out = all_docs.select("doc_id", "text_key", *set_key).join(grouped, set_key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
 
 
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, with their columns, that :func:`near_duplicates` keeps."""
-    gone = hinted(written(near_duplicates(docs, **parameters).where("not kept").select("doc_id").distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """The rows of ``docs``, with their columns, that :func:`near_duplicates` keeps, and of equal rows (by id and text) one."""
+    found = written(near_duplicates(docs, **parameters).where("doc_id IS NOT NULL").select("doc_id", "text_key", "kept").toDF("dup_id", "dup_text", "kept"), "found")
+    several = found.where("kept").groupBy("dup_id", "dup_text").agg(F.count("*").alias("n")).where("n > 1").select("dup_id", "dup_text", F.lit(True).alias("again"))
+    marks = hinted(written(found.where("NOT kept").select("dup_id", "dup_text", F.lit(False).alias("again")).distinct().unionByName(several), "marks"))
+    text_key = F.xxhash64(docs["text"])
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("row_id"), text_key.alias("row_text")).join(marks, (F.col("row_id") == F.col("dup_id")) & (F.col("row_text") == F.col("dup_text")), "left")
+    once = marked.where("again").groupBy("row_id", "row_text").agg(F.first("row").alias("row"))
+    return marked.where("again IS NULL").select("row.*").unionAll(once.select("row.*"))

@@ -340,10 +340,40 @@ def test_near_duplicates(spark, docs, texts, none, k):
         else:
             assert (r.n_shingles, r.component_id) == expected[r.doc_id] and r.kept == (r.component_id == r.doc_id)
     kept = minhash.deduplicate(docs, k=k)
-    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in rows)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted({(i, t or "") for i, t in texts if i is not None and expected[i][1] == i} | {(-1, t or "") for i, t in texts if i is None})
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = lambda t: t.replace(" ", " zz ", 1)
+    df = frame(spark, [(5, near(b)), (7, a), (7, b), (7, a), (9, near(a)), (8, c), (8, near(c))])
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df, k=2).collect())
+    assert got == [(5, 5, True), (7, 5, False), (7, 7, True), (7, 7, True), (8, 8, True), (8, 8, True), (9, 7, False)]
+    assert sorted((r.doc_id, r.text) for r in minhash.deduplicate(df, k=2).collect() if r.doc_id != 8) == sorted([(5, near(b)), (7, a)])
+
+
+def test_blocks_grow_in_proportion_to_the_group(spark):
+    """Rows that are dealt out, and each pair of members in different components in exactly one task."""
+    def of(n, others):
+        rows = [(1, i, 1, 10, True) for i in range(n)] + [(1, n + i, 100 + i, 10, False) for i in range(others)]
+        return minhash._blocks(spark.createDataFrame(rows, "grp long, rep long, component long, n int, main boolean"))
+
+    few, many = of(2 * minhash.BLOCK, 40).count(), of(8 * minhash.BLOCK, 160).count()
+    assert many <= 4.3 * few
+    tasks = defaultdict(list)
+    for r in of(minhash.BLOCK + 10, minhash.BLOCK + 10).where("rep % 100 = 0 OR rep > 4000").collect():
+        tasks[r.i, r.j].append(r)
+    met = Counter()
+    for (i, _), rows in tasks.items():
+        for x in rows:
+            met.update((min(x.rep, y.rep), max(x.rep, y.rep)) for y in rows if not x.main and (y.main or (y.rep < x.rep and (i == 0 or (i < 0 and x.own != y.own)))))
+    reps = {r.rep: r.main for rows in tasks.values() for r in rows}
+    assert met == Counter({(min(x, y), max(x, y)): 1 for x in reps for y in reps if x < y and not (reps[x] and reps[y])})
+
+
 def test_a_large_group_of_borderline_copies(spark, monkeypatch):
     """Chains of copies at the threshold, in buckets of several blocks: no link may be lost."""
     monkeypatch.setattr(minhash, "BLOCK", 20)
