@@ -23,11 +23,6 @@ without training documents the score is the base score; further columns are igno
 from __future__ import annotations
 
 import functools
-import json
-import mmap
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.llm.elias_fano import EliasFano
+from markerloom.llm.mapped import load, nested, save
 from markerloom.llm.shared import only, remainder, small_batches, work_path, written
 from markerloom.llm.textvec import words
 
@@ -48,54 +44,6 @@ SHARD_TOKENS, LEAST_BITS = 4_000_000, 4
 _WORD = np.uint64((1 << 40) - 1)
 
 
-# -- files of arrays ---------------------------------------------------------------------------------------------------
-
-
-def save(folder: str, arrays: dict[str, np.ndarray]) -> str:
-    """Write arrays to a new file of ``folder``; returns its name."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder)
-    store.create_dir(root, recursive=True)
-    at, head = 0, {}
-    for k, v in arrays.items():
-        head[k] = (v.dtype.str, at, len(v))
-        at += -(-v.nbytes // 64) * 64
-    text = json.dumps(head).encode()
-    text += b" " * (-(len(text) + 8) % 64)
-    name = f"{uuid.uuid4().hex}.trie"
-    with store.open_output_stream(f"{root}/{name}", compression=None) as out:
-        out.write(len(text).to_bytes(8, "little") + text)
-        for v in arrays.values():
-            out.write(np.ascontiguousarray(v).tobytes() + bytes(-v.nbytes % 64))
-    return name
-
-
-@functools.lru_cache(maxsize=4096)
-def load(folder: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder)
-    path = f"{root}/{name}"
-    if isinstance(store, fs.LocalFileSystem):
-        handle = os.open(path, os.O_RDONLY)
-    else:
-        handle, copy = tempfile.mkstemp()
-        os.unlink(copy)
-        with store.open_input_stream(path, compression=None) as data:
-            while part := data.read(8 << 20):
-                os.write(handle, part)
-    data = mmap.mmap(handle, 0, prot=mmap.PROT_READ)
-    os.close(handle)
-    n = int.from_bytes(data[:8], "little")
-    return {k: np.frombuffer(data, dtype, count, 8 + n + at) for k, (dtype, at, count) in json.loads(data[8 : 8 + n]).items()}
-
-
-def nested(arrays: dict[str, np.ndarray], prefix: str) -> dict[str, np.ndarray]:
-    return {k.removeprefix(prefix): v for k, v in arrays.items() if k.startswith(prefix)}
-
-
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of a byte each, and the value of each code: half of them quantiles of the values, half at even steps, so that
     common values are exact to their rank and no value is off by more than a 256th of the range."""

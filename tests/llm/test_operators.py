@@ -89,20 +89,43 @@ def test_block_max_wand_finds_all_above_the_threshold():
     hashes = {i: words(pa.array([t]), table=decontamination.PLAIN).hashes() for i, t in items}
     for h in hashes.values():
         df.update(set(h.tolist()))
-    index = decontamination.ItemIndex(items, len(items), 15.0, dict(df))
+    known = np.array(sorted(df), np.uint64)
+    index = decontamination.ItemIndex(decontamination.ItemIndex.build(items, len(items), 15.0, known, np.array([df[int(t)] for t in known])))
     for least in (0.2, 0.5):
         for i in (3, 77, 120):
             query = np.unique(np.concatenate([hashes[i][::2], hashes[(i + 1) % 150][:4]]))
             terms = np.unique(index.lookup(query)[1]).tolist()
             expected = defaultdict(float)
             for t in terms:
-                for k, v in zip(index.ids[t], index.impacts[t]):
+                for k, v in zip(*index.postings(t)[:2]):
                     expected[k] += v
             got = dict(index.search(terms, least))
             assert set(got) == {k for k, v in expected.items() if v >= least - 1e-9}
             assert all(abs(got[k] - expected[k]) < 1e-9 for k in got)
 
 
+def test_impacts_are_those_of_bm25():
+    rng = random.Random(2)
+    items = [(i, prose(rng, rng.randint(1, 700))) for i in range(12)]
+    bags = []
+    for _, t in items:
+        w = decontamination.plain_words(t)
+        n = math.ceil(len(w) / decontamination.PART)
+        bags += [Counter(w[len(w) * k // n : len(w) * (k + 1) // n]) for k in range(n)]
+    df = Counter(w for _, t in items for w in set(decontamination.plain_words(t)))
+    number = {w: int(words(pa.array([w.decode()]), table=decontamination.PLAIN).hashes()[0]) for w in df}
+    known = np.array(sorted(number.values()), np.uint64)
+    of_hash = {h: df[w] for w, h in number.items()}
+    index = decontamination.ItemIndex(decontamination.ItemIndex.build(items, 12, 90.0, known, np.array([of_hash[int(h)] for h in known])))
+    for k, bag in enumerate(bags):
+        size = sum(bag.values())
+        weight = {w: math.log(1 + (12 - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / 90)) for w, tf in bag.items()}
+        for w, v in weight.items():
+            t = int(np.searchsorted(index.terms, np.uint64(number[w])))
+            parts, impacts, tops = index.postings(t)
+            assert impacts[parts.index(k)] == pytest.approx(v / sum(weight.values())) and max(tops) == max(impacts) and index.bounds[t].max() >= max(impacts)
+
+
 @pytest.mark.parametrize("max_items", [5000, 7])
 def test_leaks(spark, docs, none, max_items):
     rng = random.Random(5)
