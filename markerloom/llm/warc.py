@@ -1,7 +1,9 @@
 """WARC archives: written with an index of their records, read back by coalesced byte ranges.
 
 Writing: digests of payloads are compared in a narrow plan that knows nothing of the payloads, then one pass writes a
-gzip member for each record into a file for each task and returns an index row (file, offset, length, URL, digest).
+gzip member for each record into a file for each task and returns an index row (file, offset, length, URL, digest). Which
+records are revisits is broadcast; of a table of more than ``BROADCAST_ROWS`` revisits, only the rows that a Bloom filter of
+them lets through are shuffled to it, and the payloads of all others stay where they are.
 Files of tasks that were tried again are named anew and never indexed. Reading starts from the index: ranges of the
 selected records are sorted by file and offset, neighbours join in one read, and reads are dealt out by file and block.
 
@@ -21,8 +23,10 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markerloom.llm.shared import only, small_batches, work_path, written
@@ -32,7 +36,9 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 #: Reads join where at most so many bytes lie between them, up to a read of so many bytes.
 GAP, SPAN = 64 << 10, 8 << 20
 #: A revisit table of at most so many rows is broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 500_000
+#: Bits of the filter of a larger one, and how many of them a record sets.
+FILTER_BITS, FILTER_HASHES = 1 << 27, 3
 
 
 def member(page_id, url, payload: bytes, digest: str, size: int, kind: str, refers_to, level: int = 6) -> bytes:
@@ -74,6 +80,23 @@ def revisits(pages: DataFrame, least: int) -> DataFrame:
     return rows.join(firsts, ["payload_digest", "payload_bytes"]).where(F.col("page_id") != F.col("refers_to")).select("page_id", "payload_digest", "refers_to")
 
 
+def may_be(again: DataFrame) -> Column:
+    """True for all rows (page_id, payload_digest) of ``again`` and few others: a Bloom filter of a fixed size."""
+    places = F.array(*[F.pmod(F.xxhash64("page_id", "payload_digest", F.lit(k)), F.lit(FILTER_BITS)) for k in range(FILTER_HASHES)])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    words = again.select(F.explode(places).alias("at")).select(F.expr("at div 64").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # FILTER_BITS / 64 rows at most
+    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    filled[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    held = again.sparkSession.sparkContext.broadcast(filled.view(np.uint8))
+
+    @F.pandas_udf("boolean")
+    def known(at: pd.Series) -> pd.Series:
+        at = np.stack(at.to_numpy()) if len(at) else np.zeros((0, 1), np.int64)
+        return pd.Series((held.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=1))
+
+    return known(places)
+
+
 def write(pages: DataFrame, path: str, *, least: int = 100) -> DataFrame:
     """Archive ``pages`` (page_id, url, html) under ``path``; returns the index, which is a table in the shared folder."""
     small_batches(pages.sparkSession)
@@ -82,9 +105,13 @@ def write(pages: DataFrame, path: str, *, least: int = 100) -> DataFrame:
     rows = rows.select("page_id", "url", payload.alias("payload"))
     rows = rows.select("*", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     again = written(revisits(rows, least), "revisits")
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to"]
     if again.count() <= BROADCAST_ROWS:
-        again = F.broadcast(again)
-    marked = rows.join(again, ["page_id", "payload_digest"], "left").select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
+        marked = rows.join(F.broadcast(again), ["page_id", "payload_digest"], "left").select(*columns)
+    else:
+        maybe = may_be(again)
+        likely = rows.where(maybe).join(again, ["page_id", "payload_digest"], "left").select(*columns)
+        marked = likely.unionByName(rows.where(~maybe).withColumn("refers_to", F.lit(None).cast("long")).select(*columns))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -163,7 +190,9 @@ def read(index: DataFrame, path: str, *, payloads: bool = True) -> DataFrame:
             handle.close()
 
     placed = index.select("file", "offset", "length", F.expr(f"offset div {SPAN}").alias("block"))
-    dealt = placed.repartition("file", "block").sortWithinPartitions("file", "offset").drop("block")
+    each = 4 * SPAN  # a task reads about so many bytes
+    n = max(spark.sparkContext.defaultParallelism, -(-(index.agg(F.sum("length")).first()[0] or 0) // each))
+    dealt = placed.repartition(n, "file", "block").sortWithinPartitions("file", "offset").drop("block")
     return dealt.mapInArrow(fetch, RECORD)
 
 
