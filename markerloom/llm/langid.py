@@ -6,7 +6,8 @@ whole Arrow batch in numpy and sums them by text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; texts are scored whole; rows with a null
 ``doc_id`` are scored and never learned from; repeated rows are scored each; with no learnable row every text is ``und``;
-further columns are ignored; equal posteriors go to the language that sorts first.
+an empty table gives no rows; of more than ``max_langs`` languages the most frequent are learned; further columns are
+ignored; equal posteriors go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from markerloom.llm.shared import only, remainder, small_batches
 
 UNDETERMINED = "und"
-MAX_LANGS = 1000
 
 
 @functools.cache
@@ -90,14 +90,12 @@ class LanguageModel:
         return [self.langs[b] if ok else UNDETERMINED for b, ok in zip(best, known)], np.where(known, share, 0.0)
 
 
-def fit(docs: DataFrame, *, folds: int = 5, orders=(1, 2, 3), buckets: int = 1 << 16, train_docs: int = 4000, smoothing: float = 0.5) -> LanguageModel:
-    """Learn from rows outside fold 0 with a text and a ``lang``; at most about ``train_docs`` documents of each
-    language, chosen by a hash of their id (the documented bound of the sample), are counted."""
+def fit(docs: DataFrame, *, folds: int = 5, orders=(1, 2, 3), buckets: int = 1 << 16, train_docs: int = 4000, max_langs: int = 200, smoothing: float = 0.5) -> LanguageModel:
+    """Learn from rows outside fold 0 with a text and a ``lang``: about ``train_docs`` documents of each of the ``max_langs``
+    most frequent languages at most (the documented bounds of the sample), chosen by a hash of their id."""
     small_batches(docs.sparkSession)
     rows = only(docs, doc_id=F.col("doc_id"), text=F.col("text"), lang=F.col("lang")).where((remainder(F.col("doc_id"), folds) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     langs = sorted(sizes)
     number = {x: i for i, x in enumerate(langs)}
     if not langs:
@@ -106,28 +104,25 @@ def fit(docs: DataFrame, *, folds: int = 5, orders=(1, 2, 3), buckets: int = 1 <
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(shares, F.col("lang")) * F.lit(1 << 20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((len(langs), buckets + 1), np.int64)  # the last column counts what is no n-gram
-        seen = np.zeros(len(langs), np.int64)
         for b in batches:
             which = np.array([number[x] for x in b.column("lang").to_pylist()], np.int64)
-            seen += np.bincount(which, minlength=len(langs))
             chars, text = characters(b.column("text"))
-            for order in orders:
-                at = buckets_of(chars, text, order, buckets)
-                held += np.bincount(which[text] * (buckets + 1) + at, minlength=held.size).reshape(held.shape)
-        k, at = held[:, :-1].nonzero()
-        k0 = seen.nonzero()[0]
-        yield pa.RecordBatch.from_pydict({"k": np.concatenate([k, k0]), "at": np.concatenate([at, np.full(len(k0), -1)]), "n": np.concatenate([held[k, at], seen[k0]])})
-
-    counts = rows.where(drawn).select("text", "lang").mapInArrow(count, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
-    k, at, n = (counts.column(c).to_numpy() for c in ("k", "at", "n"))
-    held = np.zeros((len(langs), buckets))
-    grams = at >= 0
-    held[k[grams], at[grams]] = n[grams]
-    matrix = np.log((held + smoothing) / (held.sum(1, keepdims=True) + smoothing * buckets))
+            places = [buckets_of(chars, text, order, buckets) for order in orders]
+            found, n = np.unique(np.concatenate([(which[text] * buckets + at)[at < buckets] for at in places]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found // buckets), pa.array(found % buckets), pa.array(n)], ["k", "at", "n"])
+
+    def probabilities(table: pa.Table) -> pa.Table:
+        held = np.full(buckets, smoothing)
+        held[table.column("at").to_numpy()] += table.column("n").to_numpy()
+        return pa.table({"k": table.column("k")[:1], "row": pa.array([np.log(held / held.sum()).astype("<f4").tobytes()], pa.binary())})
+
+    counts = rows.where(drawn).select("text", "lang").mapInArrow(count, "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n"))
+    matrix = np.full((len(langs), buckets + 1), np.float32(-np.log(buckets)))
+    for r in counts.groupBy("k").applyInArrow(probabilities, "k long, row binary").collect():  # a row of the model for each language
+        matrix[r.k, :-1] = np.frombuffer(r.row, "<f4")
+    matrix[:, -1] = 0
     prior = np.log(np.array([sizes[x] for x in langs]) / sum(sizes.values()))
-    matrix = np.pad(matrix, ((0, 0), (0, 1)))
-    return LanguageModel(langs, prior, matrix.astype(np.float32), tuple(orders))
+    return LanguageModel(langs, prior, matrix, tuple(orders))
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, folds: int = 5) -> DataFrame:
