@@ -6,7 +6,8 @@ compiled into one column expression, so that scoring is a projection without Pyt
 
 Defined cases: a null or empty text has the statistics of an empty one and gets a score; texts are read whole; of repeated
 labels of a document the largest counts; null labels and null ids aren't learned from; without labelled rows, or with one
-class only, the score is the share of label 1 (0.5 without any); further columns are ignored.
+class only, the score is the share of label 1 (0.5 without any); repeated rows are scored each; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,6 +6,8 @@ import gzip
 import hashlib
 import math
 import random
+import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -236,7 +238,10 @@ def test_line_rules(docs, texts, none):
 # -- 4 -------------------------------------------------------------------------------------------------------------------
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("most", [500_000, 1])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(warc, "FILTER_BITS", 1 << 10)
     big = "<p>" + "y" * 300_000 + "</p>"
     pages = [(1, "http://a/", "<p>é</p>" * 30), (2, None, "<p>é</p>" * 30), (3, "http://b\r\nX: 1/", "small"), (4, "http://c/", "small"), (5, "u", None), (6, "u", ""), (7, "u", big), (None, "u", "<p>é</p>" * 30), (9, "u", big), (7, "u", big), (10, "u", "a\r\n\r\nb")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("file", F.lit(2))
@@ -324,6 +329,31 @@ def test_rule_ensemble(spark, none):
     assert rule_ensemble.score(none, model).count() == 0
 
 
+def test_rules_by_hand(spark, docs, texts):
+    """The statistics of the awkward corpus in plain Python, and the rules on them, against the column expression."""
+    rng = random.Random(3)
+    stats, names = rule_ensemble.statistics(docs.where("doc_id IS NOT NULL").withColumn("raw", F.col("text")), "doc_id", "raw")
+    blank, x = "\x20\t\n\x0b\x0c\r", {}
+    for _, t in texts:
+        t = t or ""
+        w, lines = [v for v in re.split(f"[{blank}]+", t) if v], [v for v in t.split("\n") if v.strip(blank)]
+        many = lambda chars: sum(t.count(c) for c in chars)  # noqa: E731,B023
+        n, c, k = max(len(w), 1), max(len(t), 1), max(len(lines), 1)
+        x[t] = [many("#*$%&|<>") / c, many("|") / c, many("!") / c, many(rule_ensemble.UPPER) / c, many("0123456789") / c, many(".?!…") / n, many(",;:") / n, sum(map(len, w)) / n, math.log1p(len(w)),
+                len(set(w)) / n, len(w) / k, len(set(lines)) / k, sum(bool(re.search("[.!?…\"'”»)]\\s*$", v)) for v in lines) / k]
+    rows = stats.collect()
+    assert len(rows) == sum(i is not None for i, _ in texts) and all([r[c] for c in names] == pytest.approx(x[r.raw or ""]) for r in rows)
+    table = np.array(list(x.values()))
+    cut = lambda k: float(np.sort(table[:, k])[len(table) // 2]) + 1e-6
+    rules = [rule_ensemble.Rule(tuple((k, rng.random() < 0.5, cut(k)) for k in rng.sample(range(len(names)), rng.randint(1, 3)))) for _ in range(30)]
+    model = rule_ensemble.Ensemble(names, 0.2, [(r, rng.uniform(-1, 1)) for r in rules])
+    for r in rule_ensemble.score(docs.where("doc_id IS NOT NULL"), model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        own = x[r.text or ""]
+        total = 0.2 + sum(w for rule, w in model.rules if all((own[k] <= v) == at_most for k, at_most, v in rule.terms))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total))) and r.predicted == int(r.score >= 0.3)
+        assert all(rule.holds(np.array([own]))[0] == all((own[k] <= v) == at_most for k, at_most, v in rule.terms) for rule in rules)
+
+
 def test_lasso_is_sparse_and_right():
     rng = np.random.default_rng(1)
     z = (rng.random((2000, 12)) < 0.5).astype(float)
@@ -449,6 +479,9 @@ def check_packing(rows, capacity=1024):
 def test_packing(docs, texts, none):
     encode = ByteBpe(vocabulary_path()).encode
     by_doc, by_bin = check_packing(packing.pack(docs, vocabulary_path()).collect())
+    for i in (None, 7):  # repeated rows, and rows without an id, are packed each
+        size = lambda t: len(encode(t or "")) // 4 + 1
+        assert sum(r.length for r in by_doc[i]) == sum(size(t) for j, t in texts if j == i) and sorted(r.start for r in by_doc[i] if r.piece == 0) == [0, 0]
     for i, t in texts:
         if i is None or i == 7:
             continue
@@ -572,6 +605,35 @@ def test_language_id(spark, docs, none):
     assert langid.identify(none, langid.fit(table)).count() == 0
 
 
+def test_naive_bayes_by_hand(spark, docs, texts):
+    """All n-grams counted in dictionaries (so many buckets that they share none), all posteriors in plain Python."""
+    lang = {i: ("aa", "bb", "cc")[i % 3] for i, _ in texts if i is not None}
+    table = frame(spark, texts, lang=lang)
+    model = langid.fit(table, buckets=1 << 22)
+
+    def grams_of(t):
+        out = re.sub(" +", " ", " " + "".join(c.lower() if unicodedata.category(c)[0] == "L" else " " for c in t))
+        return [out[k : k + n] for n in (1, 2, 3) for k in range(len(out) - n + 1) if out[k : k + n] != " "]
+
+    counts, docs_of = defaultdict(Counter), Counter()
+    for i, t in texts:
+        if i is not None and t is not None and crc(i) % 5:
+            counts[lang[i]].update(grams_of(t))
+            docs_of[lang[i]] += 1
+    sums = {k: sum(c.values()) + 0.5 * (1 << 22) for k, c in counts.items()}
+    for r in langid.identify(table, model).collect():
+        t = dict(texts)[r.doc_id] if r.doc_id is not None else None
+        if r.doc_id is None:
+            continue
+        if not any(unicodedata.category(c)[0] == "L" for c in t or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        total = {k: math.log(docs_of[k] / sum(docs_of.values())) + sum(math.log((counts[k][g] + 0.5) / sums[k]) for g in grams_of(t)) for k in sorted(counts)}
+        best = max(total, key=lambda k: total[k])
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()), abs=2e-3)
+    assert langid.fit(table, max_langs=2).langs == sorted(sorted(docs_of, key=lambda k: (-docs_of[k], k))[:2])
+
+
 # -- pipeline --------------------------------------------------------------------------------------------------------------
 
 
@@ -605,6 +667,26 @@ def test_pipeline(spark, tmp_path):
     check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect())
 
 
+def test_pipeline_of_awkward_rows(spark, texts, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns through all stages; and empty tables."""
+    import corpus_pipeline
+
+    for name, rows in (("some", texts), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1 if n % 3 else None, 0) for n, (i, _) in enumerate(rows)] + [(None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, ""), (2, "no such text")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, call in corpus_pipeline.STAGES[:-1]:
+            now = call(spark, now, folder).cache()
+            assert now.columns == [f.name for f in DOCS], stage
+        kept = now.collect()
+        found = corpus_pipeline.run(spark, folder).collect()
+        check_packing(found)
+        assert {r.doc_id for r in found} == {r.doc_id for r in kept} and len(kept) == len({(r.doc_id, r.text) for r in kept})
+        assert bool(kept) == bool(rows) and (not rows or {1, 2, 4, 7, 14, 15} <= {r.doc_id for r in kept})
+
+
 def test_every_operator_is_registered():
     import __spark_entry__
 
