@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from markerloom.llm import decontamination, langid, line_rules, lm_trie, minhash, packing, rule_ensemble, suffix_dedup, token_trie, warc
 from markerloom.llm.bpe import vocabulary_path, vocabulary_pattern
 from markerloom.llm.shared import read_table
@@ -66,7 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
