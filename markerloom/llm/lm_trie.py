@@ -3,14 +3,16 @@
 Counts come from all training documents. Words are numbered in the order of their 64-bit hash; the upper bits of the hash
 name a shard, so a shard is the trie of a range of contexts and is one file in the shared folder:
 
-* level 1: the hashes, counts, quantised log probabilities and back-off weights of its words, and Elias-Fano pointers to
-  their successors;
-* level 2: the successors of each context, in order, as one monotone Elias-Fano sequence (a context's numbers are added to
-  the last value before it), with quantised log probabilities.
+* level 1: the hashes and counts of its words, and in a file of their own their quantised back-off weights;
+* level 2: Elias-Fano pointers from each word to its successors, and the successors of each, in order, as one monotone
+  Elias-Fano sequence (a context's numbers are added to the last value before it), with quantised discounted probabilities.
+
+Level 2 of a shard with frequent words is several pieces: which successors are in which is a hash of the successor, so no
+task and no file holds all successors of a context, and a query asks one piece.
 
 A query adds the word to the base of its context and looks for the successor of that value within the context's range.
 Files are memory-mapped where the shared folder is a local path, else copied once for each worker to a file without a name.
-Nothing that grows with the corpus is broadcast or collected; shards grow in number, not in size.
+Shards and pieces grow in number, not in size; only the names of their files are broadcast.
 
 P(w | v) = (c(v w) - d) / c(v) + d n(v) / c(v) P(w) with absolute discount d and n(v) distinct successors; P(w) is the base
 model. A document is a path from the end token over its words to the end token.
@@ -33,12 +35,12 @@ from pyspark.sql import functions as F
 from markerloom.llm.elias_fano import EliasFano
 from markerloom.llm.mapped import load, nested, save
 from markerloom.llm.shared import only, remainder, small_batches, work_path, written
-from markerloom.llm.textvec import words
+from markerloom.llm.textvec import mixed, words
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 END = np.uint64(1)
 ALPHA, DISCOUNT = 0.1, 0.75
-#: Training tokens for a shard, about; and the fewest bits of a hash that name a shard.
+#: Training tokens for a shard or piece, about; and the fewest bits of a hash that name a shard.
 SHARD_TOKENS, LEAST_BITS = 4_000_000, 4
 #: A pair is a key of 64 bits: the context within its shard, then 40 bits for the word.
 _WORD = np.uint64((1 << 40) - 1)
@@ -59,9 +61,16 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Vocabulary:
     """Level 1: words of all shards; ``files`` by shard, ``sizes`` how many words each has."""
 
-    def __init__(self, folder: str, bits: int, files: list[str | None], sizes: list[int], tokens: int, types: int):
-        self.folder, self.bits, self.files, self.tokens, self.types = folder, bits, files, tokens, types
+    def __init__(self, folder: str, bits: int, files: list[str | None], sizes: list[int], sums: list[int], types: int):
+        self.folder, self.bits, self.files, self.tokens, self.types = folder, bits, files, sum(sums), types
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        #: How many pieces each shard's second level has, and the first of them.
+        self.pieces = np.maximum(1, -(-np.array(sums, np.int64) // SHARD_TOKENS)) if len(sums) else np.zeros(0, np.int64)
+        self.first_piece = np.concatenate([[0], np.cumsum(self.pieces)])
+
+    def piece(self, shard: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Where the successor ``word`` of a context in ``shard`` is."""
+        return self.first_piece[shard] + (mixed(word.astype(np.uint64)) % self.pieces[shard].astype(np.uint64)).astype(np.int64)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word (hashes in order), -1 for a word without one."""
@@ -93,49 +102,58 @@ class Vocabulary:
 
 
 class Trie:
-    """Level 2: a file for each shard of contexts."""
+    """Level 2: a file of back-off weights for each shard of contexts, and one for each piece."""
 
-    def __init__(self, vocabulary: Vocabulary, files: list[str | None]):
-        self.vocabulary, self.files = vocabulary, files
+    def __init__(self, vocabulary: Vocabulary, weights: list[str | None], pieces: list[str | None]):
+        self.vocabulary, self.weights, self.pieces = vocabulary, weights, pieces
 
-    @functools.cached_property
-    def _shards(self) -> dict[int, tuple]:
-        return {}
-
-    def _shard(self, s: int) -> tuple:
-        if s not in self._shards:
-            a = load(self.vocabulary.folder, self.files[s])
-            self._shards[s] = (EliasFano.of(nested(a, "pointers.")), EliasFano.of(nested(a, "words.")), a)
-        return self._shards[s]
+    def _piece(self, p: int) -> tuple:
+        return _opened(self.vocabulary.folder, self.pieces[p])
 
     def score(self, contexts: np.ndarray, numbers: np.ndarray, single: np.ndarray) -> np.ndarray:
         """log10 P(word | context); ``single`` has the words' own log10 P. Numbers are -1 for unknown words."""
-        out = single.copy()
+        v, out = self.vocabulary, single.copy()
         known = np.flatnonzero(contexts >= 0)
         known = known[np.argsort(contexts[known], kind="stable")]
-        shard = np.searchsorted(self.vocabulary.offsets, contexts[known], "right") - 1
+        shard = np.searchsorted(v.offsets, contexts[known], "right") - 1
         for s, begin, end in Vocabulary._slices(shard):
-            if self.files[s] is None:
+            if self.weights[s] is None:
                 continue
-            pointers, sequence, a = self._shard(s)
+            a, mine = load(v.folder, self.weights[s]), known[begin:end]
+            out[mine] += a["backoff_book"][a["backoff"][contexts[mine] - v.offsets[s]]]
+        asked = numbers[known] >= 0
+        known, shard = known[asked], shard[asked]
+        piece = v.piece(shard, numbers[known])
+        order = np.argsort(piece, kind="stable")
+        known, shard, piece = known[order], shard[order], piece[order]
+        for p, begin, end in Vocabulary._slices(piece):
+            if self.pieces[p] is None:
+                continue
+            pointers, sequence, a = self._piece(p)
             mine = known[begin:end]
-            local = contexts[mine] - self.vocabulary.offsets[s]
-            distinct, back = np.unique(local, return_inverse=True)
+            distinct, back = np.unique(contexts[mine] - v.offsets[shard[begin]], return_inverse=True)
             first, last = pointers.get(distinct).astype(np.int64), pointers.get(distinct + 1).astype(np.int64)
-            base = np.where(first > 0, sequence.get(np.maximum(first - 1, 0)) + np.uint64(1), np.uint64(0)) if sequence.n else np.zeros(len(distinct), np.uint64)
-            out[mine] += a["backoff_book"][a["backoff"][local]]
-            asked = np.flatnonzero((numbers[mine] >= 0) & (last > first)[back])
-            if not len(asked):
+            has = np.flatnonzero((last > first)[back])
+            if not len(has):
                 continue
-            goal = base[back[asked]] + numbers[mine[asked]].astype(np.uint64)
-            inside = goal <= sequence.get(last[back[asked]] - 1)
-            asked, goal = asked[inside], goal[inside]
+            base = np.where(first > 0, sequence.get(np.maximum(first - 1, 0)) + np.uint64(1), np.uint64(0))
+            goal = base[back[has]] + numbers[mine[has]].astype(np.uint64)
+            inside = goal <= sequence.get(np.maximum(last - 1, 0))[back[has]]
+            has, goal = has[inside], goal[inside]
             at = sequence.successor(goal)
             hit = sequence.get(at) == goal
-            out[mine[asked[hit]]] = a["pairs_book"][a["pairs"][at[hit]]]
+            found = mine[has[hit]]
+            out[found] = np.log10(a["pairs_book"][a["pairs"][at[hit]]] + 10 ** out[found])
         return out
 
 
+@functools.lru_cache(maxsize=4096)
+def _opened(folder: str, name: str) -> tuple:
+    """Pointers, successors and the other arrays of a piece."""
+    a = load(folder, name)
+    return EliasFano.of(nested(a, "pointers.")), EliasFano.of(nested(a, "words.")), a
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text's end after its words; and where each text begins."""
     w = words(texts)
@@ -186,28 +204,30 @@ def fit(docs: DataFrame, *, folds: int = 10) -> Trie:
         h, n = table.column("word").to_numpy().view(np.uint64), table.column("n").to_numpy()
         order = np.argsort(h)
         name = save(folder, {"hashes": h[order], "counts": n[order]})
-        return pa.table({"shard": pa.array([int(h[0] >> np.uint64(64 - bits))], pa.int64()), "file": [name], "size": pa.array([len(h)], pa.int64())})
+        return pa.table({"shard": pa.array([int(h[0] >> np.uint64(64 - bits))], pa.int64()), "file": [name], "size": pa.array([len(h)], pa.int64()), "tokens": pa.array([n.sum()], pa.int64())})
 
     of_word = F.shiftrightunsigned("word", 64 - bits)
-    made = counted.withColumn("shard", of_word).groupBy("shard").applyInArrow(first_level, "shard long, file string, size long").collect()  # a row for each shard
-    files, sizes = [None] * (1 << bits), [0] * (1 << bits)
+    made = counted.withColumn("shard", of_word).groupBy("shard").applyInArrow(first_level, "shard long, file string, size long, tokens long").collect()  # a row for each shard
+    files, sizes, sums = [None] * (1 << bits), [0] * (1 << bits), [0] * (1 << bits)
     for r in made:
-        files[r.shard], sizes[r.shard] = r.file, r.size
-    vocabulary = Vocabulary(folder, bits, files, sizes, tokens, types)
+        files[r.shard], sizes[r.shard], sums[r.shard] = r.file, r.size, r.tokens
+    vocabulary = Vocabulary(folder, bits, files, sizes, sums, types)
+    held_vocabulary = spark.sparkContext.broadcast(vocabulary)  # file names
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        vocabulary = held_vocabulary.value
 
         def packed() -> pa.RecordBatch:
-            shard, keys = (np.concatenate(x) for x in zip(*held))
+            piece, keys = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.argsort(shard, kind="stable")
-            shard, keys, out = shard[order], keys[order], []
-            for s, begin, end in Vocabulary._slices(shard):
+            order = np.argsort(piece, kind="stable")
+            piece, keys, out = piece[order], keys[order], []
+            for s, begin, end in Vocabulary._slices(piece):
                 own, n = np.unique(keys[begin:end], return_counts=True)
                 planes = np.diff(own, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
                 out.append((s, len(own), pa.compress(planes, codec="zstd", asbytes=True)))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["shard", "n", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["piece", "n", "data"])
 
         for b in batches:
             hashes, bounds = _tokens(b.column("text"))
@@ -222,14 +242,15 @@ def fit(docs: DataFrame, *, folds: int = 10) -> Trie:
             before[bounds[:-1]] = end[0]
             shard = np.searchsorted(vocabulary.offsets, before, "right") - 1
             local = (before - vocabulary.offsets[shard]).astype(np.uint64)
-            held.append((shard, local << np.uint64(40) | token.astype(np.uint64)))
+            held.append((vocabulary.piece(shard, token), local << np.uint64(40) | token.astype(np.uint64)))
             if sum(len(x) for x, _ in held) > 4_000_000:
                 yield packed()
         if held:
             yield packed()
 
     def second_level(table: pa.Table) -> pa.Table:
-        s = table.column("shard")[0].as_py()
+        vocabulary, p = held_vocabulary.value, table.column("piece")[0].as_py()
+        s = int(np.searchsorted(vocabulary.first_piece, p, "right")) - 1
         keys, n = [], []
         for size, data in zip(table.column("n").to_pylist(), table.column("data")):
             raw = np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=12 * size, codec="zstd"), np.uint8)
@@ -242,37 +263,45 @@ def fit(docs: DataFrame, *, folds: int = 10) -> Trie:
         keys, n = keys[first], np.add.reduceat(n, first)
         context, word = (keys >> np.uint64(40)).astype(np.int64), (keys & _WORD).astype(np.int64)
         size = int(vocabulary.offsets[s + 1] - vocabulary.offsets[s])
-        total, successors = np.bincount(context, n, size), np.bincount(context, minlength=size)
+        total, successors = load(folder, vocabulary.files[s])["counts"], np.bincount(context, minlength=size)
         pointers = np.concatenate([[0], np.cumsum(successors)])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            share = np.where(total > 0, DISCOUNT * successors / total, 1.0)
-        single = 10 ** vocabulary.base(vocabulary.counts(word))
-        code, book = quantised(np.log10(np.maximum(n - DISCOUNT, 0) / total[context] + share[context] * single))
-        back, back_book = quantised(np.log10(share))
+        code, book = quantised(np.log10((n - DISCOUNT) / total[context]))
         # A context's words are added to the last value before it, plus one.
         ends = pointers[1:][successors > 0] - 1
         base = np.zeros(size, np.int64)
         base[successors > 0] = np.concatenate([[0], np.cumsum(word[ends] + 1)[:-1]])
         values = base[context] + word
-        arrays = {"pairs": code, "pairs_book": book, "backoff": back, "backoff_book": back_book}
+        arrays = {"pairs": code, "pairs_book": 10**book}
         arrays |= {f"pointers.{k}": v for k, v in EliasFano.build(pointers, len(keys) + 1).parts().items()}
         arrays |= {f"words.{k}": v for k, v in EliasFano.build(values, int(values[-1]) + 1).parts().items()}
-        return pa.table({"shard": pa.array([s], pa.int64()), "file": [save(folder, arrays)]})
+        return pa.table({"shard": pa.array([s], pa.int64()), "piece": pa.array([p], pa.int64()), "file": [save(folder, arrays)], "successors": pa.array([successors.astype("<i4").tobytes()], pa.binary())})
+
+    def back_off(table: pa.Table) -> pa.Table:
+        """What a context's successors leave to single words, from how many successors it has in all pieces."""
+        vocabulary, s = held_vocabulary.value, table.column("shard")[0].as_py()
+        each = [np.frombuffer(x.as_buffer(), "<i4").astype(np.int64) for x in table.column("successors")]
+        code, book = quantised(np.log10(DISCOUNT * sum(each) / load(folder, vocabulary.files[s])["counts"]))
+        return pa.table({"shard": pa.array([s], pa.int64()), "file": [save(folder, {"backoff": code, "backoff_book": book})]})
 
-    second = [None] * (1 << bits)
+    weights, second = [None] * (1 << bits), [None] * int(vocabulary.first_piece[-1])
     if tokens:
-        blobs = written(rows.mapInArrow(pairs, "shard long, n long, data binary"), "pairs")
-        for r in blobs.groupBy("shard").applyInArrow(second_level, "shard long, file string").collect():  # a row for each shard
-            second[r.shard] = r.file
-    return Trie(vocabulary, second)
+        blobs = written(rows.mapInArrow(pairs, "piece long, n long, data binary"), "pairs")
+        level = written(blobs.groupBy("piece").applyInArrow(second_level, "shard long, piece long, file string, successors binary"), "pieces")
+        for r in level.select("piece", "file").collect():  # a row for each piece
+            second[r.piece] = r.file
+        for r in level.groupBy("shard").applyInArrow(back_off, "shard long, file string").collect():  # a row for each shard
+            weights[r.shard] = r.file
+    return Trie(vocabulary, weights, second)
 
 
 def score(docs: DataFrame, model: Trie, *, folds: int = 10) -> DataFrame:
     """Base score and model score (log10 probability) of each row."""
     small_batches(docs.sparkSession)
-    vocabulary = model.vocabulary
+    held = docs.sparkSession.sparkContext.broadcast(model)  # file names
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        vocabulary = model.vocabulary
         for b in batches:
             hashes, bounds = _tokens(b.column("text"))
             distinct, back = np.unique(hashes, return_inverse=True)

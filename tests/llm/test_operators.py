@@ -555,7 +555,10 @@ def test_elias_fano():
     assert (EliasFano.build(distinct, 10**6).get(np.arange(len(distinct))) == distinct).all()
 
 
-def test_language_model(docs, texts, none):
+@pytest.mark.parametrize("shard_tokens", [4_000_000, 300])
+def test_language_model(docs, texts, none, monkeypatch, shard_tokens):
+    """With few tokens to a shard, frequent contexts have several pieces."""
+    monkeypatch.setattr(lm_trie, "SHARD_TOKENS", shard_tokens)
     known = [(i, t) for i, t in texts if i is not None and crc(i) % 10]
     unigrams, pairs, contexts, successors = Counter(), Counter(), Counter(), Counter()
     for _, t in known:
@@ -568,7 +571,9 @@ def test_language_model(docs, texts, none):
     n, v, d = sum(unigrams.values()), len(unigrams), lm_trie.DISCOUNT
     one = lambda w: (unigrams[w] + 0.1) / (n + 0.1 * (v + 1))
     two = lambda a, w: (max(pairs[a, w] - d, 0) + d * successors[a] * one(w)) / contexts[a] if contexts[a] else one(w)
-    rows = lm_trie.score(docs, lm_trie.fit(docs)).collect()
+    model = lm_trie.fit(docs)
+    assert (model.vocabulary.pieces.max() > 1) == (shard_tokens < 1000)
+    rows = lm_trie.score(docs, model).collect()
     assert len(rows) == len(texts)
     for r in rows:
         if r.doc_id is None:
