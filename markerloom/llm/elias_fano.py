@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Place of the r-th set bit of a byte.
 _PLACE = np.zeros((256, 8), np.uint8)
 for _b in range(256):
@@ -16,16 +15,16 @@ for _b in range(256):
 
 
 def _nth_bit(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th set bit of each 64-bit integer."""
-    out, r, open_ = np.zeros(len(x), np.int64), r.copy(), np.ones(len(x), bool)
-    for byte in range(8):
-        b = (x >> np.uint64(8 * byte) & np.uint64(255)).astype(np.int64)
-        n = _ONES[b]
-        here = open_ & (r < n)
-        out[here] = 8 * byte + _PLACE[b[here], r[here]]
-        open_ &= ~here
-        r = np.where(open_, r - n, r)
-    return out
+    """Place of the r-th set bit of each 64-bit integer: in which half, quarter and eighth it is, then a table."""
+    out, r = np.zeros(len(x), np.int64), r.astype(np.int64)
+    for width in (32, 16, 8):
+        here = np.bitwise_count(x & np.uint64((1 << width) - 1)).astype(np.int64)
+        over = r >= here
+        r -= here * over
+        shift = over * width
+        out += shift
+        x = x >> shift.astype(np.uint64)
+    return out + _PLACE[(x & np.uint64(255)).astype(np.int64), np.minimum(r, 7)]
 
 
 class EliasFano:
@@ -81,14 +80,37 @@ class EliasFano:
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """For each value the place of the first one that isn't smaller (``n`` if all are)."""
+        return self._search(values)[0]
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of :meth:`successor`, and whether the value itself is there."""
+        at, end, low = self._search(values)
+        hit = at < end
+        hit[hit] = self._low(at[hit]) == low[hit]
+        return at, hit
+
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, where their buckets (values with an equal upper part) end, and lower parts."""
         top = (values >> np.uint64(self.low_bits)).astype(np.int64)
         low = values & np.uint64((1 << self.low_bits) - 1)
-        begin = np.where(top > 0, self._zero(np.maximum(top - 1, 0)) - top + 1, 0)  # values with a smaller upper part
-        end = self._zero(top) - top
-        left, right = begin, end.copy()
-        while (active := np.flatnonzero(left < right)).size:  # in one bucket of equal upper parts
+        before = np.where(top > 0, self._zero(np.maximum(top - 1, 0)), -1)  # the zero that ends the bucket before
+        end = self._next_zero(before + 1) - top
+        left, right = before - top + 1, end.copy()
+        active = np.flatnonzero(left < right)
+        while active.size:
             mid = (left[active] + right[active]) >> 1
             less = self._low(mid) < low[active]
             left[active[less]] = mid[less] + 1
             right[active[~less]] = mid[~less]
-        return left
+            active = active[left[active] < right[active]]
+        return left, end, low
+
+    def _next_zero(self, at: np.ndarray) -> np.ndarray:
+        """Place of the first zero bit of the upper parts from ``at`` on."""
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        rest = ~self.high[np.minimum(word, len(self.high) - 1)] >> bit
+        out = at + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        if (far := np.flatnonzero(rest == 0)).size:  # none in this word
+            ones = self.ones[word[far]] + np.bitwise_count(self.high[word[far]]).astype(np.int64)
+            out[far] = self._zero((word[far] + 1) * 64 - ones)
+        return out

@@ -1,21 +1,24 @@
-"""Language-model scoring with an Elias-Fano trie of unigrams and bigrams.
+"""Language-model scoring with an Elias-Fano trie of n-grams up to a given order.
 
 Counts come from all training documents. Words are numbered in the order of their 64-bit hash; the upper bits of the hash
-name a shard, so a shard is the trie of a range of contexts and is one file in the shared folder:
+name a shard of level 1, a file with the hashes and counts of its words. Level n has the n-grams as successors of those of
+level n - 1. A file of it holds
 
-* level 1: the hashes and counts of its words, and in a file of their own their quantised back-off weights;
-* level 2: Elias-Fano pointers from each word to its successors, and the successors of each, in order, as one monotone
-  Elias-Fano sequence (a context's numbers are added to the last value before it), with quantised discounted probabilities.
+* Elias-Fano pointers from each n-gram of its parent file to its successors;
+* the successors of each, in order, as one monotone Elias-Fano sequence (a context's numbers are added to the last value
+  before it), with their counts and quantised discounted probabilities.
 
-Level 2 of a shard with frequent words is several pieces: which successors are in which is a hash of the successor, so no
-task and no file holds all successors of a context, and a query asks one piece.
+Where the n-grams of a parent file have many tokens, their successors are in several files: which is where is a hash of the
+successor, so no task and no file holds all successors of a context, and a query asks one file. Back-off weights, quantised,
+are a file for each parent file.
 
-A query adds the word to the base of its context and looks for the successor of that value within the context's range.
-Files are memory-mapped where the shared folder is a local path, else copied once for each worker to a file without a name.
-Shards and pieces grow in number, not in size; only the names of their files are broadcast.
+A query adds the word to the base of its context and looks for that value within the context's range; where it is names the
+context of the next word one level further. Files are memory-mapped where the shared folder is a local path, else copied once
+for each worker to a file without a name. Files grow in number, not in size; only their names are broadcast.
 
-P(w | v) = (c(v w) - d) / c(v) + d n(v) / c(v) P(w) with absolute discount d and n(v) distinct successors; P(w) is the base
-model. A document is a path from the end token over its words to the end token.
+P(w | u) = (c(u w) - d) / c(u) + d n(u) / c(u) P(w | u') with absolute discount d, n(u) distinct successors and the context u'
+one word shorter; P(w) is the base model. A document is a path from the end token over its words to the end token; contexts
+go back to the end token before its first word.
 
 Defined cases: a null text is an empty one and has the end token alone; texts are read whole; documents with a null
 ``doc_id`` are scored and never learned from; repeated rows are counted and scored each; an empty table gives no rows;
@@ -61,21 +64,14 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Vocabulary:
     """Level 1: words of all shards; ``files`` by shard, ``sizes`` how many words each has."""
 
-    def __init__(self, folder: str, bits: int, files: list[str | None], sizes: list[int], sums: list[int], types: int):
-        self.folder, self.bits, self.files, self.tokens, self.types = folder, bits, files, sum(sums), types
+    def __init__(self, folder: str, bits: int, files: list[str | None], sizes: list[int], tokens: int, types: int):
+        self.folder, self.bits, self.files, self.tokens, self.types = folder, bits, files, tokens, types
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        #: How many pieces each shard's second level has, and the first of them.
-        self.pieces = np.maximum(1, -(-np.array(sums, np.int64) // SHARD_TOKENS)) if len(sums) else np.zeros(0, np.int64)
-        self.first_piece = np.concatenate([[0], np.cumsum(self.pieces)])
-
-    def piece(self, shard: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Where the successor ``word`` of a context in ``shard`` is."""
-        return self.first_piece[shard] + (mixed(word.astype(np.uint64)) % self.pieces[shard].astype(np.uint64)).astype(np.int64)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word (hashes in order), -1 for a word without one."""
         out = np.full(len(hashes), -1, np.int64)
-        for s, begin, end in self._slices((hashes >> np.uint64(64 - self.bits)).astype(np.int64)):
+        for s, begin, end in _slices((hashes >> np.uint64(64 - self.bits)).astype(np.int64)):
             if self.files[s] is None:
                 continue
             own = load(self.folder, self.files[s])["hashes"]
@@ -95,65 +91,104 @@ class Vocabulary:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + ALPHA) / (self.tokens + ALPHA * (self.types + 1)))
 
-    @staticmethod
-    def _slices(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        cuts = np.flatnonzero(np.diff(shards, prepend=-1)).tolist()
-        yield from ((int(shards[b]), b, e) for b, e in zip(cuts, [*cuts[1:], len(shards)]))
-
 
-class Trie:
-    """Level 2: a file of back-off weights for each shard of contexts, and one for each piece."""
-
-    def __init__(self, vocabulary: Vocabulary, weights: list[str | None], pieces: list[str | None]):
-        self.vocabulary, self.weights, self.pieces = vocabulary, weights, pieces
-
-    def _piece(self, p: int) -> tuple:
-        return _opened(self.vocabulary.folder, self.pieces[p])
-
-    def score(self, contexts: np.ndarray, numbers: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """log10 P(word | context); ``single`` has the words' own log10 P. Numbers are -1 for unknown words."""
-        v, out = self.vocabulary, single.copy()
-        known = np.flatnonzero(contexts >= 0)
-        known = known[np.argsort(contexts[known], kind="stable")]
-        shard = np.searchsorted(v.offsets, contexts[known], "right") - 1
-        for s, begin, end in Vocabulary._slices(shard):
-            if self.weights[s] is None:
+class Level:
+    """N-grams of one length, in files by parent file and by a hash of the last word; ``tokens`` is how many tokens the
+    n-grams of each parent file have."""
+
+    def __init__(self, folder: str, tokens: list[int]):
+        self.folder = folder
+        self.pieces = np.maximum(1, -(-np.array(tokens, np.int64) // SHARD_TOKENS))
+        self.first = np.concatenate([[0], np.cumsum(self.pieces)]).astype(np.int64)
+        self.files: list[str | None] = [None] * int(self.first[-1])
+        self.weights: list[str | None] = [None] * len(tokens)
+
+    def piece(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The file of a successor of a context in ``parent``."""
+        return self.first[parent] + (mixed(word.astype(np.uint64)) % self.pieces[parent].astype(np.uint64)).astype(np.int64)
+
+    def look_up(self, parent: np.ndarray, local: np.ndarray, word: np.ndarray, lower: np.ndarray | None) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """log10 P(word | context) from that of the shorter context, ``lower`` (if asked for), and file and place of the
+        n-gram, -1 where there is none. A context is its file and place in it, -1 if it is unknown; so is a word."""
+        out, piece, place = None if lower is None else lower.copy(), np.full(len(word), -1), np.full(len(word), -1)
+        known = np.flatnonzero(parent >= 0)
+        if out is not None:
+            known = known[np.argsort(parent[known], kind="stable")]
+            for s, begin, end in _slices(parent[known]):
+                if self.weights[s] is not None:
+                    a, mine = load(self.folder, self.weights[s]), known[begin:end]
+                    out[mine] += a["backoff_book"][a["backoff"][local[mine]]]
+        known = known[word[known] >= 0]
+        of = self.piece(parent[known], word[known])
+        order = np.argsort(of, kind="stable")
+        known, of = known[order], of[order]
+        for p, begin, end in _slices(of):
+            if self.files[p] is None:
                 continue
-            a, mine = load(v.folder, self.weights[s]), known[begin:end]
-            out[mine] += a["backoff_book"][a["backoff"][contexts[mine] - v.offsets[s]]]
-        asked = numbers[known] >= 0
-        known, shard = known[asked], shard[asked]
-        piece = v.piece(shard, numbers[known])
-        order = np.argsort(piece, kind="stable")
-        known, shard, piece = known[order], shard[order], piece[order]
-        for p, begin, end in Vocabulary._slices(piece):
-            if self.pieces[p] is None:
-                continue
-            pointers, sequence, a = self._piece(p)
+            pointers, sequence, a = _opened(self.folder, self.files[p])
             mine = known[begin:end]
-            distinct, back = np.unique(contexts[mine] - v.offsets[shard[begin]], return_inverse=True)
+            distinct, back = np.unique(local[mine], return_inverse=True)
             first, last = pointers.get(distinct).astype(np.int64), pointers.get(distinct + 1).astype(np.int64)
             has = np.flatnonzero((last > first)[back])
             if not len(has):
                 continue
             base = np.where(first > 0, sequence.get(np.maximum(first - 1, 0)) + np.uint64(1), np.uint64(0))
-            goal = base[back[has]] + numbers[mine[has]].astype(np.uint64)
-            inside = goal <= sequence.get(np.maximum(last - 1, 0))[back[has]]
-            has, goal = has[inside], goal[inside]
-            at = sequence.successor(goal)
-            hit = sequence.get(at) == goal
-            found = mine[has[hit]]
-            out[found] = np.log10(a["pairs_book"][a["pairs"][at[hit]]] + 10 ** out[found])
-        return out
+            at, hit = sequence.find(base[back[has]] + word[mine[has]].astype(np.uint64))
+            hit &= at < last[back[has]]
+            found, at = mine[has[hit]], at[hit]
+            piece[found], place[found] = p, at
+            if out is not None:
+                out[found] = np.log10(a["pairs_book"][a["pairs"][at]] + 10 ** out[found])
+        return out, piece, place
+
+
+class Trie:
+    """Words, and a level for each length of n-grams from 2 on."""
+
+    def __init__(self, vocabulary: Vocabulary, levels: list[Level]):
+        self.vocabulary, self.levels = vocabulary, levels
+
+    def walk(self, hashes: np.ndarray, bounds: np.ndarray, scored: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray, np.ndarray]:
+        """For each token its number, count, log10 of its base and model probability (if ``scored``), and its context one
+        level beyond the last."""
+        v = self.vocabulary
+        distinct, back = np.unique(hashes, return_inverse=True)
+        number = v.numbers(distinct)
+        count = v.counts(number)
+        token = number[back]
+        shard = np.where(number >= 0, np.searchsorted(v.offsets, number, "right") - 1, -1)
+        place = number - v.offsets[np.maximum(shard, 0)]
+        end = np.searchsorted(distinct, END)
+        first = bounds[:-1]
+
+        def before(x: np.ndarray, at_start: int) -> np.ndarray:
+            out = np.empty_like(x)
+            out[1:] = x[:-1]
+            out[first] = at_start
+            return out
+
+        parent, local = (before(x[back], int(x[end]) if len(x) else -1) for x in (shard, place))
+        single = v.base(count)[back] if scored else None
+        each = single
+        for level in self.levels:
+            each, piece, at = level.look_up(parent, local, token, each)
+            parent, local = before(piece, -1), before(at, -1)
+        return token, count[back], single, each, parent, local
 
 
 @functools.lru_cache(maxsize=4096)
 def _opened(folder: str, name: str) -> tuple:
-    """Pointers, successors and the other arrays of a piece."""
+    """Pointers, successors and the other arrays of a file of n-grams."""
     a = load(folder, name)
     return EliasFano.of(nested(a, "pointers.")), EliasFano.of(nested(a, "words.")), a
 
 
+def _slices(numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Runs of equal numbers: number, begin, end."""
+    cuts = np.flatnonzero(np.diff(numbers, prepend=-1)).tolist()
+    yield from ((int(numbers[b]), b, e) for b, e in zip(cuts, [*cuts[1:], len(numbers)]))
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, each text's end after its words; and where each text begins."""
     w = words(texts)
@@ -190,8 +225,8 @@ def _unigrams(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, *, folds: int = 10) -> Trie:
-    """Count all documents outside fold 0 and write the trie to the shared folder."""
+def fit(docs: DataFrame, *, order: int = 3, folds: int = 10) -> Trie:
+    """Count the n-grams up to ``order`` of all documents outside fold 0 and write the trie to the shared folder."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = only(docs, doc_id=F.col("doc_id"), text=F.col("text")).where(remainder(F.col("doc_id"), folds) != 0).select("text")
@@ -211,19 +246,33 @@ def fit(docs: DataFrame, *, folds: int = 10) -> Trie:
     files, sizes, sums = [None] * (1 << bits), [0] * (1 << bits), [0] * (1 << bits)
     for r in made:
         files[r.shard], sizes[r.shard], sums[r.shard] = r.file, r.size, r.tokens
-    vocabulary = Vocabulary(folder, bits, files, sizes, sums, types)
-    held_vocabulary = spark.sparkContext.broadcast(vocabulary)  # file names
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    vocabulary, levels = Vocabulary(folder, bits, files, sizes, tokens, types), []
+    parents = files
+    for n in range(2, order + 1) if tokens else ():
+        level = Level(folder, sums)
+        made = _level(rows, Trie(vocabulary, levels), level, parents, f"{n}-grams")
+        sums, parents = [0] * len(level.files), level.files
+        for r in made.select("piece", "file", "tokens").collect():  # a row for each file
+            level.files[r.piece], sums[r.piece] = r.file, r.tokens
+        levels.append(level)
+    return Trie(vocabulary, levels)
+
+
+def _level(rows: DataFrame, shorter: Trie, level: Level, parents: list[str | None], name: str) -> DataFrame:
+    """Count the n-grams of a level, whose contexts are found in the ``shorter`` ones, and write its files: a stored table
+    of their ``parent, piece, file, tokens, successors``; ``level.weights`` is filled."""
+    folder, held_all = level.folder, rows.sparkSession.sparkContext.broadcast((shorter, level, parents))  # file names
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        vocabulary = held_vocabulary.value
+        shorter, level, _ = held_all.value
 
         def packed() -> pa.RecordBatch:
             piece, keys = (np.concatenate(x) for x in zip(*held))
             held.clear()
             order = np.argsort(piece, kind="stable")
             piece, keys, out = piece[order], keys[order], []
-            for s, begin, end in Vocabulary._slices(piece):
+            for s, begin, end in _slices(piece):
                 own, n = np.unique(keys[begin:end], return_counts=True)
                 planes = np.diff(own, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes() + n.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
                 out.append((s, len(own), pa.compress(planes, codec="zstd", asbytes=True)))
@@ -231,26 +280,19 @@ def fit(docs: DataFrame, *, folds: int = 10) -> Trie:
 
         for b in batches:
             hashes, bounds = _tokens(b.column("text"))
-            distinct, back = np.unique(hashes, return_inverse=True)
-            number = vocabulary.numbers(distinct)
-            end = number[distinct == END]
             if not len(hashes):
                 continue
-            token = number[back]
-            before = np.empty_like(token)
-            before[1:] = token[:-1]
-            before[bounds[:-1]] = end[0]
-            shard = np.searchsorted(vocabulary.offsets, before, "right") - 1
-            local = (before - vocabulary.offsets[shard]).astype(np.uint64)
-            held.append((vocabulary.piece(shard, token), local << np.uint64(40) | token.astype(np.uint64)))
+            token, _, _, _, parent, local = shorter.walk(hashes, bounds, False)
+            mine = np.flatnonzero(parent >= 0)
+            held.append((level.piece(parent[mine], token[mine]), local[mine].astype(np.uint64) << np.uint64(40) | token[mine].astype(np.uint64)))
             if sum(len(x) for x, _ in held) > 4_000_000:
                 yield packed()
-        if held:
+        if any(len(x) for x, _ in held):
             yield packed()
 
-    def second_level(table: pa.Table) -> pa.Table:
-        vocabulary, p = held_vocabulary.value, table.column("piece")[0].as_py()
-        s = int(np.searchsorted(vocabulary.first_piece, p, "right")) - 1
+    def build(table: pa.Table) -> pa.Table:
+        (_, level, parents), p = held_all.value, table.column("piece")[0].as_py()
+        s = int(np.searchsorted(level.first, p, "right")) - 1
         keys, n = [], []
         for size, data in zip(table.column("n").to_pylist(), table.column("data")):
             raw = np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=12 * size, codec="zstd"), np.uint8)
@@ -262,8 +304,9 @@ def fit(docs: DataFrame, *, folds: int = 10) -> Trie:
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         keys, n = keys[first], np.add.reduceat(n, first)
         context, word = (keys >> np.uint64(40)).astype(np.int64), (keys & _WORD).astype(np.int64)
-        size = int(vocabulary.offsets[s + 1] - vocabulary.offsets[s])
-        total, successors = load(folder, vocabulary.files[s])["counts"], np.bincount(context, minlength=size)
+        total = load(folder, parents[s])["counts"]
+        size = len(total)
+        successors = np.bincount(context, minlength=size)
         pointers = np.concatenate([[0], np.cumsum(successors)])
         code, book = quantised(np.log10((n - DISCOUNT) / total[context]))
         # A context's words are added to the last value before it, plus one.
@@ -271,27 +314,26 @@ def fit(docs: DataFrame, *, folds: int = 10) -> Trie:
         base = np.zeros(size, np.int64)
         base[successors > 0] = np.concatenate([[0], np.cumsum(word[ends] + 1)[:-1]])
         values = base[context] + word
-        arrays = {"pairs": code, "pairs_book": 10**book}
+        arrays = {"pairs": code, "pairs_book": 10**book, "counts": n.astype(np.min_scalar_type(int(n.max())))}
         arrays |= {f"pointers.{k}": v for k, v in EliasFano.build(pointers, len(keys) + 1).parts().items()}
         arrays |= {f"words.{k}": v for k, v in EliasFano.build(values, int(values[-1]) + 1).parts().items()}
-        return pa.table({"shard": pa.array([s], pa.int64()), "piece": pa.array([p], pa.int64()), "file": [save(folder, arrays)], "successors": pa.array([successors.astype("<i4").tobytes()], pa.binary())})
+        return pa.table({"parent": pa.array([s], pa.int64()), "piece": pa.array([p], pa.int64()), "file": [save(folder, arrays)], "tokens": pa.array([n.sum()], pa.int64()), "successors": pa.array([pa.compress(successors.astype("<i4").tobytes(), codec="zstd", asbytes=True)], pa.binary())})
 
     def back_off(table: pa.Table) -> pa.Table:
-        """What a context's successors leave to single words, from how many successors it has in all pieces."""
-        vocabulary, s = held_vocabulary.value, table.column("shard")[0].as_py()
-        each = [np.frombuffer(x.as_buffer(), "<i4").astype(np.int64) for x in table.column("successors")]
-        code, book = quantised(np.log10(DISCOUNT * sum(each) / load(folder, vocabulary.files[s])["counts"]))
-        return pa.table({"shard": pa.array([s], pa.int64()), "file": [save(folder, {"backoff": code, "backoff_book": book})]})
-
-    weights, second = [None] * (1 << bits), [None] * int(vocabulary.first_piece[-1])
-    if tokens:
-        blobs = written(rows.mapInArrow(pairs, "piece long, n long, data binary"), "pairs")
-        level = written(blobs.groupBy("piece").applyInArrow(second_level, "shard long, piece long, file string, successors binary"), "pieces")
-        for r in level.select("piece", "file").collect():  # a row for each piece
-            second[r.piece] = r.file
-        for r in level.groupBy("shard").applyInArrow(back_off, "shard long, file string").collect():  # a row for each shard
-            weights[r.shard] = r.file
-    return Trie(vocabulary, weights, second)
+        """What a context's successors leave to shorter contexts, from how many successors it has in all files."""
+        s = table.column("parent")[0].as_py()
+        total = load(folder, held_all.value[2][s])["counts"].astype(np.float64)
+        distinct = np.zeros(len(total))
+        for x in table.column("successors"):
+            distinct += np.frombuffer(pa.decompress(x.as_buffer(), decompressed_size=4 * len(total), codec="zstd"), "<i4")
+        code, book = quantised(np.log10(np.where(distinct > 0, DISCOUNT * distinct / total, 1.0)))
+        return pa.table({"parent": pa.array([s], pa.int64()), "file": [save(folder, {"backoff": code, "backoff_book": book})]})
+
+    blobs = written(rows.mapInArrow(grams, "piece long, n long, data binary"), name)
+    made = written(blobs.groupBy("piece").applyInArrow(build, "parent long, piece long, file string, tokens long, successors binary"), "pieces")
+    for r in made.groupBy("parent").applyInArrow(back_off, "parent long, file string").collect():  # a row for each file of the level before
+        level.weights[r.parent] = r.file
+    return made
 
 
 def score(docs: DataFrame, model: Trie, *, folds: int = 10) -> DataFrame:
@@ -304,17 +346,9 @@ def score(docs: DataFrame, model: Trie, *, folds: int = 10) -> DataFrame:
         vocabulary = model.vocabulary
         for b in batches:
             hashes, bounds = _tokens(b.column("text"))
-            distinct, back = np.unique(hashes, return_inverse=True)
-            number = vocabulary.numbers(distinct)
-            count = vocabulary.counts(number)
-            own = vocabulary.base(count)
-            single, token = own[back], number[back]
-            before = np.empty_like(token)
-            before[1:] = token[:-1]
-            before[bounds[:-1]] = number[np.searchsorted(distinct, END)] if len(distinct) else -1
-            each = model.score(before, token, single)
+            _, count, single, each, _, _ = model.walk(hashes, bounds, True)
             sums = lambda x, kind: np.add.reduceat(x, bounds[:-1], dtype=kind) if len(x) else np.zeros(0, kind)
-            cols = [np.diff(bounds), sums(count[back] > 0, np.int64), np.full(b.num_rows, vocabulary.tokens), sums(single, np.float64), sums(each, np.float64)]
+            cols = [np.diff(bounds), sums(count > 0, np.int64), np.full(b.num_rows, vocabulary.tokens), sums(single, np.float64), sums(each, np.float64)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *map(pa.array, cols)], [x.split(" ")[0] for x in SCORES.split(", ")])
 
     rows = only(docs, doc_id=F.col("doc_id").cast("long"), held_out=remainder(F.col("doc_id"), folds) == 0, text=F.col("text"))

@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: in
     linked = known.select(F.explode(F.array("node", "component")).alias("rep"), "component").distinct()
     linked = written(classes.join(linked, "rep", "left").where("component IS NOT NULL OR rows > 1"), "linked")
     names = linked.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("name"))
-    grouped = linked.join(names, "component", "left").select(*set_key, F.coalesce("name", "doc_id").alias("component_id"))
+    grouped = hinted(written(linked.join(names, "component", "left").select(*set_key, F.coalesce("name", "doc_id").alias("component_id")), "named-classes"))
     out = all_docs.select("doc_id", "text_key", *set_key).join(grouped, set_key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")

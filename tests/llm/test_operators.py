@@ -555,35 +555,41 @@ def test_elias_fano():
     assert (EliasFano.build(distinct, 10**6).get(np.arange(len(distinct))) == distinct).all()
 
 
-@pytest.mark.parametrize("shard_tokens", [4_000_000, 300])
-def test_language_model(docs, texts, none, monkeypatch, shard_tokens):
-    """With few tokens to a shard, frequent contexts have several pieces."""
+@pytest.mark.parametrize("shard_tokens,order", [(4_000_000, 3), (300, 3), (300, 2), (4_000_000, 4), (4_000_000, 1)])
+def test_language_model(docs, texts, none, monkeypatch, shard_tokens, order):
+    """With few tokens to a file, frequent contexts have several."""
     monkeypatch.setattr(lm_trie, "SHARD_TOKENS", shard_tokens)
     known = [(i, t) for i, t in texts if i is not None and crc(i) % 10]
-    unigrams, pairs, contexts, successors = Counter(), Counter(), Counter(), Counter()
+    grams_of = defaultdict(Counter)  # by context, of any length
+    unigrams = Counter()
+    path = lambda t: [b"\n", *tokens(t), b"\n"]
     for _, t in known:
-        w = [*tokens(t), b"\n"]
-        unigrams.update(w)
-        pairs.update(zip([b"\n", *w], w))
-    for (a, _), n in pairs.items():
-        contexts[a] += n
-        successors[a] += 1
+        w = path(t)
+        unigrams.update(w[1:])
+        for k in range(1, len(w)):
+            for n in range(1, order):
+                if k >= n:
+                    grams_of[tuple(w[k - n : k])][w[k]] += 1
     n, v, d = sum(unigrams.values()), len(unigrams), lm_trie.DISCOUNT
-    one = lambda w: (unigrams[w] + 0.1) / (n + 0.1 * (v + 1))
-    two = lambda a, w: (max(pairs[a, w] - d, 0) + d * successors[a] * one(w)) / contexts[a] if contexts[a] else one(w)
-    model = lm_trie.fit(docs)
-    assert (model.vocabulary.pieces.max() > 1) == (shard_tokens < 1000)
+
+    def probability(context, w):
+        lower = probability(context[1:], w) if context else (unigrams[w] + 0.1) / (n + 0.1 * (v + 1))
+        own = grams_of.get(context) if context else None
+        return (max(own[w] - d, 0) + d * len(own) * lower) / sum(own.values()) if own else lower
+
+    model = lm_trie.fit(docs, order=order)
+    assert len(model.levels) == order - 1 and (order == 1 or (model.levels[0].pieces.max() > 1) == (shard_tokens < 1000))
     rows = lm_trie.score(docs, model).collect()
     assert len(rows) == len(texts)
     for r in rows:
         if r.doc_id is None:
             continue
-        w = [*tokens(dict(texts)[r.doc_id]), b"\n"]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(r.doc_id) % 10 == 0, len(w), sum(unigrams[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10(one(x)) for x in w))
-        assert abs(r.score - sum(math.log10(two(a, x)) for a, x in zip([b"\n", *w], w))) <= 0.05 * len(w)
-    assert lm_trie.score(none, lm_trie.fit(none)).count() == 0
-    untrained = lm_trie.score(docs, lm_trie.fit(none)).where("doc_id = 7").first()
+        w = path(dict(texts)[r.doc_id])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc(r.doc_id) % 10 == 0, len(w) - 1, sum(unigrams[x] > 0 for x in w[1:]), n)
+        assert r.base_score == pytest.approx(sum(math.log10(probability((), x)) for x in w[1:]))
+        assert abs(r.score - sum(math.log10(probability(tuple(w[max(0, k - order + 1) : k]), w[k])) for k in range(1, len(w)))) <= 0.05 * (len(w) - 1)
+    assert lm_trie.score(none, lm_trie.fit(none, order=order)).count() == 0
+    untrained = lm_trie.score(docs, lm_trie.fit(none, order=order)).where("doc_id = 7").first()
     assert untrained.train_tokens == 0 and untrained.n_known == 0 and untrained.score == untrained.base_score
 
 
