@@ -112,21 +112,20 @@ class Level:
         n-gram, -1 where there is none. A context is its file and place in it, -1 if it is unknown; so is a word."""
         out, piece, place = None if lower is None else lower.copy(), np.full(len(word), -1), np.full(len(word), -1)
         known = np.flatnonzero(parent >= 0)
-        if out is not None:
-            known = known[np.argsort(parent[known], kind="stable")]
-            for s, begin, end in _slices(parent[known]):
-                if self.weights[s] is not None:
-                    a, mine = load(self.folder, self.weights[s]), known[begin:end]
-                    out[mine] += a["backoff_book"][a["backoff"][local[mine]]]
-        known = known[word[known] >= 0]
-        of = self.piece(parent[known], word[known])
-        order = np.argsort(of, kind="stable")
-        known, of = known[order], of[order]
+        there = word[known] >= 0
+        of = np.where(there, self.piece(parent[known], word[known]), self.first[parent[known]])
+        # Files of one parent follow one another, so both back-off weights and n-grams are read file by file in this order.
+        order = _sorted(of, len(self.files))
+        known, of, there = known[order], of[order], there[order]
         for p, begin, end in _slices(of):
-            if self.files[p] is None:
+            mine, s = known[begin:end], int(parent[known[begin]])
+            if out is not None and self.weights[s] is not None:
+                a = load(self.folder, self.weights[s])
+                out[mine] += a["backoff_book"][a["backoff"][local[mine]]]
+            mine = mine[there[begin:end]]
+            if self.files[p] is None or not len(mine):
                 continue
             pointers, sequence, a = _opened(self.folder, self.files[p])
-            mine = known[begin:end]
             distinct, back = np.unique(local[mine], return_inverse=True)
             first, last = pointers.get(distinct).astype(np.int64), pointers.get(distinct + 1).astype(np.int64)
             has = np.flatnonzero((last > first)[back])
@@ -138,7 +137,7 @@ class Level:
             found, at = mine[has[hit]], at[hit]
             piece[found], place[found] = p, at
             if out is not None:
-                out[found] = np.log10(a["pairs_book"][a["pairs"][at]] + 10 ** out[found])
+                out[found] = np.log10(a["pairs_book"][a["pairs"][at]] + np.exp(out[found] * np.log(10)))
         return out, piece, place
 
 
@@ -183,6 +182,11 @@ def _opened(folder: str, name: str) -> tuple:
     return EliasFano.of(nested(a, "pointers.")), EliasFano.of(nested(a, "words.")), a
 
 
+def _sorted(numbers: np.ndarray, below: int) -> np.ndarray:
+    """A stable order of numbers; of few files they are short integers, which numpy sorts by their digits."""
+    return np.argsort(numbers.astype(np.min_scalar_type(max(below, 1))), kind="stable")
+
+
 def _slices(numbers: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Runs of equal numbers: number, begin, end."""
     cuts = np.flatnonzero(np.diff(numbers, prepend=-1)).tolist()
