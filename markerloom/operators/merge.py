@@ -58,5 +58,5 @@ def packed_order() -> list[Column]:
 
 def merge(tables: Sequence[MarkerTable]) -> MarkerTable:
     individuals = [x for t in tables for x in t.individuals]
-    rows = numbered(as_arrays(merged_long(tables), len(individuals)), *packed_order())
+    rows = numbered(as_arrays(stored(merged_long(tables), "merged"), len(individuals)), *packed_order())
     return MarkerTable(rows.select("ord", F.col("ord").cast("string").alias("id"), "sequence", "depths"), individuals)

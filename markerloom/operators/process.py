@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from markerloom.functions.sequences import kmer_signature, normalised
 from markerloom.operators.merge import as_arrays, numbered
+from markerloom.plans.lineage import stored
 from markerloom.table import MarkerTable
 from markerloom.types import MAX_DEPTH, MarkerError
 
@@ -31,9 +32,9 @@ def process(reads: DataFrame, individuals: Sequence[str] | None = None, *, min_d
     reads is all zeros), else they are those that occur, by name. ``n_before_filter`` is the number of distinct sequences."""
     if min_depth < 1:
         raise MarkerError("min_depth must be 1 or more")
-    counts = read_counts(reads)
+    counts = stored(read_counts(reads), "read-counts")  # read for the totals, for the ranges of ids, and for the rows
     if individuals is None:
-        individuals = [r.individual for r in reads.select("individual").distinct().orderBy("individual").collect()]  # 65535 at most
+        individuals = [r.individual for r in counts.select("individual").distinct().orderBy("individual").collect()]  # 65535 at most
     totals = counts.groupBy("sequence").agg(F.max("depth").alias("most"), F.sum("depth").alias("total"))
     kept = totals.where(F.col("most") >= min_depth).select("sequence", "total")
     kept = representatives(kept, kmer_dedup) if kmer_dedup else kept.select("sequence")

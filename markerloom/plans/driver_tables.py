@@ -36,7 +36,7 @@ def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``individual, lang, doc_id, word`` for each word of the documents in en and de."""
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").where(F.col("lang").isin("en", "de"))
     individual = F.concat_ws("_", "source", "lang", (F.col("doc_id") % 6).cast("string"))
-    return docs.select(individual.alias("individual"), "lang", "doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word"))
+    return docs.select(individual.alias("individual"), "lang", "doc_id", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''")
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[str, str]]]:
