@@ -333,8 +333,8 @@ def _level(rows: DataFrame, shorter: Trie, level: Level, parents: list[str | Non
         code, book = quantised(np.log10(np.where(distinct > 0, DISCOUNT * distinct / total, 1.0)))
         return pa.table({"parent": pa.array([s], pa.int64()), "file": [save(folder, {"backoff": code, "backoff_book": book})]})
 
-    blobs = written(rows.mapInArrow(grams, "piece long, n long, data binary"), name)
-    made = written(blobs.groupBy("piece").applyInArrow(build, "parent long, piece long, file string, tokens long, successors binary"), "pieces")
+    blobs = rows.mapInArrow(grams, "piece long, n long, data binary")
+    made = written(blobs.groupBy("piece").applyInArrow(build, "parent long, piece long, file string, tokens long, successors binary"), name)
     for r in made.groupBy("parent").applyInArrow(back_off, "parent long, file string").collect():  # a row for each file of the level before
         level.weights[r.parent] = r.file
     return made
