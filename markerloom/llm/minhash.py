@@ -180,8 +180,9 @@ def _blocks(groups: DataFrame) -> DataFrame:
     the others. Only members outside the main component are in several of its blocks."""
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / F.lit(BLOCK)), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / F.lit(WORDS))).cast("int")
     sizes = groups.groupBy("grp").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("others"))
+    sizes = hinted(written(sizes.where("mains > 1 OR others > 1"), "sizes"))  # a row for a block's rows at least
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
-    placed = groups.join(sizes, "grp").withColumn("own", own)
+    placed = groups.join(sizes, "grp", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("mains", "others")}).withColumn("own", own)
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     with_others = F.transform(upto("others"), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
     with_mains = F.transform(upto("mains"), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
