@@ -2,14 +2,9 @@
 
 1. One pass makes, for each document, the size of its shingle set, a 128-bit key of the set (equal sets are one class, of
    which only the first document goes on), ``bands * rows`` hash minima and a key for each band.
-2. Buckets of a band are split by the size of the sets (similar sets are in the same or the next class of size); in each
-   that classes share, every member is paired with the smallest one: as many pairs as rows.
-3. Pairs whose signatures agree too little are dropped; the others are confirmed on the full sets.
-4. Components of the confirmed links. A bucket whose members are then in several components has a main one, that of most
-   of its members; buckets with the same main component are one group. Its members outside the main component are
-   compared with those inside and among themselves, in blocks of bounded size, by the counts of their common shingles; only
-   links between different components are confirmed and kept.
-5. Components of all links.
+2. Buckets of a band are split by the size of the sets (similar sets are in the same or the next class of size).
+3. Links within buckets are found as :mod:`markerloom.llm.bucket_links` says. Pairs whose signatures agree too little are
+   dropped; the others are confirmed on the full sets. Components of the links.
 
 So no bucket is gathered in one task, no group's pairs are written out, and no link between different texts that share a
 bucket is lost; a pair of similarity 0.8 shares none with a probability of 1.3e-7 (40 bands of 5 rows).
@@ -22,7 +17,6 @@ one of several equal rows (by id and text; any of them, where they differ in oth
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,25 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from markerloom.llm.components import components
-from markerloom.llm.shared import hinted, only, small_batches, tasks, whole_groups, written
-from markerloom.llm.textvec import grams, mixed, words
+from markerloom.llm.bucket_links import Texts, beside_pivots, bucket_members, classes_of, links_within, named, set_keys, shingle_hashes
+from markerloom.llm.shared import hinted, only, small_batches, written
+from markerloom.llm.textvec import mixed, words
 
 SKETCH = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
-#: Documents, and shingles of all of them, in a block of a group; pairs that share one copy of their pivot's data.
-BLOCK, WORDS, SALT = 2000, 2_000_000, 1000
-
-
-def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:
-    """Distinct shingle hashes of each text, from the hashes of its words."""
-    all_grams = grams(hashes, k)
-    out = []
-    for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if end - begin >= k:
-            out.append(np.unique(all_grams[begin : end - k + 1]))
-        else:
-            out.append(grams(hashes[begin:end], end - begin) + np.uint64(k) if end > begin else np.zeros(0, np.uint64))
-    return out
 
 
 def minima(sets: list[np.ndarray], n: int, seed: int = 11) -> np.ndarray:
@@ -78,56 +58,16 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), 1))
             for j in range(rows):
                 keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sig[:, j::rows])
-            set_a = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
-            set_b = np.array([mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
             flat = pa.array(keys.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
             low = (sig & np.uint32(0xFFFF)).astype("<u2")
-            cols = [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), lists, pa.array([r.tobytes() for r in low], pa.binary())]
+            cols = [batch.column("doc_id"), batch.column("text_key"), *set_keys(sets), lists, pa.array([r.tobytes() for r in low], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands", "signature"])
 
     small_batches(docs.sparkSession)
     return only(docs, doc_id=F.col("doc_id").cast("long"), text_key=F.xxhash64(F.col("text")), text=F.col("text")).mapInArrow(sketch, SKETCH)
 
 
-def shingles(text: str | None, k: int) -> set:
-    """The set itself, of tuples of words."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return set(zip(*[w[i:] for i in range(k)])) if len(w) >= k else {tuple(w)} if w else set()
-
-
-def similar(x: set, y: set, percent: int) -> bool:
-    both = len(x & y)
-    return bool(both) and 100 * both >= percent * (len(x) + len(y) - both)
-
-
-class Texts:
-    """Texts of nodes: ``nodes`` is a stored table of ``rep, doc_id, text_key`` for all nodes that may be asked for."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.rows, self.nodes = only(docs, id=F.col("doc_id").cast("long"), key=F.xxhash64(F.col("text")), text=F.col("text")), nodes
-
-    def of(self, reps: DataFrame, name: str) -> DataFrame:
-        """``rep, text``, stored, for a table of distinct ``rep``."""
-        asked = hinted(written(self.nodes.join(reps, "rep", "left_semi"), "asked"))
-        found = self.rows.join(asked, (F.col("id") == F.col("doc_id")) & (F.col("key") == F.col("text_key")))
-        return written(found.select("rep", "text").dropDuplicates(["rep"]), name)
-
-
-def _beside_pivots(pairs: DataFrame, data: DataFrame) -> DataFrame:
-    """``a, salt, b, data``: for each ``SALT`` pairs of a pivot its own row (whose ``b`` is null), then those of its ``b``.
-
-    ``pairs`` and ``data`` (rep, data) are stored tables. A pivot's data is moved once for ``SALT`` of its pairs, and
-    no task has to take all of them."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SALT)).cast("int").alias("salts"))
-    own = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("rep"))
-    split = hinted(written(counts.where("salts > 1"), "split"))  # a row for SALT pairs at most
-    salt = F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")
-    others = pairs.join(split, "a", "left").select("a", salt.alias("salt"), "b", F.col("b").alias("rep"))
-    rows = own.unionByName(others).join(data, "rep").select("a", "salt", "b", "data")
-    return rows.repartition(tasks(pairs, 4000), "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-
-
 def agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Pairs of which at least this share of the minima is equal, from signatures as :func:`_beside_pivots` orders them."""
     pivot = None
@@ -144,143 +84,31 @@ def agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield b.filter(pa.array(member & ((left == sig).mean(axis=1) >= least))).select(["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, texts: Texts, k: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` whose full sets are similar enough."""
-    both = texts.of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "texts")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set = set()
-        for batch in batches:
-            good = []
-            for i, (b, text) in enumerate(zip(batch.column("b").to_pylist(), batch.column("data"))):
-                own = shingles(text.as_py(), k)
-                if b is None:
-                    held = own
-                elif similar(held, own, percent):
-                    good.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
-
-    return _beside_pivots(pairs, both.withColumnRenamed("text", "data")).mapInArrow(confirm, "a long, b long")
-
-
-def _open_groups(members: DataFrame, known: DataFrame) -> DataFrame:
-    """``grp, rep, component, n, main``: what buckets whose members are in several components still have to compare.
-
-    The component that has most members in such a bucket is its main one. Buckets with the same main component (the many
-    buckets that one group of copies fills) are one group, so a pair is compared once and not in each of its buckets."""
-    placed = members.join(known, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    shares = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    mains = shares.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("rows", -F.col("component"))).alias("grp")).where("parts > 1")
-    return placed.join(mains.select("key", "grp"), "key").select("grp", "rep", "component", "n", (F.col("component") == F.col("grp")).alias("main")).distinct()
-
-
-def _blocks(groups: DataFrame) -> DataFrame:
-    """Groups dealt out in tasks ``grp, i, j`` of bounded size: block i of the main component's members with block j of
-    the others (``i = 0`` compares the others of block j among themselves, too), or for ``i < 0`` blocks -1 - i and j of
-    the others. Only members outside the main component are in several of its blocks."""
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / F.lit(BLOCK)), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / F.lit(WORDS))).cast("int")
-    sizes = groups.groupBy("grp").agg(blocks(F.col("main")).alias("mains"), blocks(~F.col("main")).alias("others"))
-    sizes = hinted(written(sizes.where("mains > 1 OR others > 1"), "sizes"))  # a row for a block's rows at least
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
-    placed = groups.join(sizes, "grp", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("mains", "others")}).withColumn("own", own)
-    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    with_others = F.transform(upto("others"), lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
-    with_mains = F.transform(upto("mains"), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
-    among = F.transform(F.filter(upto("others"), lambda j: j != F.col("own")), lambda j: F.struct((-1 - F.least(j, "own")).alias("i"), F.greatest(j, "own").alias("j")))
-    return placed.withColumn("at", F.explode(F.when(F.col("main"), with_others).otherwise(F.concat(with_mains, among)))).select("grp", "at.i", "at.j", "own", "main", "rep", "component")
-
-
-def new_links(sets: list[np.ndarray], component: np.ndarray, main: np.ndarray, block: np.ndarray, i: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Rows of a task of :func:`_blocks` that are similar enough and in different components, most similar first; a pair is
-    taken to be linked unless ``False`` is sent back. No pair of components is given again once it is linked.
-
-    The common shingles of a row with all others are counted at once, over the lists of the rows that have a shingle."""
-    sizes = np.array([len(s) for s in sets])
-    ends, label = np.cumsum(sizes), component.copy()
-    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    order = np.argsort(token, kind="stable")
-    rows, begins = np.repeat(np.arange(len(sets)), sizes)[order], np.append(0, np.cumsum(np.bincount(token)))
-    for x in np.flatnonzero(~main).tolist():
-        mine = token[ends[x] - sizes[x] : ends[x]]
-        n = begins[mine + 1] - begins[mine]
-        at = np.repeat(begins[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(rows[at], minlength=len(sets))
-        near = (100 * both >= percent * (sizes[x] + sizes - both)) & (label != label[x])
-        near &= main | ((np.arange(len(sets)) < x) if i == 0 else (block != block[x]) if i < 0 else False)
-        while near.any():
-            y = int(np.where(near, both / (sizes[x] + sizes - both), -1).argmax())
-            if (yield x, y) is False:
-                near[y] = False
-                continue
-            label[label == label[y]] = label[x]
-            near &= label != label[x]
-
-
-def _between(groups: DataFrame, texts: Texts, k: int, percent: int) -> DataFrame:
-    """Links of members of a group that are still in different components."""
-    held = texts.of(groups.select("rep").distinct(), "near-texts")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task in whole_groups(batches, ["grp", "i", "j"]):
-            w = words(task.column("text"))
-            sets = shingle_hashes(w.hashes(), w.bounds, k)
-            rep, component, main, own = (task.column(c).to_numpy() for c in ("rep", "component", "main", "own"))
-            exact: dict[int, set] = {}
-            pairs, links, answer = new_links(sets, component, main, own, task.column("i")[0].as_py(), percent), [], None
-            with contextlib.suppress(StopIteration):
-                while True:
-                    x, y = pairs.send(answer)
-                    for z in (x, y):
-                        if z not in exact:
-                            exact[z] = shingles(task.column("text")[z].as_py(), k)
-                    if answer := similar(exact[x], exact[y], percent):
-                        links.append(sorted((int(rep[x]), int(rep[y]))))
-            yield pa.RecordBatch.from_arrays([pa.array([v[n] for v in links], pa.int64()) for n in (0, 1)], ["a", "b"])
-
-    rows = _blocks(groups).join(held, "rep").repartition(tasks(groups, 500), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
-    return rows.mapInArrow(compare, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, text_key`` for each row: documents are linked if 100 * |A & B| >= percent *
     |A | B| for their sets of ``k``-word shingles; the component is named by its smallest id, which is kept. ``text_key`` is
     the xxhash64 of the text."""
     share = percent / 100
     slack = share - 5 * (share * (1 - share) / (bands * rows)) ** 0.5  # signatures of linked sets agree in this share, but for five deviations
-    set_key = ["set_a", "set_b", "n_shingles"]
     all_docs = written(sketches(docs, k, bands, rows), "sketches")
     linkable = all_docs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    # Equal sets are one node, numbered when it is stored; its first row stands for it.
-    first = F.min(F.struct("doc_id", "text_key"))
-    classes = written(linkable.groupBy(*set_key).agg(first.alias("row"), F.count("*").alias("rows")).select(F.monotonically_increasing_id().alias("rep"), *set_key, "row.*", "rows"), "classes")
+    classes = classes_of(linkable)
     nodes = classes.select("rep", "doc_id", "text_key")
-    texts = Texts(docs, nodes)
     sketched = linkable.join(hinted(nodes), ["doc_id", "text_key"])
     buckets = sketched.select("rep", F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("band")
     size = F.floor(F.log("n") / F.lit(np.log(1.04 / share)))
-    by_size = buckets.join(shared, "band").select("rep", "n", F.explode(F.array(F.xxhash64("band", size), F.xxhash64("band", size + 1))).alias("key"))
-    by_size = written(by_size, "buckets")
-    pivots = by_size.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("hi")).where("pivot != hi").select("key", "pivot")
-    members = written(by_size.join(pivots, "key").distinct(), "members")
-    named = hinted(written(members.select("rep").distinct(), "named"))
-    signatures = written(sketched.select("rep", F.col("signature").alias("data")).join(named, "rep", "left_semi").dropDuplicates(["rep"]), "signatures")
-    pairs = written(members.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    likely = written(_beside_pivots(pairs, signatures).mapInArrow(lambda batches: agreeing(batches, slack), "a long, b long"), "likely")
-    known = components(written(_confirmed(likely, texts, k, percent), "confirmed"))
-    groups = written(_open_groups(members, known), "groups")
-    if not groups.isEmpty():
-        more = written(_between(groups, texts, k, percent), "between")
-        if not more.isEmpty():
-            known = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    # Components are named by the smallest id of their nodes; those of one node with one row need no join.
-    linked = known.select(F.explode(F.array("node", "component")).alias("rep"), "component").distinct()
-    linked = written(classes.join(linked, "rep", "left").where("component IS NOT NULL OR rows > 1"), "linked")
-    names = linked.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("name"))
-    grouped = hinted(written(linked.join(names, "component", "left").select(*set_key, F.coalesce("name", "doc_id").alias("component_id")), "named-classes"))
-    out = all_docs.select("doc_id", "text_key", *set_key).join(grouped, set_key, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
+    by_size = buckets.join(shared, "band").select(F.explode(F.array(F.xxhash64("band", size), F.xxhash64("band", size + 1))).alias("key"), "rep", "n")
+    members = bucket_members(by_size)
+    several = hinted(written(members.select("rep").distinct(), "named"))
+    signatures = written(sketched.select("rep", F.col("signature").alias("data")).join(several, "rep", "left_semi").dropDuplicates(["rep"]), "signatures")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        return written(beside_pivots(pairs, signatures).mapInArrow(lambda batches: agreeing(batches, slack), "a long, b long"), "likely")
+
+    out = named(all_docs, classes, links_within(members, Texts(docs, nodes), k, percent, likely))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_key")
 
 
 def deduplicate(docs: DataFrame, **parameters) -> DataFrame:

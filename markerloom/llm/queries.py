@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from markerloom.llm import decontamination, langid, line_rules, lm_trie, minhash, packing, rule_ensemble, suffix_dedup, token_trie, warc
+from markerloom.llm import decontamination, hard_negatives, langid, line_rules, lm_trie, minhash, packing, partenum, rule_ensemble, suffix_dedup, token_trie, vector_codes, warc
 from markerloom.llm.bpe import vocabulary_path, vocabulary_pattern
 from markerloom.llm.shared import read_table
 
@@ -54,6 +55,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similar_sets(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -65,9 +80,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_partenum_join": op12_partenum_join,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_quality": line_rules.oracle(),
     "op4_warc_round_trip": warc.oracle(),
+    "op11_vector_codes": vector_codes.oracle(),
+    "op12_partenum_join": partenum.oracle(),
+    "op13_hard_negatives": hard_negatives.oracle(),
 }

@@ -17,7 +17,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from markerloom.llm import decontamination, langid, line_rules, lm_trie, minhash, packing, rule_ensemble, suffix_dedup, token_trie, warc
+from markerloom.llm import bucket_links, decontamination, langid, line_rules, lm_trie, minhash, packing, rule_ensemble, suffix_dedup, token_trie, warc
 from markerloom.llm.bpe import ByteBpe, vocabulary_path, vocabulary_pattern
 from markerloom.llm.elias_fano import EliasFano
 from markerloom.llm.textvec import grams, words
@@ -366,7 +366,7 @@ def test_lasso_is_sparse_and_right():
 
 
 def components_by_force(texts, k, percent):
-    sets = {i: minhash.shingles(t, k) for i, t in texts if i is not None}
+    sets = {i: bucket_links.shingles(t, k) for i, t in texts if i is not None}
     root = {i: i for i in sets}
 
     def find(x):
@@ -376,7 +376,7 @@ def components_by_force(texts, k, percent):
 
     for a in sets:
         for b in sets:
-            if a < b and minhash.similar(sets[a], sets[b], percent):
+            if a < b and bucket_links.similar(sets[a], sets[b], percent):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}
@@ -412,12 +412,12 @@ def test_blocks_grow_in_proportion_to_the_group(spark):
     """Rows that are dealt out, and each pair of members in different components in exactly one task."""
     def of(n, others):
         rows = [(1, i, 1, 10, True) for i in range(n)] + [(1, n + i, 100 + i, 10, False) for i in range(others)]
-        return minhash._blocks(spark.createDataFrame(rows, "grp long, rep long, component long, n int, main boolean"))
+        return bucket_links._blocks(spark.createDataFrame(rows, "grp long, rep long, component long, n int, main boolean"))
 
-    few, many = of(2 * minhash.BLOCK, 40).count(), of(8 * minhash.BLOCK, 160).count()
+    few, many = of(2 * bucket_links.BLOCK, 40).count(), of(8 * bucket_links.BLOCK, 160).count()
     assert many <= 4.3 * few
     tasks = defaultdict(list)
-    for r in of(minhash.BLOCK + 10, minhash.BLOCK + 10).where("rep % 100 = 0 OR rep > 4000").collect():
+    for r in of(bucket_links.BLOCK + 10, bucket_links.BLOCK + 10).where("rep % 100 = 0 OR rep > 4000").collect():
         tasks[r.i, r.j].append(r)
     met = Counter()
     for (i, _), rows in tasks.items():
@@ -429,7 +429,7 @@ def test_blocks_grow_in_proportion_to_the_group(spark):
 
 def test_a_large_group_of_borderline_copies(spark, monkeypatch):
     """Chains of copies at the threshold, in buckets of several blocks: no link may be lost."""
-    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(bucket_links, "BLOCK", 20)
     rng = random.Random(9)
     base = [word(rng) for _ in range(80)]
     texts = [(i, " ".join(w if rng.random() > 0.06 else word(rng) for w in base)) for i in range(90)]
