@@ -6,8 +6,8 @@
    of the mean of its parts. Tasks add up counts and sums of their rows, one row for each entry and component.
 3. To find the nearest entry, a part and all entries are compared coarse to fine, by the means of one block, of two, of four
    and so on, and by the norms of what the means leave: the sum of both differences is never above the true distance. The
-   entry of the least bound gives an exact distance; entries whose bound is above it go; survivors are measured exactly, in
-   integers.
+   entry of the least bound of each level gives an exact distance; entries whose bound is above it go; survivors are measured
+   exactly, in integers.
 
 Codebooks are ``entries`` vectors, whatever the number of rows, so they travel with the tasks; vectors are never shuffled.
 
@@ -84,6 +84,10 @@ def nearest(x: np.ndarray, book: np.ndarray, of_book: list[tuple[np.ndarray, np.
             rows, cols = np.nonzero(bound <= limit[:, None] + 1e-9 * size)
         else:
             bound = (rest[rows] - book_rest[cols]) ** 2 + ((means[rows] - book_means[cols]) ** 2).sum(axis=1)
+            begin = np.searchsorted(rows, np.arange(n))
+            hits = np.flatnonzero(bound == np.minimum.reduceat(bound, begin)[rows])
+            first = cols[hits[np.searchsorted(rows[hits], np.arange(n))]]
+            limit = np.minimum(limit, ((x - book[first]) ** 2).sum(axis=1) * (1 + 1e-9))
             keep = bound <= limit[rows] + 1e-9 * size[rows, cols]
             rows, cols = rows[keep], cols[keep]
     exact = ((x[rows] - book[cols]) ** 2).sum(axis=1)
