@@ -220,7 +220,12 @@ def test_a_family_of_many_copies_costs_rows_in_proportion(spark):
     base = [word(rng) + str(i) for i in range(60)]
 
     def of(n):
-        texts = {i: " ".join(w if rng.random() > 0.12 else f"{word(rng)}{rng.random()}" for w in base) for i in range(n)}
+        texts = {}
+        for i in range(n):
+            own = list(base)
+            for at in rng.sample(range(1, 58, 3), 8):
+                own[at] = f"{word(rng)}{rng.random()}"
+            texts[i] = " ".join(own)
         groups = spark.createDataFrame([(1, i, i, 59, i == 0) for i in texts], "grp long, rep long, component long, n int, main boolean").repartition(4).cache()
         held = spark.createDataFrame(list(texts.items()), "rep long, text string")
         prefixes = bucket_links._prefixes(groups, held, 2, 80).cache()
