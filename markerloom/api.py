@@ -80,7 +80,7 @@ def triage(markers, popmap=None, params: TriageParams | None = None) -> TriageRe
 
 def map_to_arrow(markers, genome: str, popmap=None, **parameters) -> pa.Table:
     """Places of markers on the FASTA files of ``genome``."""
-    return marker_table(markers, popmap).map(readers.read_genome(session(), genome), **parameters).toArrow()
+    return marker_table(markers, popmap).map(readers.read_genome_pieces(session(), genome), **parameters).toArrow()
 
 
 def pca_to_arrow(markers, **parameters) -> tuple[pa.Table, pa.Table]:

@@ -121,7 +121,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
     elif args.command == "depth":
         writers.write_tsv(table.depth(min_frequency=args.min_frequency, strict=True), args.output)
     elif args.command == "map":
-        df = table.map(readers.read_genome(spark, args.genome), **common, threshold=args.threshold, correction="none" if args.no_correction else "bonferroni", min_quality=args.min_quality, min_frequency=args.min_frequency)
+        df = table.map(readers.read_genome_pieces(spark, args.genome), **common, threshold=args.threshold, correction="none" if args.no_correction else "bonferroni", min_quality=args.min_quality, min_frequency=args.min_frequency)
         writers.write_tsv(df, args.output, metadata={**meta, "threshold": single(args.threshold)}, order=["Contig", "Position"])
     elif args.command == "pca":
         writers.write_pca(table.pca(min_depth=args.min_depth, components=args.components), args.output)

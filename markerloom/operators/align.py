@@ -1,8 +1,8 @@
 """Places of markers on a genome, by k-mer seeds and ungapped extension.
 
 Seeds of the markers meet those of the contigs in an equi-join; hits vote for a strand, contig and diagonal; the best
-diagonals are scored without gaps, tile by tile, so a marker may be of any length. Scores approximate those of an aligner
-with gaps: a marker that needs one may be lost.
+diagonals are scored without gaps, tile by tile, so a marker may be of any length (:func:`hits`). :func:`align` takes places
+with gaps, from :mod:`markerloom.operators.gapped`, unless it is asked for those without.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from markerloom.functions.sequences import reverse_complement
+from markerloom.operators.gapped import gapped_hits
+from markerloom.operators.genome import GenomeIndex, genome_index
 from markerloom.plans.cells import cells, corrected, with_statistics
 from markerloom.table import MarkerTable
 from markerloom.types import Correction, least_individuals, single
@@ -55,21 +57,33 @@ def hits(markers: DataFrame, genome: DataFrame, *, k: int = 15) -> DataFrame:
     return whole.select("id", "contig", "position", "strand", (F.col("same") * (MATCH - MISMATCH) + F.col("bases") * MISMATCH).cast("int").alias("score"))
 
 
-def align(table: MarkerTable, genome: DataFrame, *, group1: str | None = None, group2: str | None = None, min_depth: int = 1, min_quality: int = 20, min_frequency: float = 0.1, threshold: float = 0.05, correction: Correction | str = "bonferroni", k: int = 15) -> DataFrame:
+def index_for(markers: DataFrame, genome: DataFrame, k: int, w: int = 10) -> GenomeIndex:
+    """An index whose windows fit in the shortest of these markers that has a seed at all."""
+    shortest = markers.where(F.length("sequence") >= k).agg(F.min(F.length("sequence"))).first()[0]
+    return genome_index(genome, k, max(1, min(w, (shortest or k + w) - k + 1)))
+
+
+def align(table: MarkerTable, genome: DataFrame | GenomeIndex, *, group1: str | None = None, group2: str | None = None, min_depth: int = 1, min_quality: int = 20, min_frequency: float = 0.1, threshold: float = 0.05, correction: Correction | str = "bonferroni", k: int = 15, gapped: bool = True) -> DataFrame:
     """``Contig, Position, Length, Marker_id, Bias, P, CorrectedP, Signif`` of markers with a unique best place whose quality
-    (60 for no second place, less the closer the second one scores) is at least ``min_quality``."""
+    (60 for no second place, less the closer the second one scores) is at least ``min_quality``. ``genome`` has ``contig,
+    sequence``, or ``contig, start, bases`` (pieces of contigs), or is an index made before."""
     groups, correction = table.groups(group1, group2), Correction.of(correction)
     counts = table.counts_twice(min_depth, groups)
     stats = with_statistics(cells(counts), groups).drop("markers")
     enough = counts.where(F.col("n_ind") >= max(1, least_individuals(min_frequency, len(table.popmap))))
-    scored = hits(enough.select("id", "sequence"), genome, k=k).where("score > 0")
+    markers = enough.select("id", "sequence")
+    if gapped or isinstance(genome, GenomeIndex):
+        index = genome if isinstance(genome, GenomeIndex) else index_for(markers, genome, k)
+        scored, contigs = gapped_hits(markers, index), index.lengths
+    else:
+        scored, contigs = hits(markers, genome, k=k).where("score > 0"), genome.select("contig", F.length("sequence").cast("bigint").alias("length"))
     # Places are counted by score first, so that a marker with very many places is no hot key; of equally good ones none is the best.
     by_score = scored.groupBy("id", "score").agg(F.count("*").alias("n"), F.max(F.struct("contig", "position")).alias("place"))
     down = W.partitionBy("id").orderBy(F.desc("score"))
     best = by_score.select("id", "score", "n", "place", F.lead("score").over(down).alias("second"), F.row_number().over(down).alias("k")).where("k = 1")
     quality = F.floor(60 * (1 - F.coalesce("second", F.lit(0)) / F.col("score")))
     unique = best.where((quality >= min_quality) & (F.col("n") == 1)).select("id", "place.contig", "place.position")
-    lengths = genome.select("contig", F.length("sequence").cast("bigint").alias("Length"))
+    lengths = contigs.select("contig", F.col("length").alias("Length"))
     limit = F.lit(single(threshold)) / (F.greatest("n_markers", F.lit(1)) if correction is Correction.BONFERRONI else F.lit(1))
     out = unique.join(enough, "id").join(F.broadcast(stats), ["g1", "g2"]).join(lengths, "contig", "left")
     p = F.col("p") if correction is Correction.NONE else corrected(Correction.BONFERRONI)

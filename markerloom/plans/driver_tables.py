@@ -78,3 +78,36 @@ def ev(spark: SparkSession, sf_dir: str) -> MarkerTable:
     long = events.groupBy(key.alias("id"), F.col("user_id").cast("string").alias("individual")).agg(F.count("*").alias("depth"))
     popmap = [(str(u), "even" if u % 2 == 0 else "odd") for u in people]
     return from_long(long.select("id", F.col("id").alias("sequence"), "individual", "depth"), [x for x, _ in popmap], popmap)
+
+
+#: Where markers of :func:`planted` are cut from their contigs, and how long they are before they are changed.
+PLANTED_AT, PLANTED = 100, 120
+_CAPITALS = LETTERS.upper()
+
+
+def planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Contigs (contig, sequence): the letters of each document as bases. Markers (id, contig, planted_strand, planted, sequence)
+    of those of 400 bases or more; ``planted`` is the score of what was done to them."""
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    letters = F.regexp_replace(F.translate("text", _CAPITALS, LETTERS), "[^a-z]", "")
+    contigs = stored(docs.select("doc_id", F.concat(F.lit("doc"), "doc_id").alias("contig"), F.translate(letters, LETTERS, BASES.upper()).alias("sequence")), "contigs")
+    n = F.col("doc_id") % 10 + 1
+    cut = lambda at, size: F.substring("sequence", F.lit(at), size if isinstance(size, int) else size.cast("int"))
+    half = PLANTED // 2
+    begin = PLANTED_AT + 1
+    swapped = lambda at: F.translate(F.substring("sequence", at, 1), "ACGT", "CGTA")
+    kind = F.col("doc_id") % 4
+    sequence = (
+        F.when(kind == 0, F.concat(cut(begin, half), F.substring(F.col("sequence"), (F.lit(begin + half) + n).cast("int"), (F.lit(half) - n).cast("int"))))
+        .when(kind == 1, F.concat(cut(begin, half), F.substring(F.lit("GATTACAGAT"), F.lit(1), n.cast("int")), cut(begin + half, half)))
+        .when(kind == 2, F.concat(cut(begin, 20), swapped(begin + 20), cut(begin + 21, 69), swapped(begin + 90), cut(begin + 91, PLANTED - 91)))
+        .otherwise(cut(begin, PLANTED))
+    )
+    score = F.when(kind == 0, 2 * (PLANTED - n) - 12 - 2 * n).when(kind == 1, 2 * PLANTED - 12 - 2 * n).when(kind == 2, 2 * (PLANTED - 2) - 16).otherwise(2 * PLANTED)
+    markers = contigs.where(F.length("sequence") >= 400).select(F.concat(F.lit("m"), "doc_id").alias("id"), "contig", F.when(F.col("doc_id") % 8 < 4, "+").otherwise("-").alias("planted_strand"), score.alias("planted"), sequence.alias("own"))
+    return contigs.select("contig", "sequence"), markers.select("id", "contig", "planted_strand", "planted", F.when(F.col("planted_strand") == "+", F.col("own")).otherwise(F.reverse(F.translate("own", "ACGT", "TGCA"))).alias("sequence"))
+
+
+def planted_sql() -> str:
+    return f"""letters AS (SELECT doc_id, regexp_replace(translate(text, '{_CAPITALS}', '{LETTERS}'), '[^a-z]', '', 'g') AS s FROM documents),
+planted AS (SELECT 'm' || doc_id AS id, 'doc' || doc_id AS contig, CASE doc_id % 4 WHEN 0 THEN 2 * ({PLANTED} - (doc_id % 10 + 1)) - 12 - 2 * (doc_id % 10 + 1) WHEN 1 THEN 2 * {PLANTED} - 12 - 2 * (doc_id % 10 + 1) WHEN 2 THEN 2 * {PLANTED - 2} - 16 ELSE 2 * {PLANTED} END AS planted FROM letters WHERE length(s) >= 400)"""

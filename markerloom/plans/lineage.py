@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -25,3 +26,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A stored table of at most so many narrow rows may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def few_rows(table: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, to be broadcast if it is counted to be small; a larger one is joined by shuffling."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from markerloom.functions.sequences import kmer_signature
 from markerloom.operators import analysis
 from markerloom.operators.align import align, hits
+from markerloom.operators.gapped import gapped_hits
+from markerloom.operators.genome import genome_index
 from markerloom.operators.merge import merge, merged_long
 from markerloom.operators.pca import gram, pca
 from markerloom.operators.process import process
@@ -109,13 +111,23 @@ def _pca_checks(s: SparkSession, d: str) -> DataFrame:
     return sums.agg(F.round(F.sum("eigenvalue")).alias("variance"), F.round(F.sum(F.col("eigenvalue") * F.col("s") * F.col("s"))).alias("all_products"), _r(F.max("norm")).alias("norm"), F.count("*").alias("components"))
 
 
+def map_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers cut from every document's letters as bases, with a gap of 1 to 10 bases, mismatches or nothing planted, every other
+    one reversed: whether each is found at its place, with what it was planted with or better."""
+    contigs, markers = tables.planted(spark, sf_dir)
+    places = gapped_hits(markers.select("id", "sequence"), genome_index(contigs, w=10)).select("id", F.col("contig").alias("at"), "position", "strand", "score")
+    here = (F.col("at") == F.col("contig")) & (F.abs(F.col("position") - tables.PLANTED_AT) < 24) & (F.col("strand") == F.col("planted_strand"))
+    best = markers.join(places, "id", "left").groupBy("id", "contig", "planted").agg(F.max(F.when(here, F.col("score"))).alias("score"), F.max("score").alias("best"))
+    return best.select("id", "contig", F.col("planted").cast("int").alias("planted"), (F.col("score") >= F.col("planted")).alias("found"), (F.col("best") >= F.col("planted")).alias("found_anywhere"))
+
+
 def _map_command(s: SparkSession, d: str) -> DataFrame:
     """The map command on the words of WL as bases, over the genome of the long ones."""
     counts, popmap = tables.word_counts(s, d)
     bases = F.upper(F.translate("word", tables.LETTERS, tables.BASES))
     long = counts.where(F.length("word") >= 16).groupBy(bases.alias("id"), "individual").agg(F.sum("depth").alias("depth"))
     table = from_long(long.select("id", F.col("id").alias("sequence"), "individual", "depth"), [x for x, _ in popmap], popmap)
-    found = align(table, _genome(s, d), min_frequency=0.02, **WL)
+    found = align(table, _genome(s, d), min_frequency=0.02, gapped=False, **WL)
     return found.select("Contig", "Position", "Length", "Marker_id", _r("Bias").alias("Bias"), _r("P").alias("P"), _r("CorrectedP").alias("CorrectedP"), "Signif")
 
 
@@ -222,6 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pca_checks_wl": _pca_checks,
     "map_exact_dna": map_exact,
     "map_command_dna": _map_command,
+    "map_gapped_dna": map_gapped,
     "tsv_round_trip_wl": _tsv_round_trip,
     "parquet_round_trip_wl": _parquet_round_trip,
     "fasta_round_trip_wl": _result_round_trip,
@@ -467,6 +480,7 @@ SELECT a.i, b.i AS j, coalesce(products, 0) AS products, n FROM p a JOIN p b ON
     "pca_checks_wl": f"""WITH {_WL}, people AS (SELECT count(*) AS n FROM pm), m AS (SELECT count(DISTINCT id) AS m FROM d), per AS (SELECT ind, sum(depth) AS s, sum(depth * depth) AS q FROM d GROUP BY 1), rows AS (SELECT id, sum(depth) AS s FROM d GROUP BY 1)
 SELECT round((SELECT sum(q - CAST(s AS DOUBLE) * s / m) FROM per, m)) AS variance, round((SELECT sum(CAST(s AS DOUBLE) * s) FROM rows) - (SELECT CAST(sum(s) AS DOUBLE) * sum(s) / max(m) FROM rows, m)) AS all_products, CAST(1 AS DOUBLE) AS norm, n AS components FROM people""",
     "map_command_dna": _map_sql(),
+    "map_gapped_dna": f"""WITH {tables.planted_sql()} SELECT id, contig, CAST(planted AS INTEGER) AS planted, true AS found, true AS found_anywhere FROM planted""",
     "tsv_round_trip_wl": _counts(_WL, "en", "de") + " SELECT id, g1, g2, n_ind FROM c",
     "parquet_round_trip_wl": _counts(_WL, "en", "de") + " SELECT id, g1, g2, n_ind FROM c",
     "fasta_round_trip_wl": f"SELECT id, g1, g2 FROM ({_signif_sql(_WL, 'en', 'de', 'chisq', 'bonferroni')})",

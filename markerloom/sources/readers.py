@@ -212,3 +212,59 @@ def read_genome(spark: SparkSession, path: str) -> DataFrame:
     return reads.select(F.regexp_extract("name", r"^(\S*)", 1).alias("contig"), "sequence", F.length("sequence").cast("bigint").alias("length"))
 
 
+
+
+def read_genome_pieces(spark: SparkSession, path: str, most: int = 1 << 16) -> DataFrame:
+    """``contig, start, bases`` of FASTA files, in pieces of ``most`` bases or a little more: no contig is ever one cell or one task.
+
+    Lines of a split become pieces with places from the split's begin; a contig that began in an earlier split goes on where
+    the splits before (one row each) end. Files are told apart; one compressed file is one split."""
+    block = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).where(F.col("_metadata.file_name").rlike(r"(?i)\.(fasta|fa|fna)(\.gz)?$")).select(F.col("_metadata.file_path").alias("path"), block.alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
+    names = ["path", "block", "contig", "start", "bases", "ends"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at, contig, place, parts, size = None, None, 0, [], 0
+
+        def close() -> None:
+            nonlocal place, parts, size
+            if parts:
+                held.append((*at, contig, place, "".join(parts), False))
+            place, parts, size = place + size, [], 0
+
+        for b in batches:
+            for key, line in zip(zip(b.column("path").to_pylist(), b.column("block").to_pylist()), b.column("line").to_pylist()):
+                if key != at:
+                    if at is not None:
+                        close()
+                        held.append((*at, contig, place, None, True))
+                    at, contig, place = key, None, 0
+                if line.startswith(">"):
+                    close()
+                    contig, place = (line[1:].split() or [""])[0], 0
+                elif line := line.strip():
+                    parts.append(line)
+                    size += len(line)
+                    if size >= most:
+                        close()
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _PIECE_TYPES)], names)
+                held.clear()
+        if at is not None:
+            close()
+            held.append((*at, contig, place, None, True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _PIECE_TYPES)], names)
+
+    pieces = stored(lines.mapInArrow(cut, "path string, block long, contig string, start long, bases string, ends boolean"), "pieces")
+    by_file = W.partitionBy("path").orderBy("block")  # a row for each split
+    ends = pieces.where("ends").select("path", "block", F.col("contig").alias("last"), F.col("start").alias("bases"))
+    ends = ends.withColumn("upto", F.count("last").over(by_file.rowsBetween(W.unboundedPreceding, 0)))
+    run = W.partitionBy("path", "upto").orderBy("block").rowsBetween(W.unboundedPreceding, 0)
+    ends = ends.select("path", F.lead("block").over(by_file).alias("block"), F.first("last", ignorenulls=True).over(run).alias("open"), F.sum("bases").over(run).alias("before"))
+    joined = pieces.where("NOT ends").join(F.broadcast(ends.where("block IS NOT NULL")), ["path", "block"], "left")
+    continued = F.col("contig").isNull()
+    return joined.select(F.when(continued, F.col("open")).otherwise(F.col("contig")).alias("contig"), (F.col("start") + F.when(continued, F.coalesce("before", F.lit(0))).otherwise(0)).alias("start"), "bases")
+
+
+_PIECE_TYPES = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_()]
