@@ -19,17 +19,23 @@ def depth(table: MarkerTable, *, min_frequency: float = 0.75, strict: bool = Fal
     65,536 at most, so that no task holds the depths of an individual. ``strict`` refuses a table that retains nothing."""
     least = least_individuals(min_frequency, table.n_individuals)
     n_ind = F.col("n_ind")
-    if table.layout == "array":
-        each = table.df.select(F.size(F.filter("depths", lambda d: d >= 1)).alias("n_ind"), F.posexplode("depths").alias("pos", "depth")).where("depth > 0")
-        rows = each.select(F.element_at(F.lit(table.individuals), F.col("pos") + 1).alias("individual"), "depth", (n_ind >= least).alias("retained"), F.lit(0).cast("bigint").alias("first"))
-        # With a threshold of 0, markers that nobody has are retained too, where the layout has rows for them.
-        total = table.df.agg(F.count_if(F.size(F.filter("depths", lambda d: d >= 1)) >= least).alias("n_retained"))
-    else:
+    if table.layout == "bits":
+        raise MarkerError("a packed table has no depths")
+    if table.layout == "long":
         # How many have a marker, and its first row, come with the rows themselves: one shuffle of the table by marker.
         same = W.partitionBy("id", "sequence")
         each = table.df.where("depth > 0").select("individual", "depth", F.count("*").over(same).alias("n_ind"), F.row_number().over(same.orderBy("individual")).alias("place"))
         rows = each.select("individual", "depth", (n_ind >= least).alias("retained"), (F.col("place") == 1).cast("bigint").alias("first"))
         total = None
+    else:
+        counted = table.counts()
+        # With a threshold of 0, markers that nobody has are retained too, where the layout has rows for them.
+        total = counted.agg(F.count_if(n_ind >= least).alias("n_retained"))
+        if table.layout == "array":
+            each = table.df.select(F.size(F.filter("depths", lambda d: d >= 1)).alias("n_ind"), F.posexplode("depths").alias("pos", "depth")).where("depth > 0")
+        else:
+            each = table.df.select(F.size("entries").alias("n_ind"), F.explode("entries").alias("e")).select("n_ind", F.col("e.col").alias("pos"), "e.depth")
+        rows = each.select(F.col("pos").alias("individual"), "depth", (n_ind >= least).alias("retained"), F.lit(0).cast("bigint").alias("first"))
     values = stored(rows.groupBy("individual", "depth", "retained").agg(F.count("*").alias("n"), F.sum("first").alias("first")), "depth-counts")  # 131,072 rows an individual at most
     total = values.agg(F.coalesce(F.sum(F.when(F.col("retained"), F.col("first"))), F.lit(0)).alias("n_retained")) if total is None else total
     sums = values.groupBy("individual").agg(F.sum(F.col("n") * F.col("depth")).alias("Reads"), F.sum("n").alias("Markers"))
@@ -45,8 +51,10 @@ def depth(table: MarkerTable, *, min_frequency: float = 0.75, strict: bool = Fal
         F.first(F.col("zeros") > middle).alias("low"),
         F.sum(F.col("n") * F.col("depth")).alias("sum"),
     )
-    people = table.spark.createDataFrame([(i, x, dict(table.popmap).get(x, "")) for i, x in enumerate(table.individuals)], "pos int, Sample string, Group string")
-    out = people.join(sums, F.col("Sample") == sums["individual"], "left").drop("individual").join(stats, F.col("Sample") == stats["individual"], "left").join(F.broadcast(total))
+    group = dict(table.popmap)
+    people = table.spark.createDataFrame([(i, x, group.get(x, "")) for i, x in enumerate(table.individuals)], "pos int, Sample string, Group string")
+    who = F.col("Sample" if table.layout == "long" else "pos")
+    out = people.join(sums, who == sums["individual"], "left").drop("individual").join(stats, who == stats["individual"], "left").join(F.broadcast(total))
     number = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     out = out.select(
         "pos",

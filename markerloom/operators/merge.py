@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from markerloom.functions.sequences import normalised
 from markerloom.plans.lineage import stored
+from markerloom.plans.presence import gathered
 from markerloom.table import MarkerTable
 from markerloom.types import MAX_DEPTH, MarkerError
 
@@ -35,28 +36,24 @@ def merged_long(tables: Sequence[MarkerTable]) -> DataFrame:
         raise MarkerError("nothing to merge")
     parts, at = [], 0
     for t in tables:
-        if t.layout == "array":
-            each = t.df.select("sequence", F.posexplode("depths").alias("pos", "depth")).where("depth > 0")
-        else:
-            place = F.map_from_arrays(F.lit(t.individuals), F.lit(list(range(len(t.individuals)))))
-            each = t.df.select("sequence", place[F.col("individual")].alias("pos"), "depth").where("depth > 0")
-        parts.append(each.select(normalised(F.col("sequence")).alias("sequence"), (F.col("pos") + at).alias("col"), "depth"))
+        parts.append(t.depths("sequence").select(normalised(F.col("sequence")).alias("sequence"), (F.col("col") + at).alias("col"), "depth"))
         at += t.n_individuals
     return reduce(DataFrame.unionAll, parts).groupBy("sequence", "col").agg(F.least(F.sum("depth"), F.lit(MAX_DEPTH)).cast("int").alias("depth"))
 
 
-def as_arrays(long: DataFrame, n: int) -> DataFrame:
-    """``sequence, depths`` from ``sequence, col, depth``."""
-    rows = long.groupBy("sequence").agg(F.map_from_entries(F.collect_list(F.struct("col", "depth"))).alias("m"))
-    return rows.select("sequence", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0))).alias("depths"))
-
-
 def packed_order() -> list[Column]:
     """The order of merged markers: by the remainder of the length by 4, then by sequence."""
     return [F.length("sequence") % 4, F.col("sequence")]
 
 
-def merge(tables: Sequence[MarkerTable]) -> MarkerTable:
+def as_table(long: DataFrame, individuals: Sequence[str], order: Sequence[Column], layout: str) -> MarkerTable:
+    """A table of markers that are numbered in this order, from ``sequence, col, depth``."""
+    rows = numbered(gathered(long, "sequence"), *order).select("ord", F.col("ord").cast("string").alias("id"), "sequence", "entries")
+    table = MarkerTable(rows, individuals, layout="sparse")
+    return table if layout == "sparse" else table.arrays()
+
+
+def merge(tables: Sequence[MarkerTable], layout: str = "array") -> MarkerTable:
+    """One table of all individuals; ``layout`` is ``"array"`` or ``"sparse"``."""
     individuals = [x for t in tables for x in t.individuals]
-    rows = numbered(as_arrays(stored(merged_long(tables), "merged"), len(individuals)), *packed_order())
-    return MarkerTable(rows.select("ord", F.col("ord").cast("string").alias("id"), "sequence", "depths"), individuals)
+    return as_table(merged_long(tables), individuals, packed_order(), layout)

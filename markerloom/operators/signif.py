@@ -25,6 +25,6 @@ def signif(table: MarkerTable, *, group1: str | None = None, group2: str | None
         stats = stats.where(F.col("p").cast("float") < (F.lit(limit) / F.greatest("n_markers", F.lit(1))).cast("float"))
     else:
         stats = stats.where(F.col("p").cast("float") < F.lit(limit).cast("float"))
-    kept = [c for c in ("ord", "id", "sequence", "depths") if c in counts.columns]
+    kept = [c for c in ("ord", "id", "sequence", "depths", "entries") if c in counts.columns]
     more = [F.col("bayes_factor").alias("Bayes_Factor"), F.col("posterior").alias("Posterior_SexLinked")] if bayes else []
     return to_markers(counts, stats, groups).select(*kept, "g1", "g2", F.col("p"), corrected(correction).alias("p_corrected"), *more)

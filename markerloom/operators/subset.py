@@ -20,5 +20,5 @@ def subset(table: MarkerTable, *, group1: str | None = None, group2: str | None
         return counts.where("n_ind > 0").where(inside)
     stats = with_statistics(cells(counts), groups, test=test)
     stats = with_fdr(stats) if correction is Correction.FDR else stats
-    kept = [c for c in ("ord", "id", "sequence", "depths") if c in counts.columns]
+    kept = [c for c in ("ord", "id", "sequence", "depths", "entries") if c in counts.columns]
     return to_markers(counts.where(inside), stats, groups).select(*kept, "g1", "g2", "n_ind", "p", corrected(correction).alias("p_corrected"))

@@ -57,7 +57,7 @@ def with_fdr(stats: DataFrame) -> DataFrame:
     own, tasks = W.partitionBy("part"), W.partitionBy(F.lit(0)).orderBy("part")  # a row for each task
     before = parts.groupBy("part").agg(F.sum("m").alias("sum")).select("part", (F.sum("sum").over(tasks) - F.col("sum")).alias("before"))
     rank = F.sum("m").over(own.orderBy("p").rowsBetween(W.unboundedPreceding, 0)) + F.col("before")
-    ranked = parts.join(F.broadcast(before), "part").withColumn("q", F.col("p") * F.col("n") / rank)
+    ranked = parts.join(F.broadcast(before), "part").withColumn("q", F.try_divide(F.col("p") * F.col("n"), rank))  # no marker up to here has none
     after = ranked.groupBy("part").agg(F.min("q").alias("least")).select("part", F.min("least").over(tasks.rowsBetween(1, W.unboundedFollowing)).alias("after"))
     lowest = F.min("q").over(own.orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0))
     q = stored(ranked.join(F.broadcast(after), "part").select(F.col("p").alias("p_of_q"), F.least(F.lit(1.0), lowest, F.col("after")).alias("fdr")), "q-values")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from markerloom.functions.kernels import general
 from markerloom.operators.pca import PcaResult
-from markerloom.table import MarkerTable
-from markerloom.types import Groups
+from markerloom.table import MAX_INDIVIDUALS, MarkerTable
+from markerloom.types import Groups, MarkerError
 
 
 def _cell(x) -> str:
@@ -30,6 +30,8 @@ def write_tsv(df: DataFrame, path: str, *, metadata: dict | None = None, order:
 
 def write_markers(table: MarkerTable, path: str) -> None:
     """A marker table as one local file, with its comment line and header."""
+    if table.n_individuals > MAX_INDIVIDUALS:
+        raise MarkerError(f"the format holds {MAX_INDIVIDUALS} individuals at most")
     rows = table.arrays().df
     with open(path, "w", encoding="utf-8") as out:
         out.write(f"#Number of markers : {rows.count()}\n")

@@ -1,4 +1,5 @@
-"""The marker table: one row for each marker with an array of depths, or one for each marker and individual."""
+"""The marker table: one row for each marker with an array of depths, with those that aren't 0, or with bits of who has it; or
+one for each marker and individual."""
 
 from __future__ import annotations
 
@@ -8,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from markerloom.plans import presence
 from markerloom.plans.lineage import stored
 from markerloom.types import MAX_DEPTH, Groups, MarkerError, resolve_groups
 
-#: A population map of at most so many individuals (the bound of the table format) is broadcast.
+#: The bound of the file format; tables themselves have none.
 MAX_INDIVIDUALS = 65535
 
 
@@ -19,17 +21,18 @@ class MarkerTable:
     """Depths of markers in individuals.
 
     ``layout`` is ``"array"`` (``ord, id, sequence, depths``, where ``depths`` follows ``individuals``) or ``"long"``
-    (``id, sequence, individual, depth``, absent pairs being 0). ``popmap`` has (individual, group) pairs in order.
+    (``id, sequence, individual, depth``, absent pairs being 0). Wide tables are better ``"sparse"`` (``ord, id, sequence,
+    entries``: places and depths that aren't 0, in order), or ``"bits"`` (``ord, id, sequence, words``: who has a marker with
+    the depth that it was packed with), on which all that counts individuals works. ``popmap`` has (individual, group) pairs
+    in order.
     """
 
-    def __init__(self, df: DataFrame, individuals: Sequence[str], popmap: Sequence[tuple[str, str]] = (), layout: str = "array"):
-        if layout not in ("array", "long"):
+    def __init__(self, df: DataFrame, individuals: Sequence[str], popmap: Sequence[tuple[str, str]] = (), layout: str = "array", packed_depth: int = 1):
+        if layout not in ("array", "long", "sparse", "bits"):
             raise MarkerError(f"unknown layout {layout!r}")
         if len(set(individuals)) != len(individuals) and layout == "long":
             raise MarkerError("individuals must be distinct")
-        if len(individuals) > MAX_INDIVIDUALS:
-            raise MarkerError(f"more than {MAX_INDIVIDUALS} individuals")
-        self.df, self.individuals, self.popmap, self.layout = df, list(individuals), [tuple(x) for x in popmap], layout
+        self.df, self.individuals, self.popmap, self.layout, self.packed_depth = df, list(individuals), [tuple(x) for x in popmap], layout, packed_depth
 
     @classmethod
     def from_path(cls, path: str, popmap=None) -> MarkerTable:
@@ -75,10 +78,10 @@ class MarkerTable:
         return self.df.sparkSession
 
     def with_popmap(self, popmap: Sequence[tuple[str, str]]) -> MarkerTable:
-        return MarkerTable(self.df, self.individuals, popmap, self.layout)
+        return MarkerTable(self.df, self.individuals, popmap, self.layout, self.packed_depth)
 
     def cache(self) -> MarkerTable:
-        return MarkerTable(self.df.cache(), self.individuals, self.popmap, self.layout)
+        return MarkerTable(self.df.cache(), self.individuals, self.popmap, self.layout, self.packed_depth)
 
     @property
     def n_individuals(self) -> int:
@@ -101,21 +104,25 @@ class MarkerTable:
         for the long layout."""
         if min_depth < 1:
             raise MarkerError("min_depth must be 1 or more")
-        group = dict(self.popmap)
-        if self.layout == "array":
+        if self.layout != "long":
+            if self.layout == "bits" and min_depth != self.packed_depth:
+                raise MarkerError(f"packed with a depth of {self.packed_depth}")
+            group = dict(self.popmap)
+
             def present(name: str | None) -> Column:
-                if name is None:
+                places = [i for i, x in enumerate(self.individuals) if name is not None and group.get(x) == name]
+                if not places:
                     return F.lit(0)
-                places = [i for i, x in enumerate(self.individuals) if group.get(x) == name]
-                return F.size(F.filter(F.lit(places), lambda i: F.get("depths", i) >= min_depth)) if places else F.lit(0)
-
-            kept = [c for c in ("ord", "id", "sequence", *(["depths"] if depths else [])) if c in self.df.columns]
-            return self.df.select(
-                *kept,
-                present(groups and groups.group1).cast("int").alias("g1"),
-                present(groups and groups.group2).cast("int").alias("g2"),
-                F.size(F.filter("depths", lambda d: d >= min_depth)).alias("n_ind"),
-            )
+                of = presence.mask(places, self.n_individuals)
+                if self.layout == "bits":
+                    return presence.count_bits(F.col("words"), of)
+                if self.layout == "sparse":
+                    return F.size(F.filter("entries", lambda e: (e["depth"] >= min_depth) & presence.is_set(of, e["col"])))
+                return F.size(F.filter("depths", lambda d, i: (d >= min_depth) & presence.is_set(of, i)))
+
+            n_ind = {"array": lambda: F.size(F.filter("depths", lambda d: d >= min_depth)), "sparse": lambda: F.size(F.filter("entries", lambda e: e["depth"] >= min_depth)), "bits": lambda: presence.count_bits(F.col("words"))}[self.layout]()
+            kept = [c for c in ("ord", "id", "sequence", *(["depths", "entries"] if depths else [])) if c in self.df.columns]
+            return self.df.select(*kept, present(groups and groups.group1).cast("int").alias("g1"), present(groups and groups.group2).cast("int").alias("g2"), n_ind.alias("n_ind"))
         here = self.df.where(F.col("depth") >= min_depth)
         if groups is not None:
             here = here.join(F.broadcast(self.popmap_frame()), "individual", "left")
@@ -127,26 +134,53 @@ class MarkerTable:
     def counts_twice(self, min_depth: int, groups: Groups | None, depths: bool = False) -> DataFrame:
         """:meth:`counts` for plans that read it twice: those of the long layout, which take a shuffle, are stored."""
         out = self.counts(min_depth, groups, depths)
-        return out if self.layout == "array" else stored(out, "counts")
+        return stored(out, "counts") if self.layout == "long" else out
+
+    def places(self) -> DataFrame:
+        """``individual, col``: a row for each individual."""
+        return self.spark.createDataFrame([(x, i) for i, x in enumerate(self.individuals)], "individual string, col int")
+
+    def depths(self, *keys: str) -> DataFrame:
+        """``keys, col, depth`` of all pairs that aren't 0, individuals by their places."""
+        if self.layout == "bits":
+            raise MarkerError("a packed table has no depths")
+        if self.layout == "long":
+            return self.df.where("depth > 0").join(F.broadcast(self.places()), "individual").select(*keys, "col", "depth")
+        if self.layout == "sparse":
+            return self.df.select(*keys, F.explode("entries").alias("e")).select(*keys, "e.col", "e.depth")
+        return self.df.select(*keys, F.posexplode("depths").alias("col", "depth")).where("depth > 0")
 
     def long(self) -> DataFrame:
         """``id, sequence, individual, depth`` of all pairs that aren't 0."""
         if self.layout == "long":
             return self.df.where("depth > 0").select("id", "sequence", "individual", "depth")
-        each = self.df.select("id", "sequence", F.posexplode("depths").alias("pos", "depth")).where("depth > 0")
-        return each.select("id", "sequence", F.element_at(F.lit(self.individuals), F.col("pos") + 1).alias("individual"), "depth")
+        return self.depths("id", "sequence").join(F.broadcast(self.places()), "col").select("id", "sequence", "individual", "depth")
 
-    def arrays(self, ordered: bool = True) -> MarkerTable:
-        """The same table in the array layout; ids are ordered to make ``ord`` (0 everywhere unless ``ordered``)."""
+    def sparse(self, ordered: bool = True) -> MarkerTable:
+        """The same table in the sparse layout; ids are ordered to make ``ord`` (0 everywhere unless ``ordered``)."""
         from markerloom.operators.merge import numbered
 
-        if self.layout == "array":
+        if self.layout == "sparse":
             return self
-        place = F.map_from_arrays(F.lit(self.individuals), F.lit(list(range(len(self.individuals)))))
-        rows = self.df.groupBy("id", "sequence").agg(F.map_from_entries(F.collect_list(F.struct(place[F.col("individual")].alias("k"), F.col("depth").alias("v")))).alias("m"))
-        depths = F.transform(F.sequence(F.lit(0), F.lit(len(self.individuals) - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))
-        rows = rows.select("id", "sequence", depths.alias("depths"))
+        if self.layout == "array":
+            each = F.filter(F.transform("depths", lambda d, i: F.struct(i.alias("col"), d.alias("depth"))), lambda e: e["depth"] > 0)
+            return MarkerTable(self.df.select("ord", "id", "sequence", each.alias("entries")), self.individuals, self.popmap, "sparse")
+        rows = presence.gathered(self.depths("id", "sequence"), "id", "sequence")
         rows = numbered(rows, F.col("id"), F.col("sequence")) if ordered else rows.withColumn("ord", F.lit(0).cast("bigint"))
+        return MarkerTable(rows.select("ord", "id", "sequence", "entries"), self.individuals, self.popmap, "sparse")
+
+    def packed(self, min_depth: int = 1) -> MarkerTable:
+        """Who has each marker with ``min_depth`` or more, as bits: a small table for many tests of different groups."""
+        if min_depth < 1:
+            raise MarkerError("min_depth must be 1 or more")
+        rows = presence.packed(self.sparse(ordered=False).df, self.n_individuals, min_depth)
+        return MarkerTable(rows, self.individuals, self.popmap, "bits", min_depth)
+
+    def arrays(self, ordered: bool = True) -> MarkerTable:
+        """The same table in the array layout; ids are ordered to make ``ord`` (0 everywhere unless ``ordered``)."""
+        if self.layout == "array":
+            return self
+        rows = presence.scattered(self.sparse(ordered).df, self.n_individuals)
         return MarkerTable(rows.select("ord", "id", "sequence", "depths"), self.individuals, self.popmap)
 
     # -- operators -------------------------------------------------------------------------------------------------
