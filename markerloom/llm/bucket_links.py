@@ -194,7 +194,7 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     number of members of the bucket."""
     degrees = members.groupBy("rep").agg(F.sum("rows").alias("degree"))
     hubs = members.join(degrees, "rep").groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"))
-    return members.join(hubs, "key").where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    return members.join(hinted(written(hubs, "hubs")), "key").where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def _orders(groups: DataFrame, held: DataFrame, k: int) -> DataFrame:
@@ -296,7 +296,7 @@ def bucket_members(buckets: DataFrame) -> DataFrame:
     shared = buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("key")
     each = written(buckets.join(hinted(written(shared, "shared-keys")), "key").distinct(), "bucket-rows")
     counts = each.groupBy("key").agg(F.count("*").alias("rows"))
-    return written(each.join(counts, "key"), "members")
+    return written(each.join(hinted(written(counts, "bucket-sizes")), "key"), "members")
 
 
 def named(all_docs: DataFrame, classes: DataFrame, known: DataFrame) -> DataFrame:
