@@ -42,13 +42,14 @@ SORTED = 400_000
 _PLACE = np.uint64((1 << 26) - 1)
 
 
-def least_places(keys: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` keys, the place of its least one (by the upper 38 bits; of equals the leftmost)."""
+def least_places(keys: np.ndarray, width: int, most: int = int(_PLACE)) -> np.ndarray:
+    """For each window of ``width`` keys, the place of its least one (by the upper 38 bits; of equals the leftmost). More than
+    ``most`` keys are taken in slices that overlap by a window."""
     n = len(keys) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    if len(keys) > int(_PLACE):
-        raise ValueError("too many words in one batch")
+    if len(keys) > most:
+        return np.concatenate([least_places(keys[at : at + most], width, most) + at for at in range(0, n, most - width + 1)])
     tagged = (keys & ~_PLACE) | np.arange(len(keys), dtype=np.uint64)
     blocks = np.append(tagged, np.full(-len(keys) % width, np.uint64(0xFFFFFFFFFFFFFFFF))).reshape(-1, width)
     to_right = np.minimum.accumulate(blocks, axis=1).ravel()

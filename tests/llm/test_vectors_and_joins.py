@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markerloom.llm import bucket_links, hard_negatives, partenum, vector_codes
+from markerloom.llm import bucket_links, hard_negatives, partenum, suffix_dedup, vector_codes
 from tests.llm.corpus import DOCS, awkward, frame, prose, word
 from tests.llm.test_operators import components_by_force
 
@@ -271,3 +271,15 @@ def test_every_way_to_close_a_group_finds_all_links(spark, monkeypatch, few):
     assert 1 < len({c for _, c in expected.values()}) < 80
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.similar_sets(frame(spark, texts)).collect()}
     assert got == expected
+
+
+# -- 2 -------------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [5, 6, 17, 99, 100, 1000])
+def test_least_places_of_more_keys_than_a_slice_holds(most):
+    rng = np.random.default_rng(most)
+    for n in (3, 5, 6, 100, 101, 257):
+        keys = rng.integers(0, 2**63, n, np.uint64)
+        keys[n // 2 :] = keys[: n - n // 2]
+        assert suffix_dedup.least_places(keys, 5, most).tolist() == suffix_dedup.least_places(keys, 5).tolist()
