@@ -642,7 +642,20 @@ def test_naive_bayes_by_hand(spark, docs, texts):
         total = {k: math.log(docs_of[k] / sum(docs_of.values())) + sum(math.log((counts[k][g] + 0.5) / sums[k]) for g in grams_of(t)) for k in sorted(counts)}
         best = max(total, key=lambda k: total[k])
         assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(v - total[best]) for v in total.values()), abs=2e-3)
-    assert langid.fit(table, max_langs=2).langs == sorted(sorted(docs_of, key=lambda k: (-docs_of[k], k))[:2])
+    assert model.langs == sorted(docs_of)
+
+
+def test_many_languages(spark):
+    """More languages than a worker keeps rows of, each with letters of its own: all are learned, the rarest too."""
+    n = langid.HELD_ROWS + 40
+    letters = [[chr(0x4E00 + 6 * k + j) for j in range(6)] for k in range(n)]
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice(letters[i % n]) for _ in range(40))) for i in range(5 * n)]
+    model = langid.fit(frame(spark, rows, lang={i: f"l{i % n:03d}" for i, _ in rows}), buckets=1 << 14)
+    learned = sorted({f"l{i % n:03d}" for i, _ in rows if crc(i) % 5})
+    assert model.langs == learned and len(learned) > langid.HELD_ROWS
+    got = langid.identify(frame(spark, rows), model).collect()
+    assert all(r.lang_pred == f"l{r.doc_id % n:03d}" for r in got if f"l{r.doc_id % n:03d}" in learned)
 
 
 # -- pipeline --------------------------------------------------------------------------------------------------------------
