@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from markerloom.plans.lineage import stored
 from markerloom.plans.presence import entries_of
+from markerloom.sources.stream import reader
 from markerloom.table import MarkerTable
 from markerloom.types import MarkerError
 
@@ -37,6 +38,20 @@ class PcaResult:
         """Components and loadings."""
         return self.components.toPandas(), self.loadings.toPandas()
 
+    def to_arrow(self):
+        """Components and loadings."""
+        return self.components.toArrow(), self.loadings.toArrow()
+
+    def to_polars(self):
+        """Components and loadings."""
+        import polars
+
+        return tuple(polars.from_arrow(x) for x in self.to_arrow())
+
+    def __arrow_c_stream__(self, requested_schema=None):
+        """The loadings, a row for each individual."""
+        return reader(self.loadings).__arrow_c_stream__(requested_schema)
+
 
 def gram(table: MarkerTable, min_depth: int = 1) -> DataFrame:
     """``i, j, products, n`` for i <= j: sums of products of the raw depths of two individuals over markers present anywhere

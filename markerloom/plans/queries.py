@@ -7,21 +7,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from markerloom.functions.sequences import kmer_signature
 from markerloom.operators import analysis
 from markerloom.operators.align import align, hits
+from markerloom.operators.folding import filter_map, fold
 from markerloom.operators.gapped import gapped_hits
 from markerloom.operators.genome import genome_index
 from markerloom.operators.merge import merge, merged_long
 from markerloom.operators.pca import gram, pca
 from markerloom.operators.process import process
+from markerloom.operators.regression import logistic
 from markerloom.operators.triage import ranked
 from markerloom.plans import driver_tables as tables
 from markerloom.plans.cells import cells
-from markerloom.plans.lineage import new_path
+from markerloom.plans.lineage import new_path, stored
 from markerloom.sources import readers, writers
 from markerloom.sources.readers import from_long
 
@@ -98,6 +103,44 @@ def _evidence(df: DataFrame) -> DataFrame:
     return df.select("n_markers", _r("posterior_mass", 3).alias("posterior_mass"), "bf_over_10", "bf_over_100", "posterior_over_50", "posterior_over_90", _r("best_posterior").alias("best_posterior"))
 
 
+def _freq_by_fold(s: SparkSession, d: str) -> DataFrame:
+    """``freq`` as a user's fold: a state of one number for each individual."""
+    t = tables.wl(s, d).sparse(ordered=False)
+    n = t.n_individuals
+
+    def step(state: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        return state + np.bincount(pc.list_value_length(batch.column("entries")).to_numpy(zero_copy_only=False), minlength=n + 1)
+
+    finish = lambda state: pa.table({"Frequency": pa.array(range(1, n + 1), pa.int32()), "Count": pa.array(state[1:], pa.int64())})
+    return fold(t, lambda: np.zeros(n + 1, np.int64), step, np.add, finish, "Frequency int, Count long")
+
+
+def _totals_by_filter_map(s: SparkSession, d: str) -> DataFrame:
+    """Markers with a summed depth of 20 or more."""
+
+    def f(batch: pa.RecordBatch) -> pa.Table | None:
+        entries = batch.column("entries")
+        lengths = pc.list_value_length(entries).to_numpy(zero_copy_only=False)
+        sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), entries.flatten().field("depth").to_numpy(zero_copy_only=False), len(lengths)).astype(np.int64)
+        return pa.table({"id": batch.column("id"), "total": sums}).filter(pa.array(sums >= 20))
+
+    return filter_map(tables.wl(s, d).sparse(ordered=False), f, "id string, total long")
+
+
+def _logistic(s: SparkSession, d: str) -> DataFrame:
+    """Are markers commoner in the first group, by their length and in how many individuals they are: for each term what a
+    maximum of the likelihood has to fulfil, the sum of the term over those that are, and as the model expects it."""
+    t = tables.wl(s, d)
+    rows = t.counts(1, t.groups(**WL)).where("n_ind > 0").select((F.col("g1") > F.col("g2")).alias("biased"), F.length("sequence").alias("letters"), F.col("n_ind").alias("individuals"))
+    alike = stored(rows.groupBy("biased", "letters", "individuals").agg(F.count("*").alias("markers")), "alike")
+    model = logistic(alike, "biased", ["letters", "individuals"], "markers")
+    terms = F.explode(F.array(*[F.struct(F.lit(k).alias("term"), x.cast("double").alias("x")) for k, x in enumerate((F.lit(1), F.col("letters"), F.col("individuals")))]))
+    each = alike.select("biased", "markers", model.probability().alias("p"), terms.alias("t"))
+    return each.groupBy(F.col("t.term").alias("term")).agg(
+        F.sum(F.when(F.col("biased"), F.col("markers") * F.col("t.x")).otherwise(0.0)).alias("seen"), _r(F.sum(F.col("markers") * F.col("p") * F.col("t.x")), 2).alias("expected"), F.sum("markers").alias("markers")
+    )
+
+
 def _pca(s: SparkSession, d: str) -> DataFrame:
     return pca(tables.wl(s, d), components=5).components
 
@@ -187,6 +230,9 @@ def _sweep(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "freq_fold_wl": _freq_by_fold,
+    "totals_filter_map_wl": _totals_by_filter_map,
+    "logistic_wl": _logistic,
     "freq_ps": lambda s, d: tables.ps(s, d).freq(),
     "freq_wl": lambda s, d: tables.wl(s, d).freq(),
     "freq_wl_depth_3": lambda s, d: tables.wl(s, d).freq(min_depth=3),
@@ -423,6 +469,10 @@ _SWEEP = " UNION ALL ".join(
 )
 
 ORACLES: dict[str, str] = {
+    "freq_fold_wl": _freq_sql(_WL),
+    "totals_filter_map_wl": f"WITH {_WL} SELECT id, CAST(sum(depth) AS BIGINT) AS total FROM d GROUP BY id HAVING sum(depth) >= 20",
+    "logistic_wl": _counts(_WL, "en", "de") + """, x AS (SELECT g1 > g2 AS biased, unnest([struct_pack(term := 0, x := 1), struct_pack(term := 1, x := length(id)), struct_pack(term := 2, x := n_ind)]) AS t FROM c)
+SELECT t.term AS term, CAST(sum(t.x) FILTER (biased) AS DOUBLE) AS seen, CAST(sum(t.x) FILTER (biased) AS DOUBLE) AS expected, count(*) AS markers FROM x GROUP BY 1""",
     "freq_ps": _freq_sql(_PS),
     "freq_wl": _freq_sql(_WL),
     "freq_wl_depth_3": _freq_sql(_WL, 3),

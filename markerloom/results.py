@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from markerloom.sources.stream import reader
+
 
 class Result:
     """A DataFrame (``frame``, whose attributes it has) with conversions."""
@@ -31,8 +33,12 @@ class Result:
 
         return polars.from_arrow(self.to_arrow())
 
+    def to_reader(self):
+        """The rows as a stream of Arrow batches, of which one is held at a time."""
+        return reader(self.frame)
+
     def __arrow_c_stream__(self, requested_schema=None):
-        return self.to_arrow().__arrow_c_stream__(requested_schema)
+        return self.to_reader().__arrow_c_stream__(requested_schema)
 
     def summary(self) -> dict:
         return {"rows": self.frame.count()}

@@ -70,8 +70,14 @@ class MarkerTable:
         """The rows as they are held."""
         return self.df
 
+    def to_reader(self):
+        """:meth:`to_dataframe` as a stream of Arrow batches, of which one is held at a time."""
+        from markerloom.sources.stream import reader
+
+        return reader(self.to_dataframe())
+
     def __arrow_c_stream__(self, requested_schema=None):
-        return self.to_arrow().__arrow_c_stream__(requested_schema)
+        return self.to_reader().__arrow_c_stream__(requested_schema)
 
     @property
     def spark(self) -> SparkSession:
@@ -225,6 +231,16 @@ class MarkerTable:
 
         return align(self, genome, **kw)
 
+    def filter_map(self, f, schema: str) -> DataFrame:
+        from markerloom.operators.folding import filter_map
+
+        return filter_map(self, f, schema)
+
+    def fold(self, start, step, combine, finish, schema: str, **kw) -> DataFrame:
+        from markerloom.operators.folding import fold
+
+        return fold(self, start, step, combine, finish, schema, **kw)
+
     def summary(self) -> dict:
         return {"n_markers": self.n_markers(), "n_individuals": self.n_individuals}
 
