@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from markerloom.plans.lineage import stored
+from markerloom.sources import block_gzip
 from markerloom.table import MAX_INDIVIDUALS, MarkerTable, clamped
 from markerloom.types import MarkerError
 
@@ -133,16 +134,31 @@ class Records:
         return self.tail[0][1:], self.tail[1] if self.fastq else "".join(self.tail[1:])
 
 
-def read_fastx(spark: SparkSession, path: str, records: int = 20_000) -> DataFrame:
+def _lines(spark: SparkSession, path: str, pattern: str, split_bytes: int) -> DataFrame:
+    """``path, block, line`` of the files whose names match; those of block-gzip come from their own source, in splits."""
+    name = F.col("_metadata.file_name")
+    text = spark.read.text(path).where(name.rlike(pattern))
+    found = [f.rsplit("/", 1)[-1] for f, _ in block_gzip.block_files(path)]
+    if found:
+        text = text.where(~name.isin([quote(f) for f in found] + found))
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
+    if not found:
+        return lines
+    block_gzip.register(spark)
+    blocks = spark.read.format("block_gzip_lines").option("splitBytes", split_bytes).load(path)
+    return lines.unionAll(blocks.where(F.col("path").rlike(pattern)))
+
+
+def read_fastx(spark: SparkSession, path: str, records: int = 20_000, split_bytes: int = block_gzip.SPLIT_BYTES) -> DataFrame:
     """``individual, name, sequence`` of all FASTA and FASTQ files of a folder (or of one file), gzip included.
 
-    Lines are streamed, whatever the size of a file; plain files are split, and the records that are cut by the bounds of
-    splits are put together again. Gzip can't be split, so such a file is one task's."""
+    Lines are streamed, whatever the size of a file; plain files and those of block-gzip (``split_bytes``) are split, and the
+    records that are cut by the bounds of splits are put together again. Other gzip can't be split, so such a file is one
+    task's."""
     pattern = r"(?i)\.(fq|fastq|fasta|fa|fna)(\.gz)?$"
     if not individuals_of(spark, path):
         raise MarkerError(f"no read files in {path}")
-    file, block = F.col("_metadata.file_name"), F.col("_metadata.file_block_start")
-    lines = spark.read.text(path).where(file.rlike(pattern)).select(F.col("_metadata.file_path").alias("path"), block.alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
+    lines = _lines(spark, path, pattern, split_bytes)
     names = ["individual", "name", "sequence", "path", "block", "synced", "head", "tail"]
 
     def individual(path: str) -> str:
@@ -212,15 +228,12 @@ def read_genome(spark: SparkSession, path: str) -> DataFrame:
     return reads.select(F.regexp_extract("name", r"^(\S*)", 1).alias("contig"), "sequence", F.length("sequence").cast("bigint").alias("length"))
 
 
-
-
-def read_genome_pieces(spark: SparkSession, path: str, most: int = 1 << 16) -> DataFrame:
+def read_genome_pieces(spark: SparkSession, path: str, most: int = 1 << 16, split_bytes: int = block_gzip.SPLIT_BYTES) -> DataFrame:
     """``contig, start, bases`` of FASTA files, in pieces of ``most`` bases or a little more: no contig is ever one cell or one task.
 
     Lines of a split become pieces with places from the split's begin; a contig that began in an earlier split goes on where
-    the splits before (one row each) end. Files are told apart; one compressed file is one split."""
-    block = F.col("_metadata.file_block_start")
-    lines = spark.read.text(path).where(F.col("_metadata.file_name").rlike(r"(?i)\.(fasta|fa|fna)(\.gz)?$")).select(F.col("_metadata.file_path").alias("path"), block.alias("block"), F.regexp_replace("value", "\r$", "").alias("line"))
+    the splits before (one row each) end. Files are told apart; a compressed file is one split unless it is block-gzip."""
+    lines = _lines(spark, path, r"(?i)\.(fasta|fa|fna)(\.gz)?$", split_bytes)
     names = ["path", "block", "contig", "start", "bases", "ends"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
