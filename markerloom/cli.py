@@ -104,15 +104,11 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
         else:
             df = table.subset(**common, **method, range1=(args.min_group1, args.max_group1), range2=(args.min_group2, args.max_group2), total=(args.min_total, args.max_total), statistics=True, depths=True)
         if args.fasta:
-            with open(args.output, "w", encoding="utf-8") as out:
-                for r in writers.fasta(df.orderBy("ord"), table.groups(**pair), args.min_depth).toLocalIterator():
-                    out.write(r.value + "\n")
+            writers.write_fasta_file(df, args.output, table.groups(**pair), args.min_depth)
         else:
             more = [c for c in ("Bayes_Factor", "Posterior_SexLinked") if c in df.columns]
-            with open(args.output, "w", encoding="utf-8") as out:
-                out.write("#" + ";".join(f"{k}:{v}" for k, v in meta.items()) + "\n" + "\t".join(["id", "sequence", *table.individuals, *more]) + "\n")
-                for r in df.orderBy("ord").toLocalIterator(prefetchPartitions=True):
-                    out.write("\t".join([r.id, r.sequence, *map(str, r.depths), *[f"{r[c]:.4f}" for c in more]]) + "\n")
+            rows = df.orderBy("ord").select("id", "sequence", *["depths"] * bool(table.individuals), *more)
+            writers.write_tsv(rows, args.output, metadata={k: str(v) for k, v in meta.items()}, columns=["id", "sequence", *table.individuals, *more], decimals=4)
     elif args.command == "triage":
         df = table.triage(**common, threshold=args.threshold, posterior_threshold=args.posterior_threshold, bayes_factor_threshold=args.bayes_factor_threshold, prior=args.prior_probability, linked=args.linked_probability)
         writers.write_tsv(df, args.output, metadata=meta, lower_booleans=True)

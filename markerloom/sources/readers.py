@@ -56,6 +56,13 @@ def read_result_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str
     return spark.read.csv(path, sep="\t", header=True, inferSchema=True, comment="#"), dict(x.split(":", 1) for x in line[1:].split(";") if ":" in x)
 
 
+def marker_count(spark: SparkSession, path: str) -> int | None:
+    """The number in a marker file's comment line, if it has one; no marker is read."""
+    first = spark.read.text(path).where("_metadata.file_block_start = 0 AND value LIKE '#%'").limit(1).collect()
+    found = re.match(r"#Number of markers : (\d+)\s*$", first[0].value) if first else None
+    return int(found[1]) if found else None
+
+
 def from_frame(df: DataFrame, popmap: Sequence[tuple[str, str]] = ()) -> MarkerTable:
     """A wide frame: id, sequence, and a column of any type for each individual; what isn't a number is 0."""
     if len(df.columns) < 3:

@@ -1,4 +1,4 @@
-"""Writers of text, FASTA and Parquet. Values are formatted here only."""
+"""Writers of text, FASTA, FASTQ and Parquet."""
 
 from __future__ import annotations
 
@@ -9,36 +9,41 @@ from pyspark.sql import functions as F
 
 from markerloom.functions.kernels import general
 from markerloom.operators.pca import PcaResult
+from markerloom.sources import block_gzip
+from markerloom.sources.single_file import tsv_lines, write_lines
 from markerloom.table import MAX_INDIVIDUALS, MarkerTable
 from markerloom.types import Groups, MarkerError
 
 
-def _cell(x) -> str:
-    return general(x) if isinstance(x, float) else str(x) if not isinstance(x, bool) else str(x)
+def metadata_line(metadata: dict | None) -> str:
+    return "#" + ";".join(f"{k}:{general(v) if isinstance(v, float) else v}" for k, v in metadata.items()) + "\n" if metadata else ""
 
 
-def write_tsv(df: DataFrame, path: str, *, metadata: dict | None = None, order: list[str] | None = None, lower_booleans: bool = False) -> None:
-    """One local file: a ``#key:value;...`` line if there are metadata, a header, and rows as they come (or ordered)."""
+def write_tsv(df: DataFrame, path: str, *, metadata: dict | None = None, order: list[str] | None = None, lower_booleans: bool = False, columns: list[str] | None = None, decimals: int | None = None) -> None:
+    """One file: a ``#key:value;...`` line if there are metadata, a header (``columns``, where arrays are spread over several),
+    and rows as they come (or ordered)."""
     rows = df.orderBy(*order) if order else df
-    with open(path, "w", encoding="utf-8") as out:
-        if metadata:
-            out.write("#" + ";".join(f"{k}:{_cell(v)}" for k, v in metadata.items()) + "\n")
-        out.write("\t".join(df.columns) + "\n")
-        for r in rows.toLocalIterator(prefetchPartitions=True):
-            out.write("\t".join(_cell(x).lower() if lower_booleans and isinstance(x, bool) else _cell(x) for x in r) + "\n")
+    write_lines(tsv_lines(rows, decimals=decimals, lower_booleans=lower_booleans), path, metadata_line(metadata) + "\t".join(columns or df.columns) + "\n")
+
+
+def marker_lines(table: MarkerTable) -> DataFrame:
+    """``value``: markers in order, with the depths of all individuals."""
+    line = F.concat_ws("\t", "id", "sequence", F.array_join(F.transform("depths", lambda d: d.cast("string")), "\t"))
+    return table.arrays().df.orderBy("ord").select(line.alias("value"))
 
 
 def write_markers(table: MarkerTable, path: str) -> None:
-    """A marker table as one local file, with its comment line and header."""
+    """A marker table as one file, with its comment line (how many markers there are) and header."""
     if table.n_individuals > MAX_INDIVIDUALS:
         raise MarkerError(f"the format holds {MAX_INDIVIDUALS} individuals at most")
-    rows = table.arrays().df
-    with open(path, "w", encoding="utf-8") as out:
-        out.write(f"#Number of markers : {rows.count()}\n")
-        out.write("\t".join(["id", "sequence", *table.individuals]) + "\n")
-        line = F.concat_ws("\t", "id", "sequence", F.array_join(F.transform("depths", lambda d: d.cast("string")), "\t"))
-        for r in rows.orderBy("ord").select(line.alias("line")).toLocalIterator(prefetchPartitions=True):
-            out.write(r.line + "\n")
+    header = "\t".join(["id", "sequence", *table.individuals])
+    write_lines(marker_lines(table), path, lambda n: f"#Number of markers : {n}\n{header}\n")
+
+
+def write_popmap(popmap: DataFrame, path: str) -> None:
+    """``individual, group`` rows (the first two columns) as one file, by individual."""
+    first, second = (F.col(f"`{c}`") for c in popmap.columns[:2])
+    write_lines(popmap.orderBy(first).select(F.concat_ws("\t", first, second).alias("value")), path)
 
 
 def write_marker_rows(table: MarkerTable, path: str) -> None:
@@ -58,6 +63,18 @@ def write_fasta(df: DataFrame, path: str, groups: Groups, min_depth: int) -> Non
     fasta(df, groups, min_depth).write.text(path)
 
 
+def write_fasta_file(df: DataFrame, path: str, groups: Groups, min_depth: int) -> None:
+    """The same as one file, in the order of markers."""
+    write_lines(fasta(df.orderBy("ord"), groups, min_depth), path)
+
+
+def write_fastq(reads: DataFrame, path: str) -> None:
+    """``name, sequence`` rows as a folder of block-gzip FASTQ files, all bases of the best quality."""
+    block_gzip.register(reads.sparkSession)
+    line = F.concat(F.lit("@"), F.coalesce("name", F.lit("")), F.lit("\n"), F.col("sequence"), F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("sequence")))
+    reads.where("sequence IS NOT NULL").select(line.alias("line")).write.format("block_gzip_lines").option("extension", "fastq").mode("append").save(path)
+
+
 def write_reads(reads: DataFrame, path: str, width: int = 60) -> None:
     """``name, sequence`` rows as a folder of FASTA files (``.fna``), written by the executors, ``width`` bases in a line."""
     lines = F.concat(F.array(F.concat(F.lit(">"), "name")), F.regexp_extract_all("sequence", F.lit(".{1,%d}" % width), F.lit(0)))

@@ -7,7 +7,8 @@ import random
 import pyarrow as pa
 import pytest
 
-from markerloom.sources import block_gzip, readers
+from markerloom.sources import block_gzip, readers, single_file, writers
+from markerloom.table import MarkerTable
 from markerloom.types import MarkerError
 
 
@@ -119,3 +120,56 @@ def test_a_failed_block_gzip_job_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         frame.write.format("block_gzip_lines").mode("append").save(str(tmp_path / "out"))
     assert not (tmp_path / "out").exists() or list((tmp_path / "out").iterdir()) == []
+
+
+@pytest.fixture
+def little_pieces(monkeypatch):
+    monkeypatch.setattr(single_file, "PIECE", 97)
+
+
+@pytest.mark.parametrize("here", [True, False])
+def test_one_file_of_many_tasks(spark, tmp_path, monkeypatch, little_pieces, here):
+    if not here:
+        monkeypatch.setattr(single_file, "_shared", lambda spark, path: False)
+    n = 5_000
+    frame = spark.range(0, n, 1, 7).selectExpr("id", "array(id, 2 * id) AS two", "id / 8 AS eighth", "id % 2 = 0 AS even", "CASE WHEN id = 3 THEN NULL ELSE 'é' END AS s")
+    path = tmp_path / "a b.tsv"
+    path.write_text("what was there")
+    writers.write_tsv(frame, str(path), metadata={"source": "x", "threshold": 0.05, "test": "chisq"}, order=["id"], lower_booleans=True, columns=["id", "one", "two", "eighth", "even", "s"])
+    head, names, *rows = path.read_text().splitlines()
+    assert (head, names) == ("#source:x;threshold:0.05;test:chisq", "id\tone\ttwo\teighth\teven\ts")
+    assert rows == [f"{i}\t{i}\t{2 * i}\t{i / 8:g}\t{str(i % 2 == 0).lower()}\t{'é' if i != 3 else None}" for i in range(n)]
+    assert single_file.write_lines(frame.limit(0).selectExpr("s AS value"), f"file://{tmp_path}/none.txt", lambda n: f"{n}\n") == 0
+    assert (tmp_path / "none.txt").read_text() == "0\n"
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["a b.tsv", "none.txt"]
+
+
+def test_what_fails_leaves_what_was_there(spark, tmp_path, monkeypatch, little_pieces):
+    path = tmp_path / "t.tsv"
+    path.write_text("old\n")
+    with pytest.raises(Exception, match="no"):
+        writers.write_tsv(spark.range(0, 99, 1, 3).selectExpr("CASE WHEN id = 98 THEN raise_error('no') ELSE id END AS x"), str(path))
+    monkeypatch.setattr(single_file, "_place", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        writers.write_tsv(spark.range(99), str(path))
+    assert [f.name for f in tmp_path.iterdir()] == ["t.tsv"] and path.read_text() == "old\n"
+
+
+def test_marker_and_popmap_files(spark, tmp_path, little_pieces):
+    rows = [(k, str(k), "ACGT"[k % 4] * (k % 9 + 1), [k % 3, k, 65_535]) for k in range(300)]
+    df = spark.createDataFrame(rows, "ord long, id string, sequence string, depths array<int>").repartition(5)
+    writers.write_markers(MarkerTable(df, ["a", "b", "c"]), str(tmp_path / "t.tsv"))
+    assert (tmp_path / "t.tsv").read_text().splitlines()[:3] == ["#Number of markers : 300", "id\tsequence\ta\tb\tc", "0\tA\t0\t0\t65535"]
+    back = readers.read_marker_tsv(spark, str(tmp_path / "t.tsv"))
+    assert [(r.id, r.sequence, r.depths) for r in back.df.orderBy("ord").collect()] == [tuple(r[1:]) for r in rows]
+    assert readers.marker_count(spark, str(tmp_path / "t.tsv")) == 300 and readers.marker_count(spark, str(tmp_path)) == 300
+    pairs = [("b", "x"), ("a", "y"), ("c d", "x")]
+    writers.write_popmap(spark.createDataFrame(pairs, "i string, g string"), str(tmp_path / "p.tsv"))
+    assert readers.read_popmap(spark, str(tmp_path / "p.tsv")) == sorted(pairs)
+
+
+def test_fastq_sink(spark, tmp_path):
+    reads = [(f"r{k}", "ACGT" * (k % 70 + 1)) for k in range(3_000)]
+    writers.write_fastq(spark.createDataFrame(reads, "name string, sequence string").repartition(2), str(tmp_path / "r"))
+    got = readers.read_fastx(spark, str(tmp_path / "r"), split_bytes=700)
+    assert sorted((r.name, r.sequence) for r in got.collect()) == sorted(reads)
