@@ -1,6 +1,5 @@
-"""Statistics of a 2x2 table ``(present in 1, present in 2, size of 1, size of 2)``, evaluated once for each distinct cell.
-
-Spark has neither erfc nor lgamma, so these run in Python over cells, never over markers.
+"""Statistics of a 2x2 table ``(present in 1, present in 2, size of 1, size of 2)``, for one cell; plans
+compute the same with ``cell_columns``.
 """
 
 from __future__ import annotations

@@ -6,20 +6,16 @@ are computed once for each cell, and a join brings them back to the markers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from markerloom.functions import kernels
+from markerloom.functions import cell_columns
 from markerloom.plans.lineage import stored
 from markerloom.types import Correction, Groups, Test
 
 #: A table of cells is broadcast up to so many possible cells (some 100 bytes each).
 BROADCAST_CELLS = 500_000
-P_OF = {Test.CHISQ: kernels.p_chi_squared, Test.GTEST: kernels.p_g_test, Test.FISHER: kernels.p_fisher}
 
 
 def cells(counts: DataFrame) -> DataFrame:
@@ -31,20 +27,13 @@ def cells(counts: DataFrame) -> DataFrame:
 
 def with_statistics(rows: DataFrame, groups: Groups, *, test: Test | str = Test.CHISQ, prior: float | None = None, linked: float = 0.9) -> DataFrame:
     """``rows`` (with g1, g2, n_markers) with ``p``, ``bonferroni``, ``bias``, and ``bayes_factor`` and ``posterior`` where
-    a prior is given. Rows should be cells: this leaves the JVM."""
-    p_of, t1, t2 = P_OF[Test.of(test)], groups.total1, groups.total2
-    names = ["p", "bias", *(["bayes_factor", "posterior"] if prior is not None else [])]
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pairs = list(zip(b.column("g1").to_pylist(), b.column("g2").to_pylist()))
-            out = {"p": [p_of(x, y, t1, t2) for x, y in pairs], "bias": [(x / t1 if t1 else 0.0) - (y / t2 if t2 else 0.0) for x, y in pairs]}
-            if prior is not None:
-                out |= {"bayes_factor": [kernels.bayes_factor(x, y, t1, t2) for x, y in pairs], "posterior": [kernels.posterior_linked(x, y, t1, t2, prior, linked) for x, y in pairs]}
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(out[k], pa.float64()) for k in names]], [*b.schema.names, *names])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", {k} double" for k in names)
-    return rows.mapInArrow(compute, schema).withColumn("bonferroni", F.least(F.lit(1.0), F.col("p") * F.col("n_markers")))
+    a prior is given. Rows should be cells, as Fisher's test takes a step for each table of the same margins."""
+    t1, t2 = groups.total1, groups.total2
+    share1, share2 = (F.col(c) / float(t) if t else F.lit(0.0) for c, t in (("g1", t1), ("g2", t2)))
+    out = cell_columns.with_p(rows, t1, t2, Test.of(test)).withColumn("bias", share1 - share2)
+    if prior is not None:
+        out = cell_columns.with_bayes(out, t1, t2, prior, linked)
+    return out.withColumn("bonferroni", F.least(F.lit(1.0), F.col("p") * F.col("n_markers")))
 
 
 def with_fdr(stats: DataFrame) -> DataFrame:

@@ -209,6 +209,31 @@ def _reads_round_trip(s: SparkSession, d: str) -> DataFrame:
     return readers.read_fastx(s, path).groupBy("name", "sequence").agg(F.count("*").alias("n"))
 
 
+def _marker_file(s: SparkSession, d: str) -> DataFrame:
+    """WL as one marker file with its comment line and header, and a population map, both read back."""
+    t, folder = tables.wl(s, d), new_path(s, "files")
+    writers.write_markers(t, f"{folder}/markers.tsv")
+    writers.write_popmap(t.popmap_frame(), f"{folder}/popmap.tsv")
+    back = readers.read_marker_tsv(s, f"{folder}/markers.tsv", readers.read_popmap(s, f"{folder}/popmap.tsv"))
+    return _counted(back).withColumn("said", F.lit(readers.marker_count(s, f"{folder}/markers.tsv")).cast("bigint"))
+
+
+def _result_file(s: SparkSession, d: str) -> DataFrame:
+    """A result as one file with metadata, read back."""
+    folder = new_path(s, "results")
+    result = tables.wl(s, d).freq()
+    writers.write_tsv(result, f"{folder}/freq.tsv", metadata={"source": "freq", "min_depth": 1}, order=["Frequency"])
+    back, said = readers.read_result_tsv(s, f"{folder}/freq.tsv")
+    return back.select(*[F.col(f.name).cast(f.dataType) for f in result.schema], F.lit(said["source"]).alias("source"))
+
+
+def _fastq_round_trip(s: SparkSession, d: str) -> DataFrame:
+    """Words of WL as block-gzip FASTQ, read back in splits."""
+    path = new_path(s, "fastq")
+    writers.write_fastq(tables.dna_reads(s, d).select(F.col("individual").alias("name"), "sequence"), path)
+    return readers.read_fastx(s, path, split_bytes=1 << 20).groupBy("name", "sequence").agg(F.count("*").alias("n"))
+
+
 def _newest(s: SparkSession, d: str) -> DataFrame:
     events = s.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "event_id").where("user_id IS NOT NULL")
     return analysis.newest(events, ["user_id", "event_type"], "event_id")
@@ -285,6 +310,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parquet_round_trip_wl": _parquet_round_trip,
     "fasta_round_trip_wl": _result_round_trip,
     "reads_round_trip_dna": _reads_round_trip,
+    "fastq_round_trip_dna": _fastq_round_trip,
+    "marker_file_wl": _marker_file,
+    "result_file_wl": _result_file,
 }
 
 # -- SQL -------------------------------------------------------------------------------------------------------------------
@@ -535,6 +563,9 @@ SELECT round((SELECT sum(q - CAST(s AS DOUBLE) * s / m) FROM per, m)) AS varianc
     "parquet_round_trip_wl": _counts(_WL, "en", "de") + " SELECT id, g1, g2, n_ind FROM c",
     "fasta_round_trip_wl": f"SELECT id, g1, g2 FROM ({_signif_sql(_WL, 'en', 'de', 'chisq', 'bonferroni')})",
     "reads_round_trip_dna": f"WITH {_WORDS} SELECT ind AS name, translate(word, '{tables.LETTERS}', '{tables.BASES}') AS sequence, count(*) AS n FROM docs WHERE length(word) >= 8 GROUP BY 1, 2",
+    "fastq_round_trip_dna": f"WITH {_WORDS} SELECT ind AS name, translate(word, '{tables.LETTERS}', '{tables.BASES}') AS sequence, count(*) AS n FROM docs WHERE length(word) >= 8 GROUP BY 1, 2",
+    "marker_file_wl": _counts(_WL, "en", "de") + " SELECT id, g1, g2, n_ind, count(*) OVER () AS said FROM c",
+    "result_file_wl": f"SELECT *, 'freq' AS source FROM ({_freq_sql(_WL)})",
     "map_exact_dna": f"""WITH {_DNA}, w AS (SELECT DISTINCT sequence AS w, regexp_extract(ind, '^(src[0-9]+)', 1) AS contig FROM reads WHERE length(sequence) >= 16),
 g AS (SELECT contig, string_agg(w, 'N' ORDER BY w) AS g FROM w GROUP BY contig), m AS (SELECT DISTINCT w AS id FROM w),
 q AS (SELECT id, '+' AS strand, id AS query FROM m UNION ALL SELECT id, '-' AS strand, reverse(translate(id, 'ACGT', 'TGCA')) AS query FROM m),

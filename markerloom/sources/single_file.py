@@ -105,6 +105,7 @@ def write_lines(lines: DataFrame, path: str, head: Callable[[int], str] | str =
     fs, root = file_system(path)
     hidden = f"{root.rpartition('/')[0]}/.{root.rpartition('/')[2]}-{uuid.uuid4().hex}"
     local = _local(path)
+    fs.create_dir(root.rpartition("/")[0], recursive=True)
     try:
         if local and _shared(spark, local):
             pieces, at = [], len(first)

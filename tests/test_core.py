@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from markerloom.functions import kernels
+from markerloom.functions import cell_columns, kernels
 from markerloom.functions.sequences import kmer_signature, normalised, reverse_complement
 from markerloom.operators import analysis
 from markerloom.operators.align import hits
@@ -512,5 +512,42 @@ def test_analysis(split, spark):
 
 
 def test_statistics_run_on_cells_only(small):
-    plan = small.signif()._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("BroadcastHashJoin") < plan.index("MapInArrow")
+    plan = small.signif()._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" in plan and "transform(" not in plan[: plan.index("Join Inner")]  # statistics are below the join
+
+
+def test_statistics_stay_in_the_jvm(small):
+    for frame in (small.distrib(), small.distrib(test="fisher"), small.signif(test="gtest", bayes=True), small.triage(), small.subset()):
+        plan = frame._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("MapInArrow", "PythonUDF", "ArrowEvalPython", "BatchEvalPython"))
+
+
+@pytest.mark.parametrize("t1,t2", [(1, 1), (4, 3), (30, 40), (0, 5), (300, 211), (40_000, 30_000)])
+def test_columns_of_cells(spark, t1, t2):
+    rng = random.Random(t1)
+    if t1 < 100:
+        some = [(a, b) for a in range(t1 + 1) for b in range(t2 + 1)]
+    elif t1 < 1_000:
+        some = [(rng.randint(0, t1), rng.randint(0, t2)) for _ in range(200)]
+    else:
+        some = [(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(60)] + [(t1 // 2 + k, t2 // 2) for k in range(3)]
+    cells = spark.createDataFrame(some, "g1 int, g2 int")
+    rel = 1e-12 if t1 < 1_000 else 1e-8  # log factorials of tens of thousands have fewer digits to spare
+    for test, p_of in ((Test.CHISQ, kernels.p_chi_squared), (Test.GTEST, kernels.p_g_test), (Test.FISHER, kernels.p_fisher)):
+        if t1 > 1_000 and test is Test.GTEST:
+            continue  # a difference of large terms
+        for r in cell_columns.with_p(cells, t1, t2, test).collect():
+            assert r.p == pytest.approx(p_of(r.g1, r.g2, t1, t2), rel=max(rel, 1e-11), abs=1e-15), (test, r)
+    for prior, linked in ((0.01, 0.9), (0.3, 1.0), (0.0, 0.9), (1.0, 0.5)):
+        for r in cell_columns.with_bayes(cells, t1, t2, prior, linked).collect():
+            assert r.bayes_factor == pytest.approx(kernels.bayes_factor(r.g1, r.g2, t1, t2), rel=max(rel, 1e-10))
+            assert r.posterior == pytest.approx(kernels.posterior_linked(r.g1, r.g2, t1, t2, prior, linked), rel=max(rel, 1e-10), abs=1e-13)
+
+
+def test_erfc_and_log_factorials(spark):
+    x = [k / 500 for k in range(13_000)] + [0.46875, 4.0, 1e-12]
+    for r in spark.createDataFrame([(v,) for v in x], "x double").select("x", cell_columns.erfc(F.col("x")).alias("e")).collect():
+        assert r.e == pytest.approx(math.erfc(r.x), rel=2e-13 if r.x < 26 else 1e-12)
+    n = [*range(300), 65_535, 10**6]
+    for r in spark.createDataFrame([(v,) for v in n], "n long").select("n", cell_columns.log_factorial(F.col("n")).alias("l")).collect():
+        assert r.l == pytest.approx(math.lgamma(r.n + 1), rel=1e-14, abs=1e-14)
