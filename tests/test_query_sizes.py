@@ -1,11 +1,15 @@
 """Queries on tables whose shape larger copies of the given ones have, against their SQL."""
 
+import datetime
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from markerloom.operators import distrib
 from markerloom.plans import queries
+from markerloom.types import Groups
 
 
 def same_as_sql(spark, folder, name, **tables):
@@ -27,3 +31,21 @@ def test_depth_where_no_part_has_enough_suppliers(spark, tmp_path, people, retai
     items = [{"l_partkey": k // 2, "l_suppkey": k} for k in range(20) for _ in range(k % 4 + 1)]
     rows = same_as_sql(spark, tmp_path, "depth_stats_ps", supplier=suppliers, lineitem=items)
     assert {r[4] for r in rows} == {retained}
+
+
+def events(people):
+    return [{"event_id": u, "user_id": u, "event_type": "view", "ts": datetime.datetime(2024, 1, 1, u % 5)} for u in range(people)]
+
+
+@pytest.mark.parametrize("block", [1 << 12, 4])
+def test_grid_of_cells(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(distrib, "BLOCK", block)
+    assert len(same_as_sql(spark, tmp_path, "distrib_grid_ev", events=events(23))) == 13 * 12 - 1
+
+
+def test_no_cell_of_the_grid_is_shuffled(spark):
+    seen = spark.createDataFrame([(3, 5, 2, 9), (3, 700, 7, 9)], "g1 int, g2 int, markers long, n_markers long")
+    assert distrib.with_empty_cells(seen, Groups("a", "b", 9, 999)).count() == 10 * 1000
+    plan = distrib.with_empty_cells(seen, Groups("a", "b", 9, 999))._jdf.queryExecution().executedPlan().toString()
+    # The last step that makes cells is above all shuffles.
+    assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")].replace("BroadcastExchange", "")
