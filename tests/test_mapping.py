@@ -186,3 +186,30 @@ def test_of_close_places_the_best_stay(spark):
     df = spark.createDataFrame([(1, "c", "+", p, s, "1M") for p, s in rows], "id int, contig string, strand string, position long, score long, cigar string")
     got = {(r.position, r.score) for r in gapped.nearest_best(df).collect()}
     assert got == {(p, s) for p, s in rows if not any(abs(p - q) < gapped.NEAR and t > s for q, t in rows)}
+
+
+def places(spark, contigs, markers):
+    index = genome.genome_index(spark.createDataFrame(contigs, "contig string, sequence string"))
+    found = gapped.gapped_hits(spark.createDataFrame(markers, "id string, sequence string"), index)
+    return {(r.id, r.contig, r.position) for r in found.collect()}
+
+
+def test_a_seed_of_the_change_that_is_rarer_than_those_of_the_place(spark, monkeypatch):
+    """The passage of a marker is frequent, what was put into it is elsewhere in the genome, but rare."""
+    monkeypatch.setattr(gapped, "RARE", 2)
+    rng = random.Random(8)
+    passage = bases(rng, 120)
+    marker = passage[:60] + "GATTACA" + passage[60:]
+    contigs = [(f"c{i}", bases(rng, 90) + passage + bases(rng, 90)) for i in range(5)] + [("other", bases(rng, 50) + marker[42:84] + bases(rng, 50))]
+    assert {(c, p) for _, c, p in places(spark, contigs, [("m", marker)])} >= {(f"c{i}", 90) for i in range(5)}
+
+
+@pytest.mark.parametrize("unit", ["A", "GTAA", "TCGCCG"])
+def test_places_of_a_tandem_repeat_are_all_near_one(spark, monkeypatch, unit):
+    monkeypatch.setattr(gapped, "RARE", 2)
+    repeat = unit * (228 // len(unit))
+    contig, own = repeat + bases(random.Random(5), 200), (repeat * 2)[:120]
+    exact = [x for x in range(len(repeat) - 119) if contig.startswith(own, x)]
+    for marker in (own, own.translate(COMPLEMENT)[::-1]):
+        found = [p for _, _, p in places(spark, [("c", contig)], [("m", marker)])]
+        assert all(min(abs(x - p) for p in found) < 24 for x in exact)
