@@ -1,13 +1,15 @@
 """Exact similarity join of shingle sets by PartEnum signatures.
 
 1. Sets are classed by size in bands: a set's band and the next one hold all sets that are larger and similar enough. Two
-   similar sets of a band differ in at most ``k`` shingles, which follows from the band's largest size.
+   similar sets of a band differ in at most ``k`` shingles, which follows from the band's largest size. Bands are two such
+   steps wide, so about half of the sets have no similar ones in the next band.
 2. For a band, the domain of shingles is cut by hash in ``(k + 1) / 2`` partitions (rounded up), so that two similar sets
    differ by at most one shingle in one of them; each is cut in three parts, of which at least two are then equal. Every set
    enumerates the subsets of two parts of each partition; what it has in a subset is a signature. So similar sets share one,
    whatever they are, and sets share one by chance only if they agree on about twelve shingles.
-3. A set has signatures for its own band and for the next. Links within buckets of equal signatures are found, and confirmed
-   on the full sets, as :mod:`markerloom.llm.bucket_links` says. Components of the links.
+3. A set has signatures for its own band, and for the next if similar sets may be in it. All signatures are shuffled once, to
+   leave those that several sets have. Links within buckets of equal signatures are found, and confirmed on the full sets, as
+   :mod:`markerloom.llm.bucket_links` says. Components of the links.
 
 Signatures grow in number with the shingles of a set (about one for three), and no set is left out or cut.
 
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from markerloom.llm.bucket_links import Texts, bucket_members, classes_of, links_within, named, set_keys, shingle_hashes
@@ -32,6 +35,8 @@ from markerloom.llm.textvec import mixed, words
 SETS = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, signatures array<long>"
 #: Parts of a partition, and the subsets of them that are enumerated: one may differ.
 PARTS, SUBSETS = 3, ((0, 1), (0, 2), (1, 2))
+#: From a band's smallest size to its largest, so many times as far as similar sets are from one another.
+STEPS = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,22 +45,26 @@ def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     neighbouring bands or one can differ in, by the larger band."""
     low, high, at = [], [], 1
     while not low or low[-1] <= upto:
+        top = at
+        for _ in range(STEPS):
+            top = max(top, 100 * top // percent)
         low.append(at)
-        high.append(max(at, 100 * at // percent))
-        at = high[-1] + 1
+        high.append(top)
+        at = top + 1
     most = np.array(high, np.int64)
     return np.array(low, np.int64), most, 2 * most * (100 - percent) // (100 + percent)
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
-    """The signatures of each set of hashes, for its own band and the next one."""
+    """The signatures of each set of hashes, for its own band, and for the next one if a similar set may be in it."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    low, _, differ = bands(percent, int(sizes.max(initial=1)))
+    low, high, differ = bands(percent, int(sizes.max(initial=1)))
     own = np.searchsorted(low, sizes, "right") - 1
     band = np.stack([own, own + 1], axis=1)
     if band.size and band.max() >= len(low):
-        low, _, differ = bands(percent, int(low[-1]))
-    partitions = np.where((sizes[:, None] > 0) & (differ[band] > 0), (differ[band] + 2) // 2, 0)  # where none may differ, equal sets are one class
+        low, high, differ = bands(percent, int(low[-1]))
+    asked = np.stack([sizes > 0, (sizes > 0) & (100 * sizes // percent > high[own])], axis=1)
+    partitions = np.where(asked & (differ[band] > 0), (differ[band] + 2) // 2, 0)  # where none may differ, equal sets are one class
     each = partitions.ravel()
     base = np.cumsum(each) - each
     if not each.sum():
@@ -95,6 +104,14 @@ def signed_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return only(docs, doc_id=F.col("doc_id").cast("long"), text_key=F.xxhash64(F.col("text")), text=F.col("text")).mapInArrow(sign, SETS)
 
 
+def shared(buckets: DataFrame) -> DataFrame:
+    """Rows of ``buckets`` (key, rep, n) whose key several have. The rows are shuffled once, whatever their number: to join them with
+    a table of such keys takes a second shuffle as soon as that table is too large to be broadcast."""
+    of_key = W.partitionBy("key")
+    several = F.min("rep").over(of_key) != F.max("rep").over(of_key)
+    return buckets.withColumn("several", several).where("several").select("key", "rep", "n")
+
+
 def similar_sets(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id, text_key`` for each row: documents are linked if 100 * |A & B| >= percent * |A | B|
     for their sets of ``k``-word shingles; the component is named by its smallest id. ``text_key`` is the text's xxhash64."""
@@ -103,7 +120,7 @@ def similar_sets(docs: DataFrame, *, k: int = 3, percent: int = 90) -> DataFrame
     classes = classes_of(linkable)
     nodes = classes.select("rep", "doc_id", "text_key")
     buckets = linkable.join(hinted(nodes), ["doc_id", "text_key"]).select(F.explode("signatures").alias("key"), "rep", F.col("n_shingles").cast("int").alias("n"))
-    known = links_within(bucket_members(buckets), Texts(docs, nodes), k, percent)
+    known = links_within(bucket_members(written(shared(buckets), "shared")), Texts(docs, nodes), k, percent)
     return named(all_docs, classes, known).select("doc_id", "n_shingles", "component_id", "text_key")
 
 

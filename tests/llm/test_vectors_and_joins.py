@@ -214,6 +214,26 @@ def test_sets_that_are_far_apart_seldom_share_a_signature():
     assert sum(bool(a & b) for a, b in itertools.combinations(own, 2)) <= 3
 
 
+def test_signatures_are_fewer_than_a_third_of_the_shingles():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n, np.uint64)) for n in range(60, 1500, 7)]
+    assert 3 * sum(map(len, partenum.signatures(sets, 90))) < sum(map(len, sets))
+
+
+def test_signatures_are_shuffled_once(spark, monkeypatch):
+    """Also where the keys that several sets have are too many to be broadcast."""
+    rows = [(k, r, 10) for k, r in [(1, 5), (1, 6), (2, 6), (3, 7), (3, 7), (4, 5), (4, 6), (4, 7)]]
+    found = partenum.shared(spark.createDataFrame(rows, "key long, rep long, n int"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert sorted(map(tuple, found.collect())) == [(1, 5, 10), (1, 6, 10), (4, 5, 10), (4, 6, 10), (4, 7, 10)]
+    monkeypatch.setattr("markerloom.llm.shared.BROADCAST_ROWS", 0)
+    texts = awkward()
+    expected = components_by_force(texts, 3, 90)
+    for r in partenum.similar_sets(frame(spark, texts)).collect():
+        assert r.doc_id is None or (r.n_shingles, r.component_id) == expected[r.doc_id]
+
+
 def test_a_family_of_many_copies_costs_rows_in_proportion(spark):
     """Copies that differ in an eighth of their words: prefixes grow with the members, and hardly any two meet."""
     rng = random.Random(3)
