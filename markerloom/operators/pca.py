@@ -55,23 +55,39 @@ class PcaResult:
 
 def gram(table: MarkerTable, min_depth: int = 1) -> DataFrame:
     """``i, j, products, n`` for i <= j: sums of products of the raw depths of two individuals over markers present anywhere
-    (n counts them); ``j = -1`` has the sum of each individual's depths. Each partition adds up dense blocks first."""
+    (n counts them); ``j = -1`` has the sum of each individual's depths. Each partition adds up dense blocks of ``ROWS`` markers
+    first, in one Python worker, which holds a batch, a block and the sums, however many markers there are."""
     n = table.n_individuals
     if n > MAX_DENSE:
         raise MarkerError(f"more than {MAX_DENSE} individuals")
 
+    dense = table.layout == "array"
+    column = "depths" if dense else "entries"
+
+    def block(lists: pa.Array) -> np.ndarray:
+        if dense:
+            return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), n).astype(float)
+        row, col, depth = entries_of(lists)
+        x = np.zeros((len(lists), n))
+        x[row, col] = depth
+        return x
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         products, sums, rows = np.zeros((n, n)), np.zeros(n), 0
         for b in batches:
-            x = b.column("depths").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, n).astype(float)
-            products += x.T @ x
-            sums += x.sum(axis=0)
+            for at in range(0, b.num_rows, ROWS):
+                x = block(b.column(column).slice(at, ROWS))
+                products += x.T @ x
+                sums += x.sum(axis=0)
             rows += b.num_rows
         i, j = np.triu_indices(n)
         i, j, v = np.append(i, np.arange(n)), np.append(j, np.full(n, -1)), np.append(products[i, j], sums)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(v), pa.array(np.full(len(i), rows))], ["i", "j", "v", "m"])
 
-    kept = table.arrays(ordered=False).df.where(F.exists("depths", lambda d: d >= min_depth)).select("depths")
+    if dense:
+        kept = table.df.where(F.exists("depths", lambda d: d >= min_depth)).select("depths")
+    else:
+        kept = table.sparse(ordered=False).df.where(F.exists("entries", lambda e: e["depth"] >= min_depth)).select("entries")
     parts = kept.mapInArrow(partial, "i int, j int, v double, m long")
     return parts.groupBy("i", "j").agg(F.sum("v").alias("products"), F.sum("m").alias("n"))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from markerloom.operators.merge import merge
-from markerloom.operators.pca import pca, pca_by_passes, subspace
+from markerloom.operators.pca import gram, pca, pca_by_passes, subspace
 from markerloom.operators.process import process
 from markerloom.plans import presence
 from markerloom.table import MarkerTable
@@ -95,6 +95,14 @@ def test_components_by_passes_are_those_of_the_gram_matrix(layouts):
     assert [r.eigenvalue for r in pca_by_passes(empty, components=2).components.collect()] == [0.0, 0.0]
 
 
+def test_gram_matrix_of_each_layout_takes_one_python_worker_a_task(layouts):
+    expected = rows_of(gram(layouts["array"], 2))
+    for name in ("array", "long", "sparse", "sparse from long"):
+        got = gram(layouts[name], 2)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert rows_of(got) == expected, name
+
+
 @pytest.mark.parametrize(("n", "r"), [(1, 1), (7, 7), (40, 3), (300, 5)])
 def test_subspace_iteration(n, r):
     x = np.random.default_rng(n).normal(size=(n, n)) * np.linspace(2, 0.1, n)
