@@ -7,6 +7,8 @@ a task can begin at any member. As ordinary gzip tools read and name them like a
     spark.read.format("block_gzip_lines").option("splitBytes", 32 << 20).load("reads/")     # path, block, line
     lines.write.format("block_gzip_lines").option("extension", "fastq").mode("append").save("reads/")
 
+With the option ``runs`` a row holds a run of whole lines, joined by newlines: about what a block has, or one longer line.
+
 A line belongs to the split in which it begins, after the split's first byte (or at it, in the first split); a task reads on
 until its last line ends. Writing: each task makes a hidden file, and the commit of the job gives all of them their names
 (``part-00000.fastq.gz``); a failed or repeated task leaves nothing that is read, and what it has left goes with the job.
@@ -39,6 +41,8 @@ SCHEMA = "path string, block bigint, line string"
 # Fixed values of the format: how a block begins, and the most bytes of one; a block holds a little less than that.
 MAGIC, MOST, HELD = b"\x1f\x8b\x08\x04", 1 << 16, 65_280
 SPLIT_BYTES = 32 << 20
+#: Lines that the sink joins at once.
+LINES = 1000
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -123,6 +127,12 @@ def blocks(file: pa.NativeFile, at: int, size: int, read: int = 1 << 20) -> Iter
 
 def split_lines(file: pa.NativeFile, start: int, end: int, size: int) -> Iterator[list[bytes]]:
     """Lines that belong to the split of these bytes, in lists."""
+    for run in split_runs(file, start, end, size):
+        yield run.split(b"\n")
+
+
+def split_runs(file: pa.NativeFile, start: int, end: int, size: int) -> Iterator[bytes]:
+    """The same as runs of lines, each without its last newline."""
     begin = first_block(file, start, size)
     if begin is None or begin >= end:
         return
@@ -140,13 +150,18 @@ def split_lines(file: pa.NativeFile, start: int, end: int, size: int) -> Iterato
         if not cut:
             rest.append(data)
             continue
-        whole = b"".join([*rest, data[: cut - 1]]).split(b"\n")
-        yield whole
+        yield b"".join([*rest, data[: cut - 1]])
         if last:
             return
         rest = [data[cut:]]
     if left := b"".join(rest):
-        yield [left]
+        yield left
+
+
+def text_of(run: bytes) -> str:
+    """A run of lines as text, without the ``\\r`` before newlines."""
+    text = run.decode("utf-8", "replace")
+    return text.replace("\r\n", "\n").removesuffix("\r") if "\r" in text else text
 
 
 def block_files(path: str) -> list[tuple[str, int]]:
@@ -177,6 +192,7 @@ class Split(InputPartition):
 class LinesReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.bytes = options["path"], int(options.get("splitBytes", SPLIT_BYTES))
+        self.runs = str(options.get("runs", "false")).lower() == "true"
         if self.bytes < 1:
             raise MarkerError("splitBytes must be 1 or more")
 
@@ -189,9 +205,10 @@ class LinesReader(DataSourceReader):
         fs, _ = file_system(self.path)
         path = quote(partition.path)
         with fs.open_input_file(partition.path) as file:
-            for lines in split_lines(file, partition.start, partition.end, partition.size):
-                line = pa.array([x.removesuffix(b"\r").decode("utf-8", "replace") for x in lines], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.repeat(path, len(lines)), pa.repeat(pa.scalar(partition.start, pa.int64()), len(lines)), line], ["path", "block", "line"])
+            for run in split_runs(file, partition.start, partition.end, partition.size):
+                text = text_of(run)
+                line = pa.array([text] if self.runs else text.split("\n"), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(path, len(line)), pa.repeat(pa.scalar(partition.start, pa.int64()), len(line)), line], ["path", "block", "line"])
 
 
 @dataclass
@@ -213,11 +230,13 @@ class LinesWriter(DataSourceArrowWriter):
         with fs.open_output_stream(file) as out:
             held = bytearray()
             for batch in iterator:
-                for line in batch.column(batch.num_columns - 1).to_pylist():
-                    held += (line or "").encode() + b"\n"
-                    while len(held) >= HELD:
-                        out.write(deflated(bytes(held[:HELD])))
-                        del held[:HELD]
+                lines = batch.column(batch.num_columns - 1)
+                for at in range(0, len(lines), LINES):
+                    held += "".join([f"{x or ''}\n" for x in lines.slice(at, LINES).to_pylist()]).encode()
+                    whole = len(held) - len(held) % HELD
+                    for k in range(0, whole, HELD):
+                        out.write(deflated(bytes(held[k : k + HELD])))
+                    del held[:whole]
             if held:
                 out.write(deflated(bytes(held)))
             out.write(deflated(b""))

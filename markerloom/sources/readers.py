@@ -6,7 +6,9 @@ import re
 from collections.abc import Iterator, Sequence
 from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -134,6 +136,24 @@ class Records:
             done, self.tail = (self.tail[0][1:], self.tail[1]), []
         return done
 
+    def add_run(self, lines: list[str]) -> tuple[list[str], list[str]]:
+        """Names and sequences of the records that :meth:`add` gives for these lines, those of FASTQ by slices of the list."""
+        names, sequences, at = [], [], 0
+        while at < len(lines):
+            if self.fastq and self.synced and not self.tail:
+                whole = len(lines) - (len(lines) - at) % 4
+                first = lines[at:whole:4]
+                if first and all(first):  # no blank line between records
+                    names += [x[1:] for x in first]
+                    sequences += lines[at + 1 : whole : 4]
+                    at = whole
+                    continue
+            if found := self.add(lines[at]):
+                names.append(found[0])
+                sequences.append(found[1])
+            at += 1
+        return names, sequences
+
     def last(self) -> tuple[str, str] | None:
         """The record of ``tail``, if it is one."""
         if not self.tail or self.tail[0][:1] != ("@" if self.fastq else ">") or (self.fastq and len(self.tail) < 4):
@@ -141,8 +161,9 @@ class Records:
         return self.tail[0][1:], self.tail[1] if self.fastq else "".join(self.tail[1:])
 
 
-def _lines(spark: SparkSession, path: str, pattern: str, split_bytes: int) -> DataFrame:
-    """``path, block, line`` of the files whose names match; those of block-gzip come from their own source, in splits."""
+def _lines(spark: SparkSession, path: str, pattern: str, split_bytes: int, runs: bool = False) -> DataFrame:
+    """``path, block, line`` of the files whose names match; those of block-gzip come from their own source, in splits, with
+    ``runs`` as runs of lines."""
     name = F.col("_metadata.file_name")
     text = spark.read.text(path).where(name.rlike(pattern))
     found = [f.rsplit("/", 1)[-1] for f, _ in block_gzip.block_files(path)]
@@ -152,7 +173,7 @@ def _lines(spark: SparkSession, path: str, pattern: str, split_bytes: int) -> Da
     if not found:
         return lines
     block_gzip.register(spark)
-    blocks = spark.read.format("block_gzip_lines").option("splitBytes", split_bytes).load(path)
+    blocks = spark.read.format("block_gzip_lines").option("splitBytes", split_bytes).option("runs", runs).load(path)
     return lines.unionAll(blocks.where(F.col("path").rlike(pattern)))
 
 
@@ -165,7 +186,7 @@ def read_fastx(spark: SparkSession, path: str, records: int = 20_000, split_byte
     pattern = r"(?i)\.(fq|fastq|fasta|fa|fna)(\.gz)?$"
     if not individuals_of(spark, path):
         raise MarkerError(f"no read files in {path}")
-    lines = _lines(spark, path, pattern, split_bytes)
+    lines = _lines(spark, path, pattern, split_bytes, runs=True)
     names = ["individual", "name", "sequence", "path", "block", "synced", "head", "tail"]
 
     def individual(path: str) -> str:
@@ -175,31 +196,38 @@ def read_fastx(spark: SparkSession, path: str, records: int = 20_000, split_byte
         return READ_FILE.match(path.rsplit("/", 1)[-1])[2].lower() in ("fq", "fastq")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        found: tuple[list, ...] = ([], [], [])
+        ends: list[tuple] = []
         at, now = None, None
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _SPLIT_TYPES)], names)
-            held.clear()
+            n = len(found[0])
+            batch = pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in found], *[pa.nulls(n, t) for t in _SPLIT_TYPES[3:]]], names)
+            for c in found:
+                c.clear()
             return batch
 
         def ended() -> None:
-            held.append((None, None, None, *at, now.synced, "\n".join(now.head), "\n".join(now.tail)))
+            ends.append((None, None, None, *at, now.synced, "\n".join(now.head), "\n".join(now.tail)))
 
         for b in batches:
-            for path, block, line in zip(*(b.column(c).to_pylist() for c in ("path", "block", "line"))):
+            for path, block, rows in _by_split(b):
                 if at != (path, block):
                     if at is not None:
                         ended()
                     at, now, who = (path, block), Records(fastq(path)), individual(path)
-                if found := now.add(line):
-                    held.append((who, *found, None, None, None, None, None))
-                    if len(held) >= records:
+                for lines in _some_lines(rows):
+                    new, sequences = now.add_run(lines)
+                    for c, more in zip(found, ([who] * len(new), new, sequences)):
+                        c.extend(more)
+                    if new and len(found[0]) >= records:
                         yield out()
         if at is not None:
             ended()
-        if held:
+        if found[0]:
             yield out()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*ends), _SPLIT_TYPES)], names)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,6 +248,33 @@ def read_fastx(spark: SparkSession, path: str, records: int = 20_000, split_byte
     return parsed.where("path IS NULL").select("individual", "name", "sequence").unionAll(cut.mapInArrow(join, "individual string, name string, sequence string"))
 
 
+#: Lines of a split that are parsed at once.
+LINES = 10_000
+
+
+def _by_split(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:
+    """Path, block and ``line`` of the rows of each split in turn."""
+    if not batch.num_rows:
+        return
+    path, block = batch.column("path"), batch.column("block").to_numpy()
+    other = pc.not_equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])
+    cuts = [0, *(np.flatnonzero(other) + 1).tolist(), batch.num_rows]
+    for begin, end in zip(cuts, cuts[1:]):
+        yield path[begin].as_py(), int(block[begin]), batch.column("line").slice(begin, end - begin)
+
+
+def _some_lines(rows: pa.Array) -> Iterator[list[str]]:
+    """Lines of rows that hold one or a run of them, about ``LINES`` at a time."""
+    held: list[str] = []
+    for x in rows:
+        held += x.as_py().split("\n")
+        if len(held) >= LINES:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 _SPLIT_TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
 
 

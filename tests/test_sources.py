@@ -168,6 +168,38 @@ def test_marker_and_popmap_files(spark, tmp_path, little_pieces):
     assert readers.read_popmap(spark, str(tmp_path / "p.tsv")) == sorted(pairs)
 
 
+@pytest.mark.parametrize("fastq", [True, False])
+def test_runs_of_lines_are_the_records_of_their_lines(fastq):
+    draw = random.Random(21)
+    for _ in range(300):
+        lines = []
+        for k in range(draw.randrange(12)):
+            s = "".join(draw.choices("ACGT", k=draw.randrange(4)))
+            lines += [f"@r{k}", s, "+", draw.choice(["@", "+", "I", ""]) * len(s)] if fastq else [f">r{k}", s, s]
+            lines += [""] * draw.choice([0, 0, 0, 1])
+        lines = lines[draw.randrange(5) :]
+        one, runs, got, at = readers.Records(fastq, draw.random() < 0.3), None, [], 0
+        runs = readers.Records(fastq, one.synced)
+        want = [r for r in map(one.add, lines) if r]
+        while at < len(lines):
+            n = draw.randrange(1, 20)
+            got += zip(*runs.add_run(lines[at : at + n]))
+            at += n
+        assert (got, runs.synced, runs.head, runs.tail) == (want, one.synced, one.head, one.tail)
+
+
+def test_a_row_of_the_scan_of_reads_is_a_run_of_lines(spark, tmp_path):
+    blob = b"".join(f"@r{k}\r\nACGT\r\n+\r\nI\xc3I\xe9\r\n".encode("latin-1") for k in range(5_000)) + b"last\r"
+    (tmp_path / "a.fq.gz").write_bytes(made(blob, (9_000, 777)))
+    block_gzip.register(spark)
+    lines = spark.read.format("block_gzip_lines").option("splitBytes", 2_000).load(str(tmp_path))
+    want = [x.removesuffix(b"\r").decode("utf-8", "replace") for x in blob.split(b"\n")]
+    assert sorted(r.line for r in lines.select("line").collect()) == sorted(want)
+    runs = readers._lines(spark, str(tmp_path), "fq", 2_000, runs=True).select("line").collect()
+    assert len(runs) < 100 and sorted(x for r in runs for x in r.line.split("\n")) == sorted(want)
+    assert readers.read_fastx(spark, str(tmp_path), split_bytes=2_000).where("sequence = 'ACGT'").distinct().count() == 5_000
+
+
 def test_fastq_sink(spark, tmp_path):
     reads = [(f"r{k}", "ACGT" * (k % 70 + 1)) for k in range(3_000)]
     writers.write_fastq(spark.createDataFrame(reads, "name string, sequence string").repartition(2), str(tmp_path / "r"))
