@@ -49,3 +49,15 @@ def test_no_cell_of_the_grid_is_shuffled(spark):
     plan = distrib.with_empty_cells(seen, Groups("a", "b", 9, 999))._jdf.queryExecution().executedPlan().toString()
     # The last step that makes cells is above all shuffles.
     assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")].replace("BroadcastExchange", "")
+
+
+@pytest.mark.parametrize("few", [1, 1000])
+def test_no_block_of_the_grid_is_shuffled_where_few_cells_were_seen(spark, monkeypatch, few):
+    monkeypatch.setattr(distrib, "BROADCAST_CELLS", few)
+    monkeypatch.setattr(distrib, "BLOCK", 16)
+    seen = spark.createDataFrame([(3, 5, 2, 9), (3, 70, 7, 9), (0, 0, 1, 9)], "g1 int, g2 int, markers long, n_markers long")
+    grid = distrib.with_empty_cells(seen, Groups("a", "b", 9, 99))
+    rows = {(r.g1, r.g2): r.markers for r in grid.collect()}
+    assert grid.count() == len(rows) == 1000 and {k: n for k, n in rows.items() if n} == {(3, 5): 2, (3, 70): 7, (0, 0): 1}
+    plan = distrib.with_empty_cells(seen, Groups("a", "b", 9, 99))._jdf.queryExecution().executedPlan().toString()
+    assert ("REPARTITION_BY_NUM" in plan) == (few == 1)
